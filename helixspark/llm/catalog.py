@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import packing, simhash, suffixes, token_counts
+from . import packing, simhash, suffixes, token_counts, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_token_counts": token_counts.op1_token_counts,
+        "op2_toxicity": toxicity.op2_toxicity,
         "op4_best_fit_packing": packing.op4_best_fit_packing,
         "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
         "op7_suffix_dedup": suffixes.op7_suffix_dedup,
