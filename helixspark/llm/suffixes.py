@@ -8,13 +8,14 @@ alone. Equal groups after the last digit are exactly the repeated windows.
    therefore taken at its minimizer, the place in the window where the hash of the next GRAM bytes is least: equal windows
    have it at the same place, and about one place in 35 is one at all (an *anchor*). Anchors whose digit occurs once in
    the corpus leave. Within a task a repeated digit is sent on once, so a frequent one costs a row per task, not per place.
-2. Contexts. An anchor that stays brings the bytes that the windows around it may reach, ``window`` - GRAM on its left and
-   ``window`` on its right. A context that a task has met before is settled there: all its windows repeat.
+2. Contexts. An anchor that stays brings the bytes of the windows whose minimizer it is. A context that a task has met before is settled there: all its windows repeat.
 3. Remaining digits. Contexts are dealt out by first digit and sorted; windows at the same distance from the anchor are
    compared over all their bytes. A group above ``GROUP`` contexts is dealt out again under longer digits: its range of
    distances is halved, and either half has more bytes that all its windows share. This ends at single windows.
 4. The windows' runs are gathered for each document and cut.
 
+A document that is a whole copy of an earlier one is told by its digest and takes no part in the steps after the first.
+
 Texts cross the network twice, compressed. No group is held whole that grows with the corpus.
 """
 
@@ -31,11 +32,11 @@ from pyspark.sql import types as T
 
 from .common import materialize, table
 
-WINDOW, GRAM = 100, 32
+WINDOW, GRAM = 100, 16
 #: Contexts of one digit that a task compares at once.
 GROUP = 16_384
 #: Bytes of text hashed at once; anchors and contexts that a task holds before it sends them on.
-BLOCK, ANCHORS, CONTEXTS = 1 << 21, 1 << 20, 100_000
+BLOCK, ANCHORS, CONTEXTS = 1 << 20, 1 << 19, 100_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 CONTEXT_ROWS = "key long, doc long, pos long, far int, near int, lead int, context binary"
 
@@ -63,17 +64,35 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - n)], x[width - n :]) if width > n else x
 
 
-def _anchors(data: np.ndarray, bounds: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the minimizers of all windows inside the texts that bounds cuts data into."""
+def _anchors(data: np.ndarray, bounds: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The (first) minimizers of the windows inside the texts that bounds cuts data into: place, hash, and the farthest
+    and the nearest start, before that place, of the windows that have it. These are all windows between the two."""
     width = window - gram + 1
     h = _gram_hashes(data, gram)
     least = _sliding_min(h, width)
-    for b in bounds[1:-1]:  # windows across two texts choose nothing
-        least[max(0, b - window + 1) : b] = 0
+    inside = np.ones(len(least), bool)
+    for b in bounds[1:-1]:
+        inside[max(0, b - window + 1) : b] = False
+    starts = np.flatnonzero(inside)
+    least = least[starts]
+    # places that are the least of some window; a window's first of them with its least hash is its minimizer
+    marks = np.zeros(len(h), bool)
+    part = np.searchsorted(bounds, starts, "right")
     pad = np.zeros(width - 1, np.uint64)
-    most = ~_sliding_min(~np.concatenate([pad, least, pad]), width)
-    at = np.flatnonzero(h == most)
-    return at, h[at]
+    full = np.zeros(len(h) - width + 1, np.uint64)
+    full[starts] = least
+    marks[:] = h == ~_sliding_min(~np.concatenate([pad, full, pad]), width)
+    at = np.flatnonzero(marks)
+    own = np.searchsorted(at, starts)
+    todo = np.flatnonzero(h[at[own]] != least)
+    while len(todo):
+        own[todo] += 1
+        todo = todo[h[at[own[todo]]] != least[todo]]
+    head = np.concatenate([[True], (own[1:] != own[:-1]) | (part[1:] != part[:-1])])
+    first = np.flatnonzero(head)
+    last = np.concatenate([first[1:], [len(own)]]) - 1
+    place = at[own[first]]
+    return place, h[place], place - starts[first], place - starts[last]
 
 
 def _blocks(texts: list[bytes], window: int) -> Iterator[tuple[list[tuple[int, int]], list[bytes]]]:
@@ -113,12 +132,12 @@ def _find_anchors(window: int, gram: int):
             for where, parts in _blocks([t or b"" for t in batch.column(1).to_pylist()], window):
                 data = np.frombuffer(b"".join(parts), np.uint8)
                 bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-                at, h = _anchors(data, bounds, window, gram)
+                at, h, far, near = _anchors(data, bounds, window, gram)
                 part = np.searchsorted(bounds, at, "right") - 1
                 number, offset = (np.array(x, np.int64) for x in zip(*where, strict=True))
                 keys.append(h)
                 docs.append(ids[number[part]])
-                places.append(at - bounds[part] + offset[part])
+                places.append((at - bounds[part] + offset[part]) << 16 | far << 8 | near)
                 n += len(at)
                 if n >= ANCHORS:
                     yield flush(keys, docs, places)
@@ -152,7 +171,7 @@ def _contexts(window: int, gram: int):
         settled: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
-            rows = settled + [(_signed(xxhash.xxh64_intdigest(c[lead : lead + gram])), doc, pos, reach, 0, lead, c) for (lead, c), (doc, pos) in held.items()]
+            rows = settled + [(_signed(xxhash.xxh64_intdigest(c[lead : lead + gram])), doc, pos, reach, 0, lead, c) for (lead, c), (doc, pos) in held.items()]  # the group's distances; a row's own are in lead and the context's size
             held.clear()
             settled.clear()
             return _context_batch(rows)
@@ -160,11 +179,9 @@ def _contexts(window: int, gram: int):
         for batch in batches:
             for doc, packed, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 text = inflate.decompress(packed)
-                for pos in sorted(set(places)):
-                    lead = min(pos, reach)
-                    context = text[pos - lead : pos + window]
-                    if len(context) < window:
-                        continue
+                for place in sorted(set(places)):
+                    pos, lead, near = place >> 16, place >> 8 & 255, place & 255
+                    context = text[pos - lead : pos - near + window]
                     mine, key = (doc, pos), (lead, context)
                     first = held.setdefault(key, mine)
                     if first != mine:
@@ -302,12 +319,24 @@ def _compare(window: int, gram: int, group: int):
     return run
 
 
-def repeated_runs(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, group: int = GROUP) -> DataFrame:
+def later_copies(texts: DataFrame) -> DataFrame:
+    """(doc) of the texts that an earlier document has as a whole."""
+    digests = materialize(texts.select("doc", F.sha2("body", 256).alias("digest")))
+    first = digests.groupBy("digest").agg(F.min("doc").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
+    return materialize(digests.join(first, "digest").filter("doc > first").select("doc"))
+
+
+def repeated_runs(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, group: int = GROUP, copies: DataFrame | None = None) -> DataFrame:
     """texts: (doc long, unique and not null; body binary). Gives (doc, runs: array of (pos, size)), runs of bytes
-    whose windows start earlier too; they may overlap. Documents without any are left out."""
+    whose windows start earlier too; they may overlap. Documents without any are left out, and so are the ``copies``: all
+    of their windows repeat, and nothing repeats theirs that doesn't repeat the first copy's."""
+    if window - gram > 255:
+        raise ValueError("a window may be at most 255 bytes longer than its first digit")
     anchors = texts.mapInArrow(_find_anchors(window, gram), "key long, doc long, pos long, stays boolean")
     met = anchors.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("stays or n > 1")
     places = met.groupBy("doc").agg(F.collect_list("pos").alias("places"))
+    if copies is not None:
+        places = places.join(copies, "doc", "left_anti")
     rows = compressed(texts).join(places, "doc").select("doc", "body", "places").mapInArrow(_contexts(window, gram), CONTEXT_ROWS)
     found = None
     while True:
@@ -386,22 +415,23 @@ def remove_repeats(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
         known = materialize(one.repartitionByRange(F.col("_id").asc_nulls_last(), F.col("_text")).sortWithinPartitions(F.col("_id").asc_nulls_last(), F.col("_text")).withColumn("doc", F.monotonically_increasing_id()))
         numbered = known.select("doc", F.col("_text").cast("binary").alias("body"))
         names = known.select("doc", "_id", "_rows")
-    runs = repeated_runs(numbered, window, gram, group)
+    copies = later_copies(numbered)
+    runs = repeated_runs(numbered, window, gram, group, copies)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inflate = zstandard.ZstdDecompressor()
-        for b in batches:
+        for b in (whole.slice(k, 512) for whole in batches for k in range(0, whole.num_rows, 512)):
             out = []
-            for packed, found in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for packed, found, copy in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
                 data = inflate.decompress(packed)
-                spans = merged([(r["pos"], r["size"]) for r in found or []])
+                spans = [(0, len(data))] if copy and len(data) >= window else merged([(r["pos"], r["size"]) for r in found or []])
                 out.append((len(data), sum(y - x for x, y in spans), len(spans), hashlib.sha256(_kept(data, spans)).hexdigest(), [{"start": x, "end": y} for x, y in spans], _kept(data, whole_characters(data, spans)).decode()))
             columns = [list(c) for c in zip(*out, strict=True)] or [[]] * 6
             span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), span, pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "text"])
 
-    done = compressed(numbered).join(runs, "doc", "left").select("doc", "body", "runs").mapInArrow(finish, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>, text string")
+    done = compressed(numbered).join(runs, "doc", "left").join(copies.withColumn("copy", F.lit(True)), "doc", "left").select("doc", "body", "runs", "copy").mapInArrow(finish, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>, text string")
     if names is None:
         kind = df.schema[id_col].dataType
         return done.select(F.col("doc").cast(kind).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", F.col("text").alias(text_col))
