@@ -30,13 +30,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, table
+from .common import materialize, slices, table
 
 WINDOW, GRAM = 100, 16
 #: Contexts of one digit that a task compares at once.
 GROUP = 16_384
 #: Bytes of text hashed at once; anchors and contexts that a task holds before it sends them on.
-BLOCK, ANCHORS, CONTEXTS = 1 << 20, 1 << 19, 100_000
+BLOCK, ANCHORS, CONTEXTS = 1 << 19, 1 << 18, 100_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 CONTEXT_ROWS = "key long, doc long, pos long, far int, near int, lead int, context binary"
 
@@ -127,7 +127,7 @@ def _find_anchors(window: int, gram: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, docs, places, n = [], [], [], 0
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column(0).to_numpy()
             for where, parts in _blocks([t or b"" for t in batch.column(1).to_pylist()], window):
                 data = np.frombuffer(b"".join(parts), np.uint8)
@@ -176,7 +176,7 @@ def _contexts(window: int, gram: int):
             settled.clear()
             return _context_batch(rows)
 
-        for batch in batches:
+        for batch in slices(batches):
             for doc, packed, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 text = inflate.decompress(packed)
                 for place in sorted(set(places)):
@@ -388,39 +388,40 @@ def compressed(texts: DataFrame, level: int = 1) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         deflate = zstandard.ZstdCompressor(level=level)
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([deflate.compress(x or b"") for x in b.column(1).to_pylist()], pa.binary())], names=["doc", "body"])
 
     return texts.mapInArrow(run, "doc long, body binary")
 
 
-def remove_repeats(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, group: int = GROUP) -> DataFrame:
+def remove_repeats(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, group: int = GROUP, keep: bool = False) -> DataFrame:
     """One row per input row: id, n_bytes, n_removed, n_spans, kept_sha256, spans (array of [start, end) in bytes), text
-    (what is left, where spans are first shrunk to whole characters).
+    (what is left, where spans are first shrunk to whole characters). With ``keep``, the input's columns with the new
+    text, and n_removed and n_spans.
 
-    Earlier means a smaller id, or the same document and an earlier start. A null text counts as empty; a null id comes
-    after all others. Rows that repeat id and text are one document and get the same result; different texts under one id
-    go by text. Other columns are left out. An empty table gives an empty table.
+    Earlier means a smaller id, or the same document and an earlier start. A null text counts as empty (with ``keep`` it
+    stays null); a null id comes after all others. Rows that repeat id and text are one document and get the same result;
+    different texts under one id go by text. Without ``keep`` other columns are left out; with it, columns named like an
+    output are replaced. An empty table gives an empty table.
     """
     import zstandard
 
     raw = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     integral = isinstance(df.schema[id_col].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))
     plain = integral and raw.groupBy("_id").count().filter("_id is null or count > 1").isEmpty()
-    names = None
     if plain:
         numbered = raw.select(F.col("_id").cast("long").alias("doc"), F.col("_text").cast("binary").alias("body"))
     else:  # number the distinct rows in order; the number of a range-sorted row grows with the order
-        one = raw.groupBy("_id", "_text").agg(F.count("*").alias("_rows"))
-        known = materialize(one.repartitionByRange(F.col("_id").asc_nulls_last(), F.col("_text")).sortWithinPartitions(F.col("_id").asc_nulls_last(), F.col("_text")).withColumn("doc", F.monotonically_increasing_id()))
+        order = (F.col("_id").asc_nulls_last(), F.col("_text"))
+        known = materialize(raw.distinct().repartitionByRange(*order).sortWithinPartitions(*order).withColumn("doc", F.monotonically_increasing_id()))
         numbered = known.select("doc", F.col("_text").cast("binary").alias("body"))
-        names = known.select("doc", "_id", "_rows")
+        names = known.select("doc", "_id", F.sha2("_text", 256).alias("_digest"))
     copies = later_copies(numbered)
     runs = repeated_runs(numbered, window, gram, group, copies)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inflate = zstandard.ZstdDecompressor()
-        for b in (whole.slice(k, 512) for whole in batches for k in range(0, whole.num_rows, 512)):
+        for b in slices(batches):
             out = []
             for packed, found, copy in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
                 data = inflate.decompress(packed)
@@ -429,14 +430,23 @@ def remove_repeats(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
             columns = [list(c) for c in zip(*out, strict=True)] or [[]] * 6
             span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), span, pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "text"])
-
-    done = compressed(numbered).join(runs, "doc", "left").join(copies.withColumn("copy", F.lit(True)), "doc", "left").select("doc", "body", "runs", "copy").mapInArrow(finish, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>, text string")
-    if names is None:
-        kind = df.schema[id_col].dataType
-        return done.select(F.col("doc").cast(kind).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", F.col("text").alias(text_col))
-    back = names.join(done, "doc").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_rows"))))
-    return back.select(F.col("_id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", F.col("text").alias(text_col))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["_doc", "_bytes", "_removed", "_spans", "_sha", "_where", "_left"])
+
+    joined = compressed(numbered).join(runs, "doc", "left").join(copies.withColumn("copy", F.lit(True)), "doc", "left").select("doc", "body", "runs", "copy")
+    done = joined.mapInArrow(finish, "_doc long, _bytes long, _removed long, _spans long, _sha string, _where array<struct<start: long, end: long>>, _left string")
+    outs = [F.col("_bytes").alias("n_bytes"), F.col("_removed").alias("n_removed"), F.col("_spans").alias("n_spans"), F.col("_sha").alias("kept_sha256"), F.col("_where").alias("spans"), F.col("_left").alias(text_col)]
+    if plain and not keep:
+        return done.select(F.col("_doc").cast(df.schema[id_col].dataType).alias(id_col), *outs)
+    rest = [c for c in df.columns if c not in (id_col, text_col, "n_removed", "n_spans")] if keep else []
+    rows = df.select(F.col(id_col).alias("_row_id"), F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256).alias("_row_digest"), F.col(text_col).isNull().alias("_null"), *(F.col(c).alias(f"_rest{k}") for k, c in enumerate(rest)))
+    if plain:
+        back = rows.join(done, F.col("_row_id") == F.col("_doc"))
+    else:
+        back = rows.join(names, F.col("_row_id").eqNullSafe(F.col("_id")) & (F.col("_row_digest") == F.col("_digest"))).join(done, F.col("doc") == F.col("_doc"))
+    if not keep:
+        return back.select(F.col("_row_id").alias(id_col), *outs)
+    new = {id_col: F.col("_row_id"), text_col: F.when(~F.col("_null"), F.col("_left")), **{c: F.col(f"_rest{k}") for k, c in enumerate(rest)}}
+    return back.select(*(new[c].alias(c) for c in df.columns if c in new), F.col("_removed").alias("n_removed"), F.col("_spans").alias("n_spans"))
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import slices, table
 from .tokenizing import CHUNK, OVERLAP, encode_spliced, load
 
 SCHEMA = "n_bytes long, n_tokens long, over_limit boolean, n_splices int, n_widened int"
@@ -26,7 +26,7 @@ def count_tokens(df: DataFrame, tokenizer: str = "byte_bpe_50k.tiktoken", limit:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = load(tokenizer)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             short = [i for i, t in enumerate(texts) if len(t) <= chunk]
             n, splices, widened = [0] * len(texts), [0] * len(texts), [0] * len(texts)
