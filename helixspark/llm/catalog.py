@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, simhash, suffixes, token_counts, toxicity
+from . import decontaminate, packing, simhash, suffixes, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_best_fit_packing": packing.op4_best_fit_packing,
         "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
         "op7_suffix_dedup": suffixes.op7_suffix_dedup,
+        "op10_decontamination": decontaminate.op10_decontamination,
     }
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, slices, table
 from .tokenizing import encode_spliced, load
 
 SEQUENCE = 2048
@@ -36,7 +36,7 @@ def pieces(df: DataFrame, tokenizer: str, size: int, id_col: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = load(tokenizer)
-        for batch in batches:
+        for batch in slices(batches):
             row, piece, start, length, crc = [], [], [], [], []
             for r, text in enumerate(batch.column(1).to_pylist()):
                 ids = np.append(encode_spliced(encoder, text or "")[0], np.uint32(0)).astype("<u4")
@@ -72,21 +72,14 @@ def best_fit(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int
             k = bisect.bisect_left(order, length)
             if k == len(order):  # nothing holds it: as many new sequences as the rest of this run needs
                 each = size // length
-                new = -(-(n - rank) // each)
-                for level in range(each):
-                    take = min(new, n - rank)
-                    if take <= 0:
-                        put(size - level * length, opened, opened + new)
-                        break
-                    plan.append((length, rank, rank + take, opened, level * length))
-                    rank += take
-                    if take < new:
-                        put(size - level * length, opened + take, opened + new)
-                        put(size - (level + 1) * length, opened, opened + take)
-                        break
-                else:
-                    put(size - each * length, opened, opened + new)
-                opened += new
+                full, rest = divmod(n - rank, each)
+                for new, levels in ((full, each), (int(rest > 0), rest)):
+                    if new:
+                        for level in range(levels):
+                            plan.append((length, rank, rank + new, opened, level * length))
+                            rank += new
+                        put(size - levels * length, opened, opened + new)
+                        opened += new
                 continue
             gap = order[k]
             lo, hi = gaps[gap].pop()

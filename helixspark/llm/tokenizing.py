@@ -78,9 +78,9 @@ class Json:
 
 
 class Pieces:
-    """A sentencepiece model (.model); offsets are characters."""
+    """A sentencepiece model (.model); offsets are UTF-8 bytes."""
 
-    unit, stable = "char", re.compile(r"(?<=[0-9A-Za-z])[ ](?=[0-9A-Za-z])")
+    unit, stable = "byte", re.compile(r"(?<=[0-9A-Za-z])[ ](?=[0-9A-Za-z])")
 
     def __init__(self, path: str):
         import sentencepiece
@@ -91,7 +91,7 @@ class Pieces:
         return np.array(self.model.encode(text, num_threads=1), np.uint32)
 
     def ids_and_ends(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        found = self.model.encode(text, out_type="immutable_proto").pieces
+        found = self.model.encode(text, return_type="proto").pieces
         return np.array([p.id for p in found], np.uint32), np.array([p.end for p in found], np.int64)
 
     def count(self, texts: list[str]) -> list[int]:
@@ -117,7 +117,7 @@ def encode_spliced(encoder, text: str, chunk: int = CHUNK, overlap: int = OVERLA
     if len(text) <= chunk:
         return encoder.ids(text), 0, 0
     out, splices, widened = [], 0, 0
-    start, end = 0, chunk
+    start, end, context = 0, chunk, 0
     ids, ends = encoder.ids_and_ends(text[:end])
     while end < len(text):
         width = overlap
@@ -137,12 +137,12 @@ def encode_spliced(encoder, text: str, chunk: int = CHUNK, overlap: int = OVERLA
                 break
             width, widened = 2 * width, widened + 1
         if at is None:  # no stable place since the last splice: all that is left in one piece
-            ids, _ = encoder.ids_and_ends(text[start:])
-            out.append(ids)
+            ids, ends = encoder.ids_and_ends(text[context:])  # with what precedes: a text's start may be encoded differently
+            out.append(ids[int(np.searchsorted(ends, _place(text, context, start, encoder.unit), "right")) :] if start > context else ids)
             return np.concatenate(out), splices, widened
         p, i, j, b = at
         out.append(ids[:i])
         splices += 1
-        start, end, ids, ends = p, stop, ids2[j:], ends2[j:] - b
+        start, end, context, ids, ends = p, stop, begin, ids2[j:], ends2[j:] - b
     out.append(ids)
     return np.concatenate(out), splices, widened
