@@ -16,7 +16,6 @@ from .intervals import islands, select_greedy
 from .regexscan import kmer_hits, regex_hits, stranded_hits
 
 COLUMNS = ["seq_id", "class", "subclass", "start_pos", "end_pos", "length", "strand", "raw_score", "score", "method", "pattern_id", "attrs"]
-NO_ATTRS = F.lit(None).cast("map<string,string>")
 
 # Patterns of the detectors.
 LOCAL_CURVES = {"CRV_002": "A{8,}", "CRV_003": "T{8,}"}
@@ -65,40 +64,41 @@ def _literal(entries: dict) -> Column:
 def _motifs(hits: DataFrame, name: str, subclass: Column, raw: Column, score: Column, method: str, pattern: Column | None = None, strand: Column | None = None, attrs: Column | None = None) -> DataFrame:
     return hits.select(
         F.col("seq_id").cast("string").alias("seq_id"), F.lit(name).alias("class"), subclass.alias("subclass"), (F.col("start") + 1).cast("long").alias("start_pos"), F.col("end").cast("long").alias("end_pos"), (F.col("end") - F.col("start")).cast("long").alias("length"),
-        (strand if strand is not None else F.lit("+")).alias("strand"), raw.cast("double").alias("raw_score"), score.alias("score"), F.lit(method).alias("method"), (pattern if pattern is not None else F.col("pattern_id")).alias("pattern_id"), (attrs if attrs is not None else NO_ATTRS).alias("attrs"),
+        (strand if strand is not None else F.lit("+")).alias("strand"), raw.cast("double").alias("raw_score"), score.alias("score"), F.lit(method).alias("method"), (pattern if pattern is not None else F.col("pattern_id")).alias("pattern_id"), (attrs if attrs is not None else F.lit(None).cast("map<string,string>")).alias("attrs"),
     )
 
 
-SPAN = F.col("end") - F.col("start")
+def _span() -> Column:
+    return F.col("end") - F.col("start")
 
 
 def local_curvature(seqs: DataFrame) -> DataFrame:
     """Runs of eight or more A or T."""
-    raw = F.round(SPAN / (SPAN + 7.0), 6)
-    return _motifs(regex_hits(seqs, LOCAL_CURVES), "Curved_DNA", F.lit("Local Curvature"), raw, normalize_score(raw, 0.1, 1.0, SPAN, 50), "A-tract run")
+    raw = F.round(_span() / (_span() + 7.0), 6)
+    return _motifs(regex_hits(seqs, LOCAL_CURVES), "Curved_DNA", F.lit("Local Curvature"), raw, normalize_score(raw, 0.1, 1.0, _span(), 50), "A-tract run")
 
 
 def global_curvature(seqs: DataFrame) -> DataFrame:
     """Three or more A or T tracts whose centres are 9.9 to 11.1 bases apart, one after another."""
-    tracts = regex_hits(seqs, {"tract": "A{3,}|T{3,}"}).withColumn("center", F.col("start") + (SPAN - 1) / 2.0)
+    tracts = regex_hits(seqs, {"tract": "A{3,}|T{3,}"}).withColumn("center", F.col("start") + (_span() - 1) / 2.0)
     order = Window.partitionBy("seq_id").orderBy("center")
     spaced = tracts.withColumn("step", F.col("center") - F.lag("center").over(order))
     breaks = F.when(F.col("step").between(9.9, 11.1), 0).otherwise(1)
     chained = spaced.withColumn("chain", F.sum(breaks).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("step", F.when(F.col("step").between(9.9, 11.1), F.col("step")))
     runs = chained.groupBy("seq_id", "chain").agg(F.count("*").alias("n"), F.min("start").alias("start"), F.max("end").alias("end"), F.avg(F.abs(F.col("step") - 11.0)).alias("off")).filter("n >= 3")
     raw = F.round(F.greatest(F.lit(0.0), 1.0 - F.col("off") / 1.1), 6)
-    return _motifs(runs.withColumn("raw", raw).filter("raw >= 0.1"), "Curved_DNA", F.lit("Global Curvature"), F.col("raw"), normalize_score(F.col("raw"), 0.1, 1.0, SPAN, 120), "Phased tracts", F.lit("CRV_001"), attrs=F.create_map(F.lit("tracts"), F.col("n").cast("string")))
+    return _motifs(runs.withColumn("raw", raw).filter("raw >= 0.1"), "Curved_DNA", F.lit("Global Curvature"), F.col("raw"), normalize_score(F.col("raw"), 0.1, 1.0, _span(), 120), "Phased tracts", F.lit("CRV_001"), attrs=F.create_map(F.lit("tracts"), F.col("n").cast("string")))
 
 
 def slipped(seqs: DataFrame) -> DataFrame:
     hits = kernels.apply_kernel(seqs, kernels.slipped)
-    score = F.when(F.col("subclass") == "STR", normalize_score(F.col("raw_score"), 1.0, 3.0, SPAN, 1000)).otherwise(normalize_score(F.col("raw_score"), 1.0, 3.0, SPAN, 500))
+    score = F.when(F.col("subclass") == "STR", normalize_score(F.col("raw_score"), 1.0, 3.0, _span(), 1000)).otherwise(normalize_score(F.col("raw_score"), 1.0, 3.0, _span(), 500))
     return _motifs(hits, "Slipped_DNA", F.col("subclass"), F.col("raw_score"), score, "Tandem repeats", F.lit("SLP"), attrs=F.col("attrs"))
 
 
 def cruciform(seqs: DataFrame) -> DataFrame:
     hits = kernels.apply_kernel(seqs, kernels.cruciform)
-    return _motifs(hits, "Cruciform", F.col("subclass"), F.col("raw_score"), normalize_score(F.col("raw_score"), 0.2, 1.0, SPAN, 200), "Inverted repeats", F.lit("CRU"), attrs=F.col("attrs"))
+    return _motifs(hits, "Cruciform", F.col("subclass"), F.col("raw_score"), normalize_score(F.col("raw_score"), 0.2, 1.0, _span(), 200), "Inverted repeats", F.lit("CRU"), attrs=F.col("attrs"))
 
 
 def r_loops(seqs: DataFrame) -> DataFrame:
@@ -108,7 +108,7 @@ def r_loops(seqs: DataFrame) -> DataFrame:
     from prefix sums of the G counts of 50-base blocks.
     """
     both = seqs.select("seq_id", F.length("seq").cast("long").alias("n"), F.explode(F.create_map(F.lit("+"), F.col("seq"), F.lit("-"), F.reverse(F.translate("seq", "ACGT", "TGCA")))).alias("strand", "seq"))
-    hits = regex_hits(both, RLOOPS, ("seq_id", "n", "strand")).withColumn("riz", F.round(count_of(F.col("matched"), "G") * 100.0 / SPAN, 2)).filter("riz >= 50").drop("matched")
+    hits = regex_hits(both, RLOOPS, ("seq_id", "n", "strand")).withColumn("riz", F.round(count_of(F.col("matched"), "G") * 100.0 / _span(), 2)).filter("riz >= 50").drop("matched")
     ahead = hits.join(both.select("seq_id", "strand", "seq"), ["seq_id", "strand"]).withColumn("ahead", F.substr(F.col("seq"), (F.col("end") + 1).cast("int"), F.lit(2000))).drop("seq")
     g = lambda i: F.length(F.substr(F.col("ahead"), i * 50 + 1, F.lit(50))) - F.length(F.replace(F.substr(F.col("ahead"), i * 50 + 1, F.lit(50)), F.lit("G"), F.lit("")))
     sums = F.transform(F.sequence(F.lit(0), F.lit(40)), lambda i: F.aggregate(F.slice("blocks", 1, i), F.lit(0), lambda a, b: a + b))
@@ -126,19 +126,19 @@ def r_loops(seqs: DataFrame) -> DataFrame:
     out = placed.withColumn("start", F.when(minus, F.col("n") - F.col("_e")).otherwise(F.col("_s"))).withColumn("end", F.when(minus, F.col("n") - F.col("_s")).otherwise(F.col("_e")))
     raw = F.round(F.least(F.lit(1.0), F.col("riz") / 100.0 + F.col("rez") / 100.0), 6)
     attrs = F.create_map(F.lit("riz_percent_g"), F.col("riz").cast("string"), F.lit("rez_percent_g"), F.col("rez").cast("string"))
-    return _motifs(out, "R-Loop", F.lit("R-loop formation sites"), raw, normalize_score(raw, 0.4, 1.0, SPAN, 2000), "QmRLFS", strand=F.col("strand"), attrs=attrs)
+    return _motifs(out, "R-Loop", F.lit("R-loop formation sites"), raw, normalize_score(raw, 0.4, 1.0, _span(), 2000), "QmRLFS", strand=F.col("strand"), attrs=attrs)
 
 
 def h_dna(seqs: DataFrame) -> DataFrame:
     hits = kernels.apply_kernel(seqs, kernels.mirror)
-    return _motifs(hits, "Triplex", F.col("subclass"), F.col("raw_score"), normalize_score(F.col("raw_score"), 1.0, 3.0, SPAN, 150), "Mirror repeats", F.lit("TRX_MIRROR"), attrs=F.col("attrs"))
+    return _motifs(hits, "Triplex", F.col("subclass"), F.col("raw_score"), normalize_score(F.col("raw_score"), 1.0, 3.0, _span(), 150), "Mirror repeats", F.lit("TRX_MIRROR"), attrs=F.col("attrs"))
 
 
 def sticky(seqs: DataFrame) -> DataFrame:
     """Four or more GAA or TTC; the score rises with the copies in four slopes."""
-    c = F.floor(SPAN / 3)
+    c = F.floor(_span() / 3)
     raw = F.round(F.least(F.lit(3.0), F.when(c < 20, 1 + 0.015 * c).when(c < 40, 1.3 + 0.03 * (c - 20)).when(c < 60, 2.0 + 0.02 * (c - 40)).otherwise(2.6 + 0.01 * (c - 60))), 3)
-    return _motifs(regex_hits(seqs, STICKY), "Triplex", F.lit("Sticky DNA"), raw, normalize_score(raw, 1.0, 3.0, SPAN, 150), "Repeat tract", attrs=F.create_map(F.lit("copies"), c.cast("string")))
+    return _motifs(regex_hits(seqs, STICKY), "Triplex", F.lit("Sticky DNA"), raw, normalize_score(raw, 1.0, 3.0, _span(), 150), "Repeat tract", attrs=F.create_map(F.lit("copies"), c.cast("string")))
 
 
 def quadruplex_hits(seqs: DataFrame) -> DataFrame:
@@ -148,29 +148,29 @@ def quadruplex_hits(seqs: DataFrame) -> DataFrame:
     areas = islands(runs, ["seq_id"], "from", "to").groupBy("seq_id", "island").agg(F.min("from").alias("area"), F.max("to").alias("to"))
     windows = areas.join(seqs.select("seq_id", "seq"), "seq_id").select("seq_id", "area", F.substr(F.col("seq"), (F.col("area") + 1).cast("int"), (F.least("to", n) - F.col("area")).cast("int")).alias("seq"))
     hits = regex_hits(windows, QUADRUPLEXES, ("seq_id", "area")).withColumn("start", F.col("area") + F.col("start")).withColumn("end", F.col("area") + F.col("end")).filter("end - start >= 8")
-    w = F.least(F.lit(25), SPAN).cast("int")
-    most = F.array_max(F.transform(F.sequence(F.lit(1), (SPAN - w + 1).cast("int")), lambda i: w - F.length(F.replace(F.substr(F.col("matched"), i, w), F.lit("G"), F.lit("")))))
-    raw = F.round(most / w * (SPAN / w), 6)
+    w = F.least(F.lit(25), _span()).cast("int")
+    most = F.array_max(F.transform(F.sequence(F.lit(1), (_span() - w + 1).cast("int")), lambda i: w - F.length(F.replace(F.substr(F.col("matched"), i, w), F.lit("G"), F.lit("")))))
+    raw = F.round(most / w * (_span() / w), 6)
     order = _literal({p: i for i, p in enumerate(G4_NAMES)})
     return hits.select("seq_id", "start", "end", "pattern_id", raw.alias("raw"), order[F.col("pattern_id")].alias("priority"))
 
 
 def quadruplexes(seqs: DataFrame) -> DataFrame:
-    hits = select_greedy(quadruplex_hits(seqs), ["seq_id"], [-F.col("raw"), F.col("priority"), -SPAN], F.col("start"), F.col("end"))
-    return _motifs(hits, "G-Quadruplex", _literal(G4_NAMES)[F.col("pattern_id")], F.col("raw"), normalize_score(F.col("raw"), 0.5, 4.0, SPAN, 120), "G4Hunter window")
+    hits = select_greedy(quadruplex_hits(seqs), ["seq_id"], [-F.col("raw"), F.col("priority"), -_span()], F.col("start"), F.col("end"))
+    return _motifs(hits, "G-Quadruplex", _literal(G4_NAMES)[F.col("pattern_id")], F.col("raw"), normalize_score(F.col("raw"), 0.5, 4.0, _span(), 120), "G4Hunter window")
 
 
 def i_motif_hits(seqs: DataFrame) -> DataFrame:
     tracts = F.regexp_extract_all("matched", F.lit("(C{2,})"), F.lit(1))
     k = F.size(tracts)
     total = F.aggregate(tracts, F.lit(0), lambda a, t: a + F.length(t))
-    raw = F.when((SPAN < 12) | (k < 3), 0.0).otherwise(F.least(F.lit(1.0), total / SPAN + F.least(F.lit(0.4), 0.12 * (k - 2))))
+    raw = F.when((_span() < 12) | (k < 3), 0.0).otherwise(F.least(F.lit(1.0), total / _span() + F.least(F.lit(0.4), 0.12 * (k - 2))))
     return stranded_hits(seqs, IMOTIFS).filter("end - start >= 10").select("seq_id", "start", "end", "strand", "pattern_id", F.round(raw, 6).alias("raw"))
 
 
 def ac_motif_hits(seqs: DataFrame) -> DataFrame:
     long_tracts = lambda b: F.size(F.regexp_extract_all("matched", F.lit(f"({b}{{3,}})"), F.lit(1)))
-    share = count_of(F.col("matched"), "AC") / SPAN
+    share = count_of(F.col("matched"), "AC") / _span()
     boost = F.when(F.col("pattern_id").isin("HUR_AC_5", "HUR_AC_6"), 0.12).otherwise(0.25)
     raw = F.least(F.lit(1.0), F.least(F.lit(0.6), share * 0.8) + F.when((long_tracts("A") >= 1) & (long_tracts("C") >= 3), 0.5).otherwise(0.0) + boost)
     return stranded_hits(seqs, AC_MOTIFS).select("seq_id", "start", "end", "strand", "pattern_id", F.round(raw, 6).alias("raw"))
@@ -179,10 +179,10 @@ def ac_motif_hits(seqs: DataFrame) -> DataFrame:
 def i_motifs(seqs: DataFrame) -> DataFrame:
     """C-rich motifs on either strand; canonical and relaxed ones compete with each other, AC motifs among themselves."""
     relaxed = (F.col("pattern_id") == "IM_EXT").cast("int")
-    c = select_greedy(i_motif_hits(seqs), ["seq_id"], [-F.col("raw"), relaxed, -SPAN, (F.col("strand") == "-").cast("int")], F.col("start"), F.col("end"))
-    ac = select_greedy(ac_motif_hits(seqs), ["seq_id"], [-F.col("raw"), -SPAN, (F.col("strand") == "-").cast("int")], F.col("start"), F.col("end"))
+    c = select_greedy(i_motif_hits(seqs), ["seq_id"], [-F.col("raw"), relaxed, -_span(), (F.col("strand") == "-").cast("int")], F.col("start"), F.col("end"))
+    ac = select_greedy(ac_motif_hits(seqs), ["seq_id"], [-F.col("raw"), -_span(), (F.col("strand") == "-").cast("int")], F.col("start"), F.col("end"))
     names = F.when(F.col("pattern_id") == "IM_0", "Canonical i-motif").when(F.col("pattern_id") == "IM_EXT", "Relaxed i-motif").otherwise("AC-motif")
-    return _motifs(c.unionByName(ac), "i-Motif", names, F.col("raw"), normalize_score(F.col("raw"), 0.4, 1.0, SPAN, 60), "C-tract density", strand=F.col("strand"))
+    return _motifs(c.unionByName(ac), "i-Motif", names, F.col("raw"), normalize_score(F.col("raw"), 0.4, 1.0, _span(), 60), "C-tract density", strand=F.col("strand"))
 
 
 def _tenmer_regions(seqs: DataFrame, table: list[tuple[str, float]], least: float) -> DataFrame:
@@ -194,19 +194,19 @@ def _tenmer_regions(seqs: DataFrame, table: list[tuple[str, float]], least: floa
 def z_dna(seqs: DataFrame) -> DataFrame:
     """Regions of touching or overlapping table 10-mers, by the sum of their scores."""
     regions = _tenmer_regions(seqs, z_tenmers(), 50.0)
-    return _motifs(regions, "Z-DNA", F.lit("Z-DNA"), F.col("raw"), normalize_score(F.col("raw"), 50.0, SPAN * 63.0 / 10.0, SPAN, 300), "10-mer sum", F.lit("Z10"), attrs=F.create_map(F.lit("tenmers"), F.col("n").cast("string")))
+    return _motifs(regions, "Z-DNA", F.lit("Z-DNA"), F.col("raw"), normalize_score(F.col("raw"), 50.0, _span() * 63.0 / 10.0, _span(), 300), "10-mer sum", F.lit("Z10"), attrs=F.create_map(F.lit("tenmers"), F.col("n").cast("string")))
 
 
 def egz(seqs: DataFrame) -> DataFrame:
-    n = F.floor(SPAN / 3)
+    n = F.floor(_span() / 3)
     raw = F.round(0.85 * n / 3, 6)
-    return _motifs(regex_hits(seqs, EGZ), "Z-DNA", F.lit("eGZ"), raw, normalize_score(raw, 50.0, SPAN * 63.0 / 10.0, SPAN, 300), "Trinucleotide run", attrs=F.create_map(F.lit("copies"), n.cast("string")))
+    return _motifs(regex_hits(seqs, EGZ), "Z-DNA", F.lit("eGZ"), raw, normalize_score(raw, 50.0, _span() * 63.0 / 10.0, _span(), 300), "Trinucleotide run", attrs=F.create_map(F.lit("copies"), n.cast("string")))
 
 
 def a_philic(seqs: DataFrame) -> DataFrame:
     regions = _tenmer_regions(seqs, a_tenmers(), 0.5)
     most = max(v for _, v in a_tenmers())
-    return _motifs(regions, "A-philic_DNA", F.lit("A-philic DNA"), F.col("raw"), normalize_score(F.col("raw"), 0.5, SPAN * most / 10.0, SPAN, 300), "10-mer sum", F.lit("A10"), attrs=F.create_map(F.lit("tenmers"), F.col("n").cast("string")))
+    return _motifs(regions, "A-philic_DNA", F.lit("A-philic DNA"), F.col("raw"), normalize_score(F.col("raw"), 0.5, _span() * most / 10.0, _span(), 300), "10-mer sum", F.lit("A10"), attrs=F.create_map(F.lit("tenmers"), F.col("n").cast("string")))
 
 
 #: By class, in the order in which ties between classes are resolved.
