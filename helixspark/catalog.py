@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import names
+from .functions import names, registry, scoring
 from .functions import sequence as fn
 from .functions.tables import TAXONOMY, a_tenmers, z_tenmers
 from .operators import detectors, intervals, regexscan, series, statistics
@@ -136,6 +136,10 @@ _REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]
     ),
     "f_revcomp": (_q(lambda q: q.select("seq_id", F.md5(fn.revcomp(F.col("seq"))).alias("a"), F.md5(fn.reverse_complement(F.col("seq"))).alias("b"), fn.is_palindrome(F.col("seq")).alias("p"))), WITH_SEQ + " SELECT seq_id, md5(reverse(translate(seq, 'ACGT', 'TGCA'))) AS a, md5(reverse(translate(seq, 'ATGCRYSWKMBVDHN-', 'TACGYRWSMKVBHDN-'))) AS b, seq = reverse(translate(seq, 'ATGCRYSWKMBVDHN-', 'TACGYRWSMKVBHDN-')) AS p FROM sequences"),
     "f_primitive": (_q(lambda q: q.select("seq_id", fn.primitive_unit(F.substring("seq", -33, 33)).alias("u"), fn.shortened(F.col("seq")).alias("short"))), None),
+    "f_scores": (_q(lambda q: q.select("seq_id", *(F.round(f(F.substring("seq", -60, 60)), 6).alias(name) for name, f in (("imotif", scoring.imotif), ("curvature", scoring.curvature), ("triplex", scoring.triplex), ("r_loop", scoring.r_loop), ("a_philic", scoring.a_philic), ("g4hunter", scoring.g4hunter), ("z_dna", scoring.z_alternation), ("instability", scoring.instability), ("cruciform", scoring.cruciform))))), None),
+    "f_normalize_by_class": (_m(lambda m, n: m.select("event_id", F.round(scoring.normalize_by_class(F.col("score") / 3.0, F.col("class")), 6).alias("score")).filter(F.col("event_id") % 9 < 7)), WITH_MOTIF + ", r(class, lo, hi) AS (VALUES " + ", ".join(f"('{c}', {a}::DOUBLE, {b}::DOUBLE)" for c, (a, b) in scoring.RAW_RANGES.items()) + ") SELECT event_id, round(CASE WHEN class = 'G-Quadruplex' THEN CASE WHEN x < 0.5 THEN 1.0 WHEN x >= 1.0 THEN least(3.0, 2.0 + (x - 0.5) * 2.0) ELSE 1.0 + (x - 0.5) * 2.0 END WHEN x <= lo THEN 1.0 WHEN x >= hi THEN 3.0 ELSE 1.0 + 2.0 * (x - lo) / (hi - lo) END, 6)::DOUBLE AS score FROM (SELECT event_id, class, score / 3.0::DOUBLE AS x FROM motifs) JOIN r USING (class) WHERE event_id % 9 < 7"),
+    "f_registry": (lambda s, d: registry.pattern_counts(s), "SELECT * FROM (VALUES " + ", ".join(f"('{c}', {sum(p[0] == c for p in registry.PATTERNS)}::BIGINT, {len({p[3] for p in registry.PATTERNS if p[0] == c})}::BIGINT)" for c in MAIN_CLASSES) + ") AS t(class, patterns, subclasses)"),
+    "f_registry_scan": (_q(lambda q: registry.scan_with_registry(q, "Z-DNA").select("seq_id", "pattern_id", "start", "end")), WITH_SEQ + ' SELECT seq_id, pattern_id, "start", "end" FROM ' + _hits_sql({p: rx for c, p, rx, _, _ in registry.PATTERNS if c == "Z-DNA"})),
     "f_gc_of_set": (_q(statistics.gc_of_set), WITH_SEQ + f" SELECT count(*) AS sequences, sum(length(seq))::BIGINT AS total_bp, round(sum({_n('GC')}) * 100.0::DOUBLE / sum({_n('ACGT')}), 6) AS gc_pct, round(sum({_n('GC')}) * 100.0::DOUBLE / sum(length(seq)), 6) AS gc_of_total_pct FROM sequences"),
     "f_taxonomy": (lambda s, d: names.taxonomy(s), "SELECT * FROM (VALUES " + ", ".join(f"({k}, '{c}', '{x}')" for k, (c, xs) in enumerate(TAXONOMY.items(), 1) for x in xs) + ") AS t(class_id, class, subclass)"),
     "f_normalize_names": (_aliases, WITH_MOTIF + " SELECT event_id, class, subclass FROM motifs"),
@@ -170,7 +174,7 @@ SELECT seq_id, CASE strand WHEN '+' THEN "start" ELSE n - "end" END AS "start",
     "i_resolve_cross_class": (_m(lambda m, n: intervals.resolve_cross_class(m).groupBy("seq_id").agg(F.count("*").alias("n"))), None),
     "i_dedup_exact": (_m(lambda m, n: intervals.dedup_exact(m)), WITH_MOTIF + " SELECT seq_id, class, subclass, start_pos, end_pos, max(score) AS score FROM motifs GROUP BY ALL"),
     "i_hybrids": (_m(lambda m, n: intervals.hybrids(m).select("seq_id", "start_pos", "end_pos", F.array_join("component_classes", "+").alias("classes"))), WITH_MOTIF + ", " + _PAIRS.format(reach=0) + " SELECT DISTINCT seq_id, least(s1, s2) AS start_pos, greatest(e1, e2) AS end_pos, least(c1, c2) || '+' || greatest(c1, c2) AS classes FROM pairs WHERE c1 <> c2 AND (least(e1, e2) - greatest(s1, s2) + 1)::DOUBLE / least(e1 - s1 + 1, e2 - s2 + 1) > 0.5 AND (least(e1, e2) - greatest(s1, s2) + 1)::DOUBLE / least(e1 - s1 + 1, e2 - s2 + 1) < 0.99"),
-    "i_clusters": (_m(lambda m, n: intervals.clusters(m).select("seq_id", "start_pos", "end_pos", "motif_count", "class_diversity", F.round("score", 2).alias("score"))), WITH_MOTIF + " SELECT DISTINCT seq_id, start_pos, e AS end_pos, n::INT AS motif_count, c::INT AS class_diversity, round(round(x, 3), 2) AS score FROM (SELECT seq_id, start_pos, count(*) OVER w AS n, count(DISTINCT class) OVER w AS c, max(end_pos) OVER w AS e, avg(score) OVER w AS x FROM motifs WINDOW w AS (PARTITION BY seq_id ORDER BY start_pos RANGE BETWEEN CURRENT ROW AND 300 FOLLOWING)) WHERE n >= 4 AND c >= 3"),
+    "i_clusters": (_m(lambda m, n: intervals.clusters(m).select("seq_id", "start_pos", "end_pos", "motif_count", "class_diversity")), WITH_MOTIF + " SELECT DISTINCT seq_id, start_pos, e AS end_pos, n::INT AS motif_count, c::INT AS class_diversity FROM (SELECT seq_id, start_pos, count(*) OVER w AS n, count(DISTINCT class) OVER w AS c, max(end_pos) OVER w AS e, avg(score) OVER w AS x FROM motifs WINDOW w AS (PARTITION BY seq_id ORDER BY start_pos RANGE BETWEEN CURRENT ROW AND 300 FOLLOWING)) WHERE n >= 4 AND c >= 3"),
     "i_coverage": (_m(lambda m, n: intervals.coverage(m, ["seq_id", "class"])), WITH_MOTIF + " " + _COVER.format(k="seq_id, class")),
     "i_filter": (_m(lambda m, n: m.filter(F.col("score").between(1.5, 2.5) & (F.col("length") >= 20) & F.col("class").isin("Z-DNA", "Triplex")).select("event_id", "class", "score")), WITH_MOTIF + " SELECT event_id, class, score FROM motifs WHERE score BETWEEN 1.5 AND 2.5 AND length >= 20 AND class IN ('Z-DNA', 'Triplex')"),
     "i_quality": (_m(lambda m, n: intervals.quality_issues(m.withColumn("length", F.when(F.col("event_id") % 7 == 0, F.col("length") + 1).otherwise(F.col("length"))), 50_000)), WITH_MOTIF + " SELECT seq_id, 'length differs' AS issue, count(*) AS n FROM motifs WHERE event_id % 7 = 0 GROUP BY 1 UNION ALL SELECT seq_id, 'beyond the sequence', count(*) FROM motifs WHERE end_pos > 50000 GROUP BY 1"),

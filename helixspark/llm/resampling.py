@@ -1,7 +1,8 @@
 """Quality selection by importance resampling: hashed n-gram models of a target and of the raw corpus, Gumbel top-k.
 
 Every text is a bag of hashed words and word pairs. Two generative models (bucket probabilities, smoothed) are counted
-over whole tables: the raw one over all rows, the target one over the rows that are labelled good. A text's log weight is
+over the table: the raw one over all rows, the target one over the rows that are labelled good (a bounded sample: at most
+about ``MOST_GOOD`` of them, whose ids every task holds, so that no text is shuffled). A text's log weight is
 the mean log ratio of the two over its n-grams, times ``LENGTH`` (a text of that many n-grams; the mean keeps long texts
 from winning or losing by length alone). Adding Gumbel noise and taking the k largest draws k rows without replacement,
 in proportion to their weights. The noise is a hash of id and seed, so a lost task repeats it.
@@ -23,6 +24,8 @@ from .common import materialize, slices, table
 
 BUCKETS, LENGTH, FRACTION, SEED = 10_000, 200.0, 0.5, 17
 BINS, FEW = 4096, 10_000
+#: Good rows that the target model learns from.
+MOST_GOOD = 200_000
 #: Words whose hashes a task keeps.
 KNOWN = 300_000
 
@@ -103,6 +106,15 @@ def kth_largest(keys: DataFrame, k: int) -> float:
             above += b["n"]
 
 
+def _learnt_from(good: DataFrame, id_col: str) -> DataFrame:
+    """(_id, _good): the good ids, about MOST_GOOD of them by hash if there are more; few enough to be sent to every task."""
+    ids = good.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id")).distinct()
+    n = ids.count()
+    if n > MOST_GOOD:
+        ids = ids.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int((1 << 30) * MOST_GOOD / n))
+    return F.broadcast(ids.withColumn("_good", F.lit(True)))
+
+
 def resample(df: DataFrame, good: DataFrame, fraction: float = FRACTION, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, log_weight, gumbel_key, selected): one row per input row. good: (id_col), the rows that the target model learns.
 
@@ -110,7 +122,7 @@ def resample(df: DataFrame, good: DataFrame, fraction: float = FRACTION, seed: i
     text tie). Null and empty texts have weight 0. A null id is no target. An empty table gives an empty table; without
     any good row all weights are 0, and the draw is uniform.
     """
-    marked = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(good.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id")).distinct().withColumn("_good", F.lit(True)), "_id", "left")
+    marked = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(_learnt_from(good, id_col), "_id", "left")
     ratios = log_ratios(marked.select("_text", F.coalesce("_good", F.lit(False))))
     keyed = materialize(log_weights(df, ratios, id_col, text_col).withColumn("gumbel_key", F.col("log_weight") + gumbel(seed, id_col)))
     n = keyed.count()

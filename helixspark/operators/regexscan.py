@@ -1,7 +1,11 @@
-"""All leftmost, non-overlapping matches of regular expressions, with their places, in the JVM."""
+"""Places of regular expressions (in the JVM), of table k-mers and of literal words (in Arrow batches)."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,17 +33,58 @@ def stranded_hits(seqs: DataFrame, patterns: dict[str, str]) -> DataFrame:
 
 
 def kmer_hits(seqs: DataFrame, table: list[tuple[str, float]]) -> DataFrame:
-    """(seq_id, start, kmer, value) of every place where an entry of the table stands; overlaps count. All k-mers are of one length."""
+    """(seq_id, start, kmer, value) of every place where an entry of the table stands; overlaps count.
+
+    All k-mers are of one length of at most 12 and of A, C, G and T. Their codes of two bits a base are looked up in an
+    array over all codes, for a whole sequence at once; exploding every place into a row to join a small table with would
+    make some thousand rows for each hit.
+    """
     k = len(table[0][0])
-    small = F.broadcast(seqs.sparkSession.createDataFrame(table, "kmer string, value double"))  # a constant of a few hundred rows
-    places = F.when(F.length("seq") >= k, F.transform(F.sequence(F.lit(1), F.length("seq") - (k - 1)), lambda i: F.substr(F.col("seq"), i, F.lit(k))))
-    return seqs.select("seq_id", F.posexplode(places).alias("start", "kmer")).join(small, "kmer").select("seq_id", F.col("start").cast("long").alias("start"), "kmer", "value")
+    digits = np.full(256, 255, np.int64)
+    digits[[65, 67, 71, 84]] = range(4)
+    entry = np.full(4**k, -1, np.int32)
+    for i, (word, _) in enumerate(table):
+        entry[int("".join(str(digits[ord(x)]) for x in word), 4)] = i
+    words, values = np.array([w for w, _ in table]), np.array([v for _, v in table])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, starts, found = [], [], []
+            for i, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                d = digits[np.frombuffer((s or "").encode(), np.uint8)]
+                n = len(d) - k + 1
+                if n <= 0:
+                    continue
+                code, known = np.zeros(n, np.int64), np.ones(n, bool)
+                for t in range(k):
+                    code = code * 4 + (d[t : t + n] & 3)
+                    known &= d[t : t + n] < 4
+                hit = np.where(known, entry[code], -1)
+                at = np.flatnonzero(hit >= 0)
+                ids += [i] * len(at)
+                starts.append(at)
+                found.append(hit[at])
+            at = np.concatenate(starts) if starts else np.zeros(0, np.int64)
+            hit = np.concatenate(found) if found else np.zeros(0, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(at, pa.int64()), pa.array(words[hit].tolist(), pa.string()), pa.array(values[hit], pa.float64())], names=["seq_id", "start", "kmer", "value"])
+
+    return seqs.select(F.col("seq_id").cast("string"), "seq").mapInArrow(run, "seq_id string, start long, kmer string, value double")
 
 
 def multi_pattern_hits(seqs: DataFrame, words: list[str]) -> DataFrame:
     """(seq_id, word, start, end) of all places of literal words, overlapping ones too."""
-    found = None
-    for size in sorted({len(w) for w in words}):
-        hits = kmer_hits(seqs, [(w, 0.0) for w in sorted(set(words)) if len(w) == size]).select("seq_id", F.col("kmer").alias("word"), "start", (F.col("start") + size).alias("end"))
-        found = hits if found is None else found.unionByName(hits)
-    return found
+    known = sorted(set(words) - {""})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for i, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for w in known:
+                    at = (s or "").find(w)
+                    while at >= 0:
+                        rows.append((i, w, at, at + len(w)))
+                        at = s.find(w, at + 1)
+            columns = list(zip(*rows, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["seq_id", "word", "start", "end"])
+
+    return seqs.select(F.col("seq_id").cast("string"), "seq").mapInArrow(run, "seq_id string, word string, start long, end long")
