@@ -132,6 +132,32 @@ def test_kth_largest(spark):
         assert resampling.kth_largest(df, k) == sorted(keys, reverse=True)[k - 1]
 
 
+def test_pipeline_drops_near_copies(spark, tmp_path):
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(600)]
+    line = [rng.choice(words) for _ in range(40)]  # a common line makes no near copies
+    rows = [(i, [rng.choice(words) for _ in range(rng.randrange(9, 250))]) for i in range(120)]
+    rows += [(200 + i, line + [rng.choice(words) for _ in range(rng.randrange(2, 80))]) for i in range(60)]
+    for i in range(160):
+        t = list(rows[rng.randrange(180)][1])
+        for _ in range(rng.randrange(1, 2 + len(t) // 30)):
+            t[rng.randrange(len(t))] = "edited"
+        rows.append((1000 + i, t))
+    family = [rng.choice(words) for _ in range(120)]
+    rows += [(2000 + i, family[:k] + [f"own{i}"] + family[k:]) for i, k in enumerate(range(0, 120, 2))]
+    rows += [(3000, ["a"] * 5), (3001, ["A"] * 9), (3002, ["short", "text"]), (3003, [])]
+    sets = {i: {tuple(x.lower() for x in t[k : k + 5]) for k in range(max(1, len(t) - 4))} for i, t in rows}
+    near = {(i, j) for i in sets for j in sets if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    root = {i: i for i in sets}
+    while moved := [(i, j) for i, j in near if root[i] != root[j]]:
+        for i, j in moved:
+            root[i] = root[j] = min(root[i], root[j])
+    table = docs(spark, [(i, " ".join(t)) for i, t in rows])
+    got = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, table, str(tmp_path)).collect()}
+    assert got == set(root.values())
+    assert len(near) > 300 and sum(1 for i, j in near if (brute.simhash(" ".join(dict(rows)[i])) ^ brute.simhash(" ".join(dict(rows)[j]))).bit_count() > 3) > 20
+
+
 def test_pipeline_stages(spark, tmp_path):
     rng = random.Random(11)
     words = [f"w{i}" for i in range(500)]
