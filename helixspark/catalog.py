@@ -135,8 +135,8 @@ _REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]
         WITH_SEQ + f" SELECT seq_id, length(seq)::BIGINT AS n, {', '.join(f'{_n(b)}::BIGINT AS n_{b.lower()}' for b in 'ATGCN')}, round({_n('GC')} * 100.0::DOUBLE / {_n('ACGT')}, 6) AS gc, round({_n('AT')} * 100.0::DOUBLE / {_n('ACGT')}, 6) AS at, round(100.0::DOUBLE - {_n('GC')} * 100.0::DOUBLE / {_n('ACGT')}, 6) AS at2, round(64.9::DOUBLE + 41.0::DOUBLE * {_n('GC')} / length(seq) - 650.0::DOUBLE / length(seq), 6) AS tm, CASE WHEN {_n('GC')} * 100.0 / {_n('ACGT')} > 60 THEN 'GC-rich' WHEN {_n('GC')} * 100.0 / {_n('ACGT')} < 40 THEN 'AT-rich' ELSE 'balanced' END AS balance FROM sequences",
     ),
     "f_revcomp": (_q(lambda q: q.select("seq_id", F.md5(fn.revcomp(F.col("seq"))).alias("a"), F.md5(fn.reverse_complement(F.col("seq"))).alias("b"), fn.is_palindrome(F.col("seq")).alias("p"))), WITH_SEQ + " SELECT seq_id, md5(reverse(translate(seq, 'ACGT', 'TGCA'))) AS a, md5(reverse(translate(seq, 'ATGCRYSWKMBVDHN-', 'TACGYRWSMKVBHDN-'))) AS b, seq = reverse(translate(seq, 'ATGCRYSWKMBVDHN-', 'TACGYRWSMKVBHDN-')) AS p FROM sequences"),
-    "f_primitive": (_q(lambda q: q.select("seq_id", fn.primitive_unit(F.substring("seq", -33, 33)).alias("u"), fn.shortened(F.col("seq")).alias("short"))), None),
-    "f_scores": (_q(lambda q: q.select("seq_id", *(F.round(f(F.substring("seq", -60, 60)), 6).alias(name) for name, f in (("imotif", scoring.imotif), ("curvature", scoring.curvature), ("triplex", scoring.triplex), ("r_loop", scoring.r_loop), ("a_philic", scoring.a_philic), ("g4hunter", scoring.g4hunter), ("z_dna", scoring.z_alternation), ("instability", scoring.instability), ("cruciform", scoring.cruciform))))), None),
+    "f_primitive": (_q(lambda q: q.select("seq_id", fn.primitive_unit(F.col("seq")).alias("u"), fn.shortened(F.col("seq")).alias("short"))), None),
+    "f_scores": (_q(lambda q: q.select("seq_id", *(F.round(f(F.col("seq")), 6).alias(name) for name, f in (("imotif", scoring.imotif), ("curvature", scoring.curvature), ("triplex", scoring.triplex), ("r_loop", scoring.r_loop), ("a_philic", scoring.a_philic), ("g4hunter", scoring.g4hunter), ("z_dna", scoring.z_alternation), ("instability", scoring.instability), ("cruciform", scoring.cruciform))))), None),
     "f_normalize_by_class": (_m(lambda m, n: m.select("event_id", F.round(scoring.normalize_by_class(F.col("score") / 3.0, F.col("class")), 6).alias("score")).filter(F.col("event_id") % 9 < 7)), WITH_MOTIF + ", r(class, lo, hi) AS (VALUES " + ", ".join(f"('{c}', {a}::DOUBLE, {b}::DOUBLE)" for c, (a, b) in scoring.RAW_RANGES.items()) + ") SELECT event_id, round(CASE WHEN class = 'G-Quadruplex' THEN CASE WHEN x < 0.5 THEN 1.0 WHEN x >= 1.0 THEN least(3.0, 2.0 + (x - 0.5) * 2.0) ELSE 1.0 + (x - 0.5) * 2.0 END WHEN x <= lo THEN 1.0 WHEN x >= hi THEN 3.0 ELSE 1.0 + 2.0 * (x - lo) / (hi - lo) END, 6)::DOUBLE AS score FROM (SELECT event_id, class, score / 3.0::DOUBLE AS x FROM motifs) JOIN r USING (class) WHERE event_id % 9 < 7"),
     "f_registry": (lambda s, d: registry.pattern_counts(s), "SELECT * FROM (VALUES " + ", ".join(f"('{c}', {sum(p[0] == c for p in registry.PATTERNS)}::BIGINT, {len({p[3] for p in registry.PATTERNS if p[0] == c})}::BIGINT)" for c in MAIN_CLASSES) + ") AS t(class, patterns, subclasses)"),
     "f_registry_scan": (_q(lambda q: registry.scan_with_registry(q, "Z-DNA").select("seq_id", "pattern_id", "start", "end")), WITH_SEQ + ' SELECT seq_id, pattern_id, "start", "end" FROM ' + _hits_sql({p: rx for c, p, rx, _, _ in registry.PATTERNS if c == "Z-DNA"})),

@@ -1,9 +1,9 @@
 """Functions of sequences, as Column expressions."""
 
-from __future__ import annotations
-
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 ALPHABET = "ATGCRYSWKMBDHVN-"
 
@@ -94,11 +94,26 @@ def shuffled(seq: Column, seed: int) -> Column:
     return F.array_join(F.shuffle(F.split(seq, ""), seed), "")
 
 
+def shortest_unit(s: str) -> str:
+    """The prefix as long as the least period, if that is half the length at most; else all of s. Linear: by borders."""
+    border, k = [0] * len(s), 0
+    for i in range(1, len(s)):
+        while k and s[i] != s[k]:
+            k = border[k - 1]
+        k += s[i] == s[k]
+        border[i] = k
+    period = len(s) - k
+    return s[:period] if 2 * period <= len(s) else s
+
+
+@F.pandas_udf(StringType())
+def _shortest_units(seq: pd.Series) -> pd.Series:
+    return seq.map(shortest_unit, na_action="ignore")
+
+
 def primitive_unit(seq: Column) -> Column:
     """The shortest prefix, of half the length at most, that repeats through the sequence (a partial tail is allowed)."""
-    n = F.length(seq)
-    periods = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(n / 2).cast("int"))), lambda k: F.substring(F.repeat(F.substr(seq, F.lit(1), k), F.ceil(n / k).cast("int")), 1, 10**9).startswith(seq) & (k * 2 <= n))
-    return F.when(F.size(periods) > 0, F.substr(seq, F.lit(1), F.get(periods, 0))).otherwise(seq)
+    return _shortest_units(seq)
 
 
 def normalize_score(raw: Column, least: float | Column, most: float | Column, length: Column, cap: float) -> Column:

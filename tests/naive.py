@@ -98,3 +98,35 @@ def quadruplexes(seq, patterns, priority):
                     rows.append((a + m.start(), a + m.end(), name, round(most / w * (n / w), 6)))
     rows.sort(key=lambda r: (-r[3], priority[r[2]], -(r[1] - r[0]), r[0]))
     return greedy(rows)
+
+
+def unit(s):
+    return next((s[:k] for k in range(1, len(s) // 2 + 1) if (s[:k] * len(s))[: len(s)] == s), s)
+
+
+def palindrome(s):
+    rc = lambda x: "".join(COMPLEMENT.get(b, b) for b in reversed(x))
+    return max((j - i for i in range(len(s)) for j in range(i + 1, len(s) + 1) if s[i:j] == rc(s[i:j])), default=0)
+
+
+def scores(s):
+    """The nine stand-alone scores, for sequences of 20 bases or more."""
+    n = len(s)
+    runs = lambda p: [len(m[0]) for m in re.finditer(p, s)]
+    powered = lambda p, x: sum(k**x for k in runs(p))
+    tracts, skew, w = runs("C{2,}"), abs(s.count("G") - s.count("C")), min(25, n)
+    pur = lambda b: b in "AG"
+    steps = [1.5 if s[i : i + 2] in ("CG", "GC") else float(s[i] in "ACGT" and s[i + 1] in "ACGT" and pur(s[i]) != pur(s[i + 1])) for i in range(n - 1)]
+    known = sum(s.count(b) for b in "ACGT")
+    best = palindrome(s)
+    out = {
+        "imotif": sum(tracts) / n + len(tracts) / 4 * 0.2 if len(tracts) >= 3 else 0.0,
+        "curvature": (powered("A{3,}", 1.5) + powered("T{3,}", 1.5)) / n,
+        "triplex": max(powered("[AG]{5,}", 1.2), powered("[CT]{5,}", 1.2)) / n**1.2 if n >= 15 else 0.0,
+        "r_loop": skew / n * 0.6 + (s.count("G") + s.count("C")) / known * 0.4,
+        "a_philic": s.count("A") / n * 0.7 + powered("A{3,}", 1.2) / n * 0.3,
+        "g4hunter": max(abs(s[i : i + w].count("G") - s[i : i + w].count("C")) for i in range(n - w + 1)) / w,
+        "instability": max(max((len(m[0]) // k for m in re.finditer(f"([ACGTN]{{{k}}})\\1{{2,}}", s)), default=0) * k**0.5 for k in range(1, 7)) / 10,
+        "cruciform": best**1.5 / n if best >= 8 else 0.0,
+    }
+    return {k: round(min(1.0, v), 6) for k, v in out.items()} | {"z_dna": round(sum(steps) / (n - 1), 6)}

@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixspark import catalog
+from helixspark.functions import scoring, tables
 from helixspark.functions import sequence as fn
-from helixspark.functions import tables
 from helixspark.operators import detectors, intervals, kernels, series, statistics
 from helixspark.plans.scan import scan
 from helixspark.sources import readers, writers
@@ -141,6 +141,33 @@ def test_functions(spark):
     assert (r.p, r.tm, r.u, r.v, r.bad, r.at, r.w, r.w2, r.rc, r.e, r.gc, r.n) == (True, 12.0, "GAA", "ACGT", "XZ", [2, 4], "AAAA\nAAAA\nAA", "AAAA\nAAAA", r.rc, "empty", 0.0, 63)
 
 
+def test_scores_and_units_of_whole_sequences(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(i, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(rng.randrange(1, 90)))) for i in range(10)] + [(20, "g" * 50), (21, "at" * 40), (22, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    seqs = {r.seq_id: r.seq for r in catalog.sequences(spark, str(tmp_path)).collect()}
+    got = {r.seq_id: r.asDict() for r in catalog.queries()["f_scores"](spark, str(tmp_path)).collect()}
+    for i, s in seqs.items():
+        want = naive.scores(s)
+        assert all(got[i][k] == pytest.approx(x, abs=2e-6) for k, x in want.items()), (i, want, got[i])
+    assert len({tuple(sorted((k, v) for k, v in r.items() if k != "seq_id")) for r in got.values()}) == len(rows)
+    units = {r.seq_id: r.u for r in catalog.queries()["f_primitive"](spark, str(tmp_path)).collect()}
+    assert units == {i: naive.unit(s) for i, s in seqs.items()}
+
+
+def test_units_and_palindromes_equal_plain_search(spark):
+    rng = random.Random(10)
+    words = ["", "A", "N", "ACGT", "ANT", "AANTT", "GAAGAAGA", "AAAAB", "ABABA"] + ["".join(rng.choices(rng.choice(["AT", "ACGT", "ACGTN", "A"]), k=rng.randrange(1, 40))) for _ in range(400)]
+    words += [w * 3 + w[: len(w) // 2] for w in words[9:80]]
+    for w in words:
+        assert fn.shortest_unit(w) == naive.unit(w) and scoring.longest_palindrome(w) == naive.palindrome(w), w
+    got = spark.createDataFrame([(w,) for w in words if len(w) > 0], "w string").select("w", scoring.g4hunter(F.col("w"), 7).alias("g")).collect()
+    for w, g in got:
+        k = min(7, len(w))
+        assert g == max(abs(w[i : i + k].count("G") - w[i : i + k].count("C")) for i in range(len(w) - k + 1)) / k
+    assert spark.createDataFrame([("",), (None,)], "w string").select(fn.primitive_unit(F.col("w")).alias("u"), scoring.g4hunter(F.col("w")).alias("g")).first() == ("", 0.0)
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.fa").write_text(">one first\nACGT\nac gt\n>two\nNNNNXX\n>one first\nTTTT\n>empty\n\n")
     got = {r.seq_id: r.seq for r in readers.read_fasta(spark, str(tmp_path / "a.fa")).collect()}
