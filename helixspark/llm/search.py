@@ -1,176 +1,308 @@
-"""Exact BM25 top-k: an inverted index in shards, block-max pruning, exact merge by global statistics.
-
-Rows are dealt into shards of about ``SHARD`` texts; a shard's index (term and document arrays, impacts with the corpus's
-average length) is built once, in one task, and written as one row. Within a shard documents stand in blocks of ``BLOCK``;
-an index knows each term's largest impact in each block. A query adds up its terms' block maxima: a bound on what any
-document of the block can score. Blocks are evaluated in order of their bound, and evaluation stops at the first block whose
-bound is below the k-th best score so far (block-max WAND with the block as the unit that is skipped): no document that
-could enter the top k is passed over. Ties go to the smaller id.
-
-Queries come in blocks of ``QUERIES`` texts that every task holds; document frequencies of a block's terms are summed over
-the shards first, so scores are the same whatever the shards. Each shard gives at most k rows a query; a ranking over the
-query merges them.
+"""Exact BM25 top-k: an inverted index in shards, block-max WAND pruning, exact merge by global statistics.
+
+Index. Rows are dealt into shards of about ``TOKENS`` words. A task builds one shard after another and writes each as one
+row: terms, postings (document, times) and, for every term and block of ``BLOCK`` documents that has it, a *cell* with the
+largest impact of the term in the block. A shard's documents stand in order of their most repeated word and their length,
+so that the documents of a block are alike (one language, like lengths) and a block's maxima say something.
+
+Search. For a query and a shard, the sum of a block's cells bounds what any of its documents can score; a block whose bound
+is below the threshold (the k-th best score known) is skipped. A pivot splits the query's terms by their maxima: the
+weakest, frequent words whose maxima together stay below ``SPLIT`` of the threshold, can lift no document into the top k
+alone. Only the postings from the pivot on are read. What they give a document, and the block maxima of the words before
+the pivot, bound its score again; the documents that could still reach the threshold get those words' parts too. No
+document that could enter the top k is passed over.
+
+Statistics. Document count, average length and document frequencies are those of the whole corpus, and a word's part of a
+score is rounded to a multiple of 2 ** -32, so that sums are exact in any order: scores are the same whatever the shards. The threshold starts from the k-th best
+score in one shard, the query's first one, so that the other shards give few rows. A ranking over the query merges them.
+
+Queries are a table: their words are joined to the document frequencies and packed, one row a query. They are dealt into
+blocks of bounded size; the tasks of a pass hold one such block and go over all shards.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, slices, table
 
 K, K1, B = 10, 1.2, 0.75
-SHARD, BLOCK, QUERIES = 4000, 16, 512
-INDEX = "shard int, ids array<bigint>, terms binary, ends binary, docs binary, impacts binary"
+TOKENS, BLOCK = 1_500_000, 128
+#: Distinct words of the queries of a pass, about 20 bytes each: what every task holds of the queries.
+PASS_WORDS = 1_000_000
+FIELDS = ("terms", "term_ends", "posting_ends", "docs", "times", "lengths", "id_ranks", "cell_ends", "cell_blocks", "cell_starts", "cell_most")
+#: Share of the threshold that the words before the pivot may reach.
+SPLIT = 0.5
+#: A word in more than this share of a shard's documents also has a row of impacts there.
+FREQUENT = 0.125
+#: Scores are whole numbers of this unit; bounds aren't rounded, so they get some slack.
+UNIT, LESS = 2.0**-32, 1 - 1e-9
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def build_index(texts: DataFrame, shards: int, average: float) -> DataFrame:
-    """texts: (id long, text). One row per shard: ids, sorted terms (joined by line feeds), each term's end among the
-    postings, and the postings: local document (by id) and impact."""
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All of start[i] ... start[i] + size[i] - 1, one after another."""
+    return np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+
+
+def _norms(lengths: np.ndarray, average: float) -> np.ndarray:
+    return K1 * (1 - B + B * lengths / average)
+
+
+def pack_shard(ids: list, tokens: list[np.ndarray], words: list[bytes], average: float, block: int) -> dict[str, bytes | list]:
+    """ids: of the documents; tokens: of each, as places in words. The columns of an index row."""
+    n, v = len(ids), max(1, len(words))
+    lengths = np.array([len(t) for t in tokens], np.int64)
+    pair, times = np.unique(np.repeat(np.arange(n), lengths) * v + np.concatenate(tokens), return_counts=True)
+    doc, term = pair // v, pair % v
+    # like documents together: by the word that a document repeats most (of those, the one with most documents), then length
+    held = np.bincount(term, minlength=v)
+    first = np.concatenate([[True], doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, bool)
+    top = np.zeros(n, np.int64)
+    if len(doc):
+        at = np.flatnonzero(first)
+        top[doc[at]] = np.maximum.reduceat((times * (n + 1) + held[term]) * v + term, at) % v
+    order = np.lexsort((lengths, top, -held[top]))
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    by_word = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
+    rank = np.empty(v, np.int64)
+    rank[by_word] = np.arange(len(by_word))
+    sort = np.argsort(rank[term] * n + place[doc], kind="stable")
+    term, doc, times = rank[term[sort]], place[doc[sort]], times[sort]
+    lengths = lengths[order]
+    impact = times * (K1 + 1) / (times + _norms(lengths, average)[doc])
+    cell = term * (n // block + 1) + doc // block
+    start = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
+    ordered = [words[i] for i in by_word]
+    ids = [ids[i] for i in order]
+    id_rank = np.empty(n, np.int64)
+    id_rank[sorted(range(n), key=ids.__getitem__)] = np.arange(n)
+    return {
+        "ids": ids,
+        "terms": b"".join(ordered),
+        "term_ends": np.cumsum([0, *map(len, ordered)]).astype("<i4").tobytes(),
+        "posting_ends": np.searchsorted(term, np.arange(len(words)), "right").astype("<i4").tobytes(),
+        "docs": doc.astype("<i4").tobytes(),
+        "times": times.astype("<i4").tobytes(),
+        "lengths": lengths.astype("<i4").tobytes(),
+        "id_ranks": id_rank.astype("<i4").tobytes(),
+        "cell_ends": np.searchsorted(term[start], np.arange(len(words)), "right").astype("<i4").tobytes(),
+        "cell_blocks": (doc[start] // block).astype("<i4").tobytes(),
+        "cell_starts": start.astype("<i4").tobytes(),
+        "cell_most": (np.maximum.reduceat(impact, start) if len(start) else np.zeros(0)).astype("<f8").tobytes(),
+    }
+
+
+def build_index(texts: DataFrame, shards: int, average: float, block: int = BLOCK) -> DataFrame:
+    """texts: (id, text). One row per shard. A task holds one shard at a time."""
+    kind = texts.schema["id"].dataType.simpleString()
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple]] = {}
+        now, ids, tokens, known, id_type = None, [], [], {}, None
+
+        def out() -> pa.RecordBatch:
+            row = pack_shard(ids, tokens, list(known), average, block)
+            columns = [pa.array([now], pa.int32()), pa.array([row["ids"]], pa.list_(id_type)), *(pa.array([row[f]], pa.binary()) for f in FIELDS)]
+            return pa.RecordBatch.from_arrays(columns, names=["shard", "ids", *FIELDS])
+
         for batch in slices(batches):
+            id_type = batch.schema.field(1).type
             for shard, i, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.setdefault(shard, []).append((i, Counter(words_of(t))))
-        for shard, rows in held.items():
-            rows.sort(key=lambda r: (r[0], sorted(r[1].items())))
-            terms: dict[bytes, list[tuple[int, float]]] = {}
-            for d, (_, counts) in enumerate(rows):
-                norm = K1 * (1 - B + B * sum(counts.values()) / average)
-                for w, n in counts.items():
-                    terms.setdefault(w, []).append((d, n * (K1 + 1) / (n + norm)))
-            order = sorted(terms)
-            postings = [p for w in order for p in terms[w]]
-            ends = np.cumsum([len(terms[w]) for w in order]).astype("<i8")
-            docs = np.array([p[0] for p in postings], "<i4")
-            impacts = np.array([p[1] for p in postings], "<f8")
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([[r[0] for r in rows]], pa.list_(pa.int64())), *(pa.array([x], pa.binary()) for x in (b"\n".join(order), ends.tobytes(), docs.tobytes(), impacts.tobytes()))], names=["shard", "ids", "terms", "ends", "docs", "impacts"])
-
-    dealt = texts.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), "id", "text").repartition(shards, "shard")
-    return materialize(dealt.mapInArrow(build, INDEX))
+                if shard != now:
+                    if ids:
+                        yield out()
+                    now, ids, tokens, known = shard, [], [], {}
+                ids.append(i)
+                found = words_of(t)
+                tokens.append(np.fromiter((known.setdefault(w, len(known)) for w in found), np.int64, len(found)))
+        if ids:
+            yield out()
+
+    dealt = texts.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), "id", "text").repartition(shards, "shard").sortWithinPartitions("shard")
+    return materialize(dealt.mapInArrow(build, f"shard int, ids array<{kind}>, " + ", ".join(f"{f} binary" for f in FIELDS)))
 
 
 class Shard:
-    def __init__(self, ids: list[int], terms: bytes, ends: bytes, docs: bytes, impacts: bytes):
-        self.ids = np.array(ids, np.int64)
-        names = terms.split(b"\n") if terms else []
-        self.place = {w: i for i, w in enumerate(names)}
-        self.ends = np.concatenate([[0], np.frombuffer(ends, "<i8")])
-        self.docs, self.impacts = np.frombuffer(docs, "<i4"), np.frombuffer(impacts, "<f8")
-        self.blocks = -(-len(ids) // BLOCK)
-        # block maxima, term by term
-        term = np.repeat(np.arange(len(names)), np.diff(self.ends))
-        cell = term * self.blocks + self.docs // BLOCK
-        first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
-        self.cell_most = np.maximum.reduceat(self.impacts, first) if len(first) else np.zeros(0)
-        self.cell_block = self.docs[first] // BLOCK
-        self.cell_from = first
-        self.cell_ends = np.searchsorted(term[first], np.arange(len(names) + 1))
-        self.cell_to = np.append(first[1:], len(cell))
-
-    def top(self, weights: dict[bytes, float], k: int) -> list[tuple[int, float]]:
-        found = sorted((self.place[w], x) for w, x in weights.items() if w in self.place)
-        if not found:
-            return []
-        cells = np.concatenate([np.arange(self.cell_ends[t], self.cell_ends[t + 1]) for t, _ in found])
-        weight = np.repeat([x for _, x in found], [self.cell_ends[t + 1] - self.cell_ends[t] for t, _ in found])
-        block = self.cell_block[cells]
-        bound = np.bincount(block, weights=weight * self.cell_most[cells], minlength=self.blocks)
-        by_block = np.argsort(block, kind="stable")  # inside a block: by term, so that sums don't depend on the order of evaluation
-        edge = np.searchsorted(block[by_block], np.arange(self.blocks + 1))
-        best_score, best_id, threshold = np.zeros(0), np.zeros(0, np.int64), 0.0
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(best_id) == k and bound[b] < threshold * (1 - 1e-12)):
-                break
-            mine = by_block[edge[b] : edge[b + 1]]
-            lo, hi = self.cell_from[cells[mine]], self.cell_to[cells[mine]]
-            n = hi - lo
-            at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            score = np.bincount(self.docs[at] - b * BLOCK, weights=np.repeat(weight[mine], n) * self.impacts[at], minlength=BLOCK)
-            hit = np.flatnonzero(score > 0)
-            best_score = np.concatenate([best_score, score[hit]])
-            best_id = np.concatenate([best_id, self.ids[b * BLOCK + hit]])
-            if len(best_id) > k:
-                keep = np.lexsort((best_id, -best_score))[:k]
-                best_score, best_id = best_score[keep], best_id[keep]
-            if len(best_id) == k:
-                threshold = float(best_score.min())
-        return list(zip(best_id.tolist(), best_score.tolist(), strict=True))
-
-
-def top_k(df: DataFrame, queries: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "text", shard: int = SHARD, block: int = QUERIES) -> DataFrame:
-    """(query_id, rank, doc_id, score): the k best rows of df for each row of queries, by BM25 over its distinct words.
+    """One index row, for search. ids stay in Arrow: only those of hits are needed."""
 
-    Words: A-Z lower-cased, by ASCII white space. Rows without a word in common are no hits, so a query may get fewer than
-    k rows; null and empty texts neither find nor are found; rows with a null id are left out, as query and as hit. Equal
-    scores go by id; of rows that repeat an id each counts. Scores are rounded to 6 places for the report, after ranking.
-    Other columns are left out. Empty tables give an empty table.
-    """
-    spark = df.sparkSession
-    texts = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    asked = queries.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    def __init__(self, row: dict, average: float, block: int = BLOCK):
+        number = lambda f, t="<i4": np.frombuffer(row[f], t)
+        self.block = block
+        ends = row["term_ends"]
+        self.terms = pa.Array.from_buffers(pa.binary(), len(ends) // 4 - 1, [None, pa.py_buffer(ends), pa.py_buffer(row["terms"])])
+        self.sizes = np.diff(np.concatenate([[0], number("posting_ends")]))
+        self.docs, times = number("docs"), number("times")
+        self.id_ranks = number("id_ranks")
+        self.impacts = times * (K1 + 1) / (times + _norms(number("lengths").astype(np.int64), average)[self.docs]) if len(times) else np.zeros(0)
+        self.cell_ends = np.concatenate([[0], number("cell_ends")])
+        self.cell_blocks, self.cell_starts, self.cell_most = number("cell_blocks"), number("cell_starts"), number("cell_most", "<f8")
+        self.cell_sizes = np.diff(np.append(self.cell_starts, len(self.docs)))
+        n = len(self.id_ranks)
+        self.blocks, self.block_of = -(-n // block), np.arange(n) // block
+        self.most = np.maximum.reduceat(self.cell_most, self.cell_ends[:-1]) if len(self.cell_most) else np.zeros(0)
+        often = np.flatnonzero(self.sizes > FREQUENT * n)
+        self.row = np.full(len(self.sizes), -1)
+        self.row[often] = np.arange(len(often))
+        self.frequent = np.zeros((len(often), n))
+        ends = np.concatenate([[0], np.cumsum(self.sizes)])
+        for i, t in enumerate(often.tolist()):
+            span = slice(ends[t], ends[t + 1])
+            self.frequent[i, self.docs[span]] = self.impacts[span]
 
-    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([len(words_of(t)) for t in batch.column(1).to_pylist()], pa.int64())], names=["n"])
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Each word's place among the terms, -1 if it is none."""
+        return pc.fill_null(pc.index_in(words, value_set=self.terms), -1).to_numpy()
 
-    n, total = texts.mapInArrow(sizes, "n long").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    schema = "query_id long, doc_id long, score double"
-    found = spark.createDataFrame([], schema)
-    if n and total:
-        index = build_index(texts, max(1, -(-n // shard)), total / n)
-        for part in _blocks(asked, block):
-            found = found.union(_search(index, part, n, k, schema))
-    rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    ranked = found.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+    def top(self, terms: np.ndarray, weights: np.ndarray, k: int, threshold: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """terms: places; weights, threshold and scores in units. (documents, scores) of the k best, of those that reach the threshold."""
+        counts = self.cell_ends[terms + 1] - self.cell_ends[terms]
+        cells = _ranges(self.cell_ends[terms], counts)
+        term = np.repeat(np.arange(len(terms)), counts)
+        block, least = self.cell_blocks[cells], threshold * LESS
+        if threshold > 0:
+            most = weights[term] * self.cell_most[cells]
+            alive = np.bincount(block, weights=most, minlength=self.blocks) >= least
+            if not alive.any():
+                return np.zeros(0, np.int64), np.zeros(0)
+            ceiling = weights * self.most[terms]
+            weakest = np.argsort(ceiling, kind="stable")
+            weak = np.zeros(len(terms), bool)
+            weak[weakest[np.cumsum(ceiling[weakest]) < SPLIT * threshold]] = True
+            weak &= self.row[terms] >= 0
+            behind = weak[term]
+            rest = np.bincount(block[behind], weights=most[behind], minlength=self.blocks)
+            ahead = alive[block] & ~behind
+            cells, term = cells[ahead], term[ahead]
+        size = self.cell_sizes[cells]
+        at = _ranges(self.cell_starts[cells], size)
+        score = np.bincount(self.docs[at], weights=np.rint(np.repeat(weights[term], size) * self.impacts[at]), minlength=len(self.id_ranks))
+        if threshold > 0:
+            doc = np.flatnonzero((score + rest[self.block_of] >= least) & alive[self.block_of])
+            score = score[doc] + np.rint(weights[weak][:, None] * self.frequent[np.ix_(self.row[terms[weak]], doc)]).sum(axis=0)
+            reach = score >= least
+            doc, score = doc[reach], score[reach]
+        else:
+            doc = np.flatnonzero(score > 0)
+            score = score[doc]
+        if len(doc) > k:  # ties with the k-th stay for the order by id
+            reach = score >= np.partition(score, len(score) - k)[len(score) - k]
+            doc, score = doc[reach], score[reach]
+        best = np.lexsort((self.id_ranks[doc], -score))[:k]
+        return doc[best], score[best]
+
+
+def _packed(asked: DataFrame, frequencies: DataFrame, shards: int) -> DataFrame:
+    """asked: (query, query_id, text). (query, first shard, words in order, their document frequencies), words that no row has left out."""
 
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            query, word = [], []
+            for q, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = set(words_of(t))
+                query += [q] * len(found)
+                word += found
+            yield pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(word, pa.binary())], names=["query", "word"])
 
-def _blocks(asked: DataFrame, size: int) -> Iterator[list[tuple[int, set[bytes]]]]:
-    rows: list[tuple[int, set[bytes]]] = []
-    for r in asked.toLocalIterator():
-        rows.append((r["id"], set(words_of(r["text"]))))
-        if len(rows) == size:
-            yield rows
-            rows = []
-    if rows:
-        yield rows
+    words = asked.select("query", "text").mapInArrow(split, "query long, word binary").join(frequencies, "word")
+    rows = words.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("word", "df"))).alias("w"))
+    return rows.select("query", F.pmod(F.xxhash64("query"), F.lit(shards)).cast("int").alias("first"), F.col("w.word").alias("words"), F.col("w.df").alias("dfs"))
 
 
-def _search(index: DataFrame, rows: list[tuple[int, set[bytes]]], n: int, k: int, schema: str) -> DataFrame:
+def _search(index: DataFrame, part: pa.Table, n: int, average: float, k: int, block: int, id_kind: str) -> DataFrame:
+    """The queries of one pass over all shards."""
     sc = index.sparkSession.sparkContext
-    wanted = sc.broadcast(set().union(*(words for _, words in rows)))
+    words = pc.unique(pa.chunked_array(part["words"].chunks).combine_chunks().flatten()) if part.num_rows else pa.array([], pa.binary())
+    flat = part["words"].combine_chunks().flatten()
+    df = part["dfs"].combine_chunks().flatten().to_numpy()
+    sizes = pc.list_value_length(part["words"]).to_numpy()
+    held = {"query": part["query"].to_numpy(), "first": part["first"].to_numpy(), "words": words, "place": pc.index_in(flat, value_set=words).to_numpy(), "weight": np.log(1 + (n - df + 0.5) / (df + 0.5)) / UNIT, "ends": np.concatenate([[0], np.cumsum(sizes)]), "threshold": np.zeros(part.num_rows)}
 
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
-            terms = batch.column(2)[0].as_py()
-            size = np.diff(np.concatenate([[0], np.frombuffer(batch.column(3)[0].as_py(), "<i8")])).tolist()
-            mine = [(w, s) for w, s in zip(terms.split(b"\n") if terms else [], size, strict=True) if w in wanted.value]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in mine], pa.binary()), pa.array([s for _, s in mine], pa.int64())], names=["word", "df"])
+    def run(sent, seeding: bool):
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            q = sent.value
+            for batch in slices(batches, 1):
+                row = {f: batch.column(f)[0].as_py() for f in FIELDS}
+                number, ids = batch.column("shard")[0].as_py(), batch.column("ids").flatten()
+                shard = Shard(row, average, block)
+                del row
+                where = shard.places(q["words"])
+                hits, docs, scores = [], [], []
+                for i in np.flatnonzero(q["first"] == number) if seeding else range(len(q["query"])):
+                    span = slice(q["ends"][i], q["ends"][i + 1])
+                    terms, weights = where[q["place"][span]], q["weight"][span]
+                    there = terms >= 0
+                    if there.any():
+                        doc, score = shard.top(terms[there], weights[there], k, q["threshold"][i])
+                        if not seeding or len(doc) == k:
+                            hits += [int(i)] * len(doc)
+                            docs.append(doc)
+                            scores.append(score)
+                found = np.concatenate(docs) if docs else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(q["query"][hits] if hits else [], pa.int64()), ids.take(pa.array(found)), pa.array(np.concatenate(scores) if scores else [], pa.float64())], names=["query", "doc_id", "score"])
 
-    df = index.mapInArrow(frequencies, "word binary, df long").groupBy("word").agg(F.sum("df").alias("df")).toArrow()
-    count = df["df"].to_numpy()
-    idf = dict(zip(df["word"].to_pylist(), np.log(1 + (n - count + 0.5) / (count + 0.5)).tolist(), strict=True))
-    held = sc.broadcast([(i, {w: idf[w] for w in words if w in idf}) for i, words in rows])
+        return search
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = f"query long, doc_id {id_kind}, score double"
+    seeds = index.mapInArrow(run(sc.broadcast(held), True), schema).groupBy("query").agg(F.min("score").alias("least")).toArrow()  # a number a query
+    of = dict(zip(seeds["query"].to_pylist(), seeds["least"].to_pylist(), strict=True))
+    held["threshold"] = np.array([of.get(q, 0.0) for q in held["query"].tolist()])
+    return materialize(index.mapInArrow(run(sc.broadcast(held), False), schema))
+
+
+def top_k(df: DataFrame, queries: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "text", tokens: int = TOKENS, block: int = BLOCK, pass_words: int = PASS_WORDS) -> DataFrame:
+    """(query_id, rank, doc_id, score): the k best rows of df for each row of queries, by BM25 over its distinct words.
+
+    Words: A-Z lower-cased, by ASCII white space. Rows without a word in common are no hits, so a query may get fewer than
+    k rows; null and empty texts neither find nor are found; rows with a null id are left out, as query and as hit. Ids may
+    be of any type that can be ordered. Equal scores go by id; of rows that repeat an id each counts, as a hit and as a
+    query. Scores are rounded to 6 places for the report, after ranking. Other columns are left out. Empty tables give an
+    empty table.
+    """
+    spark = df.sparkSession
+    id_kind, query_kind = df.schema[id_col].dataType.simpleString(), queries.schema[id_col].dataType.simpleString()
+    texts = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    asked = queries.filter(F.col(id_col).isNotNull()).select(F.monotonically_increasing_id().alias("query"), F.col(id_col).alias("query_id"), F.col(text_col).cast("string").alias("text"))
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([len(words_of(t)) for t in batch.column(1).to_pylist()], pa.int64())], names=["n"])
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
-            shard = Shard(*(batch.column(c)[0].as_py() for c in range(1, 6)))
-            out = [(i, d, s) for i, weights in held.value for d, s in shard.top(weights, k)]
-            columns = list(zip(*out, strict=True)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["query_id", "doc_id", "score"])
+            terms, ends = batch.column("terms")[0].as_py(), batch.column("term_ends")[0].as_py()
+            words = pa.Array.from_buffers(pa.binary(), len(ends) // 4 - 1, [None, pa.py_buffer(ends), pa.py_buffer(terms)])
+            size = np.diff(np.concatenate([[0], np.frombuffer(batch.column("posting_ends")[0].as_py(), "<i4")]))
+            yield pa.RecordBatch.from_arrays([words, pa.array(size, pa.int64())], names=["word", "df"])
 
-    return materialize(index.mapInArrow(search, schema))
+    n, total = texts.mapInArrow(sizes, "n long").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if not n or not total:
+        return spark.createDataFrame([], f"query_id {query_kind}, rank int, doc_id {id_kind}, score double")
+    shards, average = max(1, -(-total // tokens)), total / n
+    asked = materialize(asked)
+    index = build_index(texts, shards, average, block)
+    df_of = index.select("terms", "term_ends", "posting_ends").mapInArrow(frequencies, "word binary, df long").groupBy("word").agg(F.sum("df").alias("df"))
+    packed = _packed(asked, df_of, shards)
+    packed = materialize(packed.withColumn("_size", F.size("words")))
+    n_words = packed.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0]
+    passes = max(1, -(-n_words // pass_words))
+    found = None
+    for p in range(passes):
+        part = packed.filter(F.pmod(F.xxhash64("query", F.lit(1)), F.lit(passes)) == p).drop("_size").toArrow()  # bounded by pass_words
+        rows = _search(index, part, n, average, k, block, id_kind)
+        found = rows if found is None else found.union(rows)
+    rank = Window.partitionBy("query").orderBy(F.desc("score"), "doc_id")
+    ranked = found.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
+    return ranked.join(asked.select("query", "query_id"), "query").select("query_id", "rank", "doc_id", F.round(F.col("score") * UNIT, 6).alias("score"))
 
 
 def op8_bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from helixspark.llm import decontaminate, language_model, licenses, resampling, search
@@ -83,7 +84,7 @@ def test_search_equals_brute_force(spark):
     rows = [(i, " ".join(rng.choices(words, k=rng.randrange(1, 60)))) for i in range(400)]
     rows += [(i + 1000, rows[i][1]) for i in range(0, 60, 3)] + [(5000, None), (5001, ""), (None, "t1 t2"), (6000, "T1 " * 4000), (7, rows[7][1])]
     table = docs(spark, rows)
-    got = search.top_k(table, table.filter("doc_id % 50 = 0"), k=5, shard=90, block=3).collect()
+    got = search.top_k(table, table.filter("doc_id % 50 = 0"), k=5, tokens=3000, block=4, pass_words=150).collect()
     known = [(i, Counter(search.words_of(t))) for i, t in rows if i is not None]
     average = sum(sum(c.values()) for _, c in known) / len(known)
     df = Counter(w for _, c in known for w in c)
@@ -98,6 +99,14 @@ def test_search_equals_brute_force(spark):
                     scores.append((-round(s, 9), d))
             want += [(q, r + 1, d, round(-s, 6)) for r, (s, d) in enumerate(sorted(scores)[:5])]
     assert sorted(tuple(r) for r in got) == sorted(want)
+    for tokens, block in ((10**6, 128), (1500, 1)):  # one shard; many shards in a partition
+        again = search.top_k(table, table.filter("doc_id % 50 = 0"), k=5, tokens=tokens, block=block).collect()
+        assert sorted(tuple(r) for r in again) == sorted(want)
+    named = table.filter("doc_id is not null").withColumn("doc_id", F.format_string("n%05d", "doc_id"))
+    by_name = search.top_k(named, named.filter("doc_id = 'n00050'"), k=5, tokens=3000, block=4).collect()
+    assert sorted((int(r.query_id[1:]), r.rank, int(r.doc_id[1:]), r.score) for r in by_name) == sorted(w for w in want if w[0] == 50)
+    clash = table.limit(5).withColumn("score", F.lit(1)).withColumn("rank", F.lit("x"))
+    assert search.top_k(clash, clash, k=1).columns == ["query_id", "rank", "doc_id", "score"]
     assert search.top_k(table.limit(0), table).count() == 0 and search.top_k(table, table.limit(0)).count() == 0
 
 
