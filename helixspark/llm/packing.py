@@ -94,7 +94,7 @@ def best_fit(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int
     return plan
 
 
-def pack(df: DataFrame, tokenizer: str = "byte_bpe_50k.tiktoken", size: int = SEQUENCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(df: DataFrame, tokenizer: str = "byte_bpe_50k.json", size: int = SEQUENCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A null text counts as empty: a piece that holds id 0 alone. Rows with a null id are packed like others; repeated rows

@@ -30,10 +30,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, table
+from .common import arrow_rows, materialize, slices, table
 
 K, K1, B = 10, 1.2, 0.75
-TOKENS, BLOCK = 1_500_000, 128
+TOKENS, BLOCK = 1_000_000, 128
 #: Distinct words of the queries of a pass, about 20 bytes each: what every task holds of the queries.
 PASS_WORDS = 1_000_000
 FIELDS = ("terms", "term_ends", "posting_ends", "docs", "times", "lengths", "id_ranks", "cell_ends", "cell_blocks", "cell_starts", "cell_most")
@@ -129,7 +129,8 @@ def build_index(texts: DataFrame, shards: int, average: float, block: int = BLOC
             yield out()
 
     dealt = texts.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), "id", "text").repartition(shards, "shard").sortWithinPartitions("shard")
-    return materialize(dealt.mapInArrow(build, f"shard int, ids array<{kind}>, " + ", ".join(f"{f} binary" for f in FIELDS)))
+    with arrow_rows(texts.sparkSession, 256):
+        return materialize(dealt.mapInArrow(build, f"shard int, ids array<{kind}>, " + ", ".join(f"{f} binary" for f in FIELDS)))
 
 
 class Shard:
@@ -253,10 +254,11 @@ def _search(index: DataFrame, part: pa.Table, n: int, average: float, k: int, bl
         return search
 
     schema = f"query long, doc_id {id_kind}, score double"
-    seeds = index.mapInArrow(run(sc.broadcast(held), True), schema).groupBy("query").agg(F.min("score").alias("least")).toArrow()  # a number a query
-    of = dict(zip(seeds["query"].to_pylist(), seeds["least"].to_pylist(), strict=True))
-    held["threshold"] = np.array([of.get(q, 0.0) for q in held["query"].tolist()])
-    return materialize(index.mapInArrow(run(sc.broadcast(held), False), schema))
+    with arrow_rows(index.sparkSession, 1):
+        seeds = index.mapInArrow(run(sc.broadcast(held), True), schema).groupBy("query").agg(F.min("score").alias("least")).toArrow()  # a number a query
+        of = dict(zip(seeds["query"].to_pylist(), seeds["least"].to_pylist(), strict=True))
+        held["threshold"] = np.array([of.get(q, 0.0) for q in held["query"].tolist()])
+        return materialize(index.mapInArrow(run(sc.broadcast(held), False), schema))
 
 
 def top_k(df: DataFrame, queries: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "text", tokens: int = TOKENS, block: int = BLOCK, pass_words: int = PASS_WORDS) -> DataFrame:
@@ -292,7 +294,8 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = K, id_col: str = "doc_id",
     index = build_index(texts, shards, average, block)
     df_of = index.select("terms", "term_ends", "posting_ends").mapInArrow(frequencies, "word binary, df long").groupBy("word").agg(F.sum("df").alias("df"))
     packed = _packed(asked, df_of, shards)
-    packed = materialize(packed.withColumn("_size", F.size("words")))
+    with arrow_rows(spark, 256):
+        packed = materialize(packed.withColumn("_size", F.size("words")))
     n_words = packed.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0]
     passes = max(1, -(-n_words // pass_words))
     found = None

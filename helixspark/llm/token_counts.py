@@ -14,7 +14,7 @@ from .tokenizing import CHUNK, OVERLAP, encode_spliced, load
 SCHEMA = "n_bytes long, n_tokens long, over_limit boolean, n_splices int, n_widened int"
 
 
-def count_tokens(df: DataFrame, tokenizer: str = "byte_bpe_50k.tiktoken", limit: int = 1024, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def count_tokens(df: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: int = 1024, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """One row per input row: id, bytes, tokens, whether there are more than ``limit`` tokens, splices, widened overlaps.
 
     tokenizer: a public tokenizer's file name or a path; its suffix chooses the library (.json, .tiktoken, .model).

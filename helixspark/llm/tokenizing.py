@@ -1,12 +1,15 @@
 """Public tokenizers behind one small interface, and overlap resynchronisation for huge texts.
 
+The byte-level .json kind looks up the pieces between such places among those it has met before (a bounded number), and
+asks the library for the others: words repeat, so most of a corpus is encoded once.
+
 A text longer than ``CHUNK`` characters is encoded in overlapping chunks, so that the encoder's memory is bounded by the
 chunk and not by the text. Two neighbouring encodings are spliced at a position p of their overlap for which
 
-* the text has a single space (for the byte-level kinds also a line feed) between two ASCII letters or digits at p: no
-  piece of any of these vocabularies reaches across such a place, so the encoding right of p depends on nothing left of
-  it, and the other way round, and
-* both encodings do have a token boundary at p.
+* the text has a place at p that no piece of any of these vocabularies reaches across: a single space between two
+  characters that are no white space (for the byte-level kinds also a line feed, and the border between a CJK letter and a
+  CJK punctuation mark), so the encoding right of p depends on nothing left of it, and the other way round, and
+* both encodings have a token boundary at p, and agree on the ``AGREE`` tokens left and right of it.
 
 Where no such place exists in the overlap (one endless word, a run of white space), the overlap is doubled, and at last
 the rest of the text is encoded in one piece: the count stays exact.
@@ -18,17 +21,27 @@ import base64
 import os
 import re
 from functools import cache
+from itertools import chain
 
 import numpy as np
 
-CHUNK, OVERLAP = 1 << 16, 1 << 10
+CHUNK, OVERLAP, AGREE = 1 << 16, 1 << 10, 2
+#: Pieces that a worker keeps, and the most characters of one that it keeps.
+KNOWN, SHORT = 200_000, 64
 ENDOFTEXT = "<|endoftext|>"
+#: No white space by any library's tables (those of Python, and two characters that older tables count in).
+_NO_BLANK = "[^\\s\u180e\u200b]"
+_LETTER, _MARK = "[\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]", "[\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f]"
+SPACE = re.compile(f"(?<={_NO_BLANK}) (?={_NO_BLANK})")
+BYTE_LEVEL = re.compile(f"(?<={_NO_BLANK})[ \n](?={_NO_BLANK})|(?<={_LETTER})(?={_MARK})|(?<={_MARK})(?={_LETTER})")
+#: Cuts away a space, or cuts before a line feed.
+PIECES = re.compile(f"(?<={_NO_BLANK}) (?={_NO_BLANK})|(?<={_NO_BLANK})(?=\n{_NO_BLANK})")
 
 
 class ByteRanks:
     """Byte-level BPE from a rank file (.tiktoken); offsets are UTF-8 bytes."""
 
-    unit, stable = "byte", re.compile(r"(?<=[0-9A-Za-z])[ \n](?=[0-9A-Za-z])")
+    unit, stable = "byte", BYTE_LEVEL
 
     def __init__(self, path: str):
         import public_tokenizers
@@ -56,17 +69,37 @@ class ByteRanks:
 class Json:
     """A tokenizers file (.json); offsets are characters."""
 
-    unit, stable = "char", re.compile(r"(?<=[0-9A-Za-z])[ ](?=[0-9A-Za-z])")
+    unit, stable = "char", SPACE
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        # byte-level with its own pattern and nothing before it: pieces between stable places are encoded apart
+        self.apart = isinstance(self.tokenizer.pre_tokenizer, ByteLevel) and self.tokenizer.normalizer is None
+        if self.apart:
+            self.stable = BYTE_LEVEL
+        self.known: dict[str, list[int]] = {}
+
+    def _pieces(self, text: str) -> list[list[int]]:
+        first, *rest = PIECES.split(text)
+        pieces = [first, *(p if p[0] == "\n" else " " + p for p in rest)]
+        known = self.known
+        if len(known) > KNOWN:
+            known.clear()
+        if new := list({p for p in pieces if p not in known}):
+            found = dict(zip(new, (e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+            known.update((p, ids) for p, ids in found.items() if len(p) <= SHORT)
+            return [known[p] if p in known else found[p] for p in pieces]
+        return [known[p] for p in pieces]
 
     def ids(self, text: str) -> np.ndarray:
+        if self.apart:
+            return np.array(list(chain.from_iterable(self._pieces(text))), np.uint32)
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def ids_and_ends(self, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -74,13 +107,15 @@ class Json:
         return np.array(e.ids, np.uint32), np.array([b for _, b in e.offsets], np.int64)
 
     def count(self, texts: list[str]) -> list[int]:
+        if self.apart:
+            return [sum(map(len, self._pieces(t))) for t in texts]
         return [len(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 class Pieces:
     """A sentencepiece model (.model); offsets are UTF-8 bytes."""
 
-    unit, stable = "byte", re.compile(r"(?<=[0-9A-Za-z])[ ](?=[0-9A-Za-z])")
+    unit, stable = "byte", SPACE
 
     def __init__(self, path: str):
         import sentencepiece
@@ -112,6 +147,12 @@ def _place(text: str, start: int, p: int, unit: str) -> int:
     return p - start if unit == "char" else len(text[start:p].encode())
 
 
+def _agree(ids: np.ndarray, i: int, ids2: np.ndarray, j: int) -> bool:
+    """Whether the tokens around place i of ids are those around place j of ids2."""
+    n = min(AGREE, i, j)
+    return bool((ids[i - n : i + AGREE] == ids2[j - n : j + AGREE]).all()) if len(ids) >= i + AGREE and len(ids2) >= j + AGREE else False
+
+
 def encode_spliced(encoder, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> tuple[np.ndarray, int, int]:
     """The ids of the whole text, the number of splices and the number of times that an overlap was widened."""
     if len(text) <= chunk:
@@ -130,7 +171,7 @@ def encode_spliced(encoder, text: str, chunk: int = CHUNK, overlap: int = OVERLA
             for m in encoder.stable.finditer(text, begin + width // 4, end - width // 4):
                 a, b = _place(text, start, m.start(), encoder.unit), _place(text, begin, m.start(), encoder.unit)
                 i, j = int(np.searchsorted(ends, a, "right")), int(np.searchsorted(ends2, b, "right"))
-                if i and j and ends[i - 1] == a and ends2[j - 1] == b:
+                if i and j and ends[i - 1] == a and ends2[j - 1] == b and _agree(ids, i, ids2, j):
                     at = (m.start(), i, j, b)
                     break
             if at or begin == start:

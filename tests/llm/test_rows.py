@@ -26,6 +26,22 @@ def library(text):
 @given(st.text(max_size=60))
 def test_ranks_give_the_ids_of_the_library(text):
     assert tokenizing.load("byte_bpe_50k.tiktoken").ids(text).tolist() == library(text)
+    for joined in (text, f"a {text}\n{text} b"):
+        assert tokenizing.load("byte_bpe_50k.json").ids(joined).tolist() == library(joined)
+
+
+def test_huge_texts_of_blanks_and_other_scripts():
+    encoder, rng = tokenizing.load("byte_bpe_50k.json"), random.Random(1)
+    for blank in (" ", "\n", " \n", "\u3000"):
+        text = blank * (1_200_000 // len(blank))
+        assert tokenizing.encode_spliced(encoder, text)[0].tolist() == library(text)
+    words = ["слово", "ещё", "и", "длинное", "καί", "λόγος", "हिन्दी", "١٢"]
+    spaced = " ".join(rng.choice(words) for _ in range(60_000))
+    han = "".join(rng.choice("的一是在不了有和人这中大为上个国我以要他") + ("。" if rng.random() < 0.05 else "") for _ in range(150_000))
+    for text in (spaced, han):
+        assert len(text) > 2 * tokenizing.CHUNK
+        ids, splices, widened = tokenizing.encode_spliced(encoder, text)
+        assert ids.tolist() == library(text) and splices >= 2 and not widened
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.tiktoken", "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"])
