@@ -2,10 +2,10 @@
 
 Every text is a bag of hashed words and word pairs. Two generative models (bucket probabilities, smoothed) are counted
 over the table: the raw one over all rows, the target one over the rows that are labelled good (a bounded sample: at most
-about ``MOST_GOOD`` of them, whose ids every task holds, so that no text is shuffled). A text's log weight is
-the mean log ratio of the two over its n-grams, times ``LENGTH`` (a text of that many n-grams; the mean keeps long texts
-from winning or losing by length alone). Adding Gumbel noise and taking the k largest draws k rows without replacement,
-in proportion to their weights. The noise is a hash of id and seed, so a lost task repeats it.
+about ``MOST_GOOD`` of them, whose ids every task holds, so that no text is shuffled). A text's log weight is the log of
+the ratio of its probabilities under the two models: the sum of the log ratios of its n-grams. Adding Gumbel noise and
+taking the k largest draws k rows without replacement, in proportion to their weights. The noise is a hash of seed, id and
+text, and for rows that repeat both, of the row's number too, so a lost task repeats it.
 
 The k-th largest key is found exactly by histograms over the keys, each a small aggregate; no row count passes the driver.
 """
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, slices, table
 
-BUCKETS, LENGTH, FRACTION, SEED = 10_000, 200.0, 0.5, 17
+BUCKETS, FRACTION, SEED = 10_000, 0.5, 17
 BINS, FEW = 4096, 10_000
 #: Good rows that the target model learns from.
 MOST_GOOD = 200_000
@@ -67,19 +67,18 @@ def log_ratios(texts: DataFrame) -> np.ndarray:
 
 
 def log_weights(df: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, log_weight). A text without words has weight 0 (neither more nor less likely)."""
+    """(id, _digest, _row, log_weight): log of target over raw probability of the text; 0 for a text without words."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in slices(batches):
-            out = []
-            for t in batch.column(1).to_pylist():
-                b = hasher.buckets(t)
-                out.append(LENGTH * float(ratios[b].mean()) if len(b) else 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=[id_col, "log_weight"])
+            out = [float(ratios[hasher.buckets(t)].sum()) for t in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.float64())], names=[id_col, "_digest", "_row", "log_weight"])
 
-    return df.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, log_weight double")
+    text = F.col(text_col).cast("string")
+    rows = df.select(F.col(id_col), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_digest"), F.monotonically_increasing_id().alias("_row"), text.alias("_text"))
+    return rows.mapInArrow(run, f"`{id_col}` {kind}, _digest long, _row long, log_weight double")
 
 
 def gumbel(seed: int, *cols: str) -> Column:
@@ -118,13 +117,21 @@ def _learnt_from(good: DataFrame, id_col: str) -> DataFrame:
 def resample(df: DataFrame, good: DataFrame, fraction: float = FRACTION, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, log_weight, gumbel_key, selected): one row per input row. good: (id_col), the rows that the target model learns.
 
-    ceil(fraction x rows) rows are selected; rows that tie with the last of them are selected too (rows that repeat id and
-    text tie). Null and empty texts have weight 0. A null id is no target. An empty table gives an empty table; without
+    ceil(fraction x rows) rows are selected (rows whose keys are equal to the last bit stay together). Rows are drawn one by
+    one: null ids with different texts have noise of their own, and so have rows that repeat id and text. Null and empty
+    texts have weight 0. A null id is no target. Other columns are left out. An empty table gives an empty table; without
     any good row all weights are 0, and the draw is uniform.
     """
     marked = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(_learnt_from(good, id_col), "_id", "left")
     ratios = log_ratios(marked.select("_text", F.coalesce("_good", F.lit(False))))
-    keyed = materialize(log_weights(df, ratios, id_col, text_col).withColumn("gumbel_key", F.col("log_weight") + gumbel(seed, id_col)))
+    weighed = materialize(log_weights(df, ratios, id_col, text_col))
+    repeated = weighed.groupBy(F.col(id_col).alias("_id"), F.col("_digest").alias("_same")).count().filter("count > 1").select("_id", "_same")
+    noise = gumbel(seed, id_col, "_digest")
+    if not repeated.isEmpty():
+        same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_same"))
+        weighed = weighed.join(repeated, same, "left")
+        noise = F.when(F.col("_same").isNull(), noise).otherwise(gumbel(seed, id_col, "_digest", "_row"))
+    keyed = materialize(weighed.select(id_col, "log_weight", (F.col("log_weight") + noise).alias("gumbel_key")))
     n = keyed.count()
     if not n:
         return keyed.withColumn("selected", F.lit(False))

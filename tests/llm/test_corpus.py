@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -16,20 +17,24 @@ from tests.llm import brute
 from tests.llm.test_dedup import docs
 from tests.llm.test_rows import edited, library
 
-NOTES = ["Under the MIT License, (c)", "x under-the mit\nlicense under the MIT license", "Apache License, Version 2.0", "licensed under the Apache License, Version 2.0", "CC BY-NC 4.0", "ccby nc license", "cc by nc sa", "É under the mit licensé", "GNU Lesser General Public License", "a license", "all rights reserved. License", "", None, "the the the"]
+NOTES = ["Under the MIT License, (c)", "x under-the mit\nlicense under the MIT license", "Apache License, Version 2.0", "licensed under the Apache License, Version 2.0", "CC BY-NC 4.0", "ccby nc license", "cc by nc sa", "É under the mit licensé", "GNU Lesser General Public License", "a license", "all rights reserved. License", "Permission is hereby granted, free of charge, to any person obtaining a copy of it", "Software is provided as is! Without warranty of any kind express", "software is provided as is, without warranty", "Redistribution and use in source and binary forms, with changes", "", None, "the the the"]
 
 
 def test_licenses_equal_plain_search(spark):
     rng = random.Random(3)
     rows = list(enumerate(NOTES)) + [(50 + i, " ".join(rng.choice([*(x for x in NOTES if x), "mit", "under", "the", "license", "cc", "by", "nc", "apache"]) for _ in range(rng.randrange(60)))) for i in range(80)]
-    rows += [(3, NOTES[0]), (3, NOTES[0]), (900, "word " * 50_000 + "under the mit license")]
+    rows += [(3, NOTES[0]), (3, NOTES[0]), (901, "under the MIT license " * 2000), (900, "word " * 50_000 + "under the mit license")]
     got = licenses.scan_licenses(docs(spark, rows)).drop("matches").toPandas()
     documents = pd.DataFrame({"doc_id": [i for i, _ in rows], "text": [t for _, t in rows]})  # noqa: F841  read by DuckDB
     want = duckdb.sql(licenses.op3_sql()).df()
     by = ["doc_id", "n_words", "n_base"]
     got, want = (x.sort_values(by).reset_index(drop=True)[sorted(x.columns)] for x in (got, want))
     pd.testing.assert_frame_equal(got, want, check_dtype=False)
-    assert want.n_base.sum() > 20
+    assert want.n_base.sum() > 20 and 0 < want.score[want.score > 0].min() < 1
+    assert licenses.scan_licenses(docs(spark, [(1, "x hereby granted, free of charge; to any person obtaining a copy")])).first().matches[0].start == 1
+    began = time.time()
+    assert licenses.scan_licenses(docs(spark, [(1, "under the MIT license " * 5000)])).first().n_base == 5000
+    assert time.time() - began < 20  # the work grows with the words: 20,000 of them in one text, job start included
     clash = spark.createDataFrame([(None, "under the MIT license", 1)], "doc_id long, text string, score int")
     assert licenses.scan_licenses(clash).first().base_labels == "mit"
     assert licenses.scan_licenses(docs(spark, []).limit(0)).count() == 0
@@ -110,7 +115,7 @@ def test_search_equals_brute_force(spark):
     assert search.top_k(table.limit(0), table).count() == 0 and search.top_k(table, table.limit(0)).count() == 0
 
 
-def test_resampling(spark):
+def test_resampling(spark, monkeypatch):
     rng = random.Random(4)
     text = lambda good: " ".join(rng.choice(["fine", "clear", "sound"] if good and rng.random() < 0.6 else ["junk", "spam", "word", "line"]) for _ in range(30))
     rows = [(i, text(i % 2)) for i in range(400)] + [(900, None), (901, ""), (None, "fine"), (3, "fine clear")]
@@ -127,8 +132,17 @@ def test_resampling(spark):
         raw += n
         tgt += n if i is not None and i < 200 and i % 2 else 0
     ratio = np.log(tgt / tgt.sum()) - np.log(raw / raw.sum())
-    want = sorted(round(200 * ratio[h.buckets(t)].mean(), 6) if t else 0.0 for _, t in rows)
-    assert np.allclose(sorted(r.log_weight for r in got), want, atol=1e-5)
+    want = sorted(float(ratio[h.buckets(t)].sum()) for _, t in rows)
+    assert np.allclose(sorted(r.log_weight for r in got), want, atol=1e-5) and sum(r.selected for r in got) == k
+    same = resampling.resample(docs(spark, [(None, f"text {i % 3}") for i in range(60)] + [(7, "again")] * 40), good.limit(0), fraction=0.3).collect()
+    assert len({r.gumbel_key for r in same}) == 100 and sum(r.selected for r in same) == 30 and {r.log_weight for r in same} == {0.0}
+    clash = docs(spark, rows[:9]).withColumn("log_weight", F.lit("x")).withColumn("selected", F.lit(1))
+    assert resampling.resample(clash, good).columns == ["doc_id", "log_weight", "gumbel_key", "selected"]
+    monkeypatch.setattr(resampling, "MOST_GOOD", 40)  # a bounded sample of the good rows
+    assert 15 < resampling._learnt_from(good, "doc_id").count() < 65
+    some = resampling.resample(docs(spark, rows), good, fraction=0.4).collect()
+    assert sum(r.selected for r in some if r.doc_id and r.doc_id % 2) > 0.85 * k
+    monkeypatch.undo()
     assert resampling.resample(docs(spark, rows).limit(0), good).count() == 0
     assert len({r.log_weight for r in resampling.resample(docs(spark, rows), good.limit(0)).collect()}) == 1
 

@@ -161,6 +161,33 @@ def test_toxicity_edges(spark):
     assert toxicity.labelled_sample(odd, labels, held_out=None) == [("", 1, "")] * 2
 
 
+def test_toxicity_logits_equal_a_plain_convolution(spark):
+    model = toxicity.train(toxic_rows(random.Random(1), 200))
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["awful", "w1", "w2", "grimx", "new", "Ü"]) for _ in range(n)) for n in (0, 1, 2, 3, 40, 900)]
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs(spark, list(enumerate(texts))), model).collect()}
+    for i, t in enumerate(texts):
+        vectors = [sum(model.table[k] for k in toxicity.hashed(w)) for w in toxicity.words_of(t)] + [np.zeros(toxicity.DIM)] * (toxicity.PAD + 1)
+        pooled = []
+        for f in model.filters:
+            for c in range(toxicity.FILTERS):
+                pooled.append(max(sum(float(vectors[p + j] @ f[j][:, c]) for j in range(len(f))) for p in range(len(vectors) - len(f) + 1)))
+        logit = float(np.dot(pooled, model.weight)) + model.bias
+        assert abs(got[i].score - 1 / (1 + np.exp(-np.clip(model.scale * logit + model.shift, -40, 40)))) < 1e-4
+
+
+def test_toxicity_sample_is_bounded(spark):
+    rows = [(i, "word " * (50 if i % 7 else 4000)) for i in range(2000)]
+    labels = spark.createDataFrame([(i, 1, int(i % 20 == 0)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    got = toxicity.labelled_sample(docs(spark, rows), labels, per_class=60, held_out=0)
+    ones = sum(y for _, y, _ in got)
+    assert 40 <= ones <= 80 and 35 <= len(got) - ones <= 90
+    few = toxicity.labelled_sample(docs(spark, rows), labels, chars=60_000, held_out=None)
+    assert 0 < sum(len(t) for t, _, _ in few) < 150_000
+    many = spark.createDataFrame([(i, "a b", f"l{i % 500}", "s", 3) for i in range(1000)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert len(toxicity.labelled_sample(many, labels, sample=200, held_out=None)) < 500
+
+
 def substring_distance(p, t):
     row = [0] * (len(t) + 1)
     for i, a in enumerate(p, 1):
