@@ -13,8 +13,10 @@ the pivot, bound its score again; the documents that could still reach the thres
 document that could enter the top k is passed over.
 
 Statistics. Document count, average length and document frequencies are those of the whole corpus, and a word's part of a
-score is rounded to a multiple of 2 ** -32, so that sums are exact in any order: scores are the same whatever the shards. The threshold starts from the k-th best
-score in one shard, the query's first one, so that the other shards give few rows. A ranking over the query merges them.
+score is rounded to a multiple of 2 ** -32, so that sums are exact in any order: scores are the same whatever the shards. A query goes over the shards in
+rounds: its first shard alone, then up to ``WIDEN`` shards, ``WIDEN`` squared and so on, and takes the k-th best score so
+far into the next round as its threshold. So a round gives about k times WIDEN rows a query, however many shards there
+are. A ranking over the query merges the rounds.
 
 Queries are a table: their words are joined to the document frequencies and packed, one row a query. They are dealt into
 blocks of bounded size; the tasks of a pass hold one such block and go over all shards.
@@ -37,6 +39,8 @@ TOKENS, BLOCK = 1_000_000, 128
 #: Distinct words of the queries of a pass, about 20 bytes each: what every task holds of the queries.
 PASS_WORDS = 1_000_000
 FIELDS = ("terms", "term_ends", "posting_ends", "docs", "times", "lengths", "id_ranks", "cell_ends", "cell_blocks", "cell_starts", "cell_most")
+#: By how many times a round has more shards than all before it.
+WIDEN = 6
 #: Share of the threshold that the words before the pivot may reach.
 SPLIT = 0.5
 #: A word in more than this share of a shard's documents also has a row of impacts there.
@@ -219,7 +223,7 @@ def _packed(asked: DataFrame, frequencies: DataFrame, shards: int) -> DataFrame:
     return rows.select("query", F.pmod(F.xxhash64("query"), F.lit(shards)).cast("int").alias("first"), F.col("w.word").alias("words"), F.col("w.df").alias("dfs"))
 
 
-def _search(index: DataFrame, part: pa.Table, n: int, average: float, k: int, block: int, id_kind: str) -> DataFrame:
+def _search(index: DataFrame, part: pa.Table, n: int, shards: int, average: float, k: int, block: int, id_kind: str) -> DataFrame:
     """The queries of one pass over all shards."""
     sc = index.sparkSession.sparkContext
     words = pc.unique(pa.chunked_array(part["words"].chunks).combine_chunks().flatten()) if part.num_rows else pa.array([], pa.binary())
@@ -228,24 +232,24 @@ def _search(index: DataFrame, part: pa.Table, n: int, average: float, k: int, bl
     sizes = pc.list_value_length(part["words"]).to_numpy()
     held = {"query": part["query"].to_numpy(), "first": part["first"].to_numpy(), "words": words, "place": pc.index_in(flat, value_set=words).to_numpy(), "weight": np.log(1 + (n - df + 0.5) / (df + 0.5)) / UNIT, "ends": np.concatenate([[0], np.cumsum(sizes)]), "threshold": np.zeros(part.num_rows)}
 
-    def run(sent, seeding: bool):
+    def run(sent, lo: int, hi: int):
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             q = sent.value
             for batch in slices(batches, 1):
-                row = {f: batch.column(f)[0].as_py() for f in FIELDS}
                 number, ids = batch.column("shard")[0].as_py(), batch.column("ids").flatten()
-                shard = Shard(row, average, block)
-                del row
-                where = shard.places(q["words"])
+                turn = (number - q["first"]) % shards  # the shards after a query's first one, in a ring
+                mine = np.flatnonzero((turn >= lo) & (turn < hi))
                 hits, docs, scores = [], [], []
-                for i in np.flatnonzero(q["first"] == number) if seeding else range(len(q["query"])):
-                    span = slice(q["ends"][i], q["ends"][i + 1])
-                    terms, weights = where[q["place"][span]], q["weight"][span]
-                    there = terms >= 0
-                    if there.any():
-                        doc, score = shard.top(terms[there], weights[there], k, q["threshold"][i])
-                        if not seeding or len(doc) == k:
-                            hits += [int(i)] * len(doc)
+                if len(mine):
+                    shard = Shard({f: batch.column(f)[0].as_py() for f in FIELDS}, average, block)
+                    where = shard.places(q["words"])
+                    for i in mine.tolist():
+                        span = slice(q["ends"][i], q["ends"][i + 1])
+                        terms, weights = where[q["place"][span]], q["weight"][span]
+                        there = terms >= 0
+                        if there.any():
+                            doc, score = shard.top(terms[there], weights[there], k, q["threshold"][i])
+                            hits += [i] * len(doc)
                             docs.append(doc)
                             scores.append(score)
                 found = np.concatenate(docs) if docs else np.zeros(0, np.int64)
@@ -253,12 +257,18 @@ def _search(index: DataFrame, part: pa.Table, n: int, average: float, k: int, bl
 
         return search
 
-    schema = f"query long, doc_id {id_kind}, score double"
+    found, lo, hi = None, 0, 1
     with arrow_rows(index.sparkSession, 1):
-        seeds = index.mapInArrow(run(sc.broadcast(held), True), schema).groupBy("query").agg(F.min("score").alias("least")).toArrow()  # a number a query
-        of = dict(zip(seeds["query"].to_pylist(), seeds["least"].to_pylist(), strict=True))
-        held["threshold"] = np.array([of.get(q, 0.0) for q in held["query"].tolist()])
-        return materialize(index.mapInArrow(run(sc.broadcast(held), False), schema))
+        while lo < shards:
+            rows = materialize(index.mapInArrow(run(sc.broadcast(held), lo, hi), f"query long, doc_id {id_kind}, score double"))
+            found = rows if found is None else found.union(rows)
+            lo, hi = hi, min(shards, hi * WIDEN) if hi < shards else hi
+            if lo == hi:
+                break
+            best = found.groupBy("query").agg(F.get(F.sort_array(F.collect_list("score"), asc=False), k - 1).alias("kth")).filter("kth is not null").toArrow()  # a number a query
+            of = dict(zip(best["query"].to_pylist(), best["kth"].to_pylist(), strict=True))
+            held["threshold"] = np.array([of.get(q, 0.0) for q in held["query"].tolist()])
+    return found
 
 
 def top_k(df: DataFrame, queries: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "text", tokens: int = TOKENS, block: int = BLOCK, pass_words: int = PASS_WORDS) -> DataFrame:
@@ -301,7 +311,7 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = K, id_col: str = "doc_id",
     found = None
     for p in range(passes):
         part = packed.filter(F.pmod(F.xxhash64("query", F.lit(1)), F.lit(passes)) == p).drop("_size").toArrow()  # bounded by pass_words
-        rows = _search(index, part, n, average, k, block, id_kind)
+        rows = _search(index, part, n, shards, average, k, block, id_kind)
         found = rows if found is None else found.union(rows)
     rank = Window.partitionBy("query").orderBy(F.desc("score"), "doc_id")
     ranked = found.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
