@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import bisect
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,36 +40,79 @@ def coverage_raw(df: DataFrame, keys: list[str], cap: int) -> DataFrame:
     return merged(half, keys).groupBy(*keys).agg(F.sum(F.col("end") - F.col("start")).alias("covered_bp"))
 
 
-def select_greedy(df: DataFrame, keys: list[str], order: list[Column], start: Column, end: Column) -> DataFrame:
-    """Takes rows in the order given and keeps each that overlaps none kept before ([start, end) in its keys).
+def _chosen(df: DataFrame, keys: list[str], order: list[Column], start: Column, end: Column, choose: Callable[[list[int], list[int], list[int], np.ndarray, np.ndarray], list[int]]) -> DataFrame:
+    """The rows that ``choose`` keeps of each island of overlapping [start, end) in its keys.
 
-    Rows are cut into islands first; no choice reaches across one, so a task gets an island and never a whole chromosome.
+    One shuffle by the keys and a sort by place; then batches stream by, cut into islands by running maxima, and only an
+    island that is still open waits for the next batch. A row alone in its island stays; choose(rows of an island in order
+    of place, starts, ends, every row's rank in the given order, its first order value) gives the rows to keep of the others.
     """
+    extra = ["_s", "_e", *(f"_o{i}" for i in range(len(order)))]
     named = df.select("*", start.cast("long").alias("_s"), end.cast("long").alias("_e"), *(c.cast("double").alias(f"_o{i}") for i, c in enumerate(order)))
-    # a row alone in its island stays; touching intervals don't overlap, so islands need an overlap
-    cut = islands(named, keys, "_s", "_e", gap=-1)
-    by = [*keys, "island"]
-    size = F.count("*").over(Window.partitionBy(*by))
-    cut = cut.withColumn("_n", size)
-    columns, sort = cut.columns, [f"_o{i}" for i in range(len(order))] + ["_s", "_e"]
-
-    def keep(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(sort, kind="stable")
-        kept: list[int] = []
-        s, e = rows["_s"].to_numpy(), rows["_e"].to_numpy()
-        starts: list[int] = []
-        ends: list[int] = []
-        for i in range(len(rows)):
-            at = int(np.searchsorted(starts, e[i])) if starts else 0
-            if (at == 0 or ends[at - 1] <= s[i]) and (at == len(starts) or starts[at] >= e[i]):
-                kept.append(i)
-                at = int(np.searchsorted(starts, s[i])) if starts else 0
-                starts.insert(at, s[i])
-                ends.insert(at, e[i])
-        return rows.iloc[kept]
+    width = len(df.columns)
+
+    def resolve(rows: pa.Table, closed: bool) -> tuple[pa.Table, pa.Table]:
+        """(what stays of the islands that are over, the rows of the one that may go on)."""
+        n = rows.num_rows
+        new = np.zeros(n, bool)
+        new[0] = True
+        for k in keys:
+            c = pc.fill_null(rows.column(k).combine_chunks().cast(pa.string()), "\0")
+            new[1:] |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+        group = np.cumsum(new)
+        s, e = (rows.column(c).to_numpy() for c in ("_s", "_e"))
+        far = (int(e.max()) - int(s.min()) + 1) * group  # keys far apart, so that one running maximum serves all
+        new[1:] |= (s + far)[1:] >= np.maximum.accumulate(e + far)[:-1]
+        first = np.flatnonzero(new)
+        until = n if closed else int(first[-1])
+        size = np.diff(np.append(first, n))
+        keep = np.zeros(n, bool)
+        keep[first[size == 1]] = True
+        many = np.flatnonzero((size > 1) & (first < until))
+        if len(many):
+            rank = np.empty(n, np.int64)
+            rank[np.lexsort((e, s, *(rows.column(c).to_numpy() for c in reversed(extra[2:]))))] = np.arange(n)
+            starts, ends, value = s.tolist(), e.tolist(), rows.column("_o0").to_numpy()
+            for i in many.tolist():
+                keep[choose(list(range(first[i], first[i] + size[i])), starts, ends, rank, value)] = True
+        return rows.slice(0, until).filter(pa.array(keep[:until])), rows.slice(until)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_rows: pa.Table | None = None
+        for batch in batches:
+            if batch.num_rows:
+                rows = pa.Table.from_batches([batch])
+                done, open_rows = resolve(rows if open_rows is None else pa.concat_tables([open_rows, rows]), False)
+                yield from done.select(range(width)).combine_chunks().to_batches()
+        if open_rows is not None and open_rows.num_rows:
+            yield from resolve(open_rows, True)[0].select(range(width)).combine_chunks().to_batches()
+
+    # the order of equal places doesn't matter to islands, but makes the result the same every time
+    placed = named.repartition(*keys).sortWithinPartitions(*keys, *extra)
+    return placed.mapInArrow(run, df.schema)
+
+
+def _best_first(island: list[int], starts: list[int], ends: list[int], rank: np.ndarray, value: np.ndarray) -> list[int]:
+    kept: list[int] = []
+    begin: list[int] = []
+    stop: list[int] = []
+    for i in sorted(island, key=rank.__getitem__):
+        at = bisect.bisect_left(begin, ends[i])
+        if at == 0 or stop[at - 1] <= starts[i]:
+            kept.append(i)
+            at = bisect.bisect_left(begin, starts[i])
+            begin.insert(at, starts[i])
+            stop.insert(at, ends[i])
+    return kept
+
 
-    many = cut.filter("_n > 1").groupBy(*by).applyInPandas(keep, cut.schema)
-    return cut.filter("_n = 1").unionByName(many).select(*[c for c in columns if c in df.columns])
+def select_greedy(df: DataFrame, keys: list[str], order: list[Column], start: Column, end: Column) -> DataFrame:
+    """Takes rows in the order given and keeps each that overlaps none kept before ([start, end) in its keys).
+
+    No choice reaches across an island of overlapping rows. A task holds a batch and one island, never all rows of its keys;
+    all rows of one key value stream through one task.
+    """
+    return _chosen(df, keys, order, start, end, _best_first)
 
 
 def remove_overlaps(motifs: DataFrame) -> DataFrame:
@@ -96,9 +141,29 @@ def dedup_exact(motifs: DataFrame) -> DataFrame:
     return motifs.groupBy("seq_id", "class", "subclass", "start_pos", "end_pos").agg(F.max("score").alias("score"))
 
 
-def dedup_near(motifs: DataFrame, share: float = 0.5) -> DataFrame:
-    """Of rows of a class and subclass that share at least half of the shorter one: greedily the better score."""
-    return select_greedy(motifs, ["seq_id", "class", "subclass"], [-F.col("score"), -F.col("length"), F.col("start_pos")], F.col("start_pos") - 1 + F.floor(F.col("length") * share / 2), F.col("end_pos") - F.floor(F.col("length") * share / 2))
+def dedup_near(motifs: DataFrame, share: float = 0.5, reach: int = 2000) -> DataFrame:
+    """One row of those that chunks report twice: rows of a class and subclass that share ``share`` of the shorter one.
+
+    Rows come in order of start and end. A row that shares enough with a kept one that starts at most ``reach`` before it is
+    a duplicate of the best-scored of those (the latest, if scores are equal), and takes its place if its own score is higher.
+    """
+
+    def choose(island: list[int], starts: list[int], ends: list[int], rank: np.ndarray, worse: np.ndarray) -> list[int]:
+        kept: list[int] = []
+        for i in island:
+            match = -1
+            for k in range(len(kept) - 1, -1, -1):
+                j = kept[k]
+                shared = min(ends[i], ends[j]) - max(starts[i], starts[j])
+                if starts[j] >= starts[i] - reach and shared >= share * min(ends[i] - starts[i], ends[j] - starts[j]) and (match < 0 or worse[j] < worse[kept[match]]):
+                    match = k
+            if match < 0:
+                kept.append(i)
+            elif worse[i] < worse[kept[match]]:
+                kept[match] = i
+        return kept
+
+    return _chosen(motifs, ["seq_id", "class", "subclass"], [-F.coalesce("score", F.lit(0.0))], F.col("start_pos") - 1, F.col("end_pos"), choose)
 
 
 def overlap_fraction(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
@@ -149,15 +214,22 @@ def tiles(seqs: DataFrame, size: int = 50_000, overlap: int = 2000) -> DataFrame
     return at.select("seq_id", "tile_id", start.alias("tile_start"), F.least(start + size, F.col("n")).alias("tile_end"), start.alias("core_start"), F.when(F.col("tile_id") == F.col("_last"), F.col("n")).otherwise(start + step).alias("core_end"), F.substr(F.col("seq"), (start + 1).cast("int"), F.lit(size)).alias("tile_seq"))
 
 
-def quality_issues(motifs: DataFrame, length: int) -> DataFrame:
-    """(seq_id, issue, n): rows that break a rule."""
+def quality_issues(motifs: DataFrame, length: int, top: int | None = None) -> DataFrame:
+    """(seq_id, issue, n): rows that break a rule, and pairs of a class that overlap by more than a border base.
+
+    ``top``: only so many rows of the report, by sequence and issue.
+    """
     checks = F.array(
         F.when(F.col("start_pos").isNull() | F.col("end_pos").isNull() | F.col("class").isNull(), "missing field"),
         F.when(F.col("start_pos") >= F.col("end_pos"), "start not before end"),
         F.when(F.col("length") != F.col("end_pos") - F.col("start_pos") + 1, "length differs"),
         F.when(F.col("end_pos") > length, "beyond the sequence"),
     )
-    return motifs.select("seq_id", F.explode(F.filter(checks, lambda c: c.isNotNull())).alias("issue")).groupBy("seq_id", "issue").agg(F.count("*").alias("n"))
+    rows = motifs.select("seq_id", F.explode(F.filter(checks, lambda c: c.isNotNull())).alias("issue"))
+    whole = motifs.filter("start_pos <= end_pos and class is not null")
+    pairs = overlapping_pairs(whole, [c for c in ("class", "event_id") if c in motifs.columns]).filter("class1 = class2 and start_pos2 < end_pos1").select("seq_id", F.lit("overlap within a class").alias("issue"))
+    out = rows.unionByName(pairs).groupBy("seq_id", "issue").agg(F.count("*").alias("n"))
+    return out.orderBy("seq_id", "issue").limit(top) if top else out
 
 
 def by_subclass_choice(motifs: DataFrame, classes: list[str], subclasses: list[str]) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The three detectors that compare a sequence with itself: Arrow batch functions over whole sequences, plain numpy inside.
+"""The detectors that compare a sequence with itself or look far ahead: Arrow batch functions over whole sequences, plain numpy inside.
 
 Each gives (seq_id, start, end, subclass, raw_score, length_scored, attrs) with places from 0, half open.
 """
@@ -6,6 +6,7 @@ Each gives (seq_id, start, end, subclass, raw_score, length_scored, attrs) with
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -46,6 +47,46 @@ def first_free(rows: list[tuple[int, int]]) -> list[int]:
     return out
 
 
+def _percent(part: int, whole: int) -> float:
+    """Two places, halves up."""
+    return math.floor(part * 10_000 / whole + 0.5 + 1e-9) / 100
+
+
+def r_loops(patterns: dict[str, str]) -> Callable[[str], list[tuple]]:
+    """Initiation zones by the patterns on both strands; (.., strand and pattern, raw score, G shares)."""
+    compiled = {name: re.compile(p) for name, p in patterns.items()}
+    turn = str.maketrans("ACGT", "TGCA")
+
+    def run(seq: str) -> list[tuple]:
+        out, n = [], len(seq)
+        for strand, s in (("+", seq), ("-", seq.translate(turn)[::-1])):
+            g = np.concatenate([[0], np.cumsum(np.frombuffer(s.encode(), np.uint8) == 71)])
+            for name, p in compiled.items():
+                for m in p.finditer(s):
+                    begin, end = m.span()
+                    riz = _percent(int(g[end] - g[begin]), end - begin)
+                    if riz < 50:
+                        continue
+                    stop, best, last, rez = min(n, end + 2000), 0, end, 0.0
+                    for a in range(end + 50, stop, 100):
+                        b = min(a + 100, stop)
+                        if (g[b] - g[a]) * 100 < 40 * (b - a):
+                            continue
+                        ends = np.arange(a + 50, stop, 50)
+                        count = g[ends] - g[a]
+                        count[count * 100 < 40 * (ends - a)] = 0
+                        if len(count) and count.max() > best:
+                            k = int(count.argmax())
+                            best, last = int(count[k]), int(ends[k])
+                            rez = _percent(best, last - a)
+                    raw = round(min(1.0, riz / 100 + rez / 100), 6)
+                    span = (begin, last) if strand == "+" else (n - last, n - begin)
+                    out.append((*span, f"{strand}\t{name}", raw, {"riz_percent_g": str(riz), "rez_percent_g": str(rez)}))
+        return out
+
+    return run
+
+
 def primitive(unit: str) -> str:
     n = len(unit)
     return next((unit[:k] for k in range(1, n // 2 + 1) if (unit[:k] * (n // k + 1))[:n] == unit), unit)

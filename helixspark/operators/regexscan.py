@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 
 def regex_hits(seqs: DataFrame, patterns: dict[str, str], keys: tuple[str, ...] = ("seq_id",), seq_col: str = "seq") -> DataFrame:
-    """(keys, pattern_id, start, end, matched): places from 0, half open. The keys name a row; ``_`` is no letter of it.
+    """(keys, pattern_id, start, end, matched): places from 0, half open. The keys name a row; a ``_`` in it stands as ``~`` in what is matched.
 
     Every match is put between separators and the text is split at them: odd pieces are matches, and running sums of the
     pieces' lengths are their places. The text itself goes no further than its own row; only pieces are shuffled.
     """
-    marked = F.array(*(F.struct(F.lit(name).alias("pattern_id"), F.split(F.regexp_replace(F.col(seq_col), f"({p})", "_$1_"), "_").alias("pieces")) for name, p in patterns.items()))
+    marked = F.array(*(F.struct(F.lit(name).alias("pattern_id"), F.split(F.regexp_replace(F.translate(seq_col, "_", "~"), f"({p})", "_$1_"), "_").alias("pieces")) for name, p in patterns.items()))
     each = seqs.select(*keys, F.explode(marked).alias("m")).filter(F.size("m.pieces") > 1)
     pieces = each.select(*keys, F.col("m.pattern_id").alias("pattern_id"), F.posexplode("m.pieces").alias("i", "matched"))
     before = Window.partitionBy(*keys, "pattern_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
@@ -71,20 +71,30 @@ def kmer_hits(seqs: DataFrame, table: list[tuple[str, float]]) -> DataFrame:
     return seqs.select(F.col("seq_id").cast("string"), "seq").mapInArrow(run, "seq_id string, start long, kmer string, value double")
 
 
-def multi_pattern_hits(seqs: DataFrame, words: list[str]) -> DataFrame:
-    """(seq_id, word, start, end) of all places of literal words, overlapping ones too."""
+def multi_pattern_hits(seqs: DataFrame, words: list[str], slice_rows: int = 1 << 16) -> DataFrame:
+    """(seq_id, word, start, end) of all places of literal words, overlapping ones too: one pass of an Aho-Corasick automaton."""
     known = sorted(set(words) - {""})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for w in known:
+            automaton.add_word(w, w)
+        automaton.make_automaton()
+        rows: list[tuple] = []
+
+        def out() -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True)) or [[]] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["seq_id", "word", "start", "end"])
+
         for batch in batches:
-            rows = []
             for i, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for w in known:
-                    at = (s or "").find(w)
-                    while at >= 0:
-                        rows.append((i, w, at, at + len(w)))
-                        at = s.find(w, at + 1)
-            columns = list(zip(*rows, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["seq_id", "word", "start", "end"])
+                for last, w in automaton.iter(s or "") if known else ():
+                    rows.append((i, w, last + 1 - len(w), last + 1))
+                    if len(rows) >= slice_rows:
+                        yield out()
+                        rows.clear()
+        yield out()
 
     return seqs.select(F.col("seq_id").cast("string"), "seq").mapInArrow(run, "seq_id string, word string, start long, end long")

@@ -163,13 +163,13 @@ def enrichment(seqs: DataFrame, classes: list[str] | None = None, rounds: int =
 
     Every shuffle of a sequence is a row of its own, so the whole background is one distributed scan.
     """
-    from ..functions.sequence import shuffled
     from ..plans.scan import detect
 
-    background = None
-    for r in range(rounds):
-        part = seqs.select(F.concat_ws("\t", F.lit(str(r)), F.col("seq_id")).alias("seq_id"), shuffled(F.col("seq"), seed * 100_003 + r).alias("seq"))
-        background = part if background is None else background.unionByName(part)
+    letters = F.filter(F.split("seq", ""), lambda c: c != "")
+    turns = seqs.select("seq_id", letters.alias("letters"), F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("r"))
+    # a random order: letters by a hash of seed, round, name and place
+    mixed = F.transform(F.array_sort(F.transform("letters", lambda c, i: F.struct(F.xxhash64(F.lit(seed), "r", "seq_id", i).alias("h"), c.alias("c")))), lambda x: x["c"])
+    background = turns.select(F.concat_ws("\t", F.col("r").cast("string"), "seq_id").alias("seq_id"), F.array_join(mixed, "").alias("seq"))
     observed = detect(seqs, classes).groupBy("class").agg(F.count("*").alias("observed"))
     per_round = detect(background, classes).groupBy(F.split("seq_id", "\t")[0].alias("round"), "class").agg(F.count("*").alias("n"))
     joined = observed.join(per_round, "class", "left").groupBy("class", "observed").agg((F.coalesce(F.sum("n"), F.lit(0)) / rounds).alias("mean"), (F.coalesce(F.sum(F.col("n") * F.col("n")), F.lit(0)) / rounds).alias("_sq"), (F.count_if(F.col("n") >= F.col("observed")) / rounds).alias("p_value"))
