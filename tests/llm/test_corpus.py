@@ -48,39 +48,76 @@ def lm_rows(rng, n):
 def test_language_model(spark):
     rows = lm_rows(random.Random(1), 120) + [(200, None), (201, ""), (201, ""), (None, "the cat never barks"), (203, "unseen words only " * 3000)]
     train_rows = [(i, t) for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 5 != 1]
-    model, vocabulary = language_model.train(docs(spark, train_rows).select("text"), top=20, clustered=9, classes=4)
-    got = language_model.score_texts(docs(spark, rows), model, vocabulary).collect()
+    model, others = language_model.train(docs(spark, train_rows).select("text"), top=20, classes=4)
+    got = language_model.score_texts(docs(spark, rows), model, others).collect()
     assert len(got) == len(rows)
     counts = Counter(w for _, t in train_rows for w in [*language_model.words_of(t), b" end"])
     n, v = sum(counts.values()), len(counts)
-    head = {w: model.of[i] for w, i in model.ids.items()} | {b" end": model.other + 1}
+    rest = {r["word"]: (r["c"], r["class"]) for r in others.collect()}
+    rest = {bytes(w): x for w, x in rest.items()}
+    assert {w: c for w, (c, _) in rest.items()} == {w: c for w, c in counts.items() if w not in model.ids and w != b" end"}
+    of = {w: int(model.of[i]) for w, i in model.ids.items()} | {w: k for w, (_, k) in rest.items()} | {b" end": 4}
+    mass = [sum(counts[w] for w in of if of[w] == k) for k in range(4)]
+    size = [sum(of[w] == k for w in of) for k in range(4)]
+    assert model.mass[:4].tolist() == mass and model.size[:4].tolist() == size
     want = []
     for i, t in rows:
         words = [*language_model.words_of(t), b" end"]
         base = sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in words)
-        score, before = 0.0, model.other + 1
+        score, before = 0.0, 4
         for w in words:
-            c = int(head.get(w, model.other))
-            score += model.step[before, c]
+            k = of.get(w, model.unknown)
+            score += model.step[before, k]
             if w != b" end":
-                same = [x for x in counts if int(head.get(x, model.other)) == c]
-                score += math.log10((counts[w] + 0.5) / (sum(counts[x] for x in same) + 0.5 * (len(same) + (c == model.other))))
-            before = c
+                score += math.log10((counts[w] + 0.5) / (mass[k] + 0.5 * (size[k] + (k == model.unknown))))
+            before = k
         want.append((str(i), len(words), sum(counts[w] > 0 for w in words), n, round(base, 6), round(score, 6)))
     assert sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got) == sorted(want)
     total = {k: sum(r[k] for r in got if r.doc_id != 203) for k in ("score", "base_score")}
     assert total["score"] > total["base_score"]  # classes know the order of words
-    assert language_model.score_texts(docs(spark, []).limit(0), model, vocabulary).count() == 0
+    steps = 10**model.step
+    assert np.allclose(steps.sum(axis=1), 1)
+    assert language_model.score_texts(docs(spark, []).limit(0), model, others).count() == 0
     empty, nothing = language_model.train(docs(spark, []).limit(0).select("text"))
     assert language_model.score_texts(docs(spark, rows[:2]), empty, nothing).filter("n_known = 0").count() == 2
+    clash = docs(spark, rows[:3]).withColumn("word", F.lit(1)).withColumn("score", F.lit("x"))
+    assert language_model.score_texts(clash, model, others).count() == 3
 
 
-def test_exchange_never_lowers_the_likelihood():
-    rng = np.random.default_rng(2)
-    a = rng.poisson(0.4, (42, 42)) + np.kron(np.eye(2, dtype=int)[::-1], rng.poisson(3, (21, 21)))
-    of, trace = language_model.exchange(a, 4)
-    assert all(y >= x - 1e-6 for x, y in zip(trace, trace[1:], strict=False)) and trace[-1] > trace[0]
-    assert of[-2:].tolist() == [4, 5]
+def test_exchange_counts_and_moves_equal_plain_ones(spark):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(f"{'ab'[k % 2]}{rng.randrange(9)} rare{rng.randrange(400)}".split()[:1] if rng.random() < 0.9 else [f"rare{rng.randrange(400)}"]) for k in range(rng.randrange(30))) for _ in range(80)]
+    ids = {f"{x}{k}".encode(): i for i, (x, k) in enumerate((x, k) for x in "ab" for k in range(9))}
+    encoded = language_model.encode_corpus(docs(spark, list(enumerate(texts))).select("text"), ids)
+    of, big, trace = language_model.exchange(encoded, len(ids), 3, 6)
+    plain = np.zeros((4, 4), np.int64)
+    for t in texts:
+        path = [3, *(int(of[ids[w]]) if w in ids else -1 for w in language_model.words_of(t)), 3]
+        for x, y in zip(path, path[1:], strict=False):
+            if x >= 0 and y >= 0:
+                plain[x, y] += 1
+    assert (big == plain).all() and max(trace) == language_model.likelihood(big) > trace[0]
+    full = np.zeros((len(ids), 4, 2))
+    for t in texts:
+        path = [None, *(ids.get(w, -1) for w in language_model.words_of(t)), None]
+        k = lambda x: 3 if x is None else int(of[x])
+        for i in range(1, len(path) - 1):
+            if path[i] >= 0:
+                if path[i + 1] is None or path[i + 1] >= 0:
+                    full[path[i], k(path[i + 1]), 0] += 1
+                if path[i - 1] is None or path[i - 1] >= 0:
+                    full[path[i], k(path[i - 1]), 1] += 1
+    for w in range(0, len(ids), 3):
+        rated = []
+        for c in range(3):
+            moved = big.astype(float)
+            moved[of[w]] -= full[w, :, 0]
+            moved[:, of[w]] -= full[w, :, 1]
+            moved[c] += full[w, :, 0]
+            moved[:, c] += full[w, :, 1]
+            rated.append(language_model.likelihood(np.maximum(moved, 0)))
+        best = language_model.best_class(full[w, :, 0], full[w, :, 1], int(of[w]), big, 3)
+        assert rated[best] >= max(rated) - abs(max(rated)) * 0.01
 
 
 def test_search_equals_brute_force(spark):
