@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, slices, table
-from .tokenizing import encode_spliced, load
+from .tokenizing import encode_all, load
 
 SEQUENCE = 2048
 #: Rows of the assignment up to which it is broadcast (40 bytes each); a longer one is joined by a shuffle.
@@ -38,8 +38,8 @@ def pieces(df: DataFrame, tokenizer: str, size: int, id_col: str = "doc_id", tex
         encoder = load(tokenizer)
         for batch in slices(batches):
             row, piece, start, length, crc = [], [], [], [], []
-            for r, text in enumerate(batch.column(1).to_pylist()):
-                ids = np.append(encode_spliced(encoder, text or "")[0], np.uint32(0)).astype("<u4")
+            for r, (ids, _, _) in enumerate(encode_all(encoder, [t or "" for t in batch.column(1).to_pylist()])):
+                ids = np.append(ids, np.uint32(0)).astype("<u4")
                 first = len(ids) % size or size
                 for k, at in enumerate([0, *range(first, len(ids), size)]):
                     part = ids[at : first if k == 0 else at + size]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import slices, table
-from .tokenizing import CHUNK, OVERLAP, encode_spliced, load
+from .tokenizing import CHUNK, OVERLAP, encode_all, load
 
 SCHEMA = "n_bytes long, n_tokens long, over_limit boolean, n_splices int, n_widened int"
 
@@ -28,16 +28,8 @@ def count_tokens(df: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: int
         encoder = load(tokenizer)
         for batch in slices(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            short = [i for i, t in enumerate(texts) if len(t) <= chunk]
-            n, splices, widened = [0] * len(texts), [0] * len(texts), [0] * len(texts)
-            for k in range(0, len(short), 64):
-                part = short[k : k + 64]
-                for i, c in zip(part, encoder.count([texts[i] for i in part]), strict=True):
-                    n[i] = c
-            for i, t in enumerate(texts):
-                if len(t) > chunk:
-                    ids, splices[i], widened[i] = encode_spliced(encoder, t, chunk, overlap)
-                    n[i] = len(ids)
+            found = [(len(ids), a, b) for ids, a, b in encode_all(encoder, texts, chunk, overlap)]
+            n, splices, widened = (list(c) for c in zip(*found, strict=True)) if found else ([], [], [])
             size = [len(t.encode()) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_()), pa.array(splices, pa.int32()), pa.array(widened, pa.int32())], names=[id_col, "n_bytes", "n_tokens", "over_limit", "n_splices", "n_widened"])
 

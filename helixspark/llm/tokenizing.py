@@ -1,8 +1,5 @@
 """Public tokenizers behind one small interface, and overlap resynchronisation for huge texts.
 
-The byte-level .json kind looks up the pieces between such places among those it has met before (a bounded number), and
-asks the library for the others: words repeat, so most of a corpus is encoded once.
-
 A text longer than ``CHUNK`` characters is encoded in overlapping chunks, so that the encoder's memory is bounded by the
 chunk and not by the text. Two neighbouring encodings are spliced at a position p of their overlap for which
 
@@ -20,22 +17,18 @@ from __future__ import annotations
 import base64
 import os
 import re
+from collections.abc import Iterator
 from functools import cache
-from itertools import chain
 
 import numpy as np
 
 CHUNK, OVERLAP, AGREE = 1 << 16, 1 << 10, 2
-#: Pieces that a worker keeps, and the most characters of one that it keeps.
-KNOWN, SHORT = 200_000, 64
 ENDOFTEXT = "<|endoftext|>"
 #: No white space by any library's tables (those of Python, and two characters that older tables count in).
 _NO_BLANK = "[^\\s\u180e\u200b]"
 _LETTER, _MARK = "[\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]", "[\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f]"
 SPACE = re.compile(f"(?<={_NO_BLANK}) (?={_NO_BLANK})")
 BYTE_LEVEL = re.compile(f"(?<={_NO_BLANK})[ \n](?={_NO_BLANK})|(?<={_LETTER})(?={_MARK})|(?<={_MARK})(?={_LETTER})")
-#: Cuts away a space, or cuts before a line feed.
-PIECES = re.compile(f"(?<={_NO_BLANK}) (?={_NO_BLANK})|(?<={_NO_BLANK})(?=\n{_NO_BLANK})")
 
 
 class ByteRanks:
@@ -44,16 +37,19 @@ class ByteRanks:
     unit, stable = "byte", BYTE_LEVEL
 
     def __init__(self, path: str):
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self._engine(ranks, 50256)
+
+    def _engine(self, ranks: dict[bytes, int], end: int) -> None:
         import public_tokenizers
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={ENDOFTEXT: 50256})
-        self.sizes = np.zeros(max(50256, *ranks.values()) + 1, np.int64)
+        self.encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={ENDOFTEXT: end})
+        self.sizes = np.zeros(max(end, *ranks.values()) + 1, np.int64)
         for token, rank in ranks.items():
             self.sizes[rank] = len(token)
-        self.sizes[50256] = len(ENDOFTEXT)
+        self.sizes[end] = len(ENDOFTEXT)
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.encoding.encode(text, allowed_special="all", disallowed_special=()), np.uint32)
@@ -62,8 +58,8 @@ class ByteRanks:
         ids = self.ids(text)
         return ids, np.cumsum(self.sizes[ids])
 
-    def count(self, texts: list[str]) -> list[int]:
-        return [len(self.encoding.encode(t, allowed_special="all", disallowed_special=())) for t in texts]
+    def batch(self, texts: list[str]) -> list[np.ndarray]:
+        return [self.ids(t) for t in texts]
 
 
 class Json:
@@ -71,45 +67,45 @@ class Json:
 
     unit, stable = "char", SPACE
 
-    def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        # byte-level with its own pattern and nothing before it: pieces between stable places are encoded apart
-        self.apart = isinstance(self.tokenizer.pre_tokenizer, ByteLevel) and self.tokenizer.normalizer is None
-        if self.apart:
-            self.stable = BYTE_LEVEL
-        self.known: dict[str, list[int]] = {}
-
-    def _pieces(self, text: str) -> list[list[int]]:
-        first, *rest = PIECES.split(text)
-        pieces = [first, *(p if p[0] == "\n" else " " + p for p in rest)]
-        known = self.known
-        if len(known) > KNOWN:
-            known.clear()
-        if new := list({p for p in pieces if p not in known}):
-            found = dict(zip(new, (e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-            known.update((p, ids) for p, ids in found.items() if len(p) <= SHORT)
-            return [known[p] if p in known else found[p] for p in pieces]
-        return [known[p] for p in pieces]
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
 
     def ids(self, text: str) -> np.ndarray:
-        if self.apart:
-            return np.array(list(chain.from_iterable(self._pieces(text))), np.uint32)
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        return self.batch([text])[0]
 
     def ids_and_ends(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         e = self.tokenizer.encode(text, add_special_tokens=False)
         return np.array(e.ids, np.uint32), np.array([b for _, b in e.offsets], np.int64)
 
-    def count(self, texts: list[str]) -> list[int]:
-        if self.apart:
-            return [sum(map(len, self._pieces(t))) for t in texts]
-        return [len(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def batch(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+class ByteLevelJson(ByteRanks):
+    """A byte-level tokenizers file. Texts of up to CHUNK characters are encoded by the ranks of the file's own vocabulary,
+    which takes a third of the time; longer ones (runs on which that engine's pattern search gives up) by the file's library."""
+
+    def __init__(self, tokenizer):
+        letters = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256 on
+        byte = {chr(b): b for b in letters} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(letters))}
+        self.library = Json(tokenizer)
+        self._engine({bytes(byte[c] for c in token): i for token, i in tokenizer.get_vocab().items() if token != ENDOFTEXT}, tokenizer.token_to_id(ENDOFTEXT))
+
+    def ids(self, text: str) -> np.ndarray:
+        return super().ids(text) if len(text) <= CHUNK else self.library.ids(text)
+
+
+def _json(path: str) -> Json | ByteLevelJson:
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    special = tokenizer.get_added_tokens_decoder()
+    plain = isinstance(tokenizer.pre_tokenizer, ByteLevel) and tokenizer.normalizer is None and [t.content for t in special.values()] == [ENDOFTEXT]
+    return ByteLevelJson(tokenizer) if plain else Json(tokenizer)
 
 
 class Pieces:
@@ -129,8 +125,8 @@ class Pieces:
         found = self.model.encode(text, return_type="proto").pieces
         return np.array([p.id for p in found], np.uint32), np.array([p.end for p in found], np.int64)
 
-    def count(self, texts: list[str]) -> list[int]:
-        return [len(x) for x in self.model.encode(texts, num_threads=1)]
+    def batch(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x, np.uint32) for x in self.model.encode(texts, num_threads=1)]
 
 
 @cache
@@ -139,10 +135,19 @@ def load(name: str):
     import public_tokenizers
 
     path = name if os.path.sep in name else public_tokenizers.path(name)
-    kinds = {".tiktoken": ByteRanks, ".json": Json, ".model": Pieces}
+    kinds = {".tiktoken": ByteRanks, ".json": _json, ".model": Pieces}
     return kinds[os.path.splitext(path)[1]](str(path))
 
 
+def encode_all(encoder, texts: list[str], chunk: int = CHUNK, overlap: int = OVERLAP, some: int = 64) -> Iterator[tuple[np.ndarray, int, int]]:
+    """What encode_spliced gives for each text; texts of a chunk at most go to the library ``some`` at a time."""
+    for k in range(0, len(texts), some):
+        part = texts[k : k + some]
+        short = iter(encoder.batch([t for t in part if len(t) <= chunk]))
+        for t in part:
+            yield (next(short), 0, 0) if len(t) <= chunk else encode_spliced(encoder, t, chunk, overlap)
+
+
 def _place(text: str, start: int, p: int, unit: str) -> int:
     return p - start if unit == "char" else len(text[start:p].encode())
 

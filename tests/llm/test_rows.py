@@ -30,6 +30,15 @@ def test_ranks_give_the_ids_of_the_library(text):
         assert tokenizing.load("byte_bpe_50k.json").ids(joined).tolist() == library(joined)
 
 
+def test_json_ranks_are_those_of_the_rank_file():
+    one, two = tokenizing.load("byte_bpe_50k.json"), tokenizing.load("byte_bpe_50k.tiktoken")
+    assert (one.sizes == two.sizes).all() and one.encoding._mergeable_ranks == two.encoding._mergeable_ranks
+    points = [chr(c) for c in range(0x3500) if not 0xD800 <= c < 0xE000] + [chr(c) for c in range(0x3500, 0x110000, 997) if not 0xD800 <= c < 0xE000]
+    text = " ".join(f"a{c}b {c}{c}" for c in points)
+    for at in range(0, len(text), 30_000):
+        assert one.ids(text[at : at + 30_000]).tolist() == library(text[at : at + 30_000])
+
+
 def test_huge_texts_of_blanks_and_other_scripts():
     encoder, rng = tokenizing.load("byte_bpe_50k.json"), random.Random(1)
     for blank in (" ", "\n", " \n", "\u3000"):
