@@ -92,10 +92,6 @@ _PAIRS = """pairs AS (SELECT a.seq_id, a.start_pos AS s1, a.end_pos AS e1, a.cla
  FROM motifs a JOIN motifs b ON a.seq_id = b.seq_id AND b.start_pos <= a.end_pos + {reach} AND b.start_pos BETWEEN a.start_pos AND a.start_pos + 200 AND (a.start_pos, a.end_pos, a.event_id) < (b.start_pos, b.end_pos, b.event_id))"""
 
 
-def _greedy_class_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intervals.remove_overlaps(motifs(spark, sf_dir)).groupBy("seq_id", "class").agg(F.count("*").alias("n"), F.sum("score").alias("_s")).select("seq_id", "class", "n", F.round("_s", 3).alias("sum_score"))
-
-
 def _q(f: Callable[[DataFrame], DataFrame], source=sequences) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: f(source(spark, sf_dir))
 
@@ -113,11 +109,6 @@ def _features(spark: SparkSession) -> DataFrame:
     return spark.range(200).select(F.concat(F.lit("s"), (F.col("id") % 20).cast("string")).alias("seq_id"), F.when(F.col("id") % 3 == 0, "gene").otherwise("exon").alias("type"), ((F.col("id") * 977) % 50_000).alias("start"), ((F.col("id") * 977) % 50_000 + 400 + F.col("id")).alias("end"))
 
 
-def _fasta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = writers.fasta_lines(sequences(spark, sf_dir)).select(F.substring("value", 2, 10**9).alias("value"), F.lit("f").alias("source_file"))
-    return readers.parse_fasta(records).select("seq_id", "length", F.md5("seq").alias("md5"))
-
-
 _B = "regexp_replace(seq, '[^{b}]', '', 'g')"
 
 
@@ -126,9 +117,7 @@ def _n(b: str) -> str:
 
 
 _REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
-    "scan_counts": (lambda s, d: statistics.class_counts(detect(sequences(s, d), ["Curved_DNA", "Triplex", "Z-DNA"])), None),
     "scan_full": (lambda s, d: scan(sequences(s, d)).groupBy("class", "subclass").agg(F.count("*").alias("n"), F.sum("length").alias("sum_length")), None),
-    "scan_chunked": (lambda s, d: scan(sequences(s, d), ["Curved_DNA", "Z-DNA"], mode="chunked", size=5000, overlap=1000).groupBy("class", "subclass").agg(F.count("*").alias("n")), None),
     "f_validate": (_q(lambda q: q.select("seq_id", fn.is_valid(F.col("seq")).alias("ok"), fn.validity(F.col("seq")).alias("why"))), WITH_SEQ + " SELECT seq_id, length(seq) >= 10 AND regexp_matches(seq, '^[ATGCRYSWKMBDHVN-]+$') AS ok, CASE WHEN length(seq) = 0 THEN 'empty' WHEN NOT regexp_matches(seq, '^[ATGCRYSWKMBDHVN-]+$') THEN 'invalid characters' WHEN length(seq) < 10 THEN 'too short' ELSE 'valid' END AS why FROM sequences"),
     "f_basic_stats": (
         _q(lambda q: q.select("seq_id", F.length("seq").cast("long").alias("n"), *(fn.count_of(F.col("seq"), b).alias(f"n_{b.lower()}") for b in "ATGCN"), F.round(fn.gc_content(F.col("seq")), 6).alias("gc"), F.round(fn.at_content(F.col("seq")), 6).alias("at"), F.round(fn.at_complement(F.col("seq")), 6).alias("at2"), F.round(fn.melting_temperature(F.col("seq")), 6).alias("tm"), fn.gc_balance(F.col("seq")).alias("balance"))),
@@ -137,15 +126,11 @@ _REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]
     "f_revcomp": (_q(lambda q: q.select("seq_id", F.md5(fn.revcomp(F.col("seq"))).alias("a"), F.md5(fn.reverse_complement(F.col("seq"))).alias("b"), fn.is_palindrome(F.col("seq")).alias("p"))), WITH_SEQ + " SELECT seq_id, md5(reverse(translate(seq, 'ACGT', 'TGCA'))) AS a, md5(reverse(translate(seq, 'ATGCRYSWKMBVDHN-', 'TACGYRWSMKVBHDN-'))) AS b, seq = reverse(translate(seq, 'ATGCRYSWKMBVDHN-', 'TACGYRWSMKVBHDN-')) AS p FROM sequences"),
     "f_primitive": (_q(lambda q: q.select("seq_id", fn.primitive_unit(F.col("seq")).alias("u"), fn.shortened(F.col("seq")).alias("short"))), None),
     "f_scores": (_q(lambda q: q.select("seq_id", *(F.round(f(F.col("seq")), 6).alias(name) for name, f in (("imotif", scoring.imotif), ("curvature", scoring.curvature), ("triplex", scoring.triplex), ("r_loop", scoring.r_loop), ("a_philic", scoring.a_philic), ("g4hunter", scoring.g4hunter), ("z_dna", scoring.z_alternation), ("instability", scoring.instability), ("cruciform", scoring.cruciform))))), None),
-    "f_normalize_by_class": (_m(lambda m, n: m.select("event_id", F.round(scoring.normalize_by_class(F.col("score") / 3.0, F.col("class")), 6).alias("score")).filter(F.col("event_id") % 9 < 7)), WITH_MOTIF + ", r(class, lo, hi) AS (VALUES " + ", ".join(f"('{c}', {a}::DOUBLE, {b}::DOUBLE)" for c, (a, b) in scoring.RAW_RANGES.items()) + ") SELECT event_id, round(CASE WHEN class = 'G-Quadruplex' THEN CASE WHEN x < 0.5 THEN 1.0 WHEN x >= 1.0 THEN least(3.0, 2.0 + (x - 0.5) * 2.0) ELSE 1.0 + (x - 0.5) * 2.0 END WHEN x <= lo THEN 1.0 WHEN x >= hi THEN 3.0 ELSE 1.0 + 2.0 * (x - lo) / (hi - lo) END, 6)::DOUBLE AS score FROM (SELECT event_id, class, score / 3.0::DOUBLE AS x FROM motifs) JOIN r USING (class) WHERE event_id % 9 < 7"),
     "f_registry": (lambda s, d: registry.pattern_counts(s), "SELECT * FROM (VALUES " + ", ".join(f"('{c}', {sum(p[0] == c for p in registry.PATTERNS)}::BIGINT, {len({p[3] for p in registry.PATTERNS if p[0] == c})}::BIGINT)" for c in MAIN_CLASSES) + ") AS t(class, patterns, subclasses)"),
-    "f_registry_scan": (_q(lambda q: registry.scan_with_registry(q, "Z-DNA").select("seq_id", "pattern_id", "start", "end")), WITH_SEQ + ' SELECT seq_id, pattern_id, "start", "end" FROM ' + _hits_sql({p: rx for c, p, rx, _, _ in registry.PATTERNS if c == "Z-DNA"})),
     "f_gc_of_set": (_q(statistics.gc_of_set), WITH_SEQ + f" SELECT count(*) AS sequences, sum(length(seq))::BIGINT AS total_bp, round(sum({_n('GC')}) * 100.0::DOUBLE / sum({_n('ACGT')}), 6) AS gc_pct, round(sum({_n('GC')}) * 100.0::DOUBLE / sum(length(seq)), 6) AS gc_of_total_pct FROM sequences"),
     "f_taxonomy": (lambda s, d: names.taxonomy(s), "SELECT * FROM (VALUES " + ", ".join(f"({k}, '{c}', '{x}')" for k, (c, xs) in enumerate(TAXONOMY.items(), 1) for x in xs) + ") AS t(class_id, class, subclass)"),
     "f_normalize_names": (_aliases, WITH_MOTIF + " SELECT event_id, class, subclass FROM motifs"),
-    "s_fasta_round_trip": (_fasta, WITH_SEQ + " SELECT seq_id, length(regexp_replace(seq, '[^ATGCNRYSWKMBDHV]', '', 'g'))::BIGINT AS length, md5(regexp_replace(seq, '[^ATGCNRYSWKMBDHV]', '', 'g')) AS md5 FROM sequences"),
     "s_file_types": (lambda s, d: statistics.file_types(sequences(s, d).select(F.substring("seq_id", -1, 1).alias("source_file"), "seq")), WITH_SEQ + " SELECT right(seq_id, 1) AS source_file, CASE WHEN count(*) = 1 THEN 'single' WHEN count(DISTINCT length(seq)) = 1 THEN 'multi_equal' ELSE 'multi' END AS file_type, count(*) AS n FROM sequences GROUP BY 1"),
-    "s_preview": (_q(readers.preview), WITH_SEQ + " SELECT seq_id, substr(seq, 1, 400) AS start_of_seq, length(seq)::INT AS length FROM sequences ORDER BY seq_id LIMIT 3"),
     "d_local_curvature": (_q(lambda q: _picked(detectors.local_curvature(q))), WITH_SEQ + f""" SELECT seq_id, 'Local Curvature' AS subclass, "start" + 1 AS start_pos, "end" AS end_pos, '+' AS strand, raw AS raw_score, {_score_sql('raw', '0.1::DOUBLE', '1.0::DOUBLE', '"end" - "start"', 50)} AS score, pattern_id FROM (SELECT *, round(("end" - "start")::DOUBLE / ("end" - "start" + 7.0::DOUBLE), 6) AS raw FROM {_hits_sql(detectors.LOCAL_CURVES)})"""),
     "d_global_curvature": (
         _q(lambda q: _picked(detectors.global_curvature(q))),
@@ -158,26 +143,18 @@ SELECT seq_id, 'Global Curvature' AS subclass, s + 1 AS start_pos, e AS end_pos,
     "d_egz": (_q(lambda q: _picked(detectors.egz(q))), WITH_SEQ + f""" SELECT seq_id, 'eGZ' AS subclass, "start" + 1 AS start_pos, "end" AS end_pos, '+' AS strand, raw AS raw_score, {_score_sql('raw', '50.0::DOUBLE', '(("end" - "start") * 63.0::DOUBLE / 10.0)', '"end" - "start"', 300)} AS score, pattern_id FROM (SELECT *, round(0.85::DOUBLE * (("end" - "start") // 3) / 3, 6) AS raw FROM {_hits_sql(detectors.EGZ)})"""),
     "d_z_dna": (_q(lambda q: _picked(detectors.z_dna(q))), _kmer_sql(_Z_TABLE, 50.0, "63.0", "Z-DNA", "Z10")),
     "d_a_philic": (_q(lambda q: _picked(detectors.a_philic(q))), _kmer_sql(_A_TABLE, 0.5, _A_MOST, "A-philic DNA", "A10")),
-    "d_g4_pattern_hits": (_q(lambda q: regexscan.regex_hits(q, {k: v for k, v in detectors.QUADRUPLEXES.items() if k in ("G4_TEL", "G4_CAN", "G4_WEAK")}).select("seq_id", "pattern_id", "start", "end")), WITH_SEQ + ' SELECT seq_id, pattern_id, "start", "end" FROM ' + _hits_sql({k: v for k, v in detectors.QUADRUPLEXES.items() if k in ("G4_TEL", "G4_CAN", "G4_WEAK")})),
-    "d_g_quadruplex": (_q(lambda q: _picked(detectors.quadruplexes(q))), None),
     "d_i_motif_hits": (_q(lambda q: detectors.i_motif_hits(q).select("seq_id", "start", "end", "strand", "pattern_id")), WITH_SEQ + f""", both_(seq_id, strand, n, seq) AS (SELECT seq_id, '+', length(seq), seq FROM sequences UNION ALL SELECT seq_id, '-', length(seq), reverse(translate(seq, 'ACGT', 'TGCA')) FROM sequences)
 SELECT seq_id, CASE strand WHEN '+' THEN "start" ELSE n - "end" END AS "start", CASE strand WHEN '+' THEN "end" ELSE n - "start" END AS "end", strand, pattern_id FROM {_hits_sql(detectors.IMOTIFS, 'both_', 'seq_id, strand, n')} WHERE "end" - "start" >= 10"""),
-    "d_i_motif": (_q(lambda q: _picked(detectors.i_motifs(q))), None),
-    "d_r_loop_zones": (_q(lambda q: regexscan.regex_hits(q, detectors.RLOOPS).select("seq_id", "pattern_id", "start", "end")), WITH_SEQ + ' SELECT seq_id, pattern_id, "start", "end" FROM ' + _hits_sql(detectors.RLOOPS)),
-    "d_r_loop": (_q(lambda q: _picked(detectors.r_loops(q))), None),
     "d_slipped": (_q(lambda q: _picked(detectors.slipped(q))), None),
     "d_cruciform": (_q(lambda q: _picked(detectors.cruciform(q))), None),
     "d_h_dna": (_q(lambda q: _picked(detectors.h_dna(q))), None),
     "f_multi_pattern": (_q(lambda q: regexscan.multi_pattern_hits(q, ["GGG", "CCC", "TTAGGG", "CGCGCG"]).groupBy("word").agg(F.count("*").alias("n"))), WITH_SEQ + ", w(word) AS (VALUES ('GGG'), ('CCC'), ('TTAGGG'), ('CGCGCG')) SELECT word, count(*) AS n FROM (SELECT word, unnest(range(1, length(seq) - length(word) + 2)) AS p, seq FROM sequences, w WHERE length(seq) >= length(word)) WHERE substr(seq, p, length(word)) = word GROUP BY word"),
     "i_tiles": (_q(lambda q: intervals.tiles(q, 1000, 200).select("seq_id", "tile_id", "tile_start", "tile_end", "core_end", F.md5("tile_seq").alias("md5"))), WITH_SEQ + ", t AS (SELECT *, greatest(0, ceil((length(seq) - 1000) / 800.0))::BIGINT AS last FROM sequences), u AS (SELECT *, unnest(range(0, last + 1)) AS tile_id FROM t) SELECT seq_id, tile_id, tile_id * 800 AS tile_start, least(tile_id * 800 + 1000, length(seq)) AS tile_end, CASE WHEN tile_id = last THEN length(seq) ELSE tile_id * 800 + 800 END AS core_end, md5(substr(seq, tile_id * 800 + 1, 1000)) AS md5 FROM u"),
-    "i_remove_overlaps": (_greedy_class_check, None),
-    "i_resolve_cross_class": (_m(lambda m, n: intervals.resolve_cross_class(m).groupBy("seq_id").agg(F.count("*").alias("n"))), None),
     "i_dedup_exact": (_m(lambda m, n: intervals.dedup_exact(m)), WITH_MOTIF + " SELECT seq_id, class, subclass, start_pos, end_pos, max(score) AS score FROM motifs GROUP BY ALL"),
     "i_hybrids": (_m(lambda m, n: intervals.hybrids(m).select("seq_id", "start_pos", "end_pos", F.array_join("component_classes", "+").alias("classes"))), WITH_MOTIF + ", " + _PAIRS.format(reach=0) + " SELECT DISTINCT seq_id, least(s1, s2) AS start_pos, greatest(e1, e2) AS end_pos, least(c1, c2) || '+' || greatest(c1, c2) AS classes FROM pairs WHERE c1 <> c2 AND (least(e1, e2) - greatest(s1, s2) + 1)::DOUBLE / least(e1 - s1 + 1, e2 - s2 + 1) > 0.5 AND (least(e1, e2) - greatest(s1, s2) + 1)::DOUBLE / least(e1 - s1 + 1, e2 - s2 + 1) < 0.99"),
     "i_clusters": (_m(lambda m, n: intervals.clusters(m).select("seq_id", "start_pos", "end_pos", "motif_count", "class_diversity")), WITH_MOTIF + " SELECT DISTINCT seq_id, start_pos, e AS end_pos, n::INT AS motif_count, c::INT AS class_diversity FROM (SELECT seq_id, start_pos, count(*) OVER w AS n, count(DISTINCT class) OVER w AS c, max(end_pos) OVER w AS e, avg(score) OVER w AS x FROM motifs WINDOW w AS (PARTITION BY seq_id ORDER BY start_pos RANGE BETWEEN CURRENT ROW AND 300 FOLLOWING)) WHERE n >= 4 AND c >= 3"),
     "i_coverage": (_m(lambda m, n: intervals.coverage(m, ["seq_id", "class"])), WITH_MOTIF + " " + _COVER.format(k="seq_id, class")),
     "i_filter": (_m(lambda m, n: m.filter(F.col("score").between(1.5, 2.5) & (F.col("length") >= 20) & F.col("class").isin("Z-DNA", "Triplex")).select("event_id", "class", "score")), WITH_MOTIF + " SELECT event_id, class, score FROM motifs WHERE score BETWEEN 1.5 AND 2.5 AND length >= 20 AND class IN ('Z-DNA', 'Triplex')"),
-    "i_quality": (_m(lambda m, n: intervals.quality_issues(m.withColumn("length", F.when(F.col("event_id") % 7 == 0, F.col("length") + 1).otherwise(F.col("length"))), 50_000)), WITH_MOTIF + " SELECT seq_id, 'length differs' AS issue, count(*) AS n FROM motifs WHERE event_id % 7 = 0 GROUP BY 1 UNION ALL SELECT seq_id, 'beyond the sequence', count(*) FROM motifs WHERE end_pos > 50000 GROUP BY 1"),
     "i_overlap_counts": (_m(lambda m, n: series.overlap_counts(m, top=None)), WITH_MOTIF + ", " + _PAIRS.format(reach=0) + " SELECT least(c1, c2) AS a, greatest(c1, c2) AS b, count(*) AS n FROM pairs WHERE s2 < e1 AND c1 <> c2 GROUP BY 1, 2"),
     "a_motif_statistics": (
         _m(lambda m, n: statistics.motif_statistics(m, n).select("seq_id", "total_motifs", "classes_detected", "covered_bp", "coverage_pct", "density", "raw_occupancy_bp", "normalized_occupancy", "mean_overlap_depth", "mean_gap", "simpson", "effective_classes", "dominance", "length_min", "length_max")),
@@ -203,22 +180,22 @@ SELECT seq_id, CASE strand WHEN '+' THEN "start" ELSE n - "end" END AS "start",
     "w_windows": (_m(lambda m, n: series.windowed(m, LENGTH, 1000).drop("mean_score")), WITH_MOTIF + ' SELECT seq_id, w AS "window", class, count(*) AS n, round(count(*) * 1000.0::DOUBLE / 1000, 4) AS per_kb FROM (SELECT seq_id, class, unnest(range((start_pos - 1) // 1000, least((end_pos - 1) // 1000, 59) + 1)) AS w FROM motifs WHERE start_pos - 1 < 60000) GROUP BY 1, 2, 3'),
     "w_heatmap": (_m(lambda m, n: series.structural_heatmap(m, LENGTH)), WITH_MOTIF + f', b AS (SELECT seq_id, least(floor(start_pos * 50 / {LENGTH}.0::DOUBLE)::BIGINT, 49) AS "window", class, count(*) AS n FROM motifs WHERE start_pos < {LENGTH} GROUP BY 1, 2, 3) SELECT *, round(n::DOUBLE / max(n) OVER (PARTITION BY seq_id, class), 6) AS share FROM b'),
     "w_gc_windows": (lambda s, d: series.gc_windows(sequences(s, d), motifs(s, d).withColumn("seq_id", F.substring("seq_id", 2, 9)), 100), WITH_SEQ + f", motifs AS (SELECT {_motif('varchar')} FROM events), t AS (SELECT seq_id, unnest(range(0, length(seq) // 100)) AS w, seq FROM sequences WHERE length(seq) >= 100), c AS (SELECT substr(seq_id, 2) AS seq_id, (start_pos - 1 + end_pos) // 2 // 100 AS w, count(*) AS n FROM motifs GROUP BY 1, 2) SELECT t.seq_id, t.w::INT AS \"window\", round(length(regexp_replace(substr(seq, w * 100 + 1, 100), '[^GC]', '', 'g')) * 100.0::DOUBLE / 100, 4) AS gc_pct, coalesce(n, 0)::BIGINT AS n FROM t LEFT JOIN c USING (seq_id, w)"),
-    "w_cumulative": (_m(lambda m, n: series.cumulative(m).groupBy("seq_id", "class").agg(F.max("cumulative").alias("n"))), WITH_MOTIF + " SELECT seq_id, class, count(*) AS n FROM motifs GROUP BY 1, 2"),
     "w_co_occurrence": (_m(lambda m, n: series.co_occurrence(m, 100)), WITH_MOTIF + ", " + _PAIRS.format(reach=100) + " SELECT least(c1, c2) AS class_a, greatest(c1, c2) AS class_b, count(*) AS n FROM pairs GROUP BY 1, 2"),
     "w_class_combinations": (_m(lambda m, n: series.class_combinations(m)), WITH_MOTIF + ", " + _PAIRS.format(reach=0) + " SELECT classes, count(*) AS n FROM (SELECT i1, array_to_string(list_sort(list_distinct(list_append(list(c2), any_value(c1)))), '+') AS classes FROM pairs WHERE s2 < e1 GROUP BY i1) GROUP BY 1"),
-    "w_gaps": (_m(lambda m, n: series.gaps(m).groupBy("seq_id").agg(F.sum("gap").alias("sum_gap"), F.max("gap").alias("max_gap"))), WITH_MOTIF + " SELECT seq_id, sum(g)::BIGINT AS sum_gap, max(g) AS max_gap FROM (SELECT seq_id, greatest(0, lead(start_pos) OVER (PARTITION BY seq_id ORDER BY start_pos, end_pos) - end_pos) AS g, lead(start_pos) OVER (PARTITION BY seq_id ORDER BY start_pos, end_pos) AS nx FROM motifs) WHERE nx IS NOT NULL GROUP BY 1"),
     "w_bins": (_m(lambda m, n: series.binned(m, LENGTH)), WITH_MOTIF + f" SELECT what, bin, count(*) AS n FROM (SELECT 'start' AS what, least(floor((start_pos - 1) * 100 / {LENGTH}.0::DOUBLE)::BIGINT, 99) AS bin FROM motifs UNION ALL SELECT 'length', least(floor(length * 100 / 10000.0::DOUBLE)::BIGINT, 99) FROM motifs) GROUP BY 1, 2"),
-    "k_csv": (_m(lambda m, n: writers.csv_rows(m)), WITH_MOTIF + " SELECT seq_id, class, subclass, start_pos::VARCHAR AS start_pos, end_pos::VARCHAR AS end_pos, length::VARCHAR AS length, 'NA' AS strand, score::VARCHAR AS score, 'NA' AS raw_score, 'NA' AS method, 'NA' AS pattern_id FROM motifs"),
-    "k_bed": (_m(lambda m, n: writers.bed_lines(m)), WITH_MOTIF + ", col(class, rgb) AS (VALUES " + ", ".join(f"('{c}', '{v}')" for c, v in writers.COLOURS.items()) + ") SELECT concat_ws(chr(9), seq_id, start_pos - 1, end_pos, class || '_' || replace(subclass, ' ', '_'), least(1000, floor(score * 1000)::INT), '.', start_pos - 1, end_pos, rgb) AS value FROM motifs JOIN col USING (class)"),
-    "k_gff3": (_m(lambda m, n: writers.gff3_lines(m)), WITH_MOTIF + " SELECT concat_ws(chr(9), seq_id, 'helixspark', class, start_pos, end_pos, printf('%.3f', score), '.', '.', 'ID=' || seq_id || '_' || start_pos || ';Class=' || class || ';Subclass=' || subclass) AS value FROM motifs"),
-    "k_exportable": (_m(lambda m, n: writers.exportable(m.withColumn("subclass", F.when(F.col("event_id") % 5 == 0, "Dynamic thing").otherwise(F.col("subclass"))), drop_dynamic_subclasses=True).select("event_id")), WITH_MOTIF + " SELECT event_id FROM motifs WHERE event_id % 5 <> 0"),
     "k_missing_classes": (_m(lambda m, n: names.missing_classes(m)), WITH_MOTIF + ", t(class_id, class, subclass) AS (VALUES " + ", ".join(f"({k}, '{c}', '{x}')" for k, (c, xs) in enumerate(TAXONOMY.items(), 1) for x in xs) + ") SELECT t.* FROM t ANTI JOIN motifs USING (class, subclass)"),
 }
 
 
+def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
+    from . import catalog_more
+
+    return _REGISTRY | catalog_more.REGISTRY
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, (f, _) in _REGISTRY.items()}
+    return {name: f for name, (f, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _REGISTRY.items() if sql is not None}
+    return {name: sql for name, (_, sql) in _all().items() if sql is not None}

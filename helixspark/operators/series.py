@@ -66,9 +66,10 @@ def class_combinations(motifs: DataFrame) -> DataFrame:
 
 
 def gaps(motifs: DataFrame) -> DataFrame:
-    """Distances between consecutive motifs, 0 at least."""
+    """Distances between consecutive motifs, 0 at least; the last of a sequence has none."""
     after = Window.partitionBy("seq_id").orderBy("start_pos", "end_pos")
-    return motifs.select("seq_id", "start_pos", "end_pos", F.greatest(F.lit(0), F.lead("start_pos").over(after) - F.col("end_pos")).alias("gap")).filter("gap is not null")
+    each = motifs.select("seq_id", "start_pos", "end_pos", F.lead("start_pos").over(after).alias("_next")).filter("_next is not null")
+    return each.select("seq_id", "start_pos", "end_pos", F.greatest(F.lit(0), F.col("_next") - F.col("end_pos")).alias("gap"))
 
 
 def structural_heatmap(motifs: DataFrame, length: int, bins: int = 50) -> DataFrame:

@@ -1,14 +1,16 @@
+import gzip
 import json
 import random
+import re
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from helixspark import catalog
-from helixspark.functions import scoring, tables
+from helixspark.functions import registry, scoring, tables
 from helixspark.functions import sequence as fn
-from helixspark.operators import detectors, intervals, kernels, series, statistics
+from helixspark.operators import detectors, intervals, kernels, reports, series, statistics
 from helixspark.plans.scan import scan
 from helixspark.sources import readers, writers
 from helixspark.streaming import stream
@@ -168,24 +170,129 @@ def test_units_and_palindromes_equal_plain_search(spark):
     assert spark.createDataFrame([("",), (None,)], "w string").select(fn.primitive_unit(F.col("w")).alias("u"), scoring.g4hunter(F.col("w")).alias("g")).first() == ("", 0.0)
 
 
+def test_fasta(spark, tmp_path):
+    text = "; a comment\n>one first\nACGT\r\nac gt\n>two A->G mutant\nNNNNXX\n>one first\nTTTT\n>empty\n\n>\nGG\n  >three  x\nCC-C\n>\nAA"
+    (tmp_path / "a.fa").write_text(text)
+    want = {"one first": "TTTT", "two A->G mutant": "NNNN", "sequence_1": "GG", "three  x": "CCC", "sequence_2": "AA"}
+    got = readers.read_fasta(spark, str(tmp_path / "a.fa")).collect()
+    assert {r.seq_id: r.seq for r in got} == want and all(r.length == len(r.seq) and r.source_file.endswith("a.fa") for r in got)
+    assert readers.read_fasta(spark, str(tmp_path / "a.fa"), last_wins=False).count() == 6
+    assert {r.seq_id for r in readers.read_fasta(spark, str(tmp_path / "a.fa"), header="token").collect()} == {"one", "two", "sequence_1", "three", "sequence_2"}
+    assert {r.seq for r in readers.read_fasta(spark, str(tmp_path / "a.fa"), clean=False).collect()} >= {"NNNNXX", "CC-C"}
+    for name in ("b.fa.gz", "c.bgz", "odd"):
+        (tmp_path / name).write_bytes(gzip.compress(text[:40].encode()) + gzip.compress(text[40:].encode()))
+    assert {r.seq_id: r.seq for r in readers.read_fasta(spark, str(tmp_path / "b.fa.gz")).collect()} == want
+    for name in ("b.fa.gz", "c.bgz", "odd", "a.fa"):
+        assert {r.seq_id: r.seq for r in readers.read_fasta_compressed(spark, str(tmp_path / name)).collect()} == want
+    contents = spark.createDataFrame([(text, "x"), (">a\nAC", "y"), (None, "z")], "value string, source_file string")
+    assert {(r.source_file, r.seq_id): r.seq for r in readers.parse_fasta(contents).collect()} == {("x", k): v for k, v in want.items()} | {("y", "a"): "AC"}
+    rng = random.Random(4)  # a file cut into many splits
+    rows = {f"name {i} >{i}": dna(rng, rng.randrange(1, 900)) for i in range(400)}
+    (tmp_path / "large.fa").write_text("\n".join(f">{n}\n{s}" for n, s in rows.items()))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        df = readers.read_fasta(spark, str(tmp_path / "large.fa"))
+        assert {r.seq_id: r.seq for r in df.collect()} == rows
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert readers.subsequence(df, "name 3 >3", 2, 9).first().seq == rows["name 3 >3"][2:9]
+
+
 def test_files(spark, tmp_path):
-    (tmp_path / "a.fa").write_text(">one first\nACGT\nac gt\n>two\nNNNNXX\n>one first\nTTTT\n>empty\n\n")
-    got = {r.seq_id: r.seq for r in readers.read_fasta(spark, str(tmp_path / "a.fa")).collect()}
-    assert got == {"one first": "TTTT", "two": "NNNN"}
-    assert readers.read_fasta(spark, str(tmp_path / "a.fa"), header="token", clean=False, last_wins=False).count() == 3
     (tmp_path / "a.gff").write_text("##gff\ns\tx\tgene\t3\t20\t.\t+\t.\tID=1\nbad line\ns\tx\tgene\tq\t9\t.\t+\t.\t.\n")
     gff = readers.read_gff(spark, str(tmp_path / "a.gff"))
     assert [(r.start, r.end, r.type) for r in gff.collect()] == [(2, 20, "gene")]
     seqs = sequences(spark, [("s", "ACGTACGTACGTACGTACGTACGT")])
     assert readers.region_sequences(gff, seqs).first().seq == "ACGTACGTACGTACGTACGTACGT"[2:20]
-    motifs = scan(sequences(spark, [("s", "CG" * 20 + "A" * 12 + "GAA" * 8)]))
-    for kind in ("parquet", "csv", "bed", "gff3", "json"):
+    source = sequences(spark, [("s", "CG" * 20 + "A" * 12 + "GAA" * 8), ("t", "T" * 9 + "ACGT" * 3)])
+    motifs = writers.with_sequence(scan(source), source)
+    plain = [r for r in motifs.collect() if r["class"] not in ("Hybrid", "Non-B_DNA_Clusters")]
+    for kind in ("parquet", "csv", "bed", "gff3", "json", "jsonl"):
         writers.write(motifs, str(tmp_path / kind), kind)
-    assert spark.read.parquet(str(tmp_path / "parquet")).count() == spark.read.option("header", True).csv(str(tmp_path / "csv")).count() > 2
-    assert all(json.loads(r.value)["seq_id"] == "s" for r in spark.read.text(str(tmp_path / "json")).collect())
-    writers.save_job(str(tmp_path / "job"), motifs, seqs, {"name": "x"})
-    back = writers.load_job(spark, str(tmp_path / "job"))
+    assert spark.read.parquet(str(tmp_path / "parquet")).count() == motifs.count() > len(plain) / 2
+    rows = spark.read.option("header", True).csv(str(tmp_path / "csv"))
+    assert rows.columns == [*writers.CORE, "attrs", "class_diversity", "component_classes", "motif_count"] and rows.count() == len(plain)
+    assert all(r.sequence == dict(source.collect())[r.seq_id][int(r.start_pos) - 1 : int(r.end_pos)] for r in rows.collect())
+    text = lambda kind: "".join(p.read_text() for p in sorted((tmp_path / kind).glob("part*")))
+    tracks = text("bed").split("track name")[1:]
+    assert len(tracks) == 2 and sum(len(t.splitlines()) - 1 for t in tracks) == len(plain)
+    sections = text("gff3").split("##gff-version 3\n")[1:]
+    assert len(sections) == 2
+    for part in sections:
+        head, *lines = part.splitlines()
+        name = head.split()[1]
+        assert head == f"##sequence-region {name} 1 {max(r.end_pos for r in motifs.collect() if r.seq_id == name)}"
+        assert [x.split("\t")[8].split(";")[0] for x in lines] == [f"ID=motif_{i}" for i in range(1, len(lines) + 1)]
+    region = writers.gff3_lines(motifs, spark.createDataFrame([("s", 76), ("t", 21)], "seq_id string, seq_length long"), length_of_name=True)
+    assert {r.value for r in region.filter("value like '##seq%'").collect()} == {"##sequence-region s 1 1", "##sequence-region t 1 1"}
+    objects = [json.loads('{"version"' + x) for x in text("json").split('{"version"')[1:]]
+    assert sum(o["total_motifs"] for o in objects) == sum(len(o["motifs"]) for o in objects) == len(plain) and len(objects) == 2
+    assert sum(1 for _ in text("jsonl").splitlines()) == motifs.count()
+    writers.append_jsonl(motifs, str(tmp_path / "jsonl"))
+    assert spark.read.json(str(tmp_path / "jsonl")).count() == 2 * motifs.count()
+    with_file = motifs.withColumn("source_file", F.lit("f1"))
+    writers.write(with_file, str(tmp_path / "by_file"))
+    assert (tmp_path / "by_file" / "source_file=f1").is_dir()
+    writers.save_job(str(tmp_path / "jobs" / "j1"), motifs, seqs, {"name": "x"})
+    back = writers.load_job(spark, str(tmp_path / "jobs" / "j1"))
     assert back[2] == {"name": "x"} and back[0].count() == motifs.count()
+    assert writers.job_exists(spark, str(tmp_path / "jobs" / "j1")) and not writers.job_exists(spark, str(tmp_path / "jobs" / "j2"))
+    assert [tuple(r) for r in writers.list_jobs(spark, str(tmp_path / "jobs")).collect()] == [("j1", "name", "x")]
+    assert writers.job_summary(spark, str(tmp_path / "jobs" / "j1")).agg(F.sum("n")).first()[0] == motifs.count()
+    sheets = reports.statistics_workbook(motifs, spark.createDataFrame([("s", 76), ("t", 21)], "seq_id string, seq_length long"))
+    assert {r.metric: r.value for r in sheets["Summary"].filter("seq_id = 't'").collect()}["total_motifs"] == sum(r.seq_id == "t" for r in plain)
+    assert sheets["Subclass"].count() == len({(r.seq_id, r.subclass) for r in plain}) and sheets["Score_Distribution"].count() == len({r["class"] for r in plain})
+
+
+def test_input_reports(spark):
+    raw = spark.createDataFrame([(1, ">Head one\nacgt\nACGN\n>second\nGG"), (2, "  "), (3, "AC!G!T?"), (4, "NNN"), (5, None), (6, "GGGGGGCCCCA"), (7, " acgTN ")], "i int, raw string")
+    got = {r.i: r for r in reports.report_text(reports.preprocessed(raw)).collect()}
+    assert (got[1].header, got[1].seq, got[1].status, got[1].n_n, got[1].balance) == ("HEAD ONE", "ACGTACGNGG", "warning", 1, "GC-rich")
+    assert [got[i].problem for i in (2, 3, 4, 5)] == ["empty sequence", "invalid characters: !?", "no valid bases", "empty sequence"]
+    assert [(x.letter, x.places) for x in got[3].invalid] == [("!", [2, 4]), ("?", [6])] and got[6].status == "valid"
+    assert "GC: 66.67%" in got[1].report and "Status: WARNING" in got[1].report
+    total = reports.quality_report(reports.preprocessed(raw)).first()
+    assert (total.total_sequences, total.n_valid, total.n_warning, total.n_error) == (7, 1, 2, 4)
+    assert {r.i for r in reports.plain_input(raw).collect()} == {4, 6, 7}
+
+
+def test_near_duplicates_equal_plain_loop(spark):
+    rng = random.Random(11)
+    fields = "seq_id string, class string, subclass string, start_pos long, end_pos long, length long, score double"
+    rows = [(f"s{i % 3}", "c", f"x{i % 2}", a := rng.randrange(1, 6000), a + (n := rng.choice([5, 40, 900])) - 1, n, rng.randrange(30) / 10) for i in range(900)] + [("u", "c", "x", 1, 1000, 1000, 1.0), ("u", "c", "x", 1, 20, 20, 2.0)]
+    want = []
+    for key in {r[:3] for r in rows}:
+        kept = []
+        for r in sorted((r for r in rows if r[:3] == key), key=lambda r: (r[3], r[4], -r[6])):
+            best = None
+            for k in range(len(kept) - 1, -1, -1):
+                shared = min(r[4], kept[k][4]) - max(r[3], kept[k][3]) + 1
+                if kept[k][3] >= r[3] - 2000 and shared >= 0.5 * min(r[5], kept[k][5]) and (best is None or kept[k][6] > kept[best][6]):
+                    best = k
+            if best is None:
+                kept.append(r)
+            elif r[6] > kept[best][6]:
+                kept[best] = r
+        want += kept
+    got = intervals.dedup_near(spark.createDataFrame(rows, fields))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want) and ("u", "c", "x", 1, 20, 20, 2.0) in want
+
+
+def test_patterns_that_refer_back_equal_plain_search(spark):
+    rng = random.Random(12)
+    rows = [(f"q{i}", dna(rng, 60) + dna(rng, 4) * rng.randrange(1, 7) + "CA" * rng.randrange(3, 9) + dna(rng, 80) * 2) for i in range(8)]
+    got = {tuple(r) for r in registry.scan_with_registry(sequences(spark, rows), "Slipped_DNA").select("seq_id", "pattern_id", "start", "end").collect()}
+    want = {(i, p, m.start(), m.end()) for c, p, rx, _, _ in registry.PATTERNS if c == "Slipped_DNA" for i, s in rows for m in re.finditer(rx.replace("\\2", "\\1"), s)}
+    assert got == want and len(want) > 10
+
+
+def test_chunked_scan_equals_the_exact_one(spark):
+    rng = random.Random(13)
+    rows = [(f"q{k}", "".join(dna(rng, rng.randrange(150, 600)) + rng.choice(["A" * 12, "GAA" * 6, "CG" * 12, "CAG" * 9, "TTAGGG" * 5, "CCCTAA" * 5, "AAAAATGCGCG" * 4, "ACGGTCATTGCA" + "TTT" + "TGCAATGACCGT", "AGGAGAGGAAGGAG" + "T" + "GAGGAAGGAGAGGA"]) for _ in range(60))) for k in range(3)]
+    key = lambda d: {(r.seq_id, r["class"], r.subclass, r.start_pos, r.end_pos, r.score) for r in d.collect() if r["class"] not in ("R-Loop", "Hybrid", "Non-B_DNA_Clusters")}
+    whole, cut = key(scan(sequences(spark, rows))), key(scan(sequences(spark, rows), mode="chunked", size=6000, overlap=2000))
+    assert whole == cut and {c for _, c, *_ in whole} >= {"Curved_DNA", "Slipped_DNA", "Cruciform", "Triplex", "G-Quadruplex", "i-Motif", "Z-DNA"}
 
 
 def test_stream(spark, tmp_path):
