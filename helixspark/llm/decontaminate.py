@@ -9,10 +9,11 @@ Candidates are verified by their exact edit distance (Myers' bit-parallel search
 Windows are item-sized and lie anywhere in the whole text. An item of L characters is held to leak when a substring lies
 within L // 8 - 2 edits of it. So many edits leave at least two of the item's L // 8 blocks of 8 characters whole, which
 are therefore to be found in the text, as far apart as in the item but for the edits: windows are laid where two blocks of
-the item do so and nowhere else, and no window that could pass the verification is lost that way.
+the item do so and nowhere else, and no window that could pass the verification is lost that way: what is found is what the
+embeddings find among the windows at every place (``every_place``, a mode for tests, lays all of those; it costs some hundred
+times the work).
 
-The items are compared in one form with the texts: A-Z lower-cased, white space (ASCII) and NUL as single spaces. Items are a
-stated, bounded set (checked against MAX_ITEM_BYTES) that every task holds.
+The items are compared in one form with the texts: A-Z lower-cased, white space (ASCII) and NUL as single spaces. Items are a stated set that every task holds, in parts of at most MAX_ITEM_BYTES: one pass over the texts for each part.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import materialize, slices, table
 
 BLOCK = 8
 WALKS, REPEATS, SAMPLES, SEED = 3, 72, 4, 11
@@ -176,6 +177,12 @@ def windows_of(index: Index, text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return item[new], start[new]
 
 
+def all_windows(index: Index, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(item, start) of the windows at every place of a text, for every item."""
+    item, start = np.meshgrid(np.arange(len(index.items)), np.arange(len(text)), indexing="ij")
+    return item.ravel(), start.ravel()
+
+
 def candidates(index: Index, raw: np.ndarray, item: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Which windows raw[begin:end) share a signature with their item."""
     found = np.zeros(len(item), bool)
@@ -200,11 +207,11 @@ def candidates(index: Index, raw: np.ndarray, item: np.ndarray, begin: np.ndarra
     return found
 
 
-def leaks_of(index: Index, texts: list[bytes]) -> list[list[tuple[int, int]]]:
+def leaks_of(index: Index, texts: list[bytes], every_place: bool = False) -> list[list[tuple[int, int]]]:
     """For each text, (item, its least edit distance) of the items that it holds. The windows of all texts are embedded together."""
     raw = np.frombuffer(b"".join(texts) or b" ", np.uint8)
     bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-    per_text = [windows_of(index, t) for t in texts]
+    per_text = [(all_windows if every_place else windows_of)(index, t) for t in texts]
     text = np.repeat(np.arange(len(texts)), [len(i) for i, _ in per_text])
     item = np.concatenate([i for i, _ in per_text] or [np.zeros(0, np.int64)])
     start = np.concatenate([s for _, s in per_text] or [np.zeros(0, np.int64)])
@@ -233,35 +240,43 @@ def leaks_of(index: Index, texts: list[bytes]) -> list[list[tuple[int, int]]]:
     return out
 
 
-def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
+def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, part_bytes: int = MAX_ITEM_BYTES, every_place: bool = False) -> DataFrame:
     """One row per input row: id (or with ``keep`` the input's columns), n_leaks, leaks (array of item_id and edits).
 
     Null and empty texts hold nothing. Items that are null or have fewer than BLOCK characters are passed over;
     items of one text are reported each. Repeated rows are judged one by one. Columns of the input named like an output are replaced. An empty
     table gives an empty table; an empty benchmark, no leaks.
     """
-    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > MAX_ITEM_BYTES:
-        raise ValueError(f"the benchmark has {size} bytes; split it into parts of at most {MAX_ITEM_BYTES}")
-    rows = [(r["item_id"], r["text"]) for r in benchmark.select("item_id", "text").collect()]
-    rows = sorted({(i, t) for i, t in rows if len(normal(t)) >= BLOCK}, key=lambda r: (str(r[0]), r[1]))
-    index = df.sparkSession.sparkContext.broadcast(build_index(rows))
+    size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = -(-size // part_bytes) or 1
     outs = ("n_leaks", "leaks")
     names = [c for c in df.columns if c not in outs] if keep else [id_col]
-    inner = df.select(*(F.col(c) for c in names), F.col(text_col).cast("string").alias("_t"))
-    schema = inner.drop("_t").schema.add("n_leaks", "integer")
     kind = benchmark.schema["item_id"].dataType.simpleString()
-    out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + f", leaks array<struct<item_id: {kind}, edits: int>>"
+    now = df.select(*(F.col(c) for c in names), F.col(text_col).cast("string").alias("_t"), F.array().cast(f"array<struct<item_id: {kind}, edits: int>>").alias("leaks"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in now.drop("_t", "leaks").schema) + f", _t string, leaks array<struct<item_id: {kind}, edits: int>>"
+    for p in range(parts):
+        mine = benchmark if parts == 1 else benchmark.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p)
+        rows = [(r["item_id"], r["text"]) for r in mine.select("item_id", "text").collect()]  # about part_bytes
+        rows = sorted({(i, t) for i, t in rows if len(normal(t)) >= BLOCK}, key=lambda r: (str(r[0]), r[1]))
+        index = df.sparkSession.sparkContext.broadcast(build_index(rows))
+        now = now.mapInArrow(_with_leaks(index, len(names), every_place), schema)
+        if p + 1 < parts:
+            now = materialize(now)
+    return now.select(*names, F.size("leaks").alias("n_leaks"), "leaks")
+
+
+def _with_leaks(index, width: int, every_place: bool):
+    """Adds an index's leaks to the rows' lists; the text is column ``width``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = index.value
         for batch in slices(batches, 1024):
-            found = leaks_of(held, [normal(t) for t in batch.column(len(names)).to_pylist()])
-            arrow_id = pa.array(held.ids[:1]).type if held.ids else pa.int64()
-            leaks = pa.array([[{"item_id": held.ids[k], "edits": d} for k, d in f] for f in found], pa.list_(pa.struct([("item_id", arrow_id), ("edits", pa.int32())])))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array([len(f) for f in found], pa.int32()), leaks], names=[*names, *outs])
+            found = leaks_of(held, [normal(t) for t in batch.column(width).to_pylist()], every_place)
+            before = batch.column(width + 1)
+            leaks = pa.array([a + [{"item_id": held.ids[k], "edits": d} for k, d in f] for a, f in zip(before.to_pylist(), found, strict=True)], before.type)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: width + 1], leaks], schema=batch.schema)
 
-    return inner.mapInArrow(run, out_schema)
+    return run
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,6 +35,8 @@ from .common import materialize, slices, table
 WINDOW, GRAM = 100, 16
 #: Contexts of one digit that a task compares at once.
 GROUP = 16_384
+#: Parts into which the copies of one text are dealt.
+SALTS = 32
 #: Bytes of text hashed at once; anchors and contexts that a task holds before it sends them on.
 BLOCK, ANCHORS, CONTEXTS = 1 << 19, 1 << 18, 100_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -236,6 +238,15 @@ def _compare(window: int, gram: int, group: int):
             h = _mix(prefix[reach - d + window][ok] - prefix[reach - d][ok] * shift) + key[ok]
             order = np.argsort(h, kind="stable")  # rows are in order of doc and pos inside a key: the first stays
             again = np.concatenate([[False], h[order][1:] == h[order][:-1]])
+            at, begin_at = np.flatnonzero(again), reach - d
+            same = text[ok[order], begin_at : begin_at + window]
+            if not (same[at] == same[at - 1]).all():  # equal hashes of different bytes: by the bytes alone
+                seen: set[tuple[int, bytes]] = set()
+                again[:] = False
+                for i, row in sorted(enumerate(ok[order].tolist()), key=lambda x: x[1]):
+                    mine = (int(key[row]), same[i].tobytes())
+                    again[i] = mine in seen
+                    seen.add(mine)
             repeats[ok[order[again]], d] = 1
         step = np.diff(np.concatenate([np.zeros((n, 1), np.int8), repeats], axis=1), axis=1)
         row, lo = np.nonzero(step == 1)
@@ -322,8 +333,9 @@ def _compare(window: int, gram: int, group: int):
 def later_copies(texts: DataFrame) -> DataFrame:
     """(doc) of the texts that an earlier document has as a whole."""
     digests = materialize(texts.select("doc", F.sha2("body", 256).alias("digest")))
-    first = digests.groupBy("digest").agg(F.min("doc").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
-    return materialize(digests.join(first, "digest").filter("doc > first").select("doc"))
+    first = digests.groupBy("digest").agg(F.min("doc").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    dealt = digests.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))  # one text may be a third of all rows
+    return materialize(dealt.join(first, ["digest", "salt"]).filter("doc > first").select("doc"))
 
 
 def repeated_runs(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, group: int = GROUP, copies: DataFrame | None = None) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,6 +100,24 @@ def test_suffix_runs(spark, window, gram, alphabet, group):
     assert seen == sorted((i, *want[i, t or ""]) for i, t in rows)
 
 
+def test_suffix_runs_with_colliding_hashes(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "_mix", lambda x: x & np.uint64(0xF))  # in the driver: tasks get the module by import, so compare directly
+    rng = random.Random(5)
+    window, gram = 12, 4
+    texts = [t.encode() for _, t in suffix_rows(rng, 30, "ab", 8, 40)]
+    rows = []
+    for doc, t in enumerate(texts):
+        for pos in range(len(t) - window + 1):
+            rows.append((1, doc, pos, 0, 0, 0, t[pos : pos + window]))
+    batches = [suffixes._context_batch(rows)]
+    found = [r for b in suffixes._compare(window, gram, 10**6)(iter(batches)) for r in b.to_pylist()]
+    first = {}
+    for _, doc, pos, *_, c in rows:
+        first.setdefault(c, (doc, pos))
+    want = {(doc, pos) for _, doc, pos, *_, c in rows if first[c] != (doc, pos)}
+    assert {(r["doc"], r["pos"]) for r in found} == want and want
+
+
 def test_suffix_plain_ids_many_contexts(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "CONTEXTS", 7)
     monkeypatch.setattr(suffixes, "ANCHORS", 50)
