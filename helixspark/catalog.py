@@ -15,8 +15,7 @@ from .functions import names, registry, scoring
 from .functions import sequence as fn
 from .functions.tables import TAXONOMY, a_tenmers, z_tenmers
 from .operators import detectors, intervals, regexscan, series, statistics
-from .plans.scan import detect, scan
-from .sources import readers, writers
+from .plans.scan import scan
 
 LENGTH = 60_073
 LETTERS, BASES = "BDEFHIJKLMNOPQRSUVWXYZ", "CGTACGTACGTACGTACGTACG"
@@ -105,10 +104,6 @@ def _aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.normalized(spelt)
 
 
-def _features(spark: SparkSession) -> DataFrame:
-    return spark.range(200).select(F.concat(F.lit("s"), (F.col("id") % 20).cast("string")).alias("seq_id"), F.when(F.col("id") % 3 == 0, "gene").otherwise("exon").alias("type"), ((F.col("id") * 977) % 50_000).alias("start"), ((F.col("id") * 977) % 50_000 + 400 + F.col("id")).alias("end"))
-
-
 _B = "regexp_replace(seq, '[^{b}]', '', 'g')"
 
 
@@ -176,7 +171,6 @@ SELECT seq_id, CASE strand WHEN '+' THEN "start" ELSE n - "end" END AS "start",
     "a_group_statistics": (_m(lambda m, n: statistics.group_statistics(m, n, ["seq_id", "class"])), WITH_MOTIF + ", a AS (" + _COVER.format(k="seq_id, class") + f") SELECT seq_id, class, count(*) AS n, round(avg(length), 4) AS mean_length, round(avg(score), 4) AS mean_score, round(count(*) * 1000.0::DOUBLE / {LENGTH}, 6) AS per_kb, round(any_value(covered_bp) * 100.0::DOUBLE / {LENGTH}, 4) AS coverage_pct FROM motifs JOIN a USING (seq_id, class) GROUP BY 1, 2"),
     "a_class_pivot": (_m(lambda m, n: statistics.class_pivot(m, MAIN_CLASSES)), WITH_MOTIF + " SELECT seq_id, " + ", ".join(f"count(*) FILTER (class = '{c}') AS \"{c}\"" for c in MAIN_CLASSES) + " FROM motifs GROUP BY 1"),
     "a_start_frequency": (_m(lambda m, n: statistics.start_frequencies(m)), WITH_MOTIF + " SELECT start_pos, count(*) AS n FROM motifs GROUP BY 1"),
-    "a_features": (lambda s, d: statistics.feature_counts(_features(s), motifs(s, d)), WITH_MOTIF + ", f AS (SELECT 's' || (range % 20) AS seq_id, CASE WHEN range % 3 = 0 THEN 'gene' ELSE 'exon' END AS type, (range * 977) % 50000 AS s, (range * 977) % 50000 + 400 + range AS e FROM range(200)), z AS (SELECT type, sum(e - s) AS bp FROM f GROUP BY 1) SELECT type, count(event_id) AS n, round(count(event_id) * 1000.0::DOUBLE / any_value(bp), 6) AS per_kb FROM z LEFT JOIN (f JOIN motifs ON f.seq_id = motifs.seq_id AND start_pos - 1 >= s AND start_pos - 1 < e) USING (type) GROUP BY 1"),
     "w_windows": (_m(lambda m, n: series.windowed(m, LENGTH, 1000).drop("mean_score")), WITH_MOTIF + ' SELECT seq_id, w AS "window", class, count(*) AS n, round(count(*) * 1000.0::DOUBLE / 1000, 4) AS per_kb FROM (SELECT seq_id, class, unnest(range((start_pos - 1) // 1000, least((end_pos - 1) // 1000, 59) + 1)) AS w FROM motifs WHERE start_pos - 1 < 60000) GROUP BY 1, 2, 3'),
     "w_heatmap": (_m(lambda m, n: series.structural_heatmap(m, LENGTH)), WITH_MOTIF + f', b AS (SELECT seq_id, least(floor(start_pos * 50 / {LENGTH}.0::DOUBLE)::BIGINT, 49) AS "window", class, count(*) AS n FROM motifs WHERE start_pos < {LENGTH} GROUP BY 1, 2, 3) SELECT *, round(n::DOUBLE / max(n) OVER (PARTITION BY seq_id, class), 6) AS share FROM b'),
     "w_gc_windows": (lambda s, d: series.gc_windows(sequences(s, d), motifs(s, d).withColumn("seq_id", F.substring("seq_id", 2, 9)), 100), WITH_SEQ + f", motifs AS (SELECT {_motif('varchar')} FROM events), t AS (SELECT seq_id, unnest(range(0, length(seq) // 100)) AS w, seq FROM sequences WHERE length(seq) >= 100), c AS (SELECT substr(seq_id, 2) AS seq_id, (start_pos - 1 + end_pos) // 2 // 100 AS w, count(*) AS n FROM motifs GROUP BY 1, 2) SELECT t.seq_id, t.w::INT AS \"window\", round(length(regexp_replace(substr(seq, w * 100 + 1, 100), '[^GC]', '', 'g')) * 100.0::DOUBLE / 100, 4) AS gc_pct, coalesce(n, 0)::BIGINT AS n FROM t LEFT JOIN c USING (seq_id, w)"),

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import LENGTH, MAIN_CLASSES, WITH_MOTIF, WITH_SEQ, _COVER, _hits_sql, _m, _picked, _q, _score_sql, motifs, sequences
-from .functions import names, registry, scoring
+from .functions import registry, scoring
 from .functions.tables import TAXONOMY
 from .operators import detectors, intervals, reports, series, statistics
 from .plans.scan import detect, scan
