@@ -263,3 +263,16 @@ def test_pipeline_stages(spark, tmp_path):
         total[r["doc_id"]] += r["length"]
     assert total == Counter({i: len(library(t or "")) + 1 for i, t in texts.items()})
     assert sum(r["length"] for r in corpus_pipeline.run(spark, at).collect()) == sum(total.values())
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    at = str(tmp_path)
+    docs(spark, []).limit(0).write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, at).count() == 0
+    few = str(tmp_path / "few")
+    docs(spark, [(1, "some words here"), (2, None), (None, "x")]).write.parquet(f"{few}/documents.parquet")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{at}/{t}.parquet").write.parquet(f"{few}/{t}.parquet")
+    assert {r.doc_id for r in corpus_pipeline.run(spark, few).collect()} == {1, 2, None}

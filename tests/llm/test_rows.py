@@ -131,6 +131,8 @@ def test_pack(spark):
         s.sort()
         assert s[0][0] == 0 and s[-1][1] <= 64 and all(x[1] == y[0] for x, y in zip(s, s[1:], strict=False))
     assert packing.pack(docs(spark, []).limit(0)).count() == 0
+    clash = spark.createDataFrame([(1, "a b", 7, "x", 9)], "doc_id int, text string, piece int, length string, offset int")
+    assert packing.pack(clash).first().length == len(library("a b")) + 1
 
 
 def toxic_rows(rng, n):
