@@ -22,9 +22,15 @@ def islands(df: DataFrame, keys: list[str], start: str = "start", end: str = "en
     return df.withColumn("_first", F.coalesce(first, F.lit(1))).withColumn("island", F.sum("_first").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_first")
 
 
-def merged(df: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
-    """The union of the intervals: (keys, start, end)."""
-    return islands(df, keys, start, end).groupBy(*keys, "island").agg(F.min(start).alias("start"), F.max(end).alias("end")).drop("island")
+def merged(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", width: int = 1_000_000) -> DataFrame:
+    """The union of the intervals: (keys, start, end).
+
+    Stretches of ``width`` bases are merged first, each by a task of its own, so that only their unions meet for one key:
+    a chromosome with most of the rows doesn't end up in one task.
+    """
+    local = islands(df.withColumn("_part", F.floor(F.col(start) / width)), [*keys, "_part"], start, end)
+    parts = local.groupBy(*keys, "_part", "island").agg(F.min(start).alias("start"), F.max(end).alias("end")).drop("island", "_part")
+    return islands(parts, keys).groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 
 def coverage(df: DataFrame, keys: list[str], cap: Column | None = None) -> DataFrame:

@@ -312,3 +312,18 @@ def test_enrichment_and_plots(spark):
     assert series.gc_fit(series.gc_windows(catalog.sequences(spark, DIR), motifs.withColumn("seq_id", F.substring("seq_id", 2, 9)))).count() > 0
     assert series.attribute_lengths(detectors.cruciform(sequences(spark, planted(random.Random(1), 4))), "loop").count() > 0
     assert scan(sequences(spark, [("x", None), ("y", ""), ("z", "ACGT!")])).count() == 0
+
+
+def test_merged_equals_plain_union(spark):
+    rng = random.Random(21)
+    rows = [(f"s{i % 2}", a := rng.randrange(5000), a + rng.choice([3, 40, 700])) for i in range(300)]
+    df = spark.createDataFrame(rows, "seq_id string, start long, end long")
+    want = []
+    for k in ("s0", "s1"):
+        for _, a, b in sorted(r for r in rows if r[0] == k):
+            if want and want[-1][0] == k and a <= want[-1][2]:
+                want[-1] = (k, want[-1][1], max(want[-1][2], b))
+            else:
+                want.append((k, a, b))
+    for width in (100, 1_000_000):
+        assert sorted(tuple(r) for r in intervals.merged(df, ["seq_id"], width=width).collect()) == sorted(want)
