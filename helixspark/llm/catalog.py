@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_model, licenses, packing, resampling, search, simhash, suffixes, token_counts, toxicity
+from . import alignment, decontaminate, language_model, licenses, packing, resampling, search, simhash, suffixes, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_bm25_top_k": search.op8_bm25_top_k,
         "op9_quality_resampling": resampling.op9_quality_resampling,
         "op10_decontamination": decontaminate.op10_decontamination,
+        "op12_token_alignment": alignment.op12_token_alignment,
     }
 
 

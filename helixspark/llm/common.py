@@ -40,14 +40,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, row_check: int = 100) -> DataFrame:
     """Cut the lineage: write df as Parquet into the shared folder and read it back.
 
-    Unlike a cache, the files outlive a lost executor. They are removed when the driver's Python ends.
+    Unlike a cache, the files outlive a lost executor. They are removed when the driver's Python ends. row_check: after how
+    many rows a writer looks at how much it holds; few for rows of megabytes.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/helixspark/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.page.size.row.check.min", row_check).option("parquet.block.size.row.check.min", row_check).parquet(path)
     if not _written:
         atexit.register(_remove_all)
     _written.append((spark, path))

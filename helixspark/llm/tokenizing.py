@@ -81,13 +81,18 @@ class Json:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
+def byte_letters() -> dict[str, int]:
+    """The byte that each letter of a byte-level vocabulary stands for."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256 on
+    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(own))}
+
+
 class ByteLevelJson(ByteRanks):
     """A byte-level tokenizers file. Texts of up to CHUNK characters are encoded by the ranks of the file's own vocabulary,
     which takes a third of the time; longer ones (runs on which that engine's pattern search gives up) by the file's library."""
 
     def __init__(self, tokenizer):
-        letters = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256 on
-        byte = {chr(b): b for b in letters} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(letters))}
+        byte = byte_letters()
         self.library = Json(tokenizer)
         self._engine({bytes(byte[c] for c in token): i for token, i in tokenizer.get_vocab().items() if token != ENDOFTEXT}, tokenizer.token_to_id(ENDOFTEXT))
 
