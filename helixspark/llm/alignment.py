@@ -2,10 +2,10 @@
 
 Pieces. Every text is cut at single spaces between two characters that are no white space. No token of either vocabulary
 reaches across such a place (``Aligner`` checks the second vocabulary's entries), so tokens and groups of a text are those
-of its pieces, one after another, and a piece that stands often is aligned once for a while.
+of its pieces, one after another, and each different piece of a block is encoded and aligned once.
 
-Groups. The B tokens of a piece are a static interval index: sorted starts and ends. Each A token stabs it by bisection and
-gets the run of B tokens that it overlaps. A gap between two A tokens whose runs share no B token is spanned by no token of
+Groups. The B tokens are a static interval index: sorted starts and ends. Each A token stabs it by bisection and gets the
+run of B tokens that it overlaps. A gap between two A tokens whose runs share no B token is spanned by no token of
 either side: there a group ends.
 
 Counts. A task packs the documents of about ``BLOCK`` bytes into one block: the pieces of each document, the id pairs of
@@ -16,9 +16,7 @@ its documents. The highest count of an A id is one number for each entry of A's
 
 from __future__ import annotations
 
-import bisect
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,41 +29,27 @@ from .common import arrow_rows, materialize, slices, table
 from .tokenizing import CHUNK, SPACE, byte_letters, load
 
 A_NAME, B_NAME = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Bytes of text of a block, and characters of the longest piece that is remembered.
-BLOCK, SHORT = 8 << 20, 64
-#: Pieces that a worker remembers, at least; twice as many at most.
-REMEMBERED = 60_000
-
-Piece = tuple[int, int, int, int, str, tuple[int, ...], tuple[int, ...]]
-
-
-def stabbed(starts: list[int], ends: list[int], begin: int, end: int) -> tuple[int, int]:
-    """The run [first, last) of the index's intervals that overlap [begin, end)."""
-    return bisect.bisect_right(ends, begin), bisect.bisect_left(starts, end)
-
-
-def groups(a_sizes: list[int], b_sizes: list[int]) -> list[tuple[int, int, int, int]]:
-    """Groups of two token rows over the same bytes: (first A token, its end, first B token, its end)."""
-    starts, ends, at = [], [], 0
-    for n in b_sizes:
-        starts.append(at)
-        at += n
-        ends.append(at)
-    out, at, open_a, open_b, reached = [], 0, 0, 0, 0
-    for i, n in enumerate(a_sizes):
-        first, last = stabbed(starts, ends, at, at + n)
-        if i and first >= reached:
-            out.append((open_a, i, open_b, reached))
-            open_a, open_b = i, first
-        reached = last
-        at += n
-    if a_sizes:
-        out.append((open_a, len(a_sizes), open_b, len(b_sizes)))
-    return out
+#: Characters of a block, and of the longest piece that is encoded together with others.
+BLOCK, SHORT = 8 << 20, 256
+#: A group of more links is counted by its different ids.
+MANY = 1 << 16
+
+def stabbed(starts: np.ndarray, ends: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The run [first, last) of the index's intervals that overlap each [begin, end), by bisection."""
+    return np.searchsorted(ends, begin, "right"), np.searchsorted(starts, end, "left")
+
+
+def groups(a_sizes: np.ndarray, b_sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first A token and the first B token of each group of two token rows over the same bytes."""
+    a_ends, b_ends = np.cumsum(a_sizes), np.cumsum(b_sizes)
+    first, last = stabbed(b_ends - b_sizes, b_ends, a_ends - a_sizes, a_ends)
+    spanned = first[1:] < last[:-1]  # a B token of the A token before goes on: it spans the gap
+    open_a = np.concatenate([np.zeros(min(1, len(first)), np.int64), np.flatnonzero(~spanned) + 1])
+    return open_a, first[open_a]
 
 
 class Aligner:
-    """Both tokenizers, and the pieces that were aligned last."""
+    """Both tokenizers, with the bytes of their tokens."""
 
     def __init__(self, a_name: str = A_NAME, b_name: str = B_NAME):
         import public_tokenizers
@@ -80,61 +64,54 @@ class Aligner:
         byte = byte_letters()
         self.a_bytes = {i: bytes(byte[c] for c in token) for token, i in self.library.get_vocab().items() if all(c in byte for c in token)}
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.b_bytes = dict(enumerate(bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)))
+        self.sizes = [np.zeros(max(known) + 1, np.int64) for known in (self.a_bytes, self.b_bytes)]
+        for size, known in zip(self.sizes, (self.a_bytes, self.b_bytes), strict=True):
+            size[list(known)] = [len(x) for x in known.values()]
         # pieces end at single spaces only if no entry goes on behind one
         self.cuts = self.quick is not None and not any("▁" in p.lstrip("▁") for i, p in enumerate(pieces) if not (self.b.is_control(i) or self.b.is_unknown(i)))
-        self.young: dict[str, Piece | None] = {}
-        self.old: dict[str, Piece | None] = {}
-
-    def _a_ids(self, text: str) -> list[int]:
-        return self.quick.encode_ordinary(text) if self.quick is not None and len(text) <= CHUNK else self.library.encode(text, add_special_tokens=False).ids
-
-    def tokens(self, text: str) -> tuple[list[int], list[int], list[bytes], list[bytes]]:
-        """Ids of both sides of space+text and the bytes of each token."""
-        a, b = self._a_ids(" " + text), self.b.encode(text, num_threads=1)
-        return a, b, [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-
-    def align(self, text: str) -> Piece | None:
-        """(A tokens, B tokens, groups, links, the groups as text, id pairs, links of each) of space+text; None if bytes differ."""
-        a, b, a_bytes, b_bytes = self.tokens(text)
-        if not text or b"".join(a_bytes) != (whole := f" {text}".encode()) or b"".join(b_bytes) != whole:
-            return None
-        found, links, n_links, shown = groups(list(map(len, a_bytes)), list(map(len, b_bytes))), {}, 0, []
-        for a1, a2, b1, b2 in found:
-            shown.append(f"{','.join(map(str, a[a1:a2]))}|{','.join(map(str, b[b1:b2]))}")
-            n_links += (a2 - a1) * (b2 - b1)
-            right = Counter(b[b1:b2]).items()
-            for x, m in Counter(a[a1:a2]).items():
-                for y, n in right:
-                    links[x << 32 | y] = links.get(x << 32 | y, 0) + m * n
-        return len(a), len(b), len(found), n_links, ";".join(shown), tuple(links), tuple(links.values())
-
-    def piece(self, text: str) -> Piece | None:
-        if len(text) > SHORT:
-            return self.align(text)
-        if text in self.young:
-            return self.young[text]
-        found = self.old[text] if text in self.old else self.align(text)
-        if len(self.young) >= REMEMBERED:
-            self.old, self.young = self.young, {}
-        self.young[text] = found
-        return found
-
-
-class _Numbered(dict):
-    """Numbers of a block's pieces, in the order of their first use; -1 for one whose bytes differ."""
-
-    def __init__(self, aligner: Aligner):
-        self.aligner, self.pieces = aligner, []
-
-    def __missing__(self, text: str) -> int:
-        found = self.aligner.piece(text)
-        if found is None:
-            self[text] = -1
-        else:
-            self[text] = len(self.pieces)
-            self.pieces.append(found)
-        return self[text]
+        # each id as text with what follows it: , or | for A; , or ; (a group's end) or a line feed (a piece's end) for B
+        self.shown = np.array([f"{i}{mark}" for size, marks in zip(self.sizes, (",|", ",;\n"), strict=True) for mark in marks for i in range(len(size))], object)
+
+    def encode(self, text: str) -> tuple[list[int], list[int]] | None:
+        """Ids of both sides of space+text; None if the bytes of one differ from it."""
+        whole = f" {text}"
+        a = self.quick.encode_ordinary(whole) if self.quick is not None and len(text) <= CHUNK else self.library.encode(whole, add_special_tokens=False).ids
+        b = self.b.encode(text, num_threads=1)
+        same = text and b"".join([self.a_bytes[i] for i in a]) == whole.encode() == b"".join([self.b_bytes[i] for i in b])
+        return (a, b) if same else None
+
+    def encode_pieces(self, pieces: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+        """The ids of all pieces of either side, one after another, and the pieces whose bytes are given back.
+
+        Short pieces are encoded many at a time, with the single spaces between them at which they were cut.
+        """
+        ids: tuple[list[list[int]], list[list[int]]] = ([], [])
+        good = np.ones(len(pieces), bool)
+
+        def add(lo: int, hi: int) -> None:
+            found = self.encode(" ".join(pieces[lo:hi]))
+            if found is not None:
+                ids[0].append(found[0])
+                ids[1].append(found[1])
+            elif hi - lo == 1:
+                good[lo] = False
+            else:
+                for middle in (((lo, (lo + hi) // 2)), ((lo + hi) // 2, hi)):
+                    add(*middle)
+
+        at, held = 0, 0
+        for k, piece in enumerate(pieces):
+            if k > at and (held + len(piece) >= CHUNK or not self.cuts or len(piece) > SHORT):
+                add(at, k)
+                at, held = k, 0
+            held += len(piece) + 1
+            if len(piece) > SHORT:  # alone: nothing need be known of where it ends
+                add(k, k + 1)
+                at, held = k + 1, 0
+        if at < len(pieces):
+            add(at, len(pieces))
+        return [np.array([i for part in side for i in part], np.int64) for side in ids], good
 
 
 _DOC = ("n_a", "n_b", "n_groups", "n_links")
@@ -142,22 +119,55 @@ _LISTS = {**dict.fromkeys(_DOC, "long"), "groups_sha256": "string", "piece_ends"
 _TYPES = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
 
+def _links(a: np.ndarray, b: np.ndarray, starts: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(group, id pair, links) of all groups; groups of very many links by their different ids."""
+    many = counts[0] * counts[1] > MANY
+    n = np.where(many, 0, counts[1])
+    per_a = np.repeat(n, counts[0])
+    place = np.repeat(np.repeat(starts[1], counts[0]) - np.concatenate([[0], np.cumsum(per_a)[:-1]]), per_a) + np.arange(per_a.sum())
+    out = [(np.repeat(np.repeat(np.arange(len(n)), counts[0]), per_a), np.repeat(a, per_a) << 32 | b[place], np.ones(len(place), np.int64))]
+    for g in np.flatnonzero(many).tolist():
+        (x, m), (y, k) = (np.unique(side[s[g] : s[g] + c[g]], return_counts=True) for side, s, c in zip((a, b), starts, counts, strict=True))
+        out.append((np.full(len(x) * len(y), g), (x[:, None] << 32 | y).ravel(), (m[:, None] * k).ravel()))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
 def _pack(aligner: Aligner, texts: list[str]) -> dict[str, list | np.ndarray]:
     """The block of some documents."""
-    numbers = _Numbered(aligner)
+    numbers: dict[str, int] = {}
     rows: list[np.ndarray] = []
     for text in texts:
-        row = np.fromiter(map(numbers.__getitem__, SPACE.split(text) if aligner.cuts else [text]), np.int32) if text else np.zeros(0, np.int32)
-        if len(row) and row.min() < 0:  # bytes of a piece differ: then those of the whole text decide
-            whole = aligner.align(text) if aligner.cuts else None
-            row = np.zeros(0, np.int32)
-            if whole is not None:
-                row = np.array([len(numbers.pieces)], np.int32)
-                numbers.pieces.append(whole)
-        rows.append(row)
-    pieces = numbers.pieces
-    sizes = np.array([p[:4] for p in pieces], np.int64).reshape(-1, 4)
-    shown = [p[4] for p in pieces]
+        found = SPACE.split(text) if aligner.cuts else [text]
+        rows.append(np.fromiter((numbers.setdefault(x, len(numbers)) for x in found), np.int64) if text else np.zeros(0, np.int64))
+    pieces = list(numbers)
+    (a, b), good = aligner.encode_pieces(pieces)
+    if not good.all():  # bytes of a piece differ: then those of the whole text decide
+        bad = [k for k, r in enumerate(rows) if not good[r].all()]
+        whole = [k for k in bad if aligner.encode(texts[k]) is not None]
+        for k in bad:
+            rows[k] = np.array([len(pieces) + whole.index(k)], np.int64) if k in whole else np.zeros(0, np.int64)
+        for k in whole:
+            more = aligner.encode(texts[k])
+            a, b, good = np.append(a, more[0]), np.append(b, more[1]), np.append(good, True)
+        pieces += [texts[k] for k in whole]
+    number = np.cumsum(good) - 1
+    rows = [number[r] for r in rows]
+    n_pieces = int(good.sum())
+    stops = np.cumsum([len(p.encode()) + 1 for p, g in zip(pieces, good.tolist(), strict=True) if g])
+    starts = list(groups(aligner.sizes[0][a], aligner.sizes[1][b]))
+    counts = [np.diff(np.append(s, len(x))) for s, x in zip(starts, (a, b), strict=True)]
+    at = np.cumsum(aligner.sizes[0][a]) - aligner.sizes[0][a]
+    owner = np.searchsorted(stops, at[starts[0]], "right")  # the piece of each group
+    sizes = np.stack([np.bincount(owner, w, minlength=n_pieces).astype(np.int64) for w in (*counts, np.ones(len(owner)), counts[0] * counts[1])], axis=1)
+
+    # the groups as text, piece by piece
+    side = [np.repeat(np.arange(len(owner)), c) for c in counts]
+    last = [np.append(g[1:] != g[:-1], True)[: len(g)] for g in side]
+    ends_piece = np.append(owner[1:] != owner[:-1], True)[: len(owner)]
+    base = 2 * len(aligner.sizes[0])
+    written = [last[0] * len(aligner.sizes[0]) + a, base + (last[1].astype(np.int64) + (last[1] & ends_piece[side[1]])) * len(aligner.sizes[1]) + b]
+    order = np.argsort(np.concatenate([2 * side[0], 2 * side[1] + 1]), kind="stable")
+    shown = "".join(aligner.shown[np.concatenate(written)[order]].tolist()).split("\n")
     sums = np.array([sizes[r].sum(axis=0) for r in rows], np.int64).reshape(-1, 4)
     out: dict[str, list | np.ndarray] = {name: sums[:, k] for k, name in enumerate(_DOC)}
     out["groups_sha256"] = [hashlib.sha256(";".join([shown[i] for i in r.tolist()]).encode()).hexdigest() if len(r) else "" for r in rows]
@@ -165,21 +175,25 @@ def _pack(aligner: Aligner, texts: list[str]) -> dict[str, list | np.ndarray]:
     size = np.array([len(u) for u, _ in each], np.int64)
     used, times = (np.concatenate([e[k] for e in each]) if each else np.zeros(0, np.int64) for k in (0, 1))
     out |= {"piece_ends": np.cumsum(size), "pieces": used, "times": times}
-    n_pairs = np.array([len(p[5]) for p in pieces], np.int64)
-    ends = np.cumsum(n_pairs)
-    keys = np.fromiter((x for p in pieces for x in p[5]), np.int64, int(n_pairs.sum()))
+
+    in_group, keys, links = _links(a, b, starts, counts)
     pairs, place = np.unique(keys, return_inverse=True)
-    out |= {"pair_ends": ends, "piece_pairs": place, "piece_links": np.fromiter((x for p in pieces for x in p[6]), np.int64, len(keys)), "pairs": pairs}
+    held, inverse = np.unique(owner[in_group] * max(1, len(pairs)) + place, return_inverse=True)
+    links = np.bincount(inverse, links, minlength=len(held)).astype(np.int64)
+    own, place = held // max(1, len(pairs)), held % max(1, len(pairs))
+    n_pairs = np.bincount(own, minlength=n_pieces)
+    ends = np.cumsum(n_pairs)
+    out |= {"pair_ends": ends, "piece_pairs": place, "piece_links": links, "pairs": pairs}
     # documents of the block that hold each pair
     docs = np.zeros(len(pairs), np.int64)
     start = ends - n_pairs
     for k in range(0, len(rows), 256):
-        part, own = used[(lo := int(size[:k].sum())) : (hi := int(size[: k + 256].sum()))], np.repeat(np.arange(len(size[k : k + 256])), size[k : k + 256])
+        part, doc = used[(lo := int(size[:k].sum())) : (hi := int(size[: k + 256].sum()))], np.repeat(np.arange(len(size[k : k + 256])), size[k : k + 256])
         if hi > lo:
             n = n_pairs[part]
             at = np.repeat(start[part] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            held = np.unique(np.repeat(own, n) * len(pairs) + place[at])
-            docs += np.bincount(held % len(pairs), minlength=len(pairs))
+            both = np.unique(np.repeat(doc, n) * len(pairs) + place[at])
+            docs += np.bincount(both % len(pairs), minlength=len(pairs))
     out["docs"] = docs
     return out
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import sentencepiece
 from hypothesis import given, settings
@@ -74,13 +75,22 @@ ALIGNER = alignment.Aligner()
 
 
 def test_stabbing_queries():
-    starts, ends = [0, 2, 3, 7], [2, 3, 7, 9]
+    starts, ends = np.array([0, 2, 3, 7]), np.array([2, 3, 7, 9])
     for begin in range(9):
         for end in range(begin + 1, 10):
             over = [k for k in range(4) if starts[k] < end and ends[k] > begin]
-            assert alignment.stabbed(starts, ends, begin, end) == (over[0], over[-1] + 1)
-    assert alignment.groups([1, 2, 3], [3, 1, 2]) == [(0, 2, 0, 1), (2, 3, 1, 3)]
-    assert alignment.groups([], []) == []
+            first, last = alignment.stabbed(starts, ends, np.array([begin]), np.array([end]))
+            assert (first[0], last[0]) == (over[0], over[-1] + 1)
+    assert [x.tolist() for x in alignment.groups(np.array([1, 2, 3]), np.array([3, 1, 2]))] == [[0, 2], [0, 1]]
+    assert [x.tolist() for x in alignment.groups(np.zeros(0, np.int64), np.zeros(0, np.int64))] == [[], []]
+
+
+def test_groups_of_many_links(monkeypatch):
+    texts = ["x" * 300 + "ab" * 50, "the xyzzy", "1" * 90]
+    want = alignment._pack(ALIGNER, texts)
+    monkeypatch.setattr(alignment, "MANY", 0)
+    got = alignment._pack(ALIGNER, texts)
+    assert all(np.array_equal(got[c], want[c]) for c in want)
 
 
 def test_alignment_equals_plain_counts(spark):
