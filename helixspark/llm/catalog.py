@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, decontaminate, language_model, licenses, packing, resampling, search, simhash, suffixes, token_counts, toxicity
+from . import alignment, credentials, decontaminate, language_model, licenses, packing, ranked, resampling, search, simhash, suffixes, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -17,9 +17,11 @@ def queries() -> dict:
         "op8_bm25_top_k": search.op8_bm25_top_k,
         "op9_quality_resampling": resampling.op9_quality_resampling,
         "op10_decontamination": decontaminate.op10_decontamination,
+        "op11_secret_scans": credentials.op11_secret_scans,
         "op12_token_alignment": alignment.op12_token_alignment,
+        "op13_ranked_search": ranked.op13_ranked_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_license_scans": licenses.op3_sql()}
+    return {"op3_license_scans": licenses.op3_sql(), "op13_ranked_search": ranked.op13_sql()}
