@@ -159,7 +159,6 @@ def _features(m: DataFrame, n: DataFrame) -> DataFrame:
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "scan_counts": (lambda s, d: statistics.class_counts(detect(sequences(s, d))), None),
-    "scan_chunked": (lambda s, d: scan(sequences(s, d), mode="chunked", size=5000, overlap=1000).groupBy("class", "subclass").agg(F.count("*").alias("n")), None),
     "f_normalize_by_class": (_m(_normalized), _NORMALIZED),
     "f_registry_scan": (_q(lambda q: _registry_scan(q, _SCANNED)), WITH_SEQ + ' SELECT seq_id, pattern_id, "start", "end" FROM ' + _hits_sql({p: rx for c, p, rx, _, _ in registry.PATTERNS if c in _SCANNED})),
     "f_registry_scan_repeats": (_q(lambda q: _registry_scan(q, ["Slipped_DNA"])), None),
@@ -214,7 +213,6 @@ SELECT seq_id, s + 1 AS start_pos, e AS end_pos, len(ts)::INT AS num_tracts, arr
     "k_csv": (_csv_file, WITH_MOTIF + " SELECT seq_id, class, subclass, start_pos::VARCHAR AS start_pos, end_pos::VARCHAR AS end_pos, length::VARCHAR AS length, 'NA' AS sequence, '+' AS strand, score::VARCHAR AS score, '0.0' AS raw_score, 'Pattern_detection' AS method, 'Unknown' AS pattern_id, event_id::VARCHAR AS event_id FROM motifs"),
     "k_bed": (_lines_of("bed"), WITH_MOTIF + ", col(class, rgb) AS (VALUES " + ", ".join(f"('{c}', '{v}')" for c, v in writers.COLOURS.items()) + ") SELECT concat_ws(chr(9), seq_id, start_pos - 1, end_pos, class || '_' || subclass, 1000, '+', start_pos - 1, end_pos, rgb) AS value FROM motifs JOIN col USING (class) UNION ALL SELECT 'track name=helixspark_motifs description=\"Non-B DNA motifs\" itemRgb=On' FROM (SELECT DISTINCT seq_id FROM motifs)"),
     "k_gff3": (_lines_of("gff3"), WITH_MOTIF + ", r AS (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY start_pos, end_pos, class, subclass, score) AS i FROM motifs) SELECT concat_ws(chr(9), seq_id, 'helixspark', 'Non_B_DNA_motif', start_pos, end_pos, score, '+', '.', 'ID=motif_' || i || ';Name=' || class || '_' || subclass || ';motif_class=' || class || ';motif_subclass=' || subclass || ';length=' || length || ';method=helixspark') AS value FROM r UNION ALL SELECT '##gff-version 3' FROM (SELECT DISTINCT seq_id FROM motifs) UNION ALL SELECT '##sequence-region ' || seq_id || ' 1 ' || max(end_pos) FROM motifs GROUP BY seq_id"),
-    "k_json": (_lines_of("json"), None),
     "k_jsonl_summary": (_m(lambda m, n: writers.jsonl_summary(m, n).drop("mean_score")), WITH_MOTIF + f" SELECT seq_id, count(*) AS total_motifs, sum(length)::BIGINT AS coverage_bp, round(sum(length) * 100.0::DOUBLE / {LENGTH}, 4) AS coverage_pct, round(count(*) * 1000.0::DOUBLE / {LENGTH}, 4) AS density FROM motifs GROUP BY 1"),
     "k_exportable": (_m(lambda m, n: writers.exportable(m.withColumn("subclass", F.when(F.col("event_id") % 5 == 0, "Dynamic thing").otherwise(F.upper("subclass")))).select("event_id", "class", "subclass")), WITH_MOTIF + " SELECT event_id, class, subclass FROM motifs WHERE event_id % 5 <> 0"),
     "k_workbook": (_m(lambda m, n: _union(reports.results_workbook(_with_derived(m)), "event_id")), WITH_MOTIF + f", d AS (SELECT event_id, {_DERIVED} AS class FROM motifs) {_SHEETS}"),

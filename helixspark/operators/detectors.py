@@ -1,6 +1,9 @@
-"""The nine detectors: sequences (seq_id, seq) in, motifs out.
+"""The nine detectors: sequences (seq_id, seq) or their tiles (see tiling) in, motifs out.
 
-A motif: seq_id, class, subclass, start_pos, end_pos (from 1, inclusive), length, strand, raw_score, score (1 to 3),
+Of tiles that end at safe places and show ``tiling.CONTEXT`` letters around, the motifs are those of the whole sequences:
+patterns don't cross a safe place; arms of repeats reach 208 bases, elongation zones 2000, and only what begins in a tile's
+core is its own; runs that go on behind a border are joined there; and choices between overlapping hits, chains and unions
+are made over the sequence's table of hits, which is written once. A motif: seq_id, class, subclass, start_pos, end_pos (from 1, inclusive), length, strand, raw_score, score (1 to 3),
 method, pattern_id, attrs. Sequences are taken in upper case.
 """
 
@@ -11,9 +14,11 @@ from pyspark.sql import functions as F
 
 from ..functions.sequence import count_of, normalize_score
 from ..functions.tables import a_tenmers, z_tenmers
+from ..sources.shared import written
 from . import kernels
-from .intervals import islands, select_greedy
-from .regexscan import kmer_hits, regex_hits, stranded_hits
+from .intervals import islands, merged, segmented, select_greedy
+from .regexscan import kmer_hits, placed_hits, regex_hits, stranded_hits
+from .tiling import cut, tiled
 
 COLUMNS = ["seq_id", "class", "subclass", "start_pos", "end_pos", "length", "strand", "raw_score", "score", "method", "pattern_id", "attrs"]
 
@@ -78,29 +83,49 @@ def _span() -> Column:
 def local_curvature(seqs: DataFrame) -> DataFrame:
     """Runs of eight or more A or T."""
     raw = F.round(_span() / (_span() + 7.0), 6)
-    return _motifs(regex_hits(seqs, LOCAL_CURVES), "Curved_DNA", F.lit("Local Curvature"), raw, normalize_score(raw, 0.1, 1.0, _span(), 50), "A-tract run")
+    return _motifs(placed_hits(seqs, LOCAL_CURVES), "Curved_DNA", F.lit("Local Curvature"), raw, normalize_score(raw, 0.1, 1.0, _span(), 50), "A-tract run")
 
 
 def global_curvature(seqs: DataFrame) -> DataFrame:
     """Three or more A or T tracts whose centres are 9.9 to 11.1 bases apart, one after another."""
-    tracts = regex_hits(seqs, {"tract": "A{3,}|T{3,}"}).withColumn("center", F.col("start") + (_span() - 1) / 2.0)
-    order = Window.partitionBy("seq_id").orderBy("center")
+    tracts = placed_hits(seqs, {"tract": "A{3,}|T{3,}"}).withColumn("center", F.col("start") + (_span() - 1) / 2.0)
+    keys = ["seq_id"]
+    if tiled(seqs):  # no step of a chain is longer than the gap
+        keys, tracts = ["seq_id", "_segment"], segmented(written(tracts.select("seq_id", "start", "end", "center")), keys, F.col("center"), F.col("center"), gap=12)
+    order = Window.partitionBy(*keys).orderBy("center")
     spaced = tracts.withColumn("step", F.col("center") - F.lag("center").over(order))
     breaks = F.when(F.col("step").between(9.9, 11.1), 0).otherwise(1)
     chained = spaced.withColumn("chain", F.sum(breaks).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("step", F.when(F.col("step").between(9.9, 11.1), F.col("step")))
-    runs = chained.groupBy("seq_id", "chain").agg(F.count("*").alias("n"), F.min("start").alias("start"), F.max("end").alias("end"), F.avg(F.abs(F.col("step") - 11.0)).alias("off")).filter("n >= 3")
+    runs = chained.groupBy(*keys, "chain").agg(F.count("*").alias("n"), F.min("start").alias("start"), F.max("end").alias("end"), F.avg(F.abs(F.col("step") - 11.0)).alias("off")).filter("n >= 3")
     raw = F.round(F.greatest(F.lit(0.0), 1.0 - F.col("off") / 1.1), 6)
     return _motifs(runs.withColumn("raw", raw).filter("raw >= 0.1"), "Curved_DNA", F.lit("Global Curvature"), F.col("raw"), normalize_score(F.col("raw"), 0.1, 1.0, _span(), 120), "Phased tracts", F.lit("CRV_001"), attrs=F.create_map(F.lit("tracts"), F.col("n").cast("string")))
 
 
+def _taken(hits: DataFrame, order: list[Column]) -> DataFrame:
+    """Of overlapping hits of tiles, those that come first in order: over the whole sequence, segment by segment."""
+    return select_greedy(written(hits), ["seq_id"], order, F.col("start"), F.col("end"), spread=True)
+
+
+def _tandem_repeats(tiles: DataFrame) -> DataFrame:
+    """Tandem repeats of tiles: runs that end at a tile's border are joined to those that go on there."""
+    runs = written(kernels.repeat_runs_of_tiles(tiles))
+    joined = islands(runs.filter("open"), ["seq_id", "k"]).groupBy("seq_id", "k", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("unit", "start").alias("unit"))
+    least = F.greatest(F.lit(2), F.ceil(F.lit(20) / F.col("k"))).cast("int")
+    whole = runs.filter("not open").select("seq_id", "start", "end", "k", "unit").unionByName(joined.filter(F.col("end") - F.col("start") >= (least - 1) * F.col("k")).select("seq_id", "start", "end", "k", "unit"))
+    return _taken(kernels.tandem_repeats(whole), [F.col("start"), -F.col("base"), F.col("k")])
+
+
 def slipped(seqs: DataFrame) -> DataFrame:
-    hits = kernels.apply_kernel(seqs, kernels.slipped)
+    hits = _tandem_repeats(seqs) if tiled(seqs) else kernels.apply_kernel(seqs, kernels.slipped)
     score = F.when(F.col("subclass") == "STR", normalize_score(F.col("raw_score"), 1.0, 3.0, _span(), 1000)).otherwise(normalize_score(F.col("raw_score"), 1.0, 3.0, _span(), 500))
     return _motifs(hits, "Slipped_DNA", F.col("subclass"), F.col("raw_score"), score, "Tandem repeats", F.lit("SLP"), attrs=F.col("attrs"))
 
 
 def cruciform(seqs: DataFrame) -> DataFrame:
-    hits = kernels.apply_kernel(seqs, kernels.cruciform)
+    if tiled(seqs):
+        hits = _taken(kernels.apply_kernel(seqs, kernels.inverted_repeats), [-F.col("raw_score"), F.col("start") - F.col("end"), F.col("start"), -F.col("attrs")["arm"].cast("int")])
+    else:
+        hits = kernels.apply_kernel(seqs, kernels.cruciform)
     return _motifs(hits, "Cruciform", F.col("subclass"), F.col("raw_score"), normalize_score(F.col("raw_score"), 0.2, 1.0, _span(), 200), "Inverted repeats", F.lit("CRU"), attrs=F.col("attrs"))
 
 
@@ -116,7 +141,10 @@ def r_loops(seqs: DataFrame) -> DataFrame:
 
 
 def h_dna(seqs: DataFrame) -> DataFrame:
-    hits = kernels.apply_kernel(seqs, kernels.mirror)
+    if tiled(seqs):
+        hits = _taken(kernels.apply_kernel(seqs, kernels.mirror_repeats), [-F.col("attrs")["arm"].cast("int"), F.col("attrs")["loop"].cast("int"), F.col("start")])
+    else:
+        hits = kernels.apply_kernel(seqs, kernels.mirror)
     return _motifs(hits, "Triplex", F.col("subclass"), F.col("raw_score"), normalize_score(F.col("raw_score"), 1.0, 3.0, _span(), 150), "Mirror repeats", F.lit("TRX_MIRROR"), attrs=F.col("attrs"))
 
 
@@ -124,25 +152,31 @@ def sticky(seqs: DataFrame) -> DataFrame:
     """Four or more GAA or TTC; the score rises with the copies in four slopes."""
     c = F.floor(_span() / 3)
     raw = F.round(F.least(F.lit(3.0), F.when(c < 20, 1 + 0.015 * c).when(c < 40, 1.3 + 0.03 * (c - 20)).when(c < 60, 2.0 + 0.02 * (c - 40)).otherwise(2.6 + 0.01 * (c - 60))), 3)
-    return _motifs(regex_hits(seqs, STICKY), "Triplex", F.lit("Sticky DNA"), raw, normalize_score(raw, 1.0, 3.0, _span(), 150), "Repeat tract", attrs=F.create_map(F.lit("copies"), c.cast("string")))
+    return _motifs(placed_hits(seqs, STICKY), "Triplex", F.lit("Sticky DNA"), raw, normalize_score(raw, 1.0, 3.0, _span(), 150), "Repeat tract", attrs=F.create_map(F.lit("copies"), c.cast("string")))
 
 
 def quadruplex_hits(seqs: DataFrame) -> DataFrame:
-    """All matches of the eight patterns inside the merged windows around runs of G, with their raw score."""
-    n = F.length("seq").cast("long")
-    runs = regex_hits(seqs.filter(F.contains("seq", F.lit("GGG"))), {"g": "G{3,}"}).select("seq_id", F.greatest(F.lit(0), F.col("start") - 50).alias("from"), (F.col("start") + 200).alias("to"))
-    areas = islands(runs, ["seq_id"], "from", "to").groupBy("seq_id", "island").agg(F.min("from").alias("area"), F.max("to").alias("to"))
-    windows = areas.join(seqs.select("seq_id", "seq"), "seq_id").select("seq_id", "area", F.substr(F.col("seq"), (F.col("area") + 1).cast("int"), (F.least("to", n) - F.col("area")).cast("int")).alias("seq"))
-    hits = regex_hits(windows, QUADRUPLEXES, ("seq_id", "area")).withColumn("start", F.col("area") + F.col("start")).withColumn("end", F.col("area") + F.col("end")).filter("end - start >= 8")
+    """All matches of the eight patterns inside the merged windows around runs of G, with their raw score.
+
+    Windows are laid tile by tile: a tile shows the runs that reach into its core, and ends where no match goes on, so the
+    parts of a window in two tiles have the matches of the window. ``tile`` is where the tile begins.
+    """
+    tiles = seqs if tiled(seqs) else cut(seqs, left=256, right=256, safe=True)
+    rows = tiles.filter(F.contains("seq", F.lit("GGG"))).withColumn("tile", F.col("at") + F.col("lo"))
+    runs = regex_hits(rows, {"g": "G{3,}"}, ("seq_id", "tile", "lo", "hi")).select("seq_id", "tile", F.greatest("lo", F.col("start") - 50).alias("from"), F.least("hi", F.col("start") + 200).alias("to")).filter("from < to")
+    areas = islands(runs, ["seq_id", "tile"], "from", "to").groupBy("seq_id", "tile", "island").agg(F.min("from").alias("from"), F.max("to").alias("to"))
+    windows = areas.join(rows.select("seq_id", "tile", "at", "seq"), ["seq_id", "tile"]).select("seq_id", "tile", (F.col("at") + F.col("from")).alias("area"), F.substr(F.col("seq"), (F.col("from") + 1).cast("int"), (F.col("to") - F.col("from")).cast("int")).alias("seq"))
+    hits = regex_hits(windows, QUADRUPLEXES, ("seq_id", "tile", "area")).withColumn("start", F.col("area") + F.col("start")).withColumn("end", F.col("area") + F.col("end")).filter("end - start >= 8")
     w = F.least(F.lit(25), _span()).cast("int")
     most = F.array_max(F.transform(F.sequence(F.lit(1), (_span() - w + 1).cast("int")), lambda i: w - F.length(F.replace(F.substr(F.col("matched"), i, w), F.lit("G"), F.lit("")))))
     raw = F.round(most / w * (_span() / w), 6)
     order = _literal({p: i for i, p in enumerate(G4_NAMES)})
-    return hits.select("seq_id", "start", "end", "pattern_id", raw.alias("raw"), order[F.col("pattern_id")].alias("priority"))
+    return hits.select("seq_id", "tile", "start", "end", "pattern_id", raw.alias("raw"), order[F.col("pattern_id")].alias("priority"))
 
 
 def quadruplexes(seqs: DataFrame) -> DataFrame:
-    hits = select_greedy(quadruplex_hits(seqs), ["seq_id"], [-F.col("raw"), F.col("priority"), -_span()], F.col("start"), F.col("end"))
+    """No match crosses a tile's border, so the choice is made tile by tile."""
+    hits = select_greedy(quadruplex_hits(seqs), ["seq_id", "tile"],[-F.col("raw"), F.col("priority"), -_span()], F.col("start"), F.col("end"))
     return _motifs(hits, "G-Quadruplex", _literal(G4_NAMES)[F.col("pattern_id")], F.col("raw"), normalize_score(F.col("raw"), 0.5, 4.0, _span(), 120), "G4Hunter window")
 
 
@@ -151,7 +185,7 @@ def i_motif_hits(seqs: DataFrame) -> DataFrame:
     k = F.size(tracts)
     total = F.aggregate(tracts, F.lit(0), lambda a, t: a + F.length(t))
     raw = F.when((_span() < 12) | (k < 3), 0.0).otherwise(F.least(F.lit(1.0), total / _span() + F.least(F.lit(0.4), 0.12 * (k - 2))))
-    return stranded_hits(seqs, IMOTIFS).filter("end - start >= 10").select("seq_id", "start", "end", "strand", "pattern_id", F.round(raw, 6).alias("raw"))
+    return stranded_hits(seqs, IMOTIFS).filter("end - start >= 10").select("seq_id", "at", "start", "end", "strand", "pattern_id", F.round(raw, 6).alias("raw"))
 
 
 def ac_motif_hits(seqs: DataFrame) -> DataFrame:
@@ -159,22 +193,21 @@ def ac_motif_hits(seqs: DataFrame) -> DataFrame:
     share = count_of(F.col("matched"), "AC") / _span()
     boost = F.when(F.col("pattern_id").isin("HUR_AC_5", "HUR_AC_6"), 0.12).otherwise(0.25)
     raw = F.least(F.lit(1.0), F.least(F.lit(0.6), share * 0.8) + F.when((long_tracts("A") >= 1) & (long_tracts("C") >= 3), 0.5).otherwise(0.0) + boost)
-    return stranded_hits(seqs, AC_MOTIFS).select("seq_id", "start", "end", "strand", "pattern_id", F.round(raw, 6).alias("raw"))
+    return stranded_hits(seqs, AC_MOTIFS).select("seq_id", "at", "start", "end", "strand", "pattern_id", F.round(raw, 6).alias("raw"))
 
 
 def i_motifs(seqs: DataFrame) -> DataFrame:
-    """C-rich motifs on either strand; canonical and relaxed ones compete with each other, AC motifs among themselves."""
+    """C-rich motifs on either strand; canonical and relaxed ones compete with each other, AC motifs among themselves; of tiles, in each tile."""
     relaxed = (F.col("pattern_id") == "IM_EXT").cast("int")
-    c = select_greedy(i_motif_hits(seqs), ["seq_id"], [-F.col("raw"), relaxed, -_span(), (F.col("strand") == "-").cast("int")], F.col("start"), F.col("end"))
-    ac = select_greedy(ac_motif_hits(seqs), ["seq_id"], [-F.col("raw"), -_span(), (F.col("strand") == "-").cast("int")], F.col("start"), F.col("end"))
+    c = select_greedy(i_motif_hits(seqs), ["seq_id", "at"], [-F.col("raw"), relaxed, -_span(), (F.col("strand") == "-").cast("int")], F.col("start"), F.col("end"))
+    ac = select_greedy(ac_motif_hits(seqs), ["seq_id", "at"],[-F.col("raw"), -_span(), (F.col("strand") == "-").cast("int")], F.col("start"), F.col("end"))
     names = F.when(F.col("pattern_id") == "IM_0", "Canonical i-motif").when(F.col("pattern_id") == "IM_EXT", "Relaxed i-motif").otherwise("AC-motif")
     return _motifs(c.unionByName(ac), "i-Motif", names, F.col("raw"), normalize_score(F.col("raw"), 0.4, 1.0, _span(), 60), "C-tract density", strand=F.col("strand"))
 
 
 def _tenmer_regions(seqs: DataFrame, table: list[tuple[str, float]], least: float) -> DataFrame:
-    hits = kmer_hits(seqs, table).withColumn("end", F.col("start") + 10)
-    regions = islands(hits, ["seq_id"]).groupBy("seq_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("raw"))
-    return regions.filter(F.col("raw") > least)
+    hits = kmer_hits(seqs, table).withColumn("end", F.col("start") + 10).withColumn("n", F.lit(1))
+    return merged(hits, ["seq_id"], sums=("n", "value")).withColumn("raw", F.round("value", 6)).filter(F.col("raw") > least)
 
 
 def z_dna(seqs: DataFrame) -> DataFrame:
@@ -186,7 +219,7 @@ def z_dna(seqs: DataFrame) -> DataFrame:
 def egz(seqs: DataFrame) -> DataFrame:
     n = F.floor(_span() / 3)
     raw = F.round(0.85 * n / 3, 6)
-    return _motifs(regex_hits(seqs, EGZ), "Z-DNA", F.lit("eGZ"), raw, normalize_score(raw, 50.0, _span() * 63.0 / 10.0, _span(), 300), "Trinucleotide run", attrs=F.create_map(F.lit("copies"), n.cast("string")))
+    return _motifs(placed_hits(seqs, EGZ), "Z-DNA", F.lit("eGZ"), raw, normalize_score(raw, 50.0, _span() * 63.0 / 10.0, _span(), 300), "Trinucleotide run", attrs=F.create_map(F.lit("copies"), n.cast("string")))
 
 
 def a_philic(seqs: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tiling import cut
+
 DERIVED = ("Hybrid", "Non-B_DNA_Clusters")
 
 
@@ -22,15 +24,34 @@ def islands(df: DataFrame, keys: list[str], start: str = "start", end: str = "en
     return df.withColumn("_first", F.coalesce(first, F.lit(1))).withColumn("island", F.sum("_first").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_first")
 
 
-def merged(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", width: int = 1_000_000) -> DataFrame:
-    """The union of the intervals: (keys, start, end).
+def merged(df: DataFrame, keys: list[str], start: str = "start", end: str = "end", width: int = 1_000_000, sums: tuple[str, ...] = ()) -> DataFrame:
+    """The union of the intervals: (keys, start, end, sums of columns over its intervals).
 
     Stretches of ``width`` bases are merged first, each by a task of its own, so that only their unions meet for one key:
     a chromosome with most of the rows doesn't end up in one task.
     """
+    added = [F.sum(c).alias(c) for c in sums]
     local = islands(df.withColumn("_part", F.floor(F.col(start) / width)), [*keys, "_part"], start, end)
-    parts = local.groupBy(*keys, "_part", "island").agg(F.min(start).alias("start"), F.max(end).alias("end")).drop("island", "_part")
-    return islands(parts, keys).groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
+    parts = local.groupBy(*keys, "_part", "island").agg(F.min(start).alias("start"), F.max(end).alias("end"), *added).drop("island", "_part")
+    return islands(parts, keys).groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), *added).drop("island")
+
+
+def segmented(df: DataFrame, keys: list[str], start: Column, end: Column, gap: float = 0, width: int = 1_000_000, grain: int = 1000) -> DataFrame:
+    """Adds ``_segment``: rows of different segments of a key neither overlap nor touch, nor lie ``gap`` or less apart.
+
+    The carry of a scan over places, without the scan: every stretch of ``grain`` bases gives its least start and greatest
+    end (partial sums, one row a stretch), and running maxima of these few rows tell which stretches nothing reaches into.
+    The first of those in every ``width`` bases begins a segment. So all that depends on overlaps can run segment by
+    segment, in as many tasks as there are; an island that crosses an edge stays whole. df is read twice.
+    """
+    fine = F.floor(start / grain)
+    sums = df.groupBy(*keys, fine.alias("_fine")).agg(F.min(start).alias("_s"), F.max(end).alias("_e"))
+    order = Window.partitionBy(*keys).orderBy("_fine")
+    reach = F.max("_e").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    flagged = sums.withColumn("_clean", F.coalesce(F.col("_s") > reach + gap, F.lit(True))).withColumn("_coarse", F.floor(F.col("_fine") * grain / width))
+    first = F.col("_clean") & (F.row_number().over(Window.partitionBy(*keys, "_coarse", "_clean").orderBy("_fine")) == 1)
+    found = flagged.withColumn("_first", F.when(first, F.col("_fine"))).withColumn("_segment", F.max("_first").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return df.withColumn("_fine", fine).join(found.select(*keys, "_fine", "_segment"), [*keys, "_fine"]).drop("_fine")
 
 
 def coverage(df: DataFrame, keys: list[str], cap: Column | None = None) -> DataFrame:
@@ -112,25 +133,28 @@ def _best_first(island: list[int], starts: list[int], ends: list[int], rank: np.
     return kept
 
 
-def select_greedy(df: DataFrame, keys: list[str], order: list[Column], start: Column, end: Column) -> DataFrame:
+def select_greedy(df: DataFrame, keys: list[str], order: list[Column], start: Column, end: Column, spread: bool = False, width: int = 1_000_000) -> DataFrame:
     """Takes rows in the order given and keeps each that overlaps none kept before ([start, end) in its keys).
 
-    No choice reaches across an island of overlapping rows. A task holds a batch and one island, never all rows of its keys;
-    all rows of one key value stream through one task.
+    No choice reaches across an island of overlapping rows. A task holds a batch and one island, never all rows of its keys.
+    All rows of one key value stream through one task, or with ``spread`` those of one segment of about ``width`` bases;
+    spread reads df twice, so give it a written table.
     """
-    return _chosen(df, keys, order, start, end, _best_first)
+    if not spread:
+        return _chosen(df, keys, order, start, end, _best_first)
+    return _chosen(segmented(df, keys, start, end, width=width), [*keys, "_segment"], order, start, end, _best_first).select(df.columns)
 
 
-def remove_overlaps(motifs: DataFrame) -> DataFrame:
+def remove_overlaps(motifs: DataFrame, spread: bool = False) -> DataFrame:
     """One class and subclass of a sequence at a time: best score, then longest, first; the rest must not share a base."""
-    return select_greedy(motifs, ["seq_id", "class", "subclass"], [-F.col("score"), -F.col("length"), F.col("start_pos")], F.col("start_pos") - 1, F.col("end_pos"))
+    return select_greedy(motifs, ["seq_id", "class", "subclass"], [-F.col("score"), -F.col("length"), F.col("start_pos")], F.col("start_pos") - 1, F.col("end_pos"), spread)
 
 
-def resolve_cross_class(motifs: DataFrame, mode: str = "strict") -> DataFrame:
+def resolve_cross_class(motifs: DataFrame, mode: str = "strict", spread: bool = False) -> DataFrame:
     """All classes of a sequence together; rows may share a border base. mode "hybrid" leaves hybrids and clusters alone."""
     free = motifs.filter(F.col("class").isin(*DERIVED)) if mode == "hybrid" else motifs.limit(0)
     rest = motifs.filter(~F.col("class").isin(*DERIVED)) if mode == "hybrid" else motifs
-    return select_greedy(rest, ["seq_id"], [-F.col("score"), -(F.col("end_pos") - F.col("start_pos")), F.col("start_pos")], F.col("start_pos"), F.col("end_pos")).unionByName(free)
+    return select_greedy(rest, ["seq_id"], [-F.col("score"), -(F.col("end_pos") - F.col("start_pos")), F.col("start_pos")], F.col("start_pos"), F.col("end_pos"), spread).unionByName(free)
 
 
 def merge_results(parts: dict[str, DataFrame]) -> DataFrame:
@@ -202,22 +226,29 @@ def hybrids(motifs: DataFrame, least: float = 0.5, most: float = 0.99) -> DataFr
     return found.withColumn("_r", F.row_number().over(one)).filter("_r = 1").select("seq_id", F.lit("Hybrid").alias("class"), "subclass", "start_pos", "end_pos", (F.col("end_pos") - F.col("start_pos") + 1).alias("length"), "score", "component_classes")
 
 
+def stretched(df: DataFrame, place: str, before: int, after: int, width: int = 1_000_000) -> DataFrame:
+    """Rows by stretches of ``width`` bases (column ``_part``), each with the rows up to ``before`` and ``after`` bases around it (``_own`` false).
+
+    A window over a range of places gives a stretch's own rows the same as over the whole sequence.
+    """
+    parts = F.sequence(F.floor((F.col(place) - after) / width), F.floor((F.col(place) + before) / width))
+    return df.withColumn("_part", F.explode(parts)).withColumn("_own", F.col("_part") == F.floor(F.col(place) / width))
+
+
 def clusters(motifs: DataFrame, reach: int = 300, motifs_least: int = 4, classes_least: int = 3) -> DataFrame:
     """Starts from which, within ``reach``, enough motifs of enough classes start. They aren't merged."""
-    ahead = Window.partitionBy("seq_id").orderBy("start_pos").rangeBetween(0, reach)
-    counted = motifs.select("seq_id", "start_pos", F.count("*").over(ahead).alias("motif_count"), F.sort_array(F.collect_set("class").over(ahead)).alias("component_classes"), F.max("end_pos").over(ahead).alias("end_pos"), F.avg("score").over(ahead).alias("score"))
-    found = counted.filter((F.col("motif_count") >= motifs_least) & (F.size("component_classes") >= classes_least)).dropDuplicates(["seq_id", "start_pos"])
+    ahead = Window.partitionBy("seq_id", "_part").orderBy("start_pos").rangeBetween(0, reach)
+    placed = stretched(motifs.select("seq_id", "start_pos", "end_pos", "class", "score"), "start_pos", 0, reach)
+    counted = placed.select("seq_id", "start_pos", "_own", F.count("*").over(ahead).alias("motif_count"), F.sort_array(F.collect_set("class").over(ahead)).alias("component_classes"), F.max("end_pos").over(ahead).alias("end_pos"), F.avg("score").over(ahead).alias("score"))
+    found = counted.filter(F.col("_own") & (F.col("motif_count") >= motifs_least) & (F.size("component_classes") >= classes_least)).dropDuplicates(["seq_id", "start_pos"])
     return found.select("seq_id", F.lit("Non-B_DNA_Clusters").alias("class"), F.concat(F.lit("Mixed_Cluster_"), F.size("component_classes").cast("string"), F.lit("_classes")).alias("subclass"), "start_pos", "end_pos", (F.col("end_pos") - F.col("start_pos") + 1).alias("length"), F.round("score", 3).alias("score"), "component_classes", F.col("motif_count").cast("int").alias("motif_count"), F.size("component_classes").alias("class_diversity"))
 
 
 def tiles(seqs: DataFrame, size: int = 50_000, overlap: int = 2000) -> DataFrame:
     """Overlapping tiles of each sequence; a row belongs to the tile whose core [core_start, core_end) its start lies in."""
     step = size - overlap
-    n = F.length("seq").cast("long")
-    last = F.greatest(F.lit(0).cast("long"), F.ceil((n - size) / step).cast("long"))
-    at = seqs.select("seq_id", "seq", n.alias("n"), last.alias("_last"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("tile_id"))
-    start = F.col("tile_id") * step
-    return at.select("seq_id", "tile_id", start.alias("tile_start"), F.least(start + size, F.col("n")).alias("tile_end"), start.alias("core_start"), F.when(F.col("tile_id") == F.col("_last"), F.col("n")).otherwise(start + step).alias("core_end"), F.substr(F.col("seq"), (start + 1).cast("int"), F.lit(size)).alias("tile_seq"))
+    found = cut(seqs, step, right=overlap, tail=True)
+    return found.select("seq_id", F.floor(F.col("at") / step).alias("tile_id"), F.col("at").alias("tile_start"), (F.col("at") + F.length("seq")).cast("long").alias("tile_end"), F.col("at").alias("core_start"), (F.col("at") + F.col("hi")).alias("core_end"), F.col("seq").alias("tile_seq"))
 
 
 def quality_issues(motifs: DataFrame, length: int, top: int | None = None) -> DataFrame:

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..functions.tables import STACKING
+from .tiling import tiled
 
 ROWS = "seq_id string, start long, end long, subclass string, raw_score double, attrs map<string,string>"
 CODE = np.full(256, 255, np.uint8)
@@ -21,16 +22,41 @@ CODE[[65, 67, 71, 84]] = [0, 1, 2, 3]  # A, C, G, T; the complement of x is 3 -
 UNITS = frozenset({"CAG", "CTG", "CGG", "CCG", "GAA", "TTC"})
 
 
-def apply_kernel(seqs: DataFrame, kernel: Callable[[str], list[tuple]]) -> DataFrame:
+def _apply(seqs: DataFrame, kernel: Callable[[str, int, int], list[tuple]], kinds: dict[str, pa.DataType], schema: str) -> DataFrame:
+    """seq_id and what the kernel gives of every sequence or tile, its first two numbers moved to the sequence's places.
+
+    kernel(letters, lo, hi) looks at all letters and gives what begins in [lo, hi). One text and some rows are held at once.
+    """
+    places = seqs.select("seq_id", "seq", *(("at", "lo", "hi") if tiled(seqs) else ()))
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [[]] * (1 + len(kinds))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), *kinds.values()), strict=True)], names=["seq_id", *kinds])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
         for batch in batches:
-            rows = [(i, *row) for i, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if s for row in kernel(s.upper())]
-            columns = [list(c) for c in zip(*rows, strict=True)] or [[]] * 6
-            columns[5] = [list(d.items()) for d in columns[5]]
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.map_(pa.string(), pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["seq_id", "start", "end", "subclass", "raw_score", "attrs"])
+            for k in range(batch.num_rows):
+                name, seq, *place = (c[k].as_py() for c in batch.columns)
+                at, lo, hi = place or (0, 0, len(seq or ""))
+                if seq:
+                    rows += [(name, a + at, b + at, *rest) for a, b, *rest in kernel(seq.upper(), lo, hi)]
+                if len(rows) >= 1 << 14:
+                    yield out(rows)
+                    rows = []
+        yield out(rows)
+
+    return places.mapInArrow(run, schema)
 
-    return seqs.select("seq_id", "seq").mapInArrow(run, ROWS)
+
+def apply_kernel(seqs: DataFrame, kernel: Callable[[str, int, int], list[tuple]]) -> DataFrame:
+    """A detector's hits of sequences or tiles."""
+
+    def listed(seq: str, lo: int, hi: int) -> list[tuple]:
+        return [(*row[:4], list(row[4].items())) for row in kernel(seq, lo, hi)]
+
+    kinds = {"start": pa.int64(), "end": pa.int64(), "subclass": pa.string(), "raw_score": pa.float64(), "attrs": pa.map_(pa.string(), pa.string())}
+    return _apply(seqs, listed, kinds, ROWS)
 
 
 def first_free(rows: list[tuple[int, int]]) -> list[int]:
@@ -52,17 +78,17 @@ def _percent(part: int, whole: int) -> float:
     return math.floor(part * 10_000 / whole + 0.5 + 1e-9) / 100
 
 
-def r_loops(patterns: dict[str, str]) -> Callable[[str], list[tuple]]:
+def r_loops(patterns: dict[str, str]) -> Callable[[str, int, int], list[tuple]]:
     """Initiation zones by the patterns on both strands; (.., strand and pattern, raw score, G shares)."""
     compiled = {name: re.compile(p) for name, p in patterns.items()}
     turn = str.maketrans("ACGT", "TGCA")
 
-    def run(seq: str) -> list[tuple]:
+    def run(seq: str, lo: int, hi: int) -> list[tuple]:
         out, n = [], len(seq)
-        for strand, s in (("+", seq), ("-", seq.translate(turn)[::-1])):
+        for strand, s, first, until in (("+", seq, lo, hi), ("-", seq.translate(turn)[::-1], n - hi, n - lo)):
             g = np.concatenate([[0], np.cumsum(np.frombuffer(s.encode(), np.uint8) == 71)])
             for name, p in compiled.items():
-                for m in p.finditer(s):
+                for m in p.finditer(s, first, until):
                     begin, end = m.span()
                     riz = _percent(int(g[end] - g[begin]), end - begin)
                     if riz < 50:
@@ -100,71 +126,124 @@ def slippage_score(length: int, unit: str, copies: int, purity: float, gc: float
     return round(min(3.0, max(1.0, (1 + 2 * min(1.0, sums)) * (1.15 if unit in UNITS else 1.0))), 3)
 
 
-def slipped(seq: str) -> list[tuple]:
-    """Tandem repeats: short ones of at least six copies of up to four bases, longer units of two."""
+#: Longest unit of a tandem repeat.
+UNIT = 100
+
+
+def least_run(k: int) -> int:
+    """Least run of places that equal the one k on: two copies, and 20 bases."""
+    return (max(2, -(-20 // k)) - 1) * k
+
+
+def repeat_runs(seq: str, lo: int, hi: int, whole: bool) -> list[tuple[int, int, int, str, bool]]:
+    """(start, end, k, unit, open) of the runs of places in [lo, hi) whose letter stands again k places on.
+
+    ``whole``: [lo, hi) is the whole text. Else runs at its borders are open: they may go on in the next tile, so short ones count too.
+    """
     s = np.frombuffer(seq.encode(), np.uint8)
-    n, found = len(s), []
-    for k in range(1, min(100, n // 2 - 1) + 1):
-        same = np.concatenate([[False], s[:-k] == s[k:], [False]])
+    n, out = len(s), []
+    for k in range(1, min(UNIT, n // 2 - 1 if whole else n - lo - 1) + 1):
+        until = min(hi, n - k)
+        same = np.concatenate([[False], s[lo:until] == s[lo + k : until + k], [False]])
         edge = np.flatnonzero(same[1:] != same[:-1])
-        begin, size = edge[::2], edge[1::2] - edge[::2]
-        for a, run in zip(begin[size >= (max(2, -(-20 // k)) - 1) * k].tolist(), size[size >= (max(2, -(-20 // k)) - 1) * k].tolist(), strict=True):
-            unit = seq[a : a + k]
-            if "N" in unit:
-                continue
-            copies = run // k + 1
-            end = a + copies * k
-            part, base = seq[a:end], primitive(unit)
-            purity = sum(x == base[i % len(base)] for i, x in enumerate(part)) / len(part)
-            times = len(part) / len(base)
-            if len(part) >= 20 and purity >= 0.9 and times >= (6 if len(base) <= 4 else 2):
-                found.append((a, -len(base), end, base, copies, purity, times))
-    found.sort(key=lambda r: r[:2])
-    out = []
-    for i in first_free([(r[0], r[2]) for r in found]):
-        a, _, end, base, copies, purity, times = found[i]
-        gc = sum(x in "GC" for x in seq[a:end]) / (end - a)
-        out.append((a, end, "STR" if len(base) <= 9 else "Direct Repeat", slippage_score(end - a, base, copies, purity, gc), {"unit": base, "copy_number": f"{times:g}", "purity": f"{purity:g}"}))
+        begin, end = edge[::2] + lo, edge[1::2] + lo
+        is_open = np.zeros(len(begin), bool) if whole else ((begin == lo) & (lo > 0)) | ((end == hi) & (hi < n))
+        for i in np.flatnonzero(is_open | (end - begin >= least_run(k))).tolist():
+            a = int(begin[i])
+            out.append((a, int(end[i]), k, seq[a : a + k], bool(is_open[i])))
     return out
 
 
-def _arms(seq: str, complement: bool, loops: range, longest: int) -> Iterator[tuple[int, int, int]]:
-    """(left start, arm, loop) of seeds of six bases and their (complemented) mirror image, grown outwards."""
+def tandem(a: int, run: int, unit: str) -> tuple[int, int, int, str, int, float, float] | None:
+    """(start, -primitive unit's length, end, primitive unit, copies, purity, times) of a run, if it is a tandem repeat."""
+    if "N" in unit:
+        return None
+    copies = run // len(unit) + 1
+    part, base = unit * copies, primitive(unit)
+    purity = sum(x == base[i % len(base)] for i, x in enumerate(part)) / len(part)
+    times = len(part) / len(base)
+    fits = len(part) >= 20 and purity >= 0.9 and times >= (6 if len(base) <= 4 else 2)
+    return (a, -len(base), a + len(part), base, copies, purity, times) if fits else None
+
+
+def tandem_row(found: tuple[int, int, int, str, int, float, float], unit: str) -> tuple:
+    a, _, end, base, copies, purity, times = found
+    gc = sum(x in "GC" for x in unit) * copies / (end - a)
+    return a, end, "STR" if len(base) <= 9 else "Direct Repeat", slippage_score(end - a, base, copies, purity, gc), {"unit": base, "copy_number": f"{times:g}", "purity": f"{purity:g}"}
+
+
+def slipped(seq: str, lo: int = 0, hi: int | None = None) -> list[tuple]:
+    """Tandem repeats of a whole sequence: short ones of at least six copies of up to four bases, longer units of two."""
+    found = [(t, unit) for a, end, _, unit, _ in repeat_runs(seq, 0, len(seq), True) if (t := tandem(a, end - a, unit))]
+    found.sort(key=lambda r: r[0][:2])
+    return [tandem_row(*found[i]) for i in first_free([(t[0], t[2]) for t, _ in found])]
+
+
+def repeat_runs_of_tiles(tiles: DataFrame) -> DataFrame:
+    """(seq_id, start, end, k, unit, open): the runs of the tiles' cores."""
+    kinds = {"start": pa.int64(), "end": pa.int64(), "k": pa.int32(), "unit": pa.string(), "open": pa.bool_()}
+    return _apply(tiles, lambda seq, lo, hi: repeat_runs(seq, lo, hi, lo == 0 and hi == len(seq)), kinds, "seq_id string, start long, end long, k int, unit string, open boolean")
+
+
+def tandem_repeats(runs: DataFrame) -> DataFrame:
+    """Tandem repeats of runs (seq_id, start, end, k, unit), with the primitive unit's length and k, by which the first of several is taken."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.map_(pa.string(), pa.string()), pa.int32(), pa.int32())
+        for batch in batches:
+            rows = []
+            for name, a, end, k, unit in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (found := tandem(a, end - a, unit)) is not None:
+                    row = tandem_row(found, unit)
+                    rows.append((name, *row[:4], list(row[4].items()), -found[1], k))
+            columns = list(zip(*rows, strict=True)) or [[]] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["seq_id", "start", "end", "subclass", "raw_score", "attrs", "base", "k"])
+
+    return runs.select("seq_id", "start", "end", "k", "unit").mapInArrow(run, f"{ROWS}, base int, k int")
+
+
+def _arms(seq: str, complement: bool, loops: range, longest: int, lo: int, hi: int) -> Iterator[tuple[int, int, int]]:
+    """(left start, arm, loop) of seeds of six bases that start in [lo, hi) and their (complemented) mirror image, grown outwards."""
     code = CODE[np.frombuffer(seq.encode(), np.uint8)]
     n = len(code)
     if n < 12:
         return
     want = np.where(code < 4, 3 - code, 254) if complement else np.where(code < 4, code, 254)
     for loop in loops:
-        m = n - 12 - loop + 1
+        m = min(hi, n - 12 - loop + 1) - lo
         if m <= 0:
             break
         ok = np.ones(m, bool)
         for t in range(6):
-            ok &= code[t : t + m] == want[11 + loop - t : 11 + loop - t + m]
-        for i in np.flatnonzero(ok).tolist():
+            ok &= code[lo + t : lo + t + m] == want[lo + 11 + loop - t : lo + 11 + loop - t + m]
+        for i in (np.flatnonzero(ok) + lo).tolist():
             left, right, arm = i, i + 6 + loop + 6, 6
             while arm < longest and left > 0 and right < n and code[left - 1] == want[right]:
                 left, right, arm = left - 1, right + 1, arm + 1
             yield left, arm, loop
 
 
-def cruciform(seq: str) -> list[tuple]:
-    """Inverted repeats of stable arms around a short loop."""
+def inverted_repeats(seq: str, lo: int, hi: int) -> list[tuple]:
+    """Inverted repeats of stable arms around a short loop, overlapping ones too."""
     best: dict[tuple[int, int, int], float] = {}
-    for left, arm, loop in _arms(seq, True, range(13), 50):
+    for left, arm, loop in _arms(seq, True, range(13), 50, lo, hi):
         if arm >= 8 and (left, arm, loop) not in best:
             energy = sum(STACKING[seq[i : i + 2]] for i in range(left, left + arm - 1)) + (4.0 if loop == 0 else 1.75 + 0.6 * math.log(loop))
             if energy <= -5.0 and (raw := round(min(1.0, -energy / 20.0), 6)) > 0.2:
                 best[left, arm, loop] = raw
-    rows = sorted(((-raw, -(2 * arm + loop), left, arm, loop) for (left, arm, loop), raw in best.items()), key=lambda r: (r[0], r[1], r[2], -r[3]))
-    return [(left, left + 2 * arm + loop, "Cruciform forming IRs", -raw, {"arm": str(arm), "loop": str(loop)}) for raw, _, left, arm, loop in (rows[i] for i in first_free([(r[2], r[2] + 2 * r[3] + r[4]) for r in rows]))]
+    return [(left, left + 2 * arm + loop, "Cruciform forming IRs", raw, {"arm": str(arm), "loop": str(loop)}) for (left, arm, loop), raw in best.items()]
+
 
+def cruciform(seq: str, lo: int = 0, hi: int | None = None) -> list[tuple]:
+    """The inverted repeats of a whole sequence that are taken: best, longest, first, longest arm."""
+    rows = sorted(inverted_repeats(seq, 0, len(seq)), key=lambda r: (-r[3], r[0] - r[1], r[0], -int(r[4]["arm"])))
+    return [rows[i] for i in first_free([r[:2] for r in rows])]
 
-def mirror(seq: str) -> list[tuple]:
-    """Mirror repeats of purine or pyrimidine arms."""
+
+def mirror_repeats(seq: str, lo: int, hi: int) -> list[tuple]:
+    """Mirror repeats of purine or pyrimidine arms, overlapping ones too."""
     seen, rows = set(), []
-    for left, arm, loop in _arms(seq, False, range(9), 100):
+    for left, arm, loop in _arms(seq, False, range(9), 100, lo, hi):
         if arm < 10 or (left, arm, loop) in seen:
             continue
         seen.add((left, arm, loop))
@@ -175,6 +254,11 @@ def mirror(seq: str) -> list[tuple]:
             continue
         odd = min(purines, arm - purines)
         score = round(1 + 2 * min(1.0, 0.35 * min(1, math.log(arm) / math.log(35)) + 0.20 * math.exp(-0.4 * loop) + 0.30 * (purity - 0.8) / 0.2 + 0.15 / (1 + odd)), 3)
-        rows.append((-arm, loop, left, score))
-    rows.sort()
-    return [(left, left - 2 * arm + loop, "H-DNA", score, {"arm": str(-arm), "loop": str(loop)}) for arm, loop, left, score in (rows[i] for i in first_free([(r[2], r[2] - 2 * r[0] + r[1]) for r in rows]))]
+        rows.append((left, left + 2 * arm + loop, "H-DNA", score, {"arm": str(arm), "loop": str(loop)}))
+    return rows
+
+
+def mirror(seq: str, lo: int = 0, hi: int | None = None) -> list[tuple]:
+    """The mirror repeats of a whole sequence that are taken: longest arm, shortest loop, first."""
+    rows = sorted(mirror_repeats(seq, 0, len(seq)), key=lambda r: (-int(r[4]["arm"]), int(r[4]["loop"]), r[0]))
+    return [rows[i] for i in first_free([r[:2] for r in rows])]

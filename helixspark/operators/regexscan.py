@@ -1,4 +1,4 @@
-"""Places of regular expressions (in the JVM), of table k-mers and of literal words (in Arrow batches)."""
+"""Places of regular expressions (in the JVM) and of table k-mers (in Arrow batches); literal words are in automaton."""
 
 from __future__ import annotations
 
@@ -9,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .automaton import multi_pattern_hits  # noqa: F401  also known from here
+from .tiling import core, tiled
+
 
 def regex_hits(seqs: DataFrame, patterns: dict[str, str], keys: tuple[str, ...] = ("seq_id",), seq_col: str = "seq") -> DataFrame:
     """(keys, pattern_id, start, end, matched): places from 0, half open. The keys name a row; a ``_`` in it stands as ``~`` in what is matched.
@@ -24,16 +27,25 @@ def regex_hits(seqs: DataFrame, patterns: dict[str, str], keys: tuple[str, ...]
     return odd.select(*keys, "pattern_id", "start", (F.col("start") + F.length("matched")).alias("end"), "matched")
 
 
+def placed_hits(seqs: DataFrame, patterns: dict[str, str]) -> DataFrame:
+    """regex_hits of whole sequences, or of tiles that end at safe places: then ``at`` (the tile's first base) is kept, and places are the sequence's."""
+    if not tiled(seqs):
+        return regex_hits(seqs, patterns)
+    hits = regex_hits(core(seqs), patterns, ("seq_id", "at"))
+    return hits.withColumn("start", F.col("start") + F.col("at")).withColumn("end", F.col("end") + F.col("at"))
+
+
 def stranded_hits(seqs: DataFrame, patterns: dict[str, str]) -> DataFrame:
-    """Matches on the sequence and on its reverse complement, in forward coordinates, with the strand."""
-    both = seqs.select("seq_id", F.length("seq").cast("long").alias("n"), F.explode(F.create_map(F.lit("+"), F.col("seq"), F.lit("-"), F.reverse(F.translate("seq", "ACGTacgt", "TGCAtgca")))).alias("strand", "seq"))
-    hits = regex_hits(both, patterns, ("seq_id", "n", "strand"))
+    """Matches on the sequence (or safe tile) and on its reverse complement, in forward coordinates, with the strand."""
+    rows = core(seqs) if tiled(seqs) else seqs.withColumn("at", F.lit(0).cast("long"))
+    both = rows.select("seq_id", "at", F.length("seq").cast("long").alias("n"), F.explode(F.create_map(F.lit("+"), F.col("seq"), F.lit("-"), F.reverse(F.translate("seq", "ACGTacgt", "TGCAtgca")))).alias("strand", "seq"))
+    hits = regex_hits(both, patterns, ("seq_id", "at", "n", "strand"))
     minus = F.col("strand") == "-"
-    return hits.withColumn("_s", F.when(minus, F.col("n") - F.col("end")).otherwise(F.col("start"))).withColumn("end", F.when(minus, F.col("n") - F.col("start")).otherwise(F.col("end"))).withColumn("start", F.col("_s")).drop("_s")
+    return hits.withColumn("_s", F.col("at") + F.when(minus, F.col("n") - F.col("end")).otherwise(F.col("start"))).withColumn("end", F.col("at") + F.when(minus, F.col("n") - F.col("start")).otherwise(F.col("end"))).withColumn("start", F.col("_s")).drop("_s")
 
 
 def kmer_hits(seqs: DataFrame, table: list[tuple[str, float]]) -> DataFrame:
-    """(seq_id, start, kmer, value) of every place where an entry of the table stands; overlaps count.
+    """(seq_id, start, kmer, value) of every place where an entry of the table stands; overlaps count. Of tiles, each gives those that start in its core.
 
     All k-mers are of one length of at most 12 and of A, C, G and T. Their codes of two bits a base are looked up in an
     array over all codes, for a whole sequence at once; exploding every place into a row to join a small table with would
@@ -50,7 +62,8 @@ def kmer_hits(seqs: DataFrame, table: list[tuple[str, float]]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, starts, found = [], [], []
-            for i, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for row in range(batch.num_rows):
+                i, s, first = (c[row].as_py() for c in batch.columns)
                 d = digits[np.frombuffer((s or "").encode(), np.uint8)]
                 n = len(d) - k + 1
                 if n <= 0:
@@ -62,39 +75,11 @@ def kmer_hits(seqs: DataFrame, table: list[tuple[str, float]]) -> DataFrame:
                 hit = np.where(known, entry[code], -1)
                 at = np.flatnonzero(hit >= 0)
                 ids += [i] * len(at)
-                starts.append(at)
+                starts.append(at + first)
                 found.append(hit[at])
             at = np.concatenate(starts) if starts else np.zeros(0, np.int64)
             hit = np.concatenate(found) if found else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(at, pa.int64()), pa.array(words[hit].tolist(), pa.string()), pa.array(values[hit], pa.float64())], names=["seq_id", "start", "kmer", "value"])
 
-    return seqs.select(F.col("seq_id").cast("string"), "seq").mapInArrow(run, "seq_id string, start long, kmer string, value double")
-
-
-def multi_pattern_hits(seqs: DataFrame, words: list[str], slice_rows: int = 1 << 16) -> DataFrame:
-    """(seq_id, word, start, end) of all places of literal words, overlapping ones too: one pass of an Aho-Corasick automaton."""
-    known = sorted(set(words) - {""})
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for w in known:
-            automaton.add_word(w, w)
-        automaton.make_automaton()
-        rows: list[tuple] = []
-
-        def out() -> pa.RecordBatch:
-            columns = list(zip(*rows, strict=True)) or [[]] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["seq_id", "word", "start", "end"])
-
-        for batch in batches:
-            for i, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for last, w in automaton.iter(s or "") if known else ():
-                    rows.append((i, w, last + 1 - len(w), last + 1))
-                    if len(rows) >= slice_rows:
-                        yield out()
-                        rows.clear()
-        yield out()
-
-    return seqs.select(F.col("seq_id").cast("string"), "seq").mapInArrow(run, "seq_id string, word string, start long, end long")
+    rows = core(seqs, k - 1) if tiled(seqs) else seqs.withColumn("at", F.lit(0).cast("long"))
+    return rows.select(F.col("seq_id").cast("string"), "seq", "at").mapInArrow(run, "seq_id string, start long, kmer string, value double")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.names import taxonomy
 from ..functions.sequence import count_of, gc_content
 from .intervals import DERIVED, coverage
+from .series import whole_windows
 from .statistics import class_coverage, class_pivot, enrichment, five_numbers, genomic_density, main_motifs, motif_statistics, positional_density
 
 LETTERS = "ATGCNRYKMSWBDHV"
@@ -264,8 +265,7 @@ def batch_co_occurrence(motifs: DataFrame) -> DataFrame:
 
 def overlapped_windows_gc(seqs: DataFrame, motifs: DataFrame, width: int = 100) -> DataFrame:
     """(seq_id, window, gc_pct, per_kb): GC of the known bases of each whole window against motifs that overlap it, all classes, per kb."""
-    n = F.floor(F.length("seq") / width).cast("int")
-    tiles = seqs.filter(F.length("seq") >= width).select("seq_id", F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substr(F.col("seq"), i * width + 1, F.lit(width)))).alias("window", "part"))
+    tiles = whole_windows(seqs, width)
     at = F.explode(F.sequence(F.floor((F.col("start_pos") - 1) / width), F.floor((F.col("end_pos") - 1) / width)))
     counts = motifs.select("seq_id", at.alias("_w")).select("seq_id", F.col("_w").cast("int").alias("window")).groupBy("seq_id", "window").agg(F.count("*").alias("n"))
     return tiles.join(counts, ["seq_id", "window"], "left").select("seq_id", "window", F.round(gc_content(F.col("part")), 4).alias("gc_pct"), F.round(F.coalesce("n", F.lit(0)) * 1000.0 / width, 4).alias("per_kb"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .intervals import overlapping_pairs
 from .statistics import main_motifs
+from .tiling import cut
 
 
 def windowed(motifs: DataFrame, length: int, width: int, by: str = "class") -> DataFrame:
@@ -23,11 +24,14 @@ def equal_windows(motifs: DataFrame, length: int, n: int, by: str = "class", shi
     return motifs.filter(F.col("start_pos") - shift < length).groupBy("seq_id", at.alias("window"), by).agg(F.count("*").alias("n"))
 
 
+def whole_windows(seqs: DataFrame, width: int) -> DataFrame:
+    """(seq_id, window, part): the sequences cut into windows of ``width`` letters; a shorter tail is left out."""
+    return cut(seqs, width).filter(F.col("hi") == width).select("seq_id", F.floor(F.col("at") / width).cast("int").alias("window"), F.col("seq").alias("part"))
+
+
 def gc_windows(seqs: DataFrame, motifs: DataFrame, width: int = 100) -> DataFrame:
     """GC per cent of each whole window of a sequence against the main motifs whose middle lies in it."""
-    n = F.floor(F.length("seq") / width).cast("int")
-    tiles = seqs.filter(F.length("seq") >= width).select("seq_id", F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substr(F.col("seq"), i * width + 1, F.lit(width)))).alias("window", "part"))
-    gc = tiles.select("seq_id", "window", F.round((F.length("part") - F.length(F.translate("part", "GC", ""))) * 100.0 / width, 4).alias("gc_pct"))
+    gc = whole_windows(seqs, width).select("seq_id", "window", F.round((F.length("part") - F.length(F.translate("part", "GC", ""))) * 100.0 / width, 4).alias("gc_pct"))
     middle = F.floor((F.col("start_pos") - 1 + F.col("end_pos")) / 2 / width).cast("int")
     counts = main_motifs(motifs).groupBy("seq_id", middle.alias("window")).agg(F.count("*").alias("n"))
     return gc.join(counts, ["seq_id", "window"], "left").select("seq_id", "window", "gc_pct", F.coalesce("n", F.lit(0)).alias("n"))

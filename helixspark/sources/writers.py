@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import normalized, valid_motif
 from ..operators.intervals import DERIVED
+from ..operators.tiling import letters, pieces
+from .shared import scratch  # noqa: F401  also known from here
 
 CORE = ["seq_id", "class", "subclass", "start_pos", "end_pos", "length", "sequence", "strand", "score", "raw_score", "method", "pattern_id"]
 #: What stands for a missing value of a core column; NA for the others.
@@ -29,9 +28,8 @@ def exportable(motifs: DataFrame, non_overlapping: bool = False, drop_dynamic_su
 
 
 def with_sequence(motifs: DataFrame, seqs: DataFrame) -> DataFrame:
-    """The motifs' own letters as column ``sequence``."""
-    cut = F.substr(F.col("seq"), F.col("start_pos").cast("int"), (F.col("end_pos") - F.col("start_pos") + 1).cast("int"))
-    return motifs.join(seqs.select("seq_id", "seq"), "seq_id", "left").withColumn("sequence", cut).drop("seq")
+    """The motifs' own letters as column ``sequence``; null where the sequence is missing or ends before."""
+    return letters(motifs, pieces(seqs), F.col("start_pos") - 1, F.col("end_pos"), "sequence")
 
 
 def _text(motifs: DataFrame, name: str) -> Column:
@@ -107,6 +105,12 @@ def json_lines(motifs: DataFrame, version: str = "1", analysis: str = "non_b_dna
     return _in_order(heads, rows.withColumn("value", line))
 
 
+def json_documents(motifs: DataFrame) -> DataFrame:
+    """(value): json_lines for a text file with blanks between them: each sequence's object stands on a line of its own, however many motifs it holds."""
+    head = F.startswith(F.col("value"), F.lit('{"version"'))
+    return json_lines(motifs).select(F.when(head, F.concat(F.lit("\n"), "value")).otherwise(F.col("value")).alias("value"))
+
+
 def json_rows(motifs: DataFrame) -> DataFrame:
     """One object a motif: JSON lines."""
     return motifs.select(F.to_json(F.struct(*motifs.columns)).alias("value"))
@@ -129,14 +133,16 @@ def fasta_lines(seqs: DataFrame, width: int = 80) -> DataFrame:
 
 
 def write(motifs: DataFrame, path: str, kind: str = "parquet", mode: str = "errorifexists") -> None:
-    """kind: parquet, csv, bed, gff3, json (an object for each sequence), jsonl. Every task writes its own file into the folder."""
+    """kind: parquet, csv, bed, gff3, json (a line with one object for each sequence), jsonl. Every task writes its own file into the folder."""
     if kind == "parquet":
         by = ["source_file"] if "source_file" in motifs.columns else []
         motifs.write.mode(mode).partitionBy(*by).parquet(path)
     elif kind == "csv":
         csv_rows(motifs).write.mode(mode).option("header", True).csv(path)
-    elif kind in ("bed", "gff3", "json"):
-        {"bed": bed_lines, "gff3": gff3_lines, "json": json_lines}[kind](motifs).select("value").write.mode(mode).text(path)
+    elif kind in ("bed", "gff3"):
+        {"bed": bed_lines, "gff3": gff3_lines}[kind](motifs).select("value").write.mode(mode).text(path)
+    elif kind == "json":
+        json_documents(motifs).write.mode(mode).option("lineSep", " ").text(path)
     elif kind == "jsonl":
         json_rows(motifs).write.mode(mode).text(path)
     else:
@@ -170,13 +176,3 @@ def job_exists(spark: SparkSession, path: str) -> bool:
 def job_summary(spark: SparkSession, path: str) -> DataFrame:
     """(class, n, sequences): a job's results by class."""
     return spark.read.parquet(f"{path}/results").groupBy("class").agg(F.count("*").alias("n"), F.count_distinct("seq_id").alias("sequences"))
-
-
-def scratch(spark: SparkSession) -> str:
-    """A new folder name where driver and executors can both write: below spark.checkpoint.dir; only a local session may lack it."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="helixspark-")
-    return f"{root.rstrip('/')}/helixspark/{uuid.uuid4().hex}"
