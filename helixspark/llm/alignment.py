@@ -17,6 +17,8 @@ its documents. The highest count of an A id is one number for each entry of A's
 from __future__ import annotations
 
 import hashlib
+import itertools
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +32,7 @@ from .tokenizing import CHUNK, SPACE, byte_letters, load
 
 A_NAME, B_NAME = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Characters of a block, and of the longest piece that is encoded together with others.
-BLOCK, SHORT = 8 << 20, 256
+BLOCK, SHORT = 2 << 20, 256
 #: A group of more links is counted by its different ids.
 MANY = 1 << 16
 
@@ -86,14 +88,14 @@ class Aligner:
 
         Short pieces are encoded many at a time, with the single spaces between them at which they were cut.
         """
-        ids: tuple[list[list[int]], list[list[int]]] = ([], [])
+        ids: tuple[list[np.ndarray], list[np.ndarray]] = ([np.zeros(0, np.int64)], [np.zeros(0, np.int64)])
         good = np.ones(len(pieces), bool)
 
         def add(lo: int, hi: int) -> None:
             found = self.encode(" ".join(pieces[lo:hi]))
             if found is not None:
-                ids[0].append(found[0])
-                ids[1].append(found[1])
+                for side, new in zip(ids, found, strict=True):
+                    side.append(np.array(new, np.int64))
             elif hi - lo == 1:
                 good[lo] = False
             else:
@@ -111,7 +113,7 @@ class Aligner:
                 at, held = k + 1, 0
         if at < len(pieces):
             add(at, len(pieces))
-        return [np.array([i for part in side for i in part], np.int64) for side in ids], good
+        return [np.concatenate(side) for side in ids], good
 
 
 _DOC = ("n_a", "n_b", "n_groups", "n_links")
@@ -134,11 +136,11 @@ def _links(a: np.ndarray, b: np.ndarray, starts: list[np.ndarray], counts: list[
 
 def _pack(aligner: Aligner, texts: list[str]) -> dict[str, list | np.ndarray]:
     """The block of some documents."""
-    numbers: dict[str, int] = {}
+    numbers: dict[str, int] = defaultdict(itertools.count().__next__)
     rows: list[np.ndarray] = []
     for text in texts:
-        found = SPACE.split(text) if aligner.cuts else [text]
-        rows.append(np.fromiter((numbers.setdefault(x, len(numbers)) for x in found), np.int64) if text else np.zeros(0, np.int64))
+        found = (SPACE.split(text) if aligner.cuts else [text]) if text else []
+        rows.append(np.fromiter(map(numbers.__getitem__, found), np.int64, len(found)))
     pieces = list(numbers)
     (a, b), good = aligner.encode_pieces(pieces)
     if not good.all():  # bytes of a piece differ: then those of the whole text decide
