@@ -9,12 +9,14 @@ chunk and not by the text. Two neighbouring encodings are spliced at a position
 * both encodings have a token boundary at p, and agree on the ``AGREE`` tokens left and right of it.
 
 Where no such place exists in the overlap (one endless word, a run of white space), the overlap is doubled, and at last
-the rest of the text is encoded in one piece: the count stays exact.
+the chunk goes on to the next stable place behind it, where splicing starts again: only the run itself is encoded in one
+piece, and the count stays exact.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -110,7 +112,19 @@ def _json(path: str) -> Json | ByteLevelJson:
     tokenizer.no_padding()
     special = tokenizer.get_added_tokens_decoder()
     plain = isinstance(tokenizer.pre_tokenizer, ByteLevel) and tokenizer.normalizer is None and [t.content for t in special.values()] == [ENDOFTEXT]
-    return ByteLevelJson(tokenizer) if plain else Json(tokenizer)
+    return ByteLevelJson(tokenizer) if plain and _plain_ranks(path) else Json(tokenizer)
+
+
+def _plain_ranks(path: str) -> bool:
+    """Whether a byte-level file splits and merges as its vocabulary's ranks alone say: no option that changes either, merges in the order of ids."""
+    with open(path, encoding="utf-8") as f:
+        raw = json.load(f)
+    pre, model = raw["pre_tokenizer"], raw["model"]
+    options = ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")
+    if pre.get("add_prefix_space") or not pre.get("use_regex", True) or any(model.get(k) for k in options):
+        return False
+    merged = [model["vocab"].get("".join(m.split(" ") if isinstance(m, str) else m), -1) for m in model["merges"]]
+    return len(merged) + 256 == len(model["vocab"]) - (ENDOFTEXT in model["vocab"]) and all(a < b for a, b in zip([255, *merged], merged, strict=False))
 
 
 class Pieces:
@@ -187,10 +201,16 @@ def encode_spliced(encoder, text: str, chunk: int = CHUNK, overlap: int = OVERLA
             if at or begin == start:
                 break
             width, widened = 2 * width, widened + 1
-        if at is None:  # no stable place since the last splice: all that is left in one piece
-            ids, ends = encoder.ids_and_ends(text[context:])  # with what precedes: a text's start may be encoded differently
-            out.append(ids[int(np.searchsorted(ends, _place(text, context, start, encoder.unit), "right")) :] if start > context else ids)
-            return np.concatenate(out), splices, widened
+        if at is None:  # no stable place since the last splice: go on to the next one, and splice there
+            m = encoder.stable.search(text, end)
+            end = len(text) if m is None else min(len(text), m.start() + overlap // 2)
+            ids, ends = encoder.ids_and_ends(text[context:end])  # with what precedes: a text's start may be encoded differently
+            if start > context:
+                cut = _place(text, context, start, encoder.unit)
+                k = int(np.searchsorted(ends, cut, "right"))
+                ids, ends = ids[k:], ends[k:] - cut
+            widened += 1
+            continue
         p, i, j, b = at
         out.append(ids[:i])
         splices += 1

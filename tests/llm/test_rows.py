@@ -278,3 +278,24 @@ def test_embeddings_alone_reach_the_recall():
         found += len(every)
         wanted += len(want)
     assert found >= 0.9 * wanted and wanted >= 90
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "piece_bpe_32k.model"])
+def test_splicing_goes_on_after_a_long_run(name):
+    encoder, rng = tokenizing.load(name), random.Random(1)
+    run = "".join(rng.choices("abcdefghij", k=30_000))
+    for text in ("x" * 9000 + " y" * 9000, run + " " + " ".join(f"word{i}" for i in range(9000)), "a b " * 6000 + run + " c d" * 5000 + run, run):
+        ids, splices, _ = tokenizing.encode_spliced(encoder, text, 4096, 256)
+        assert ids.tolist() == encoder.ids(text).tolist()
+        assert (splices > 3) == (" " in text)
+
+
+def test_byte_level_files_with_other_options_go_to_their_library(tmp_path):
+    import json
+
+    raw = json.loads(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read())
+    for change in ({"pre_tokenizer": raw["pre_tokenizer"] | {"add_prefix_space": True}}, {"pre_tokenizer": raw["pre_tokenizer"] | {"use_regex": False}}, {"model": raw["model"] | {"ignore_merges": True}}):
+        path = tmp_path / "other.json"
+        path.write_text(json.dumps(raw | change), encoding="utf-8")
+        assert type(tokenizing._json(str(path))) is tokenizing.Json
+    assert type(tokenizing.load("byte_bpe_50k.json")) is tokenizing.ByteLevelJson
