@@ -11,15 +11,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalog import _REGISTRY, WITH_MOTIF, WITH_SEQ, _m, _picked, _q, _score_sql, motifs, sequences
+from .catalog import _REGISTRY, LENGTH, WITH_MOTIF, WITH_SEQ, _m, _picked, _q, _score_sql, motifs, sequences
 from .catalog_more import REGISTRY as _MORE
 from .catalog_more import _greedy_sql
 from .functions.tables import STACKING
-from .operators import detectors, intervals, kernels
-from .plans.scan import scan
+from .operators import detectors, intervals, kernels, series, statistics
+from .plans.scan import detect, scan
 from .sources import readers, writers
+from .sources.results import ResultStore
 from .sources.shared import scratch
 from .sources.store import SequenceStore
+from .streaming import stream
 
 CHUNK = 1000
 
@@ -141,6 +143,55 @@ def _json_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.filter("version is not null").select("version", "total_motifs", F.explode("motifs").alias("m")).select("version", "total_motifs", "m.seq_id", "m.event_id", "m.start_pos")
 
 
+def _stored_results(spark: SparkSession, sf_dir: str) -> ResultStore:
+    """Motifs in a result store, in three batches; one is tried twice, and one crashed before it was committed."""
+    store, rows = ResultStore(spark, scratch(spark)), motifs(spark, sf_dir)
+    for k in (0, 1, 2, 1):
+        store.append(rows.filter(F.col("event_id") % 3 == k), f"part-{k}")
+    rows.write.parquet(f"{store.path}/data/part-9.{'0' * 32}")
+    return store
+
+
+def _accumulated(kind: str) -> Callable[[SparkSession, str], DataFrame]:
+    """Motifs as a stream of files, accumulated batch by batch, the stream started twice."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        at = scratch(spark)
+        rows = motifs(spark, sf_dir)
+        for part in (0, 1):
+            rows.filter(F.substring("seq_id", 2, 9).cast("int") % 2 == part).coalesce(1).write.mode("append").parquet(f"{at}/in")
+            arriving = spark.readStream.schema(rows.schema).parquet(f"{at}/in")
+            stream.accumulate(arriving, f"{at}/store", f"{at}/check", LENGTH).awaitTermination()
+        return stream.accumulated(spark, f"{at}/store", kind)
+
+    return run
+
+
+def _null_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = sequences(spark, sf_dir)
+    observed = detect(q, _NULL_CLASSES).groupBy("seq_id", "class").agg(F.count("*").alias("observed"))
+    return statistics.with_null_model(observed, statistics.null_counts(q, _NULL_CLASSES, 2), 2)
+
+
+_NULL_CLASSES = ["Curved_DNA", "Z-DNA"]
+_MIXED = WITH_SEQ + """, turns AS (SELECT seq_id, seq, unnest(range(0, 2)) AS r FROM sequences), mixed AS (SELECT r || chr(9) || seq_id AS seq_id,
+ array_to_string(list_transform(list_sort(list_transform(range(0, length(seq)), lambda i: {'k': md5('1:' || r || ':' || seq_id || ':' || i), 'c': substr(seq, i + 1, 1)})), lambda x: x.c), '') AS seq FROM turns)"""
+
+
+def _counted(mixed: bool) -> str:
+    rows = [(c, p) for c in _NULL_CLASSES for p in _PARTS[c]]
+    swap = lambda sql: sql.replace(WITH_SEQ, "WITH sequences AS (SELECT seq_id, seq FROM mixed)", 1) if mixed else sql
+    return " UNION ALL ".join(f"SELECT '{c}' AS class, seq_id FROM ({swap(_REGISTRY[p][1])})" for c, p in rows)
+
+
+_NULL_SQL = f"""{_MIXED}, ob AS (SELECT seq_id, class, count(*) AS observed FROM ({_counted(False)}) GROUP BY 1, 2), bg AS (SELECT split_part(seq_id, chr(9), 2) AS seq_id, split_part(seq_id, chr(9), 1) AS round, class, count(*) AS n FROM ({_counted(True)}) GROUP BY 1, 2, 3),
+st AS (SELECT ob.seq_id, ob.class, any_value(observed) AS observed, coalesce(sum(n), 0)::DOUBLE / 2 AS e, coalesce(sum(n * n), 0)::DOUBLE / 2 AS sq, count(*) FILTER (n >= observed) AS many FROM ob LEFT JOIN bg ON ob.seq_id = bg.seq_id AND ob.class = bg.class GROUP BY 1, 2), sd AS (SELECT *, sqrt(greatest(0.0::DOUBLE, sq - e * e)) AS std FROM st)
+SELECT seq_id, class, observed, round(e, 6) AS expected, round(std, 6) AS std, round(CASE WHEN e > 0 THEN observed / e END, 6) AS fold, round((observed + 1) / (e + 1), 6) AS ratio, round(CASE WHEN std > 0 THEN (observed - e) / std END, 6) AS z_score, round((many + 1)::DOUBLE / 3, 6) AS p_value FROM sd"""
+
+_CURVES_SQL = """, g AS (SELECT class, count(*) AS n, min(length)::DOUBLE AS lo, max(length)::DOUBLE AS hi, stddev_samp(length) AS sd FROM motifs GROUP BY 1), h AS (SELECT *, sd * pow(n::DOUBLE, -0.2::DOUBLE) AS h, (hi - lo) / 400 AS w FROM g WHERE sd > 0),
+b AS (SELECT class, least(floor((length - lo) / w), 399) AS b, count(*) AS c FROM motifs JOIN h USING (class) GROUP BY 1, 2), p AS (SELECT class, n, h, c, lo + (b + 0.5::DOUBLE) * w AS m, i, lo - 3 * h + i * ((hi - lo + 6 * h) / 19) AS x FROM b JOIN h USING (class), (SELECT unnest(range(0, 20))::INT AS i))
+SELECT class, i, round(any_value(x), 6) AS x, round(sum(c * exp(-0.5::DOUBLE * pow((x - m) / h, 2.0::DOUBLE))) / (any_value(n) * any_value(h) * sqrt(2.0::DOUBLE * pi())), 9) AS density FROM p GROUP BY class, i"""
+
 _KEPT = _MORE["i_remove_overlaps"][1]
 _RESOLVED = _MORE["i_resolve_cross_class"][1]
 _PLACES = "seq_id::BIGINT % 300"
@@ -158,6 +209,15 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "s_region_sequences": (_regions, WITH_SEQ + f", r AS (SELECT seq_id, seq, {_PLACES} AS s, least(length(seq), {_PLACES} + 12 + (seq_id::BIGINT * 71) % 5000) AS e FROM sequences) SELECT seq_id || ':' || s || '-' || e || ':gene' AS seq_id, md5(substr(seq, s + 1, e - s)) AS md5 FROM r WHERE e - s >= 12"),
     "i_remove_overlaps_segments": (_m(lambda m, n: intervals.select_greedy(m, ["seq_id", "class", "subclass"], [-F.col("score"), -F.col("length"), F.col("start_pos")], F.col("start_pos") - 1, F.col("end_pos"), spread=True, width=5000).select("seq_id", "class", "start_pos", "end_pos", "score")), _KEPT),
     "i_resolve_cross_class_segments": (_m(lambda m, n: intervals.resolve_cross_class(m.withColumn("class", F.lit("Z-DNA")), spread=True).select("seq_id", "start_pos", "end_pos", "score")), _RESOLVED),
+    "k_result_store": (lambda s, d: _stored_results(s, d).read().select("event_id", "seq_id", "class", "batch"), WITH_MOTIF + " SELECT event_id, seq_id, class, 'part-' || event_id % 3 AS batch FROM motifs"),
+    "k_result_summary": (lambda s, d: _stored_results(s, d).summary(), WITH_MOTIF + " SELECT class, count(*) AS n, sum(length)::BIGINT AS bases, round(avg(score), 6) AS mean_score FROM motifs GROUP BY 1"),
+    "k_result_batches": (lambda s, d: _stored_results(s, d).batches().select("batch", "rows", F.size("classes").alias("n_classes")), WITH_MOTIF + " SELECT 'part-' || event_id % 3 AS batch, count(*) AS rows, count(DISTINCT class)::INT AS n_classes FROM motifs GROUP BY 1"),
+    "x_accumulated_bins": (_accumulated("bins"), WITH_MOTIF + f" SELECT class, what, bin, count(*) AS n FROM (SELECT class, 'start' AS what, least(floor((start_pos - 1) * 100 / {LENGTH}.0::DOUBLE)::BIGINT, 99) AS bin FROM motifs UNION ALL SELECT class, 'length', least(floor(length * 100 / 10000.0::DOUBLE)::BIGINT, 99) FROM motifs) GROUP BY 1, 2, 3"),
+    "x_accumulated_pairs": (_accumulated("pairs"), WITH_MOTIF + ", h AS (SELECT DISTINCT seq_id, class FROM motifs) SELECT x.class AS class_a, y.class AS class_b, count(*) AS n FROM h x JOIN h y ON x.seq_id = y.seq_id AND x.class < y.class GROUP BY 1, 2"),
+    "x_accumulated_sums": (_accumulated("sums"), WITH_MOTIF + " SELECT class, count(*) AS rows, sum(length)::BIGINT AS bases FROM motifs GROUP BY 1"),
+    "a_null_model": (_null_model, _NULL_SQL),
+    "a_shuffled_letters": (_q(lambda q: statistics.shuffled_letters(q, 2, size=512).select("seq_id", "round", F.md5("seq").alias("md5"))), _MIXED + " SELECT split_part(seq_id, chr(9), 2) AS seq_id, split_part(seq_id, chr(9), 1)::INT AS round, md5(seq) AS md5 FROM mixed"),
+    "w_density_curves": (_m(lambda m, n: series.density_curves(m, points=20)), WITH_MOTIF + _CURVES_SQL),
     "k_json": (_json_file, WITH_MOTIF + " SELECT '1' AS version, count(*) OVER (PARTITION BY seq_id) AS total_motifs, seq_id, event_id, start_pos FROM motifs"),
     "i_segments": (_m(lambda m, n: intervals.segmented(m, ["seq_id", "class"], F.col("start_pos") - 1, F.col("end_pos"), width=5000).groupBy("seq_id", "class", "_segment").agg(F.count("*").alias("n"), F.min("start_pos").alias("first"), F.max("end_pos").alias("last")).drop("_segment")), WITH_MOTIF + """, b AS (SELECT seq_id, class, (start_pos - 1) // 1000 AS f, min(start_pos - 1) AS s, max(end_pos) AS e FROM motifs GROUP BY ALL),
 c AS (SELECT *, coalesce(s > max(e) OVER (PARTITION BY seq_id, class ORDER BY f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS clean FROM b), d AS (SELECT *, clean AND row_number() OVER (PARTITION BY seq_id, class, f // 5, clean ORDER BY f) = 1 AS opens FROM c),

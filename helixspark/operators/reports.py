@@ -109,15 +109,28 @@ def _related(names: DataFrame) -> Column:
     return F.contains(flat("other"), flat("class"))
 
 
+def depth_by_place(motifs: DataFrame, keys: list[str], width: int = 100_000) -> DataFrame:
+    """(keys, position, n): how many motifs cover each place that any covers.
+
+    A sweep over starts and ends in every stretch of ``width`` places; only the result has a row for each place.
+    """
+    parts = F.explode(F.sequence(F.floor(F.col("start_pos") / width), F.floor(F.col("end_pos") / width)))
+    cut = motifs.filter("start_pos <= end_pos").select(*keys, "start_pos", "end_pos", parts.alias("_part"))
+    ends = F.array(F.struct(F.greatest("start_pos", F.col("_part") * width).alias("pos"), F.lit(1).alias("d")), F.struct((F.least("end_pos", (F.col("_part") + 1) * width - 1) + 1).alias("pos"), F.lit(-1).alias("d")))
+    steps = cut.select(*keys, "_part", F.explode(ends).alias("s")).groupBy(*keys, "_part", F.col("s.pos").alias("pos")).agg(F.sum("s.d").alias("d"))
+    order = Window.partitionBy(*keys, "_part").orderBy("pos")
+    runs = steps.select(*keys, "pos", F.sum("d").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("n"), F.lead("pos").over(order).alias("next")).filter("n > 0")
+    return runs.select(*keys, F.explode(F.sequence("pos", F.col("next") - 1)).alias("position"), "n")
+
+
 def positional_occurrence(motifs: DataFrame) -> DataFrame:
     """(position, class, subclass, n): how many motifs cover each place, for every class by those subclasses whose name holds the class's; without any, by the class alone ("Unknown")."""
-    at = motifs.select("class", "subclass", F.explode(F.sequence("start_pos", "end_pos")).alias("position"))
-    by_subclass = at.groupBy(F.col("subclass").alias("other"), "position").agg(F.count("*").alias("n"))
+    by_subclass = depth_by_place(motifs.withColumnRenamed("subclass", "other"), ["other"])
     names = motifs.select("class").distinct()
     pairs = names.join(F.broadcast(motifs.select(F.col("subclass").alias("other")).distinct()), _related(names))  # names of the taxonomy: a few dozen
     alone = names.join(pairs.select("class").distinct(), "class", "left_anti")
     some = by_subclass.join(F.broadcast(pairs), "other").select("position", "class", F.col("other").alias("subclass"), "n")
-    rest = at.join(F.broadcast(alone), "class").groupBy("position", "class").agg(F.count("*").alias("n")).select("position", "class", F.lit("Unknown").alias("subclass"), "n")
+    rest = depth_by_place(motifs.join(F.broadcast(alone), "class"), ["class"]).select("position", "class", F.lit("Unknown").alias("subclass"), "n")
     return some.unionByName(rest)
 
 

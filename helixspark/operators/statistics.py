@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import taxonomy
-from .intervals import DERIVED, coverage
+from .intervals import DERIVED, coverage, stretched
+from .tiling import cut
 
 
 def main_motifs(motifs: DataFrame) -> DataFrame:
@@ -63,11 +64,14 @@ def class_coverage(motifs: DataFrame, lengths: DataFrame, by: str = "class") ->
 
 def local_maxima(motifs: DataFrame, reach: int = 1000) -> DataFrame:
     """Most motifs, most classes and greatest score sum that start within ``reach`` bases of a start, and mean overlap of neighbours."""
-    ahead = Window.partitionBy("seq_id").orderBy("start_pos").rangeBetween(0, reach - 1)
+    ahead = Window.partitionBy("seq_id", "_part").orderBy("start_pos").rangeBetween(0, reach - 1)
     after = Window.partitionBy("seq_id").orderBy("start_pos", "end_pos", "class", "score")
     shared = F.greatest(F.lit(0), F.least("end_pos", F.lead("end_pos").over(after)) - F.lead("start_pos").over(after) + 1)
-    rows = main_motifs(motifs).select("seq_id", F.count("*").over(ahead).alias("n"), F.size(F.collect_set("class").over(ahead)).alias("c"), F.sum("score").over(ahead).alias("s"), (shared / F.least("length", F.lead("length").over(after))).alias("o"))
-    return rows.groupBy("seq_id").agg(F.max("n").alias("max_local_motifs"), F.max("c").alias("max_local_classes"), F.round(F.max("s"), 3).alias("max_cluster_score"), F.round(F.avg("o"), 4).alias("mean_neighbour_overlap"))
+    placed = stretched(main_motifs(motifs).select("seq_id", "start_pos", "class", "score"), "start_pos", 0, reach)
+    rows = placed.select("seq_id", "_own", F.count("*").over(ahead).alias("n"), F.size(F.collect_set("class").over(ahead)).alias("c"), F.sum("score").over(ahead).alias("s")).filter("_own")
+    most = rows.groupBy("seq_id").agg(F.max("n").alias("max_local_motifs"), F.max("c").alias("max_local_classes"), F.round(F.max("s"), 3).alias("max_cluster_score"))
+    neighbours = main_motifs(motifs).select("seq_id", (shared / F.least("length", F.lead("length").over(after))).alias("o"))
+    return most.join(neighbours.groupBy("seq_id").agg(F.round(F.avg("o"), 4).alias("mean_neighbour_overlap")), "seq_id")
 
 
 def detection_report(motifs: DataFrame) -> DataFrame:
@@ -174,3 +178,42 @@ def enrichment(seqs: DataFrame, classes: list[str] | None = None, rounds: int =
     per_round = detect(background, classes).groupBy(F.split("seq_id", "\t")[0].alias("round"), "class").agg(F.count("*").alias("n"))
     joined = observed.join(per_round, "class", "left").groupBy("class", "observed").agg((F.coalesce(F.sum("n"), F.lit(0)) / rounds).alias("mean"), (F.coalesce(F.sum(F.col("n") * F.col("n")), F.lit(0)) / rounds).alias("_sq"), (F.count_if(F.col("n") >= F.col("observed")) / rounds).alias("p_value"))
     return joined.select("class", "observed", "mean", F.sqrt(F.greatest(F.lit(0.0), F.col("_sq") - F.col("mean") * F.col("mean"))).alias("std"), F.when(F.col("mean") > 0, F.col("observed") / F.col("mean")).otherwise(F.lit(float("inf"))).alias("fold"), F.when(F.col("mean") > 0, F.col("p_value")).otherwise(1.0).alias("p_value"))
+
+
+def shuffled_letters(seqs: DataFrame, rounds: int, seed: int = 1, size: int = 4096) -> DataFrame:
+    """(seq_id, round, seq): each sequence's letters in a random order, ``rounds`` times, the same for a seed every time.
+
+    A letter's place is decided by a hash of (seed, round, sequence, place in the sequence): a generator that counts, so
+    tiles of a sequence are dealt on their own. Letters go to as many buckets as the sequence has tiles by the hash's first part,
+    each bucket is sorted by the whole of it, and the buckets follow each other: no array holds a sequence's letters.
+    """
+    tiles = cut(seqs, size).select("seq_id", "n", "at", "seq", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
+    letter = F.explode(F.transform(F.sequence(F.lit(0), F.length("seq") - 1), lambda i: F.struct((F.col("at") + i).alias("i"), F.substr(F.col("seq"), i + 1, F.lit(1)).alias("c"))))
+    key = F.md5(F.concat_ws(":", F.lit(seed), "round", "seq_id", "l.i"))
+    dealt = tiles.filter("n > 0").select("seq_id", "round", "n", letter.alias("l")).select("seq_id", "round", key.alias("k"), "l.c", (F.conv(F.substring(key, 1, 8), 16, 10).cast("long") * F.ceil(F.col("n") / size) / F.lit(1 << 32)).cast("long").alias("b"))
+    buckets = dealt.groupBy("seq_id", "round", "b").agg(F.array_sort(F.collect_list(F.struct("k", "c"))).alias("ls")).select("seq_id", "round", "b", F.array_join("ls.c", "").alias("part"))
+    return buckets.groupBy("seq_id", "round").agg(F.array_join(F.array_sort(F.collect_list(F.struct("b", "part")))["part"], "").alias("seq"))
+
+
+def null_counts(seqs: DataFrame, classes: list[str] | None = None, rounds: int = 20, seed: int = 1) -> DataFrame:
+    """(seq_id, class, round, n): hits of each class in shuffled sequences, the background of ``with_null_model``; rounds without hits have no row."""
+    from ..plans.scan import detect
+
+    mixed = shuffled_letters(seqs, rounds, seed).select(F.concat_ws("\t", F.col("round").cast("string"), "seq_id").alias("seq_id"), "seq")
+    part = F.split("seq_id", "\t", 2)
+    return detect(mixed, classes).groupBy(part[1].alias("seq_id"), "class", part[0].cast("int").alias("round")).agg(F.count("*").alias("n"))
+
+
+def with_null_model(observed: DataFrame, background: DataFrame, rounds: int) -> DataFrame:
+    """observed (seq_id, class, observed) with expected, std, fold, ratio, z_score and p_value against a background (seq_id, class, round, n) of so many rounds.
+
+    expected and std are over all rounds, those without a row as 0. fold is observed over expected (null if that is 0), ratio
+    (observed + 1) / (expected + 1), p_value (rounds with as many + 1) / (rounds + 1).
+    """
+    both = background.join(observed, ["seq_id", "class"], "right")
+    sums = both.groupBy("seq_id", "class", "observed").agg((F.coalesce(F.sum("n"), F.lit(0)) / rounds).alias("e"), (F.coalesce(F.sum(F.col("n") * F.col("n")), F.lit(0)) / rounds).alias("sq"), F.count_if((F.col("n") >= F.col("observed")) & (F.col("observed") > 0)).alias("as_many"))
+    std = F.sqrt(F.greatest(F.lit(0.0), F.col("sq") - F.col("e") * F.col("e")))
+    return sums.select(
+        "seq_id", "class", "observed", F.round("e", 6).alias("expected"), F.round(std, 6).alias("std"), F.round(F.when(F.col("e") > 0, F.col("observed") / F.col("e")), 6).alias("fold"), F.round((F.col("observed") + 1) / (F.col("e") + 1), 6).alias("ratio"),
+        F.round(F.when(std > 0, (F.col("observed") - F.col("e")) / std), 6).alias("z_score"), F.round(F.when(F.col("observed") > 0, (F.col("as_many") + 1) / F.lit(rounds + 1)).otherwise(1.0), 6).alias("p_value"),
+    )
