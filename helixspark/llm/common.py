@@ -52,15 +52,25 @@ def materialize(df: DataFrame, row_check: int = 100) -> DataFrame:
     if not _written:
         atexit.register(_remove_all)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(written: DataFrame) -> None:
+    """Remove a table of materialize that nothing reads any more."""
+    _remove(written.sparkSession, written._written_at)
 
 
 def _remove_all() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _remove(spark, path)
         except Exception:  # noqa: BLE001  the session may be gone, and with it its files' file system
             return
 

@@ -7,10 +7,11 @@ Classes. Every word of the vocabulary gets one of ``CLASSES`` classes, by exchan
 the likelihood of the class bigrams most.
 
 * The held words, in rounds over the whole corpus. Tasks count each word's neighbours by class; the counts are added up by
-  blocks of words, and the executors decide each word's move against the class bigrams of the round (a small matrix). Half
+  blocks of words (of many tasks, in groups of ``GROUP`` first), and the executors decide each word's move against the class bigrams of the round (a small matrix). Half
   of the words may move in a round, the other half in the next. The best round's classes stay.
 * All other words, in one pass: the counts of a word's neighbours' classes are gathered over the corpus, and the word takes
-  the class that they fit best. Their bigrams join the transitions.
+  the class that they fit best. Their bigrams join the transitions: those with a held word or an end as they were gathered,
+  those of two others by joining both words to their classes.
 
 The end of a text is a class of its own. Words that no training text has belong to the class with most words.
 
@@ -30,12 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, crc_mod, materialize, slices, table
+from .common import arrow_rows, crc_mod, discard, materialize, slices, table
 
 TOP, CLASSES, ROUNDS = 50_000, 48, 4
 ADD, ADD_CLASS = 0.5, 0.1
 #: Words that a task counts before it sends its counts on; words of a block; tokens of a chunk.
 HELD, WORDS, CHUNK = 300_000, 500, 1 << 20
+#: Tasks whose counts are added up before those of all tasks are.
+GROUP = 64
 #: The number that stands for a word that isn't held.
 TAIL = 0xFFFF
 
@@ -112,23 +115,29 @@ def _neighbours(encoded: DataFrame, of: np.ndarray, m: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([pack.compress(rows[k].astype("<i4").tobytes()) for k in some], pa.binary())], names=["block", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of one block stand together, in batches (block, counts, ...)."""
         unpack, pack, now, total = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1), None, None
 
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([pack.compress(total.astype("<i8").tobytes())], pa.binary())], names=["block", "counts"])
 
         for batch in batches:
-            for block, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if block != now:
+            for block, packed in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                if block != now:  # parts of one block may come one after another: their sums need not be apart
                     if now is not None:
                         yield out()
                     now, total = block, np.zeros(WORDS * 2 * m, np.int64)
-                total += np.frombuffer(unpack.decompress(packed), "<i4")
+                raw = unpack.decompress(packed)
+                total += np.frombuffer(raw, "<i4" if len(raw) == WORDS * 2 * m * 4 else "<i8")
         if now is not None:
             yield out()
 
+    counts = encoded.mapInArrow(count, "block int, counts binary")
+    groups = -(-encoded.rdd.getNumPartitions() // GROUP)
     with arrow_rows(encoded.sparkSession, 64):
-        return materialize(encoded.mapInArrow(count, "block int, counts binary").repartition("block").sortWithinPartitions("block").mapInArrow(add, "block int, counts binary"))
+        if groups > 1:
+            counts = counts.withColumn("part", F.spark_partition_id() % groups).repartition("block", "part").sortWithinPartitions("block", "part").mapInArrow(add, "block int, counts binary")
+        return materialize(counts.repartition("block").sortWithinPartitions("block").mapInArrow(add, "block int, counts binary"))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], m: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -194,6 +203,8 @@ def exchange(encoded: DataFrame, n: int, classes: int = CLASSES, rounds: int = R
     of = np.append(np.arange(n) % max(1, classes), classes).astype(np.int64)
     best, trace = None, []
     for r in range(rounds + 1):
+        if r:
+            discard(counted)
         counted = _neighbours(encoded, of, m)
         big = _class_bigrams(counted, of, m)
         trace.append(likelihood(big))
@@ -217,13 +228,40 @@ def exchange(encoded: DataFrame, n: int, classes: int = CLASSES, rounds: int = R
         of[moves["word"].to_numpy()] = moves["class"].to_numpy()
         if r % 2 and (of == before).all():
             break
+    discard(counted)
     return best[1], best[2], trace
 
 
-def classify_others(texts: DataFrame, vocabulary: DataFrame, ids: dict[bytes, int], of: np.ndarray, big: np.ndarray) -> DataFrame:
+def other_bigrams(texts: DataFrame, ids: dict[bytes, int], others: DataFrame) -> DataFrame:
+    """(a, b, n): how often a class follows a class where neither word is held; others: (word, class)."""
+    held = texts.sparkSession.sparkContext.broadcast(frozenset(ids))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = held.value, Counter()
+
+        def out() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array([a for a, _ in counts], pa.binary()), pa.array([b for _, b in counts], pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "after", "n"])
+            counts.clear()
+            return batch
+
+        for batch in slices(batches):
+            for t in batch.column(0).to_pylist():
+                words = words_of(t)
+                rare = [i for i, w in enumerate(words) if w not in known]
+                counts.update((words[i], words[j]) for i, j in zip(rare, rare[1:], strict=False) if j == i + 1)
+            if len(counts) > HELD:
+                yield out()
+        yield out()
+
+    classes = others.select("word", "class")
+    first = texts.mapInArrow(run, "word binary, after binary, n long").join(classes, "word").groupBy(F.col("class").alias("a"), F.col("after").alias("word")).agg(F.sum("n").alias("n"))
+    return first.join(classes, "word").groupBy("a", F.col("class").alias("b")).agg(F.sum("n").alias("n"))
+
+
+def classify_others(texts: DataFrame, ids: dict[bytes, int], of: np.ndarray, big: np.ndarray) -> DataFrame:
     """(word, c, class, pairs) of the words that aren't held: the class that their neighbours fit best.
 
-    pairs: (class before, class after, times) with -1 for a neighbour that isn't held either; at most one for each pair of
+    pairs: (class before, class after, times) with -1 for a neighbour that isn't held either (see other_bigrams); at most one for each pair of
     classes, however often the word occurs.
     """
     m = len(big)
@@ -284,6 +322,7 @@ class Model:
     emit: np.ndarray  # log10 P(word | class) of each held word; the last is the end's
     of: np.ndarray  # class of each held word; the last is the end's
     step: np.ndarray  # log10 P(class | class before)
+    bigrams: int  # that the transitions were counted from
     mass: np.ndarray  # tokens of each class
     size: np.ndarray  # words of each class
     unknown: int  # the class of words that no training text has
@@ -305,22 +344,25 @@ def train(texts: DataFrame, top: int = TOP, classes: int = CLASSES, rounds: int
     ids = {w: i for i, w in enumerate(head_words)}
     classes = min(classes, max(1, len(head_words) // 2))
     m = classes + 1
-    of, big, _ = exchange(encode_corpus(texts, ids), len(ids), classes, rounds)
+    discard(vocabulary)
+    encoded = encode_corpus(texts, ids)
+    of, big, _ = exchange(encoded, len(ids), classes, rounds)
+    discard(encoded)
     mass = np.bincount(of[:-1], weights=head_counts, minlength=m)
     size = np.bincount(of[:-1], minlength=m).astype(np.float64)
     steps = big.astype(np.float64)
-    others = classify_others(texts, vocabulary, ids, of, big)
+    others = classify_others(texts, ids, of, big)
     for r in others.groupBy("class").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
         mass[r["class"]] += r["c"]
         size[r["class"]] += r["n"]
     pair = others.select("class", F.explode("pairs").alias("p"))
     ways = F.array(F.struct(F.col("p.before").alias("a"), F.col("class").alias("b")), F.struct(F.col("class").alias("a"), F.col("p.after").alias("b")))
-    for r in pair.select(F.col("p.n").alias("n"), F.explode(ways).alias("w")).filter("w.a >= 0 and w.b >= 0").groupBy("w.a", "w.b").agg(F.sum("n").alias("n")).collect():  # a number a pair of classes
+    for r in pair.select(F.col("p.n").alias("n"), F.explode(ways).alias("w")).filter("w.a >= 0 and w.b >= 0").groupBy("w.a", "w.b").agg(F.sum("n").alias("n")).unionByName(other_bigrams(texts, ids, others)).collect():  # two numbers a pair of classes
         steps[r["a"], r["b"]] += r["n"]
     step = np.log10((steps + ADD_CLASS) / (steps.sum(1, keepdims=True) + ADD_CLASS * m))
     tokens, distinct = n + ends, v + (ends > 0)
     base = np.log10((np.append(head_counts, ends) + ADD) / (tokens + ADD * (distinct + 1)))
-    model = Model(tokens, distinct, ends, ids, base, np.zeros(len(ids) + 1), of, step, mass, size, int(np.argmax(size[:classes])) if classes else 0)
+    model = Model(tokens, distinct, ends, ids, base, np.zeros(len(ids) + 1), of, step, int(steps.sum()), mass, size, int(np.argmax(size[:classes])) if classes else 0)
     model.emit[:-1] = model.emission(head_counts.astype(np.float64), of[:-1])
     return model, others.select("word", "c", "class")
 
