@@ -15,7 +15,7 @@ document that could enter the top k is passed over.
 Statistics. Document count, average length and document frequencies are those of the whole corpus, and a word's part of a
 score is rounded to a multiple of 2 ** -32, so that sums are exact in any order: scores are the same whatever the shards. A query goes over the shards in
 rounds: its first shard alone, then up to ``WIDEN`` shards, ``WIDEN`` squared and so on, and takes the k-th best score so
-far into the next round as its threshold. So a round gives about k times WIDEN rows a query, however many shards there
+far into the next round as its threshold; the first round takes one from the blocks of its shard's highest bounds. So a round gives about k times WIDEN rows a query, however many shards there
 are. A ranking over the query merges the rounds.
 
 Queries are a table: their words are joined to the document frequencies and packed, one row a query. They are dealt into
@@ -142,7 +142,7 @@ class Shard:
 
     def __init__(self, row: dict, average: float, block: int = BLOCK):
         number = lambda f, t="<i4": np.frombuffer(row[f], t)
-        self.block = block
+        self.block, self.read = block, 0  # postings that searches have read
         ends = row["term_ends"]
         self.terms = pa.Array.from_buffers(pa.binary(), len(ends) // 4 - 1, [None, pa.py_buffer(ends), pa.py_buffer(row["terms"])])
         self.sizes = np.diff(np.concatenate([[0], number("posting_ends")]))
@@ -169,13 +169,20 @@ class Shard:
         return pc.fill_null(pc.index_in(words, value_set=self.terms), -1).to_numpy()
 
     def top(self, terms: np.ndarray, weights: np.ndarray, k: int, threshold: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-        """terms: places; weights, threshold and scores in units. (documents, scores) of the k best, of those that reach the threshold."""
+        """terms: places; weights, threshold and scores in units. (documents, scores) of the k best, of those that reach the threshold.
+
+        Without a threshold, the blocks of the highest bounds are scored alone first: the k-th best of their documents is one.
+        """
         counts = self.cell_ends[terms + 1] - self.cell_ends[terms]
         cells = _ranges(self.cell_ends[terms], counts)
         term = np.repeat(np.arange(len(terms)), counts)
-        block, least = self.cell_blocks[cells], threshold * LESS
+        block = self.cell_blocks[cells]
+        most = weights[term] * self.cell_most[cells]
+        if threshold <= 0 and self.blocks > 2 * (first := 1 + 4 * k // self.block):
+            bound = np.bincount(block, weights=most, minlength=self.blocks)
+            threshold = self._kth(cells, weights[term], np.isin(block, np.argsort(-bound, kind="stable")[:first]), k)
+        least = threshold * LESS - len(terms)  # each part of a score is rounded by half a unit at most, bounds aren't
         if threshold > 0:
-            most = weights[term] * self.cell_most[cells]
             alive = np.bincount(block, weights=most, minlength=self.blocks) >= least
             if not alive.any():
                 return np.zeros(0, np.int64), np.zeros(0)
@@ -189,6 +196,7 @@ class Shard:
             ahead = alive[block] & ~behind
             cells, term = cells[ahead], term[ahead]
         size = self.cell_sizes[cells]
+        self.read += int(size.sum())
         at = _ranges(self.cell_starts[cells], size)
         score = np.bincount(self.docs[at], weights=np.rint(np.repeat(weights[term], size) * self.impacts[at]), minlength=len(self.id_ranks))
         if threshold > 0:
@@ -205,6 +213,14 @@ class Shard:
         best = np.lexsort((self.id_ranks[doc], -score))[:k]
         return doc[best], score[best]
 
+    def _kth(self, cells: np.ndarray, weights: np.ndarray, chosen: np.ndarray, k: int) -> float:
+        """The k-th best score in the chosen cells' blocks, 0 if they have fewer documents of the query."""
+        size = self.cell_sizes[cells[chosen]]
+        self.read += int(size.sum())
+        at = _ranges(self.cell_starts[cells[chosen]], size)
+        score = np.bincount(self.docs[at], weights=np.rint(np.repeat(weights[chosen], size) * self.impacts[at])) if len(at) else np.zeros(0)
+        return float(np.partition(score, len(score) - k)[len(score) - k]) if (score > 0).sum() >= k else 0.0
+
 
 def _packed(asked: DataFrame, frequencies: DataFrame, shards: int) -> DataFrame:
     """asked: (query, query_id, text). (query, first shard, words in order, their document frequencies), words that no row has left out."""
