@@ -13,6 +13,10 @@ the item do so and nowhere else, and no window that could pass the verification
 embeddings find among the windows at every place (``every_place``, a mode for tests, lays all of those; it costs some hundred
 times the work).
 
+The walks' bits are hashes of (walk, step, character), so nothing held grows with the longest item, and windows are embedded
+together as long as their letters and steps fit in BATCH_BYTES. Items of fewer than 8 characters have no block: those are
+leaks where they stand as they are.
+
 The items are compared in one form with the texts: A-Z lower-cased, white space (ASCII) and NUL as single spaces. Items are a stated set that every task holds, in parts of at most MAX_ITEM_BYTES: one pass over the texts for each part.
 """
 
@@ -20,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +37,8 @@ BLOCK = 8
 WALKS, REPEATS, SAMPLES, SEED = 3, 72, 4, 11
 #: Benchmark text that a task may hold.
 MAX_ITEM_BYTES = 64 << 20
-#: Windows that are embedded at once.
-CHUNK = 4096
+#: Windows that are embedded at once, and bytes of their letters and steps; steps whose bits a task keeps.
+CHUNK, BATCH_BYTES, KEPT_STEPS = 4096, 24 << 20, 2048
 HASH = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -87,14 +92,30 @@ class Index:
     limit: np.ndarray  # of each item: edits
     alone: np.ndarray  # of each item: whether it has a single block
     bits: np.ndarray  # a bitmap over hashed blocks
-    moves: np.ndarray  # WALKS x steps x 256
+    walks: int
+    seed: int
     length: np.ndarray  # of each item
     last: np.ndarray  # of each item: the last step that is sampled
     steps: np.ndarray  # items x REPEATS x SAMPLES: sampled steps
     signs: np.ndarray  # items x REPEATS x SAMPLES: the items' characters there
+    short: dict[int, tuple[np.ndarray, list[list[int]]]]  # by length: packed items of fewer than BLOCK characters, and their numbers
+
+
+def _bits(walk: int, first: int, last: int, seed: int) -> np.ndarray:
+    """Whether a walk's head moves on at each of the steps [first, last) over each character: steps x 256 of 0 and 1, 0 for character 0."""
+    x = (np.arange(first, last, dtype=np.uint64)[:, None] * np.uint64(256) + np.arange(256, dtype=np.uint64) + np.uint64((seed * 1_000_003 + walk) << 40)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    out = ((x ^ (x >> np.uint64(29))) >> np.uint64(63)).astype(np.uint8)
+    out[:, 0] = 0
+    return out
+
 
+@lru_cache(maxsize=16)
+def _first_bits(walk: int, seed: int) -> np.ndarray:
+    return _bits(walk, 0, KEPT_STEPS, seed)
 
-def _walk(text: np.ndarray, start: np.ndarray, end: np.ndarray, moves: np.ndarray, n_steps: int) -> np.ndarray:
+
+def _walk(text: np.ndarray, start: np.ndarray, end: np.ndarray, walk: int, seed: int, n_steps: int) -> np.ndarray:
     """Embeddings of text[start:end) for each pair, n_steps x pairs; 0 past the end. No text has a character 0."""
     width = int((end - start).max()) + 1
     rows = np.zeros((len(start), width), np.uint8)
@@ -103,17 +124,34 @@ def _walk(text: np.ndarray, start: np.ndarray, end: np.ndarray, moves: np.ndarra
     flat = rows.ravel()
     head = np.arange(len(start)) * width
     out = np.empty((n_steps, len(start)), np.uint8)
+    moves = _first_bits(walk, seed)
     for j in range(n_steps):
+        if j and j % KEPT_STEPS == 0:
+            moves = _bits(walk, j, j + KEPT_STEPS, seed)
         c = flat[head]
         out[j] = c
-        head += moves[j][c]  # 0 stays where it is
+        head += moves[j % KEPT_STEPS][c]  # 0 stays where it is
+    return out
+
+
+def _packed(text: np.ndarray, size: int) -> np.ndarray:
+    """The number of every run of ``size`` characters, below BLOCK."""
+    out = np.zeros(max(0, len(text) - size + 1), np.uint64)
+    for k in range(size):
+        out |= text[k : k + len(out)].astype(np.uint64) << np.uint64(8 * k)
     return out
 
 
 def build_index(rows: list[tuple[object, str | None]], walks: int = WALKS, repeats: int = REPEATS, samples: int = SAMPLES, seed: int = SEED) -> Index:
-    """rows: (item id, text). Items of fewer than BLOCK characters are left out: most texts would hold them."""
+    """rows: (item id, text). Empty items are left out."""
     rng = np.random.default_rng(seed)
-    known = [(i, x) for i, x in ((i, normal(t)) for i, t in rows) if len(x) >= BLOCK]
+    every = [(i, x) for i, x in ((i, normal(t)) for i, t in rows) if x]
+    known = [r for r in every if len(r[1]) >= BLOCK]
+    every = known + [r for r in every if len(r[1]) < BLOCK]
+    by_size: dict[int, dict[int, list[int]]] = {}
+    for k, (_, x) in enumerate(every[len(known) :], len(known)):
+        by_size.setdefault(len(x), {}).setdefault(int.from_bytes(x, "little"), []).append(k)
+    short = {n: (np.array(sorted(found), np.uint64), [found[key] for key in sorted(found)]) for n, found in by_size.items()}
     posting: dict[int, list[tuple[int, int]]] = {}
     for k, (_, x) in enumerate(known):
         for o in range(0, len(x) - BLOCK + 1, BLOCK):
@@ -126,20 +164,17 @@ def build_index(rows: list[tuple[object, str | None]], walks: int = WALKS, repea
         size += 1
     bits = np.zeros(1 << size, bool)
     bits[(keys * HASH) >> np.uint64(64 - size)] = True
-    longest = max((len(x) for _, x in known), default=1)
-    moves = rng.integers(0, 2, (walks, 3 * longest, 256), dtype=np.uint8)
-    moves[:, :, 0] = 0
     steps = np.zeros((len(known), repeats, samples), np.int32)
     signs = np.zeros((len(known), repeats, samples), np.uint8)
     for k, (_, x) in enumerate(known):
         data = np.frombuffer(x, np.uint8)
         # most walks are through after 2 L steps; samples beyond the item's end would tell nothing
-        ends = [_walk(data, np.zeros(1, np.int64), np.array([len(x)]), moves[w], 3 * len(x))[:, 0] for w in range(walks)]
+        ends = [_walk(data, np.zeros(1, np.int64), np.array([len(x)]), w, seed, 3 * len(x))[:, 0] for w in range(walks)]
         for r in range(repeats):
             full = np.flatnonzero(ends[r % walks])
             steps[k, r] = np.sort(rng.choice(full, samples, replace=len(full) < samples))
             signs[k, r] = ends[r % walks][steps[k, r]]
-    return Index([i for i, _ in known], [x for _, x in known], keys, np.concatenate([[0], np.cumsum(counts)]), np.array([p[0] for p in flat], np.int64), np.array([p[1] for p in flat], np.int64), np.array([limit_of(x) for _, x in known], np.int64), np.array([len(x) < 2 * BLOCK for _, x in known], bool), bits, moves, np.array([len(x) for _, x in known], np.int64), steps.max(axis=(1, 2), initial=0) if len(known) else np.zeros(0, np.int32), steps, signs)
+    return Index([i for i, _ in every], [x for _, x in every], keys, np.concatenate([[0], np.cumsum(counts)]), np.array([p[0] for p in flat], np.int64), np.array([p[1] for p in flat], np.int64), np.array([limit_of(x) for _, x in known], np.int64), np.array([len(x) < 2 * BLOCK for _, x in known], bool), bits, walks, seed, np.array([len(x) for _, x in known], np.int64), steps.max(axis=(1, 2), initial=0) if len(known) else np.zeros(0, np.int32), steps, signs, short)
 
 
 def windows_of(index: Index, text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -179,7 +214,7 @@ def windows_of(index: Index, text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def all_windows(index: Index, text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(item, start) of the windows at every place of a text, for every item."""
-    item, start = np.meshgrid(np.arange(len(index.items)), np.arange(len(text)), indexing="ij")
+    item, start = np.meshgrid(np.arange(len(index.length)), np.arange(len(text)), indexing="ij")
     return item.ravel(), start.ravel()
 
 
@@ -187,15 +222,21 @@ def candidates(index: Index, raw: np.ndarray, item: np.ndarray, begin: np.ndarra
     """Which windows raw[begin:end) share a signature with their item."""
     found = np.zeros(len(item), bool)
     order = np.argsort(index.last[item], kind="stable")  # windows of like numbers of steps together
-    n_walks = len(index.moves)
-    for at in range(0, len(item), CHUNK):
-        rows = order[at : at + CHUNK]
+    n_walks = index.walks
+    # letters and steps of the windows up to each, as rows of one array are as long as the longest
+    need = (end - begin)[order] + index.last[item][order] + 2
+    at = 0
+    while at < len(item):
+        stop = at + CHUNK
+        while stop > at + 1 and int(need[at:stop].max()) * (min(stop, len(item)) - at) > BATCH_BYTES:
+            stop = at + (min(stop, len(item)) - at + 1) // 2
+        rows, at = order[at:stop], stop
         for w in range(n_walks):
             rows = rows[~found[rows]]
             if not len(rows):
                 break
             i = item[rows]
-            out = _walk(raw, begin[rows], end[rows], index.moves[w], int(index.last[i].max()) + 1)
+            out = _walk(raw, begin[rows], end[rows], w, index.seed, int(index.last[i].max()) + 1)
             hit = np.zeros(len(rows), bool)
             for r in range(w, index.steps.shape[1], n_walks):
                 steps = index.steps[i, r]
@@ -216,6 +257,10 @@ def leaks_of(index: Index, texts: list[bytes], every_place: bool = False) -> lis
     item = np.concatenate([i for i, _ in per_text] or [np.zeros(0, np.int64)])
     start = np.concatenate([s for _, s in per_text] or [np.zeros(0, np.int64)])
     out: list[list[tuple[int, int]]] = [[] for _ in texts]
+    for n, (keys, numbers) in index.short.items():
+        for t, x in enumerate(texts):
+            there = np.isin(keys, _packed(np.frombuffer(x, np.uint8), n))
+            out[t] += [(k, 0) for at in np.flatnonzero(there).tolist() for k in numbers[at]]
     if not len(item):
         return out
     size = bounds[text + 1] - bounds[text]
@@ -243,7 +288,7 @@ def leaks_of(index: Index, texts: list[bytes], every_place: bool = False) -> lis
 def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, part_bytes: int = MAX_ITEM_BYTES, every_place: bool = False) -> DataFrame:
     """One row per input row: id (or with ``keep`` the input's columns), n_leaks, leaks (array of item_id and edits).
 
-    Null and empty texts hold nothing. Items that are null or have fewer than BLOCK characters are passed over;
+    Null and empty texts hold nothing, and null and empty items are passed over. Items of fewer than BLOCK characters must stand as they are;
     items of one text are reported each. Repeated rows are judged one by one. Columns of the input named like an output are replaced. An empty
     table gives an empty table; an empty benchmark, no leaks.
     """
@@ -257,7 +302,7 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     for p in range(parts):
         mine = benchmark if parts == 1 else benchmark.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p)
         rows = [(r["item_id"], r["text"]) for r in mine.select("item_id", "text").collect()]  # about part_bytes
-        rows = sorted({(i, t) for i, t in rows if len(normal(t)) >= BLOCK}, key=lambda r: (str(r[0]), r[1]))
+        rows = sorted({(i, t) for i, t in rows if normal(t)}, key=lambda r: (str(r[0]), r[1]))
         index = df.sparkSession.sparkContext.broadcast(build_index(rows))
         now = now.mapInArrow(_with_leaks(index, len(names), every_place), schema)
         if p + 1 < parts:

@@ -8,6 +8,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pytest
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -77,6 +78,12 @@ def test_language_model(spark):
     assert total["score"] > total["base_score"]  # classes know the order of words
     steps = 10**model.step
     assert np.allclose(steps.sum(axis=1), 1)
+    plain = np.zeros((5, 5))  # every bigram counts, those of two words that aren't held too
+    for _, t in train_rows:
+        path = [4, *(of[w] for w in language_model.words_of(t)), 4]
+        np.add.at(plain, (path[:-1], path[1:]), 1)
+    assert model.bigrams == plain.sum() == n
+    assert np.allclose(steps, (plain + 0.1) / (plain.sum(axis=1, keepdims=True) + 0.5))
     assert language_model.score_texts(docs(spark, []).limit(0), model, others).count() == 0
     empty, nothing = language_model.train(docs(spark, []).limit(0).select("text"))
     assert language_model.score_texts(docs(spark, rows[:2]), empty, nothing).filter("n_known = 0").count() == 2
@@ -84,7 +91,9 @@ def test_language_model(spark):
     assert language_model.score_texts(clash, model, others).count() == 3
 
 
-def test_exchange_counts_and_moves_equal_plain_ones(spark):
+@pytest.mark.parametrize("group", [64, 1])
+def test_exchange_counts_and_moves_equal_plain_ones(spark, monkeypatch, group):
+    monkeypatch.setattr(language_model, "GROUP", group)
     rng = random.Random(8)
     texts = [" ".join(rng.choice(f"{'ab'[k % 2]}{rng.randrange(9)} rare{rng.randrange(400)}".split()[:1] if rng.random() < 0.9 else [f"rare{rng.randrange(400)}"]) for k in range(rng.randrange(30))) for _ in range(80)]
     ids = {f"{x}{k}".encode(): i for i, (x, k) in enumerate((x, k) for x in "ab" for k in range(9))}
@@ -152,6 +161,25 @@ def test_search_equals_brute_force(spark):
     assert search.top_k(table.limit(0), table).count() == 0 and search.top_k(table, table.limit(0)).count() == 0
 
 
+def test_one_shard_skips_postings():
+    rng = random.Random(16)
+    topics = [[f"t{k}w{j}" for j in range(40)] for k in range(12)]
+    texts = [" ".join(rng.choices(rng.sample(topics[i % 12], 4), k=30)) for i in range(12000)]
+    words = sorted({w for t in texts for w in search.words_of(t)})
+    number = {w: i for i, w in enumerate(words)}
+    tokens = [np.array([number[w] for w in search.words_of(t)]) for t in texts]
+    row = search.pack_shard(list(range(12000)), tokens, words, 30.0, 4)
+    shard = search.Shard(row, 30.0, 4)
+    query = shard.places(search.pa.array(search.words_of(texts[5]), search.pa.binary()))
+    query = np.unique(query)
+    weights = np.full(len(query), 3.0) / search.UNIT
+    docs_found, scores = shard.top(query, weights, 10)
+    read, shard.read = shard.read, 0
+    every, full = shard.top(query, weights, 12000)
+    assert scores.tolist() == full[:10].tolist() and docs_found.tolist() == every[:10].tolist()
+    assert read < shard.read
+
+
 def test_resampling(spark, monkeypatch):
     rng = random.Random(4)
     text = lambda good: " ".join(rng.choice(["fine", "clear", "sound"] if good and rng.random() < 0.6 else ["junk", "spam", "word", "line"]) for _ in range(30))
