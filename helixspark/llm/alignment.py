@@ -20,6 +20,7 @@ import hashlib
 import itertools
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from .tokenizing import CHUNK, SPACE, byte_letters, load
 
 A_NAME, B_NAME = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Characters of a block, and of the longest piece that is encoded together with others.
-BLOCK, SHORT = 2 << 20, 256
+BLOCK, SHORT = 1 << 20, 256
 #: A group of more links is counted by its different ids.
 MANY = 1 << 16
 
@@ -121,6 +122,12 @@ _LISTS = {**dict.fromkeys(_DOC, "long"), "groups_sha256": "string", "piece_ends"
 _TYPES = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
 
+@cache
+def _aligner(a_name: str, b_name: str) -> Aligner:
+    """One for each Python worker."""
+    return Aligner(a_name, b_name)
+
+
 def _links(a: np.ndarray, b: np.ndarray, starts: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(group, id pair, links) of all groups; groups of very many links by their different ids."""
     many = counts[0] * counts[1] > MANY
@@ -194,7 +201,8 @@ def _pack(aligner: Aligner, texts: list[str]) -> dict[str, list | np.ndarray]:
         if hi > lo:
             n = n_pairs[part]
             at = np.repeat(start[part] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            both = np.unique(np.repeat(doc, n) * len(pairs) + place[at])
+            both = np.sort(np.repeat(doc, n) * len(pairs) + place[at])  # np.unique by hashes keeps memory that it took
+            both = both[np.append(True, both[1:] != both[:-1])]
             docs += np.bincount(both % len(pairs), minlength=len(pairs))
     out["docs"] = docs
     return out
@@ -215,7 +223,7 @@ def align_tokens(df: DataFrame, a_name: str = A_NAME, b_name: str = B_NAME, id_c
     typed = df.select(F.col(id_col).alias("id") if id_type == pa.int64() else F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner, part = Aligner(a_name, b_name), TaskContext.get().partitionId()
+        aligner, part = _aligner(a_name, b_name), TaskContext.get().partitionId()
         ids: list = []
         texts: list[str] = []
         size = n = 0
@@ -238,9 +246,11 @@ def align_tokens(df: DataFrame, a_name: str = A_NAME, b_name: str = B_NAME, id_c
             yield packed()
 
     schema = f"block long, ids array<{'long' if id_type == pa.int64() else 'string'}>, " + ", ".join(f"{c} array<{t}>" for c, t in _LISTS.items())
-    blocks = materialize(typed.mapInArrow(run, schema), row_check=4)
+    with arrow_rows(spark, 256):  # whole texts, and rows of a megabyte back
+        blocks = materialize(typed.mapInArrow(run, schema), row_check=4)
     held = blocks.select("block", F.posexplode(F.arrays_zip("pairs", "docs")).alias("place", "p")).select("block", "place", F.col("p.pairs").alias("pair"), F.col("p.docs").alias("docs"))
-    counts = materialize(held.groupBy("pair").agg(F.sum("docs").alias("n")))
+    with arrow_rows(spark, 2048, read=4):  # a row holds the lists of a block
+        counts = materialize(held.groupBy("pair").agg(F.sum("docs").alias("n")))
     a_id = F.shiftright("pair", 32)
     most = counts.groupBy(a_id.alias("a")).agg(F.max("n").alias("most"))  # as many rows as A's vocabulary has entries, at most
     known = counts.withColumn("a", a_id).join(F.broadcast(most), "a").select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
@@ -266,7 +276,7 @@ def align_tokens(df: DataFrame, a_name: str = A_NAME, b_name: str = B_NAME, id_c
 
     left = blocks.drop("pairs", "docs").withColumnRenamed("block", "own")
     sums = "n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
-    with arrow_rows(spark, 2048):
+    with arrow_rows(spark, 2048, read=4):
         out = materialize(left.groupBy("own").cogroup(answers.groupBy("block")).applyInArrow(add, f"id {'long' if id_type == pa.int64() else 'string'}, {sums}"))
     return out.select(F.col("id").cast(kind).alias(id_col), *out_names[1:])
 

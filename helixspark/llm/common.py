@@ -76,15 +76,17 @@ def _remove_all() -> None:
 
 
 @contextmanager
-def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Jobs run inside send Python workers batches of so many rows at most: for rows of many megabytes."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+def arrow_rows(spark: SparkSession, rows: int, read: int | None = None) -> Iterator[None]:
+    """Jobs run inside send Python workers batches of so many rows at most: for rows of many megabytes. ``read``: and read so many from Parquet at once."""
+    values = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows} | ({"spark.sql.parquet.columnarReaderBatchSize": read} if read else {})
+    before = {name: spark.conf.get(name) for name in values}
+    for name, value in values.items():
+        spark.conf.set(name, str(value))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def crc_mod(col: str, n: int) -> Column:

@@ -300,7 +300,7 @@ def _search(index: DataFrame, tasks: DataFrame, asked: list[tuple[np.ndarray, np
             yield pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), pa.concat_arrays(ids) if ids else pa.array([], shard.ids.type), pa.array(np.concatenate(scores) if scores else [], pa.int64())], names=["item", "id", "score"])
 
     packed = tasks.groupBy("shard").agg(F.collect_list(F.struct("item", "threshold")).alias("t")).select("shard", F.col("t.item").alias("items"), F.col("t.threshold").alias("thresholds"))
-    with arrow_rows(index.sparkSession, 1):
+    with arrow_rows(index.sparkSession, 1, read=1):
         return materialize(index.join(packed, "shard").mapInArrow(run, f"item long, id {id_type}, score long"))
 
 
@@ -354,7 +354,8 @@ def _rank_part(texts: DataFrame, items: list, k: int, shard: int, cluster: int,
     pairs = spark.createDataFrame(pa.table({"item": np.repeat(np.arange(len(asked)), [len(a) for a, _ in asked]), "term": np.concatenate([a for a, _ in asked]), "weight": np.concatenate([w for _, w in asked])}))
     maxima = index.select("shard", F.explode(F.arrays_zip("terms", "term_most")).alias("m")).select("shard", F.col("m.terms").cast("long").alias("term"), F.col("m.term_most").cast("long").alias("most"))
     bounds = maxima.join(pairs, "term").groupBy("item", "shard").agg(F.sum(F.col("weight") * F.col("most")).alias("bound")).filter("bound > 0")
-    visits = materialize(bounds.withColumn("visit", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("bound"), "shard")) - 1))
+    with arrow_rows(spark, 1, read=1):  # a row of the index is a whole shard
+        visits = materialize(bounds.withColumn("visit", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("bound"), "shard")) - 1))
 
     found, lo, hi = None, 0, 1
     best = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("id"))
