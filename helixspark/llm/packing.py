@@ -1,8 +1,8 @@
 """Best-fit packing of documents into sequences of a fixed number of tokens.
 
-Bulk-synchronous best-fit decreasing. Documents are ranked by size over the cluster; gaps are kept sorted too. Both
-sorted lists are run-length encoded: sizes and gaps are whole numbers up to the sequence length L, so either list has at
-most L runs however many documents there are. A superstep takes the largest size that is left and sweeps it over its
+Best-fit decreasing by supersteps over run lengths, which the driver runs. Documents are ranked by size over the cluster; gaps
+are kept sorted too. Both sorted lists are run-length encoded: sizes and gaps are whole numbers up to the sequence length L, so
+either list has at most L runs however many documents there are. A superstep takes the largest size that is left and sweeps it over its
 successors among the gaps (the smallest gaps that hold it); documents of one size that want the same gaps are matched to
 them by rank; the gaps that were filled get their new value, and the next superstep follows. What no gap holds opens new
 sequences. The supersteps yield an assignment of rank ranges to ranges of sequences, which is joined to the ranked

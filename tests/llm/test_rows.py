@@ -197,6 +197,8 @@ def test_toxicity_sample_is_bounded(spark):
     assert 0 < sum(len(t) for t, _, _ in few) < 150_000
     many = spark.createDataFrame([(i, "a b", f"l{i % 500}", "s", 3) for i in range(1000)], "doc_id long, text string, lang string, source string, n_chars long")
     assert len(toxicity.labelled_sample(many, labels, sample=200, held_out=None)) < 500
+    same = docs(spark, rows[:50] + [(1, f"copy {k}") for k in range(3000)] + [(1, "copy")] * 3000)
+    assert 0 < len(toxicity.labelled_sample(same, labels, sample=100, held_out=None)) < 400
 
 
 def substring_distance(p, t):
