@@ -33,7 +33,7 @@ from .tokenizing import CHUNK, SPACE, byte_letters, load
 
 A_NAME, B_NAME = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Characters of a block, and of the longest piece that is encoded together with others.
-BLOCK, SHORT = 1 << 20, 256
+BLOCK, SHORT = 3 << 20, 256
 #: A group of more links is counted by its different ids.
 MANY = 1 << 16
 
