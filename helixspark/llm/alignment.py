@@ -118,8 +118,26 @@ class Aligner:
 
 
 _DOC = ("n_a", "n_b", "n_groups", "n_links")
-_LISTS = {**dict.fromkeys(_DOC, "long"), "groups_sha256": "string", "piece_ends": "int", "pieces": "int", "times": "int", "pair_ends": "int", "piece_pairs": "int", "piece_links": "long", "pairs": "long", "docs": "long"}
-_TYPES = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
+_LISTS = {**dict.fromkeys(_DOC, "long"), "groups_sha256": "string", "pairs": "long", "docs": "long"}
+_TYPES = {"long": pa.int64(), "string": pa.string()}
+#: Arrays that travel squeezed, and whether by their steps: they rise, or rise for a while.
+_SQUEEZED = {"piece_ends": True, "pieces": True, "times": False, "pair_ends": True, "piece_pairs": False, "piece_links": False}
+
+
+def _squeezed(x: np.ndarray, steps: bool) -> bytes:
+    """Whole numbers byte by byte (all first bytes, all second ones ...), compressed."""
+    import zstandard
+
+    x = np.diff(x, prepend=0) if steps else x
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def _unsqueezed(data: bytes, steps: bool) -> np.ndarray:
+    import zstandard
+
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    x = np.ascontiguousarray(raw.T).view("<i8").ravel()
+    return np.cumsum(x) if steps else x
 
 
 @cache
@@ -186,7 +204,11 @@ def _pack(aligner: Aligner, texts: list[str]) -> dict[str, list | np.ndarray]:
     out |= {"piece_ends": np.cumsum(size), "pieces": used, "times": times}
 
     in_group, keys, links = _links(a, b, starts, counts)
-    pairs, place = np.unique(keys, return_inverse=True)
+    pairs, place, often = np.unique(keys, return_inverse=True, return_counts=True)
+    order = np.argsort(-often, kind="stable")  # frequent pairs first: small numbers are squeezed best
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    pairs, place = pairs[order], rank[place]
     held, inverse = np.unique(owner[in_group] * max(1, len(pairs)) + place, return_inverse=True)
     links = np.bincount(inverse, links, minlength=len(held)).astype(np.int64)
     own, place = held // max(1, len(pairs)), held % max(1, len(pairs))
@@ -231,7 +253,8 @@ def align_tokens(df: DataFrame, a_name: str = A_NAME, b_name: str = B_NAME, id_c
         def packed() -> pa.RecordBatch:
             found = _pack(aligner, texts)
             lists = [pa.array([found[c]], pa.list_(_TYPES[t])) for c, t in _LISTS.items()]
-            return pa.RecordBatch.from_arrays([pa.array([part << 32 | n], pa.int64()), pa.array([ids], pa.list_(id_type)), *lists], names=["block", "ids", *_LISTS])
+            bodies = [pa.array([_squeezed(found[c], steps)], pa.binary()) for c, steps in _SQUEEZED.items()]
+            return pa.RecordBatch.from_arrays([pa.array([part << 32 | n], pa.int64()), pa.array([ids], pa.list_(id_type)), *lists, *bodies], names=["block", "ids", *_LISTS, *_SQUEEZED])
 
         for batch in slices(batches):
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -245,7 +268,7 @@ def align_tokens(df: DataFrame, a_name: str = A_NAME, b_name: str = B_NAME, id_c
         if texts:
             yield packed()
 
-    schema = f"block long, ids array<{'long' if id_type == pa.int64() else 'string'}>, " + ", ".join(f"{c} array<{t}>" for c, t in _LISTS.items())
+    schema = f"block long, ids array<{'long' if id_type == pa.int64() else 'string'}>, " + ", ".join([*(f"{c} array<{t}>" for c, t in _LISTS.items()), *(f"{c} binary" for c in _SQUEEZED)])
     with arrow_rows(spark, 256):  # whole texts, and rows of a megabyte back
         blocks = materialize(typed.mapInArrow(run, schema), row_check=4)
     held = blocks.select("block", F.posexplode(F.arrays_zip("pairs", "docs")).alias("place", "p")).select("block", "place", F.col("p.pairs").alias("pair"), F.col("p.docs").alias("docs"))
@@ -258,8 +281,8 @@ def align_tokens(df: DataFrame, a_name: str = A_NAME, b_name: str = B_NAME, id_c
     out_names = ["id", *_DOC, "n_best", "count_sum", "groups_sha256"]
 
     def add(rows: pa.Table, known: pa.Table) -> pa.Table:
-        row = {c: rows.column(c).combine_chunks()[0].values for c in rows.column_names if c != "own"}
-        number = {c: row[c].to_numpy().astype(np.int64) for c in row if c not in ("ids", "groups_sha256")}
+        row = {c: rows.column(c).combine_chunks()[0].values for c in ("ids", "groups_sha256", *_DOC)}
+        number = {c: row[c].to_numpy() for c in _DOC} | {c: _unsqueezed(rows.column(c)[0].as_py(), steps) for c, steps in _SQUEEZED.items()}
         n, best = np.zeros(known.num_rows, np.int64), np.zeros(known.num_rows, np.int64)
         if known.num_rows:
             place = known.column("place").to_numpy()
