@@ -25,6 +25,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -83,7 +84,7 @@ def encode_corpus(texts: DataFrame, ids: dict[bytes, int]) -> DataFrame:
 
         for batch in slices(batches):
             for t in batch.column(0).to_pylist():
-                codes += [known.get(w, TAIL) for w in words_of(t)]
+                codes += map(known.get, words_of(t), repeat(TAIL))
                 codes.append(end)
                 if len(codes) >= CHUNK:
                     yield out()
@@ -247,8 +248,8 @@ def other_bigrams(texts: DataFrame, ids: dict[bytes, int], others: DataFrame) ->
         for batch in slices(batches):
             for t in batch.column(0).to_pylist():
                 words = words_of(t)
-                rare = [i for i, w in enumerate(words) if w not in known]
-                counts.update((words[i], words[j]) for i, j in zip(rare, rare[1:], strict=False) if j == i + 1)
+                there = list(map(known.__contains__, words))
+                counts.update([(a, b) for a, b, x, y in zip(words, words[1:], there, there[1:], strict=False) if not (x or y)])
             if len(counts) > HELD:
                 yield out()
         yield out()
@@ -265,27 +266,27 @@ def classify_others(texts: DataFrame, ids: dict[bytes, int], of: np.ndarray, big
     classes, however often the word occurs.
     """
     m = len(big)
-    held = texts.sparkSession.sparkContext.broadcast((ids, of.tolist()))
+    held = texts.sparkSession.sparkContext.broadcast(({w: int(of[i]) for w, i in ids.items()}, int(of[-1])))
     total = big.sum() + 1.0
     after, before = big.sum(0) + ADD_CLASS * m, big.sum(1) + ADD_CLASS * m
     fit = np.log((big + ADD_CLASS) * (total + ADD_CLASS * m * m) / np.outer(before, after))
     score = texts.sparkSession.sparkContext.broadcast(fit)
 
     def context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, classes = held.value
-        end, counts = classes[-1], Counter()
+        known, end = held.value
+        counts: Counter = Counter()
 
         def out() -> pa.RecordBatch:
             keys = list(counts)
-            batch = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.binary()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["word", "before", "after", "n"])
+            batch = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.binary()), pa.array([-1 if k[1] is None else k[1] for k in keys], pa.int32()), pa.array([-1 if k[2] is None else k[2] for k in keys], pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["word", "before", "after", "n"])
             counts.clear()
             return batch
 
         for batch in slices(batches):
             for t in batch.column(0).to_pylist():
                 words = words_of(t)
-                cs = [end, *(classes[known[w]] if w in known else -1 for w in words), end]
-                counts.update((w, cs[i], cs[i + 2]) for i, w in enumerate(words) if cs[i + 1] < 0)
+                cs = [end, *map(known.get, words), end]
+                counts.update([(w, a, b) for w, a, c, b in zip(words, cs, cs[1:], cs[2:], strict=False) if c is None])
             if len(counts) > HELD:
                 yield out()
         yield out()
@@ -385,7 +386,8 @@ def score_texts(df: DataFrame, model: Model, others: DataFrame, id_col: str = "d
             rows, words, places, texts = [], [], [], []
             for r, t in enumerate(batch.column(2).to_pylist()):
                 tail: dict[bytes, int] = {}
-                codes = [known[w] if w in known else TAIL + tail.setdefault(w, len(tail)) for w in words_of(t)]
+                found = words_of(t)
+                codes = [TAIL + tail.setdefault(w, len(tail)) if c is None else c for w, c in zip(found, map(known.get, found), strict=True)]
                 rows += [r] * (1 + len(tail))
                 words += [b" %d" % batch.column(0)[r].as_py(), *tail]
                 places += [None, *tail.values()]
