@@ -182,9 +182,9 @@ SELECT seq_id, CASE strand WHEN '+' THEN "start" ELSE n - "end" END AS "start",
 
 
 def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
-    from . import catalog_more, catalog_scale
+    from . import catalog_more, catalog_public, catalog_scale
 
-    return _REGISTRY | catalog_more.REGISTRY | catalog_scale.REGISTRY
+    return _REGISTRY | catalog_more.REGISTRY | catalog_scale.REGISTRY | catalog_public.REGISTRY
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

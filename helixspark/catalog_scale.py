@@ -174,7 +174,7 @@ def _null_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NULL_CLASSES = ["Curved_DNA", "Z-DNA"]
-_MIXED = WITH_SEQ + """, turns AS (SELECT seq_id, seq, unnest(range(0, 2)) AS r FROM sequences), mixed AS (SELECT r || chr(9) || seq_id AS seq_id,
+_MIXED = WITH_SEQ + """, turns AS (SELECT seq_id, seq, unnest(range(0, 2)) AS r FROM sequences), mixed AS MATERIALIZED (SELECT r || chr(9) || seq_id AS seq_id,
  array_to_string(list_transform(list_sort(list_transform(range(0, length(seq)), lambda i: {'k': md5('1:' || r || ':' || seq_id || ':' || i), 'c': substr(seq, i + 1, 1)})), lambda x: x.c), '') AS seq FROM turns)"""
 
 
