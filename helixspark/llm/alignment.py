@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, materialize, slices, table
-from .tokenizing import CHUNK, SPACE, byte_letters, load
+from .tokenizing import CHUNK, SOLID, SPACE, byte_letters, load
 
 A_NAME, B_NAME = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Characters of a block, and of the longest piece that is encoded together with others.
@@ -87,7 +87,8 @@ class Aligner:
     def encode_pieces(self, pieces: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
         """The ids of all pieces of either side, one after another, and the pieces whose bytes are given back.
 
-        Short pieces are encoded many at a time, with the single spaces between them at which they were cut.
+        Short pieces are encoded many at a time, with the single spaces between them at which they were cut. A text's first
+        piece may begin with white space and its last one end with it; a space beside it would join it, so these stand alone.
         """
         ids: tuple[list[np.ndarray], list[np.ndarray]] = ([np.zeros(0, np.int64)], [np.zeros(0, np.int64)])
         good = np.ones(len(pieces), bool)
@@ -105,11 +106,12 @@ class Aligner:
 
         at, held = 0, 0
         for k, piece in enumerate(pieces):
-            if k > at and (held + len(piece) >= CHUNK or not self.cuts or len(piece) > SHORT):
+            alone = len(piece) > SHORT or SOLID.match(piece) is None
+            if k > at and (held + len(piece) >= CHUNK or not self.cuts or alone):
                 add(at, k)
                 at, held = k, 0
             held += len(piece) + 1
-            if len(piece) > SHORT:  # alone: nothing need be known of where it ends
+            if alone:  # nothing need be known of where it ends
                 add(k, k + 1)
                 at, held = k + 1, 0
         if at < len(pieces):

@@ -30,6 +30,8 @@ ENDOFTEXT = "<|endoftext|>"
 _NO_BLANK = "[^\\s\u180e\u200b]"
 _LETTER, _MARK = "[\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]", "[\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f]"
 SPACE = re.compile(f"(?<={_NO_BLANK}) (?={_NO_BLANK})")
+#: Begins and ends with no white space.
+SOLID = re.compile(f"{_NO_BLANK}(?:.*{_NO_BLANK})?\\Z", re.DOTALL)
 BYTE_LEVEL = re.compile(f"(?<={_NO_BLANK})[ \n](?={_NO_BLANK})|(?<={_LETTER})(?={_MARK})|(?<={_MARK})(?={_LETTER})")
 
 

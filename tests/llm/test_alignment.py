@@ -117,3 +117,22 @@ def test_alignment_of_nothing(spark):
     assert alignment.align_tokens(df).collect() == []
     other = spark.createDataFrame([("k", "one two"), ("l", None)], "doc_id string, text string")
     assert {r.doc_id: r.n_groups for r in alignment.align_tokens(other).collect()} == {"k": 2, "l": 0}
+
+
+def test_texts_that_end_or_begin_with_blanks_stand_alone_in_a_block():
+    texts = ["one two ", "three four  ", "  five", "six\n", "\tseven ", "one two", " ", "eight", "nine  ", "ten ​", "᠎ x"]
+    found = alignment._pack(ALIGNER, texts)
+    groups = [plain(t) for t in texts]
+    assert found["n_b"].tolist() == [sum(len(b) for _, b in gs) for gs in groups]
+    assert found["n_groups"].tolist() == [len(gs) for gs in groups]
+    shown = [";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in gs) for gs in groups]
+    assert found["groups_sha256"] == [hashlib.sha256(s.encode()).hexdigest() if s else "" for s in shown]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(" \n\tab<s>|▁'é漢"), max_size=12), max_size=8))
+def test_groups_of_any_block(texts):
+    found = alignment._pack(ALIGNER, texts)
+    groups = [plain(t) for t in texts]
+    shown = [";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in gs) for gs in groups]
+    assert found["groups_sha256"] == [hashlib.sha256(s.encode()).hexdigest() if s else "" for s in shown]
