@@ -49,9 +49,12 @@ def csv_rows(motifs: DataFrame, non_overlapping: bool = False, all_fields: bool
 
 
 def _in_order(heads: DataFrame, rows: DataFrame) -> DataFrame:
-    """Lines (seq_id, value) of each sequence together: the heads first, then the rows in order. Written as text, a sequence's block is never torn apart."""
+    """Lines (seq_id, value) of each sequence together: the heads first, then the rows in order. Written as text, a sequence's block is never torn apart.
+
+    The hash is dealt by, not the name: heads and rows may already lie by name, each in parts of their own, and then Spark leaves a shuffle by name out.
+    """
     lines = heads.select("seq_id", F.lit(0).alias("_part"), F.col("n").alias("_n"), "value").unionByName(rows.select("seq_id", F.lit(1).alias("_part"), F.col("_n"), "value"))
-    return lines.repartition("seq_id").sortWithinPartitions("seq_id", "_part", "_n").select("seq_id", "value")
+    return lines.repartition(F.xxhash64("seq_id")).sortWithinPartitions("seq_id", "_part", "_n").select("seq_id", "value")
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
