@@ -1,5 +1,10 @@
 """Steps whose work or results changed with the size of a table."""
 
+import itertools
+
+from pyspark.sql import functions as F
+
+from helixspark.operators import intervals
 from helixspark.sources import writers
 
 
@@ -15,3 +20,18 @@ def test_json_objects_stay_whole_where_heads_and_rows_fill_other_numbers_of_part
             spark.conf.unset(size)
     read = spark.read.schema("total_motifs long, motifs array<struct<seq_id: string>>").json(str(tmp_path / "out")).filter("total_motifs is not null")
     assert sorted((r.motifs[0].seq_id, len(r.motifs)) for r in read.collect()) == [(f"s{k}", len(range(k, 4000, 7))) for k in range(7)]
+
+
+def test_choice_between_rows_of_equal_order_depends_on_no_input_order(spark):
+    rows = [("s", 5 * (k // 2), 5 * (k // 2) + 5, 1.0, f"p{k % 2}") for k in range(40)]
+    for turn in (rows, rows[::-1]):
+        df = spark.createDataFrame(turn, "seq_id string, a long, b long, score double, pattern_id string").coalesce(1)
+        kept = intervals.select_greedy(df, ["seq_id"], [-F.col("score")], F.col("a"), F.col("b")).collect()
+        assert sorted(r.a for r in kept) == list(range(0, 100, 5)) and {r.pattern_id for r in kept} == {"p0"}
+
+
+def test_clusters_score_depends_on_no_order(spark):
+    rows = [("s", 1, 9, c, x) for c, x in zip("abcabc", (1.001, 1.103, 2.308, 1.009, 1.703, 1.107), strict=True)]
+    for turn in itertools.islice(itertools.permutations(rows), 0, 720, 90):
+        df = spark.createDataFrame(list(turn), "seq_id string, start_pos long, end_pos long, class string, score double").coalesce(1)
+        assert [r.score for r in intervals.clusters(df).collect()] == [1.372]
