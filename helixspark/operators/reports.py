@@ -34,8 +34,10 @@ def preprocessed(raw: DataFrame, text_col: str = "raw") -> DataFrame:
     cut = raw.withColumn("header", F.coalesce(title, F.lit(""))).withColumn("seq", F.array_join(F.filter(lines, lambda x: ~x.startswith(">") & (x != "")), ""))
     seq = F.col("seq")
     odd = F.array_sort(F.array_distinct(F.filter(F.split(F.regexp_replace(seq, f"[{LETTERS}]", ""), ""), lambda c: c != "")))
-    places = lambda c: F.slice(F.filter(F.sequence(F.lit(0), F.length(seq) - 1), lambda i: F.substring(seq, i + 1, F.lit(1)) == c), 1, 10)
-    counted = cut.select("*", F.length(seq).cast("long").alias("length"), *(count_of(seq, b).alias(f"n_{b.lower()}") for b in "ATGCN"), F.transform(odd, lambda c: F.struct(c.alias("letter"), places(c).alias("places"))).alias("invalid"))
+    # the text between a letter's first ten places: lengths of these few pieces, not a look at every place
+    around = lambda c: F.split(seq, F.concat(F.lit("\\Q"), c, F.lit("\\E")), 11)
+    places = lambda ps: F.transform(F.sequence(F.lit(1), F.size(ps) - 1), lambda i: F.aggregate(F.slice(ps, 1, i), i - 1, lambda a, x: a + F.length(x)))
+    counted = cut.select("*", F.length(seq).cast("long").alias("length"), *(count_of(seq, b).alias(f"n_{b.lower()}") for b in "ATGCN"), F.transform(F.transform(odd, lambda c: F.struct(c.alias("letter"), around(c).alias("around"))), lambda x: F.struct(x["letter"].alias("letter"), places(x["around"]).alias("places"))).alias("invalid"))
     valid = F.col("n_a") + F.col("n_t") + F.col("n_g") + F.col("n_c")
     rated = counted.withColumn("valid_bases", valid).withColumn("gc_pct", F.when(valid > 0, (F.col("n_g") + F.col("n_c")) * 100.0 / valid).otherwise(0.0)).withColumn("at_pct", F.when(valid > 0, (F.col("n_a") + F.col("n_t")) * 100.0 / valid).otherwise(0.0))
     problem = (

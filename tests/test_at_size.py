@@ -4,7 +4,7 @@ import itertools
 
 from pyspark.sql import functions as F
 
-from helixspark.operators import intervals
+from helixspark.operators import intervals, reports
 from helixspark.sources import writers
 
 
@@ -35,3 +35,12 @@ def test_clusters_score_depends_on_no_order(spark):
     for turn in itertools.islice(itertools.permutations(rows), 0, 720, 90):
         df = spark.createDataFrame(list(turn), "seq_id string, start_pos long, end_pos long, class string, score double").coalesce(1)
         assert [r.score for r in intervals.clusters(df).collect()] == [1.372]
+
+
+def test_places_of_odd_letters_of_a_long_sequence(spark):
+    seq = "ACGT" * 100_000 + "X" + "ACG" * 5 + "*\\X" + "X" * 20
+    df = spark.createDataFrame([("a", seq), ("b", "ACGTN"), ("c", "\\E.é")], "seq_id string, raw string")
+    got = {r.seq_id: {x.letter: x.places for x in r.invalid} for r in reports.preprocessed(df).collect()}
+    text = seq.upper()
+    assert got["a"] == {c: [i for i, x in enumerate(text) if x == c][:10] for c in "X*\\"} and got["b"] == {}
+    assert got["c"] == {"\\": [0], "E": [1], ".": [2], "É": [3]}
