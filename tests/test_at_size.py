@@ -1,10 +1,12 @@
 """Steps whose work or results changed with the size of a table."""
 
 import itertools
+import random
+import re
 
 from pyspark.sql import functions as F
 
-from helixspark.operators import intervals, reports
+from helixspark.operators import intervals, regexscan, reports
 from helixspark.sources import writers
 
 
@@ -44,3 +46,22 @@ def test_places_of_odd_letters_of_a_long_sequence(spark):
     text = seq.upper()
     assert got["a"] == {c: [i for i, x in enumerate(text) if x == c][:10] for c in "X*\\"} and got["b"] == {}
     assert got["c"] == {"\\": [0], "E": [1], ".": [2], "É": [3]}
+
+
+def test_regex_hits_shuffle_nothing(spark):
+    df = spark.createDataFrame([("a", "GGGATTT_GGGG"), ("b", None), ("c", "")], "seq_id string, seq string")
+    hits = regexscan.regex_hits(df, {"g": "G{3,}", "t": "T+"})
+    assert "Exchange" not in hits._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, hits.collect())) == [("a", "g", 0, 3, "GGG"), ("a", "g", 8, 12, "GGGG"), ("a", "t", 4, 7, "TTT")]
+
+
+def test_words_that_stand_again_are_found_as_backtracking_finds_them():
+    rng = random.Random(5)
+    for pattern in (r"([ATGC]{5,20})(?:[ATGC]{0,100})\2", r"([ATGC]{10,50})(?:[ATGC]{0,200})\2"):
+        spans, plain = regexscan._finder(pattern), re.compile(f"({pattern})")
+        assert "repeats_apart" in spans.__qualname__
+        for n in (0, 9, 10, 11, 60, 700):
+            for letters in ("A", "AC", "ACGT", "ACGTNé"):
+                s = "".join(rng.choices(letters, k=n))
+                s += s[5:40] * 3 + "N" + s[:60]
+                assert list(spans(s)) == [m.span() for m in plain.finditer(s)]
