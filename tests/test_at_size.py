@@ -1,12 +1,13 @@
 """Steps whose work or results changed with the size of a table."""
 
+import hashlib
 import itertools
 import random
 import re
 
 from pyspark.sql import functions as F
 
-from helixspark.operators import intervals, regexscan, reports
+from helixspark.operators import intervals, regexscan, reports, statistics
 from helixspark.sources import writers
 
 
@@ -65,3 +66,16 @@ def test_words_that_stand_again_are_found_as_backtracking_finds_them():
                 s = "".join(rng.choices(letters, k=n))
                 s += s[5:40] * 3 + "N" + s[:60]
                 assert list(spans(s)) == [m.span() for m in plain.finditer(s)]
+
+
+def test_letters_are_dealt_where_they_stand_and_long_sequences_in_buckets(spark):
+    rng = random.Random(2)
+    texts = {"a": "".join(rng.choices("ACGT", k=700)), "b": "é" + "AC" * 40, "c": "", "d": "G"}
+    df = spark.createDataFrame(list(texts.items()), "seq_id string, seq string")
+    plain = lambda i, r: "".join(texts[i][p] for p in sorted(range(len(texts[i])), key=lambda p: hashlib.md5(f"4:{r}:{i}:{p}".encode()).hexdigest()))
+    want = {(i, r): plain(i, r) for i in texts if texts[i] for r in (0, 1)}
+    for whole in (1 << 20, 64):
+        got = statistics.shuffled_letters(df, 2, 4, 50, whole)
+        assert {(r.seq_id, r["round"]): r.seq for r in got.collect()} == want
+    one = statistics.shuffled_letters(df.filter("seq_id = 'a'"), 2, 4)
+    assert one.count() == 2 and one._jdf.queryExecution().optimizedPlan().toString().count("Explode") == 0
