@@ -4,10 +4,11 @@ import hashlib
 import itertools
 import random
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
-from helixspark.operators import intervals, regexscan, reports, statistics
+from helixspark.operators import intervals, regexscan, reports, series, statistics
 from helixspark.sources import writers
 
 
@@ -79,3 +80,29 @@ def test_letters_are_dealt_where_they_stand_and_long_sequences_in_buckets(spark)
         assert {(r.seq_id, r["round"]): r.seq for r in got.collect()} == want
     one = statistics.shuffled_letters(df.filter("seq_id = 'a'"), 2, 4)
     assert one.count() == 2 and one._jdf.queryExecution().optimizedPlan().toString().count("Explode") == 0
+
+
+def test_overlaps_are_counted_and_united_without_a_row_for_each_pair(spark):
+    rng = random.Random(4)
+    rows = [("s" if rng.random() < 0.7 else "t", a, a + rng.choice([0, 3, 12, 40, 900]), rng.choice("XYZ"), rng.randrange(1000, 3000) / 1000, k) for k, a in enumerate(rng.choices(range(1, 4000), k=400))]
+    df = spark.createDataFrame(rows, "seq_id string, start_pos long, end_pos long, class string, score double, event_id long")
+    later = [(a, b) for a in rows for b in rows if a[0] == b[0] and (a[1], a[2], a[5]) < (b[1], b[2], b[5])]
+    pairs, sets = Counter(), {}
+    for a, b in later:
+        if b[1] < a[2]:
+            sets.setdefault(a, {a[3]}).add(b[3])
+            if a[3] != b[3]:
+                pairs[tuple(sorted((a[3], b[3])))] += 1
+    found = series.overlap_counts(df, top=None)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.a, r.b): r.n for r in found.collect()} == pairs
+    assert {r["classes"]: r.n for r in series.class_combinations(df).collect()} == Counter("+".join(sorted(x)) for x in sets.values())
+    unions = {}
+    for a, b in later:
+        share = max(0, min(a[2], b[2]) - b[1] + 1) / min(a[2] - a[1] + 1, b[2] - b[1] + 1)
+        if a[3] != b[3] and 0.5 < share < 0.99:
+            key, row = (a[0], a[1], max(a[2], b[2]), tuple(sorted((a[3], b[3])))), (a[2], b[1], b[2], f"{a[3]}_{b[3]}_Overlap", -(a[4] + b[4]))
+            unions[key] = min(unions.get(key, row), row)
+    got = {(r.seq_id, r.start_pos, r.end_pos, tuple(r.component_classes)): r for r in intervals.hybrids(df).collect()}
+    assert set(got) == set(unions) and all(got[k].subclass == v[3] and abs(got[k].score + v[4] / 2) < 6e-4 for k, v in unions.items())
+    assert intervals.hybrids(df.limit(0)).count() == 0 and series.class_combinations(df.drop("event_id").limit(0)).count() == 0
