@@ -8,7 +8,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from helixspark.operators import intervals, regexscan, reports, series, statistics
+from helixspark.operators import detectors, intervals, kernels, regexscan, reports, series, statistics, tiling
 from helixspark.sources import writers
 
 
@@ -106,3 +106,29 @@ def test_overlaps_are_counted_and_united_without_a_row_for_each_pair(spark):
     got = {(r.seq_id, r.start_pos, r.end_pos, tuple(r.component_classes)): r for r in intervals.hybrids(df).collect()}
     assert set(got) == set(unions) and all(got[k].subclass == v[3] and abs(got[k].score + v[4] / 2) < 6e-4 for k, v in unions.items())
     assert intervals.hybrids(df.limit(0)).count() == 0 and series.class_combinations(df.drop("event_id").limit(0)).count() == 0
+
+
+def test_tiles_give_no_row_for_a_short_run_at_their_border(spark):
+    rng = random.Random(31)
+    seq = "".join(rng.choices("ACGT", k=6000)) + "CAG" * 200 + "".join(rng.choices("ACGT", k=6000)) + "AAGGCTTACGATCGA" * 2
+    df = spark.createDataFrame([("s", seq)], "seq_id string, seq string")
+    tiles = tiling.cut(df, 100, tiling.CONTEXT, tiling.CONTEXT, safe=True)
+    rows = kernels.repeat_runs_of_tiles(tiles).collect()
+    assert len(rows) < 300 and tiles.count() > 50  # some 50 a tile when every run at a border counts
+    fields = ("subclass", "start_pos", "end_pos", "raw_score", "pattern_id")
+    chosen = lambda found: sorted(tuple(r[f] for f in fields) for r in found.collect())
+    assert chosen(detectors.slipped(tiles)) == chosen(detectors.slipped(df)) and len(chosen(detectors.slipped(df))) >= 2
+
+
+def test_rows_that_are_looked_at_together_give_what_each_gives_alone():
+    rng = random.Random(32)
+    turn = str.maketrans("ACGT", "TGCA")
+    texts = []
+    for _ in range(150):
+        arm, gap = "".join(rng.choices(rng.choice(["AG", "ACGT", "GC"]), k=rng.randrange(6, 60))), "".join(rng.choices("ACGTN", k=rng.randrange(14)))
+        texts.append(rng.choice([arm + gap + arm[::-1], arm + gap + arm[::-1].translate(turn), arm * rng.randrange(1, 9), gap]))
+    texts += ["", "A", "N" * 300, "AT" * 400, "é" + "GAA" * 20]
+    rows = [(t, 0, len(t), True, True) for t in texts]
+    for kernel in (kernels.slipped_rows, kernels.cruciform, kernels.mirror):
+        alone = [(i, *hit[1:]) for i, row in enumerate(rows) for hit in kernel([row])]
+        assert sorted(map(str, kernel(rows))) == sorted(map(str, alone)) and alone
