@@ -8,6 +8,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from helixspark.functions import scoring
 from helixspark.operators import detectors, intervals, kernels, regexscan, reports, series, statistics, tiling
 from helixspark.sources import writers
 
@@ -132,3 +133,17 @@ def test_rows_that_are_looked_at_together_give_what_each_gives_alone():
     for kernel in (kernels.slipped_rows, kernels.cruciform, kernels.mirror):
         alone = [(i, *hit[1:]) for i, row in enumerate(rows) for hit in kernel([row])]
         assert sorted(map(str, kernel(rows))) == sorted(map(str, alone)) and alone
+
+
+def test_palindromes_of_a_large_repeat_take_no_square_of_it():
+    seq = "AT" * 100_000  # every place is a centre that grows to the nearer end
+    assert scoring.longest_palindrome(seq) == len(seq) and scoring.longest_palindrome("N" + seq + "C") == len(seq)
+    assert scoring.alternation("ACGCGTAN") == 7.5 and scoring.most_skewed("GGGCCCC", 3) == 3
+
+
+def test_copies_of_a_unit_are_those_of_the_regular_expression():
+    rng = random.Random(33)
+    words = ["", "AAA", "xxxxxx", "éAAAA", "ACACACACAGACAGACAGACAG"] + ["".join(rng.choices(rng.choice(["AC", "ACG", "ACGTN", "ANx"]), k=rng.randrange(1, 90))) for _ in range(600)]
+    for w in words:
+        for k in range(1, 7):
+            assert scoring.most_copies(w, k) == max((len(m[0]) // k for m in re.finditer(rf"([ACGTN]{{{k}}})\1{{2,}}", w)), default=0), (w, k)
