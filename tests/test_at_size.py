@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -147,3 +148,27 @@ def test_copies_of_a_unit_are_those_of_the_regular_expression():
     for w in words:
         for k in range(1, 7):
             assert scoring.most_copies(w, k) == max((len(m[0]) // k for m in re.finditer(rf"([ACGTN]{{{k}}})\1{{2,}}", w)), default=0), (w, k)
+
+
+def test_near_duplicates_are_looked_for_among_near_rows_only(spark):
+    rng = random.Random(34)
+    rows = []
+    for k in range(90_000):  # one island of each sequence
+        a = 25 * (k // 3) + rng.randrange(20)
+        rows.append((rng.choice("st"), "Z-DNA", "Z-DNA", a + 1, a + rng.choice((40, 40, 60, 3)), rng.randrange(9) / 4))
+    df = spark.createDataFrame(rows, "seq_id string, class string, subclass string, start_pos long, end_pos long, score double")
+
+    def plain(mine: list[tuple]) -> list[tuple]:
+        kept: list[tuple] = []
+        for s, e, w in sorted((r[3] - 1, r[4], -r[5]) for r in mine):
+            near = [k for k in range(max(0, len(kept) - 100), len(kept)) if kept[k][0] >= s - 2000 and min(e, kept[k][1]) - max(s, kept[k][0]) >= 0.5 * min(e - s, kept[k][1] - kept[k][0])]
+            if not near:
+                kept.append((s, e, w))
+            elif w < kept[best := min(near, key=lambda k: (kept[k][2], -k))][2]:
+                kept[best] = (s, e, w)
+        return kept
+
+    began = time.monotonic()
+    got = sorted((r.seq_id, r.start_pos - 1, r.end_pos, -r.score) for r in intervals.dedup_near(df).collect())
+    took = time.monotonic() - began
+    assert got == sorted((n, *r) for n in "st" for r in plain([r for r in rows if r[0] == n])) and took < 20
