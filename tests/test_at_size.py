@@ -153,9 +153,9 @@ def test_copies_of_a_unit_are_those_of_the_regular_expression():
 def test_near_duplicates_are_looked_for_among_near_rows_only(spark):
     rng = random.Random(34)
     rows = []
-    for k in range(90_000):  # one island of each sequence
-        a = 25 * (k // 3) + rng.randrange(20)
-        rows.append((rng.choice("st"), "Z-DNA", "Z-DNA", a + 1, a + rng.choice((40, 40, 60, 3)), rng.randrange(9) / 4))
+    for k in range(60_000):  # one island of each sequence
+        a = 10 * (k // 2) + rng.randrange(8)
+        rows.append(("st"[k % 2], "Z-DNA", "Z-DNA", a + 1, a + rng.choice((40, 40, 60, 20)), rng.randrange(9) / 4))
     df = spark.createDataFrame(rows, "seq_id string, class string, subclass string, start_pos long, end_pos long, score double")
 
     def plain(mine: list[tuple]) -> list[tuple]:
