@@ -15,7 +15,7 @@ from helixspark.llm.common import materialize, table
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the classifier rejects. It learns from the labelled rows of docs."""
-    model = toxicity.train(toxicity.labelled_sample(docs, table(spark, sf_dir, "labels"), held_out=None))
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"), held_out=None)
     return toxicity.score_toxicity(docs, model, keep=True).filter(~F.col("rejected")).select(*docs.columns)
 
 

@@ -328,3 +328,26 @@ def test_byte_level_files_with_other_options_go_to_their_library(tmp_path):
         path.write_text(json.dumps(raw | change), encoding="utf-8")
         assert type(tokenizing._json(str(path))) is tokenizing.Json
     assert type(tokenizing.load("byte_bpe_50k.json")) is tokenizing.ByteLevelJson
+
+
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = toxic_rows(rng, 1500)
+    odd = [(" ".join(["plain"] * rng.randrange(5, 30) + ["zyx"] * (k % 2)), k % 2, "en") for k in range(600)]  # a word that only few of the sample have
+    rows += odd
+    table = spark.createDataFrame([(i, t, lang, "s", len(t)) for i, (t, _, lang) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, 1, y) for i, (_, y, _) in enumerate(rows)], "doc_id long, quality int, toxic int")
+    sample = toxicity.labelled_sample
+    monkeypatch.setattr(toxicity, "labelled_sample", lambda d, *a, **b: sample(d.filter("doc_id < 1500"), *a, **b))
+    monkeypatch.setattr(toxicity, "SHARD", 500)
+    model = toxicity.learn(table, labels)
+    bucket = toxicity.hashed("zyx")[0]
+    assert np.abs(model.table[bucket]).sum() > 0 and not model.table[0].any() and model.descent is None
+    again = toxicity.learn(table.repartition(7), labels)
+    assert np.array_equal(model.table, again.table) and model.thresholds == again.thresholds and model.shift == again.shift
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(table, model).collect()}
+    assert sum((got[i] >= 0.5) == bool(y) for i, (_, y, _) in enumerate(rows[:1500])) > 1450
+    bins, n, hits = np.array([3, 1, 2]), np.array([4, 5, 2]), np.array([4, 0, 1])
+    assert toxicity._cut(bins, n, hits) == 1.5
+    step = toxicity._fit([toxicity._encoded(t, {}) for t, _, _ in rows[:40]], np.array([y for _, y, _ in rows[:40]], np.float32), 1)
+    assert np.isfinite(step.emb).all() and not step.emb[0].any()
