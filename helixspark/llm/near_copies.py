@@ -7,6 +7,10 @@ about as many bits as the set has elements, where each element turns one bit. Wh
 two alike sets may differ in elements, the sets are not alike; this loses no pair. Who may still be alike is compared by
 whole sets.
 
+SimHash finds most near copies first: texts whose 64-bit fingerprints (majority of the shingles' hash bits) are linked at 3 or
+fewer differing bits are a group, and its members are compared by whole sets. Near copies further apart come from the
+prefix filter: its groups are compared unless their members are all connected by then.
+
 The order is by hash, but shingles that repeat in a sample of the texts come last, so that common lines seldom are keys.
 The sample decides on speed only: the filter holds for any order.
 """
@@ -21,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import materialize, slices
 from .components import connected_components
 
@@ -64,6 +69,14 @@ def fingerprint(h: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
+def simhash_of(h: np.ndarray) -> int:
+    """The SimHash of a set of shingles: the majority of their bits, as a signed 64-bit number; zero for none."""
+    total = np.zeros(64, np.int64)
+    for at in range(0, len(h), 1 << 16):
+        total += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * total > len(h), bitorder="little").view("<i8")[0])
+
+
 def _folded(fp: np.ndarray, words: int) -> np.ndarray:
     return np.bitwise_xor.reduce(fp.reshape(-1, words), axis=0)
 
@@ -235,17 +248,22 @@ def links(docs: DataFrame, texts: DataFrame) -> DataFrame:
     prints = docs.select("digest", "size", "print").dropDuplicates(["digest"])
     rows = listed.distinct().join(prints, "digest").select("grp", "digest", "size", "print")
     members = materialize(rows.repartition("grp").sortWithinPartitions("grp").mapInArrow(_parts, "grp long, digest long").distinct())
-    sets = materialize(texts.join(members.select("digest").distinct(), "digest", "left_semi").dropDuplicates(["digest"]).mapInArrow(_sets, "digest long, shingles binary"))
+    # texts of linked SimHashes; members are told apart by size and fingerprint as in any group
+    fps = materialize(docs.select("digest", "size", "print", "fp").dropDuplicates(["digest"]))
+    block = connected_components(simhash.links(fps.select("fp").distinct())).withColumnRenamed("node", "fp")
+    blocks = fps.join(block, "fp", "left").select(F.coalesce("root", "fp").alias("grp"), "digest", "size", "print")
+    several = blocks.groupBy("grp").count().filter("count > 1").select("grp")
+    close = materialize(blocks.join(several, "grp", "left_semi").repartition("grp").sortWithinPartitions("grp").mapInArrow(_parts, "grp long, digest long"))
+    sets = materialize(texts.join(members.select("digest").union(close.select("digest")).distinct(), "digest", "left_semi").dropDuplicates(["digest"]).mapInArrow(_sets, "digest long, shingles binary"))
 
     def compared(some: DataFrame) -> DataFrame:
         rows = some.join(sets, "digest").select("grp", "digest", "shingles")
         return materialize(rows.repartition("grp").sortWithinPartitions("grp").mapInArrow(_links, "u long, v long"))
 
-    # one group of every text first: of the others, those whose members are all connected by then need no comparison
-    chosen = members.groupBy("digest").agg(F.min("grp").alias("grp")).select("grp").distinct()
-    first = compared(members.join(chosen, "grp", "left_semi"))
+    # near copies by SimHash first: of the other groups, those whose members are all connected by then need no comparison
+    first = compared(close)
     roots = connected_components(first).withColumnRenamed("node", "digest")
-    others = members.join(chosen, "grp", "left_anti").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    others = members.join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     open_ = others.groupBy("grp").agg((F.min("root") < F.max("root")).alias("open")).filter("open").select("grp")
     return first.union(compared(others.join(open_, "grp", "left_semi").select("grp", "digest")))
 
@@ -263,13 +281,13 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def listed(df: DataFrame, common: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, digest, size, print, keys): one row per input row."""
+    """(id, digest, size, print, fp, keys): one row per input row."""
     kind = df.schema[id_col].dataType.simpleString()
     held = df.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            digest, size, prints, keys = [], [], [], []
+            digest, size, prints, fps, keys = [], [], [], [], []
             for t in batch.column(1).to_pylist():
                 data = (t or "").encode()
                 h = shingles_of(data)
@@ -277,10 +295,11 @@ def listed(df: DataFrame, common: np.ndarray, id_col: str = "doc_id", text_col:
                 digest.append(digest_of(data))
                 size.append(len(h))
                 prints.append(fingerprint(h).tobytes())
+                fps.append(simhash_of(h))
                 keys.append(np.concatenate([h[~late], h[late]])[: len(h) // 5 + 1].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.int64()), pa.array(size, pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "digest", "size", "print", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.int64()), pa.array(size, pa.int64()), pa.array(prints, pa.binary()), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "digest", "size", "print", "fp", "keys"])
 
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, digest long, size long, print binary, keys array<long>")
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, digest long, size long, print binary, fp long, keys array<long>")
 
 
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

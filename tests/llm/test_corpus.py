@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from helixspark.llm import decontaminate, language_model, licenses, resampling, search
+from helixspark.llm import decontaminate, language_model, licenses, near_copies, resampling, search
 from tests.llm import brute
 from tests.llm.test_dedup import docs
 from tests.llm.test_rows import edited, library
@@ -304,3 +304,26 @@ def test_pipeline_of_empty_tables(spark, tmp_path):
     for t in ("labels", "benchmark"):
         spark.read.parquet(f"{at}/{t}.parquet").write.parquet(f"{few}/{t}.parquet")
     assert {r.doc_id for r in corpus_pipeline.run(spark, few).collect()} == {1, 2, None}
+
+
+def test_near_copies_are_found_by_simhash_first(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [[f"w{rng.randrange(900)}" for _ in range(200)] for _ in range(12)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(base)] + [(100 + i, " ".join([*t[:-1], "own"])) for i, t in enumerate(base)]
+    h = near_copies.shingles_of(rows[0][1].encode())
+    bits = [sum(int(x) >> k & 1 for x in h) for k in range(64)]
+    assert near_copies.simhash_of(h) & (1 << 64) - 1 == sum(1 << k for k, n in enumerate(bits) if 2 * n > len(h))
+    assert near_copies.simhash_of(h[:0]) == 0
+    print_of = lambda t: near_copies.simhash_of(near_copies.shingles_of(t.encode())) & (1 << 64) - 1
+    close = {i for i in range(12) if (print_of(rows[i][1]) ^ print_of(rows[12 + i][1])).bit_count() <= 3}
+    assert len(close) > 5
+    whole = near_copies.listed
+
+    def no_keys(*args):
+        return whole(*args).withColumn("keys", F.array().cast("array<long>"))
+
+    monkeypatch.setattr(near_copies, "listed", no_keys)
+    found = {r.doc_id: r.component_id for r in near_copies.near_copies(docs(spark, rows)).collect()}
+    assert {i for i in range(12) if found[100 + i] == i} == close and all(found[i] == i for i in range(12))
+    monkeypatch.undo()
+    assert all(r.component_id == r.doc_id % 100 for r in near_copies.near_copies(docs(spark, rows)).collect())
