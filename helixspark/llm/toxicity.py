@@ -308,19 +308,25 @@ def _checks(key: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit("check"), key), F.lit(5)) == 0
 
 
-def _labelled(documents: DataFrame, labels: DataFrame, label_col: str, held_out: int | None, checks: bool, shards: int) -> DataFrame:
+def _labelled(documents: DataFrame, labels: DataFrame, label_col: str, held_out: int | None, checks: bool, n: int) -> DataFrame:
     """(_shard, _lang, _text, _label): every row of documents with a label, but the held-out fifth; those that calibrate, or the others.
 
     Of different labels of one id the greater holds. Rows and labels are dealt out by shard together, so texts move once;
-    a shard's rows are in the order of a hash.
+    a shard's rows are in the order of a hash. A bitmap of the labelled ids, a few bits for each of n, tells most texts
+    without a label before they move.
     """
     key = F.col("doc_id").cast("string").alias("_key")
     known = labels.filter(f"doc_id is not null and {label_col} is not null").select(key, F.lit(None).cast("string").alias("_lang"), F.lit(None).cast("string").alias("_text"), F.col(label_col).cast("int").alias("_known"))
     docs = documents.filter("doc_id is not null").select(key, F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("_lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"), F.lit(None).cast("int").alias("_known"))
-    both = docs.unionByName(known).filter(_checks(F.col("_key")) == checks)
+    fit = _checks(F.col("_key")) == checks
     if held_out is not None:
-        both = both.filter(crc_mod("_key", 5) != held_out)
-    both = both.withColumn("_order", F.xxhash64("_key")).withColumn("_shard", F.pmod(F.xxhash64("_order"), F.lit(shards)))
+        fit &= crc_mod("_key", 5) != held_out
+    docs, known = docs.filter(fit), known.filter(fit)
+    bits = 1 << min(32, max(10, (8 * n).bit_length()))
+    word, bit = F.expr(f"shiftright(pmod(xxhash64('bit', _key), {bits}L), 6)"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64('bit', _key), 64L) as int))")
+    held = known.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    docs = docs.withColumn("_bit", bit).join(F.broadcast(held), (word == F.col("_word")) & (F.col("_bits").bitwiseAND(F.col("_bit")) != 0), "left_semi").drop("_bit")
+    both = docs.unionByName(known).withColumn("_order", F.xxhash64("_key")).withColumn("_shard", F.pmod(F.xxhash64("_order"), F.lit(max(1, -(-n // SHARD)))))
     dealt = both.repartition("_shard").sortWithinPartitions("_shard", "_order", "_key", "_text")
     label = F.max("_known").over(Window.partitionBy("_shard", "_order", "_key"))
     return dealt.withColumn("_label", label).filter("_text is not null and _label is not null").select("_shard", "_lang", "_text", "_label")
@@ -423,7 +429,7 @@ def learn(documents: DataFrame, labels: DataFrame, label_col: str = "toxic", hel
         return start
     known = labels.filter(f"{label_col} is not null").groupBy(key.alias("_key")).agg(F.max(label_col).cast("int").alias("_label"))
     n, positive = documents.select(key.alias("_key")).join(known, "_key").agg(F.count("*"), F.sum(F.when(F.col("_label") > 0, 1).otherwise(0))).first()
-    of = lambda checks: _labelled(documents, labels, label_col, held_out, checks, -(-n // SHARD))
+    of = lambda checks: _labelled(documents, labels, label_col, held_out, checks, n)
     return _calibrated(of(True), _went_on(of(False), start, _positive_weight(positive / n)))
 
 
