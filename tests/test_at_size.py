@@ -172,3 +172,64 @@ def test_near_duplicates_are_looked_for_among_near_rows_only(spark):
     got = sorted((r.seq_id, r.start_pos - 1, r.end_pos, -r.score) for r in intervals.dedup_near(df).collect())
     took = time.monotonic() - began
     assert got == sorted((n, *r) for n in "st" for r in plain([r for r in rows if r[0] == n])) and took < 20
+
+
+def _of_tracts(seed: int, n: int) -> str:
+    rnd = random.Random(seed)
+    parts = ["AAAAATGCGC", "TTTTAGCGCGC", "GGGTTAGGGT", "GGGACGGGAAGGGCCGGG", "CCCTACCCTTCCCAGTCCC", "ACGTGCATGACT", "AAACGTACCCATGACCCAATTCCC"]
+    return "".join(rnd.choice(parts) for _ in range(n))
+
+
+def test_patterns_chosen_where_the_text_is_shuffle_nothing(spark):
+    df = spark.createDataFrame([("a", _of_tracts(1, 300) + "AAAAATGCGCG" * 5)], "seq_id string, seq string")
+    for detector in (detectors.global_curvature, detectors.quadruplexes, detectors.i_motifs):
+        found = detector(df)
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString(), detector.__name__
+        assert found.count() > 0
+
+
+def test_chains_over_borders_of_tiles(spark):
+    seqs = [("a", "AAAAATGCGCG" * 300), ("b", _of_tracts(2, 400)), ("c", "AAAACTGTGTG" * 3 + "CTCTAGAGTCAGACTCATGA" * 9 + "AAAACTGTGTG" * 4), ("d", "AAAT")]
+    df = spark.createDataFrame(seqs, "seq_id string, seq string")
+    rows = lambda d: sorted((r.seq_id, r.start_pos, r.end_pos, r.raw_score, r.attrs["tracts"]) for r in d.collect())
+    exact = rows(detectors.global_curvature(df))
+    assert {r[0] for r in exact} == {"a", "b", "c"}
+    for size in (24, 40, 100):
+        assert rows(detectors.global_curvature(tiling.cut(df, size, 2048, 2048, safe=True))) == exact
+
+
+def test_i_motifs_are_those_chosen_from_all_hits(spark):
+    df = spark.createDataFrame([(str(k), _of_tracts(k, 60)) for k in range(6)], "seq_id string, seq string")
+    got = sorted((r.seq_id, r.start_pos - 1, r.end_pos, r.strand, r.pattern_id, r.raw_score) for r in detectors.i_motifs(df).collect())
+    relaxed = (F.col("pattern_id") == "IM_EXT").cast("int")
+    order = [-F.col("raw"), relaxed, F.col("start") - F.col("end"), (F.col("strand") == "-").cast("int")]
+    kept = [intervals.select_greedy(h, ["seq_id"], order, F.col("start"), F.col("end")) for h in (detectors.i_motif_hits(df), detectors.ac_motif_hits(df))]
+    assert got == sorted((r.seq_id, r.start, r.end, r.strand, r.pattern_id, r.raw) for d in kept for r in d.collect())
+    assert {r[4][:3] for r in got} == {"IM_", "HUR"}
+
+
+def test_half_up_is_spark_round(spark):
+    values = [0.0078125, 0.12345650000000001, 0.0000005, 1.0, 0.3 - 0.1, 2 / 3, 92 / 128 + 0.24]
+    df = spark.createDataFrame([(x,) for x in values], "x double").select(F.round("x", 6).alias("r"))
+    assert [kernels.half_up(x) for x in values] == [r.r for r in df.collect()]
+
+
+def test_hybrids_of_many_stretches_need_no_call_for_each(spark):
+    rnd = random.Random(5)
+    rows = [(f"s{rnd.randrange(40)}", at, at + rnd.randint(5, 60), rnd.choice("ABC"), rnd.randint(1000, 3000) / 1000) for at in (rnd.randrange(1, 30_000) for _ in range(12_000))]
+    df = spark.createDataFrame(rows, "seq_id string, start_pos long, end_pos long, class string, score double").coalesce(1)
+    found = intervals.hybrids(df)
+    assert "FlatMapGroupsInArrow" not in found._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    by = {}
+    for r in rows:
+        by.setdefault(r[0], []).append(r)
+    for name, mine in by.items():
+        mine.sort(key=lambda r: r[1:3])
+        for i, (_, s, e, c, x) in enumerate(mine):
+            for _, t, f, d, y in itertools.takewhile(lambda r: r[1] <= e, mine[i + 1 :]):
+                if c != d and 0.5 < (min(e, f) - t + 1) / min(e - s + 1, f - t + 1) < 0.99:
+                    key, value = (name, s, max(e, f), *sorted((c, d))), (s, e, t, f, f"{c}_{d}_Overlap", -(x + y))
+                    want[key] = min(want.get(key, value), value)
+    got = {(r.seq_id, r.start_pos, r.end_pos, *r.component_classes): (r.subclass, r.length) for r in found.collect()}
+    assert len(got) > 100 and got == {k: (v[4], k[2] - k[1] + 1) for k, v in want.items()}
