@@ -233,3 +233,8 @@ def test_hybrids_of_many_stretches_need_no_call_for_each(spark):
                     want[key] = min(want.get(key, value), value)
     got = {(r.seq_id, r.start_pos, r.end_pos, *r.component_classes): (r.subclass, r.length) for r in found.collect()}
     assert len(got) > 100 and got == {k: (v[4], k[2] - k[1] + 1) for k, v in want.items()}
+
+
+def test_quadruplexes_take_one_python_pass(spark):
+    df = spark.createDataFrame([("a", "GGGAGGGAGGGAGGG")], "seq_id string, seq string")
+    assert detectors.quadruplexes(df)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
