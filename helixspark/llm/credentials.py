@@ -11,7 +11,8 @@ places finds it. Values from ``LEAST`` on are spans of kind "guess"; ``hunter2``
 Words. Each text's words are counted over the whole corpus (words inside the values themselves don't count, so a secret that
 many texts share is no word). Only different values go on: their substrings are joined to the counts, and what is known of a
 stretch of ``STRETCH`` characters comes back to it, so no task holds more than a stretch's words. A longer value costs as
-much as its dearest stretch.
+much as its dearest stretch. Both sides of each join grow with the corpus and more than their files tell (a value has
+hundreds of substrings), so they are merged: neither is broadcast through the driver.
 """
 
 from __future__ import annotations
@@ -156,7 +157,7 @@ def _costs(values: DataFrame, texts: DataFrame) -> DataFrame:
     split = lambda c: F.explode(F.filter(F.split(F.lower(c), r"[^\p{L}]+"), lambda w: F.length(w).between(low, high)))
     inside = values.select(split("value").alias("word")).groupBy("word").agg(F.count("*").alias("inside"))
     counts = texts.select(split("text").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    total = materialize(counts.join(inside, "word", "left").select("word", (F.col("n") - F.coalesce("inside", F.lit(0))).alias("n")).filter("n > 0"))
+    total = materialize(counts.join(inside.hint("merge"), "word", "left").select("word", (F.col("n") - F.coalesce("inside", F.lit(0))).alias("n")).filter("n > 0"))
     whole = total.agg(F.sum("n")).first()[0] or 1
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,9 +177,9 @@ def _costs(values: DataFrame, texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(cost, pa.float64())], names=["value_key", "cost"])
 
     stretches = materialize(values.dropDuplicates(["value_key"]).select("value_key", "value").mapInArrow(cut, "value_key string, stretch long, part string"))
-    known = stretches.mapInArrow(read, "value_key string, stretch long, at int, size int, subs int, word string").join(total, "word")
+    known = stretches.mapInArrow(read, "value_key string, stretch long, at int, size int, subs int, word string").join(total.hint("merge"), "word")
     lists = known.groupBy("value_key", "stretch").agg(F.collect_list(F.struct("at", "size", "subs", "n")).alias("known"))
-    priced = stretches.join(lists, ["value_key", "stretch"], "left").select("value_key", "part", "known").mapInArrow(price, "value_key string, cost double")
+    priced = stretches.join(lists.hint("merge"), ["value_key", "stretch"], "left").select("value_key", "part", "known").mapInArrow(price, "value_key string, cost double")
     return priced.groupBy("value_key").agg(F.max("cost").alias("cost"))
 
 
@@ -207,8 +208,8 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     held = rows.select("row", F.explode("held").alias("v")).select("row", "v.*").withColumn("value_key", F.sha2("value", 256))
     costs = _costs(held.select("value_key", "value"), texts.select("text"))
     dear = F.when((F.col("cost") >= least) & ~F.col("covered"), F.struct("start", F.lit(3).alias("kind"), "end"))
-    added = held.drop("value").join(costs, "value_key").groupBy("row").agg(F.collect_list(dear).alias("added"), F.max("cost").alias("guesses"))
-    every = rows.drop("held").join(added, "row", "left").withColumn("found", F.array_sort(F.concat("base", F.coalesce("added", F.array().cast(span)))))
+    added = held.drop("value").join(costs.hint("merge"), "value_key").groupBy("row").agg(F.collect_list(dear).alias("added"), F.max("cost").alias("guesses"))
+    every = rows.drop("held").join(added.hint("merge"), "row", "left").withColumn("found", F.array_sort(F.concat("base", F.coalesce("added", F.array().cast(span)))))
     shown = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1), s["start"], s["end"])), ",")
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
     return every.select(F.col("id").alias(id_col), *map(count, range(3)), F.sha2(shown(F.col("base")), 256).alias("base_sha256"), shown(F.col("found")).alias("spans"), F.round("guesses", 6).alias("guesses"), "found")

@@ -108,3 +108,11 @@ def test_a_long_value_costs_its_dearest_stretch(spark):
     assert row.spans == f"guess:5:{len(text)}" and row.guesses < 25
     (row,) = credentials.find_secrets(spark.createDataFrame([(1, "pwd: " + "z" * 600)], "doc_id long, text string")).collect()
     assert row.guesses < credentials.LEAST
+
+
+def test_nothing_that_grows_is_broadcast(spark):
+    """The substrings of values are far more than the file of their stretches tells; no side of a join goes through the driver."""
+    rows = [(k, f"words here and there pwd: {'xK9' * 40}{k}") for k in range(20)]
+    found = credentials.find_secrets(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert found.filter("guesses is not null").count() == len(rows)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
