@@ -238,3 +238,26 @@ def test_hybrids_of_many_stretches_need_no_call_for_each(spark):
 def test_quadruplexes_take_one_python_pass(spark):
     df = spark.createDataFrame([("a", "GGGAGGGAGGGAGGG")], "seq_id string, seq string")
     assert detectors.quadruplexes(df)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+def test_tiles_choose_what_they_see_the_whole_of():
+    """Of tiles with all letters around, islands away from borders are settled in the tile; with what is open chosen over the sequence, the hits are the sequence's."""
+    rng = random.Random(35)
+    turn, settled = str.maketrans("ACGT", "TGCA"), Counter()
+    for _ in range(6):
+        parts = []
+        while sum(map(len, parts)) < 4000:
+            arm = "".join(rng.choices(rng.choice(["AG", "ACGT", "GC", "AC"]), k=rng.randrange(8, 70)))
+            parts.append(rng.choice([arm + arm[::-1], arm + "ACGT" + arm[::-1].translate(turn), arm[:9] * rng.randrange(2, 40), arm]))
+            parts.append("".join(rng.choices("ACGT", k=60)))
+        seq, rows, at = "".join(parts), [], 0
+        while at < len(seq):
+            rows.append((seq, at, min(len(seq), at + 300), True, True))
+            at += 300
+        for tile, whole, order in ((kernels.mirror_of_tile, kernels.mirror, lambda r: (-int(r[4]["arm"]), int(r[4]["loop"]), r[0])), (kernels.cruciform_of_tile, kernels.cruciform, lambda r: (-r[3], r[0] - r[1], r[0], -int(r[4]["arm"])))):
+            found = [r[1:] for r in tile(rows)]
+            still = sorted((r[:5] for r in found if r[5]), key=order)
+            got = [r[:5] for r in found if not r[5]] + [still[j] for j in kernels.first_free([r[:2] for r in still])]
+            assert sorted(map(str, got)) == sorted(str(r[1:]) for r in whole([(seq, 0, len(seq), True, True)]))
+            settled[tile] += len(found) - len(still)
+    assert len(settled) == 2 and all(settled.values())
