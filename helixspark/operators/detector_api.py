@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from .detectors import global_curvature, local_curvature
 from .intervals import remove_overlaps
 from .regexscan import placed_hits
@@ -60,8 +61,9 @@ def bounded(motifs: DataFrame) -> DataFrame:
 def audit(hits: DataFrame) -> DataFrame:
     """(class, subclass, candidates, reported, filtered, sequences): what a scan's detectors found, and what is left when overlaps are removed.
 
-    hits: as plans.scan.detect gives them.
+    hits: as plans.scan.detect gives them. They are counted and chosen from, so they are a written table: detectors run once.
     """
+    hits = written(hits.drop("attrs"))
     seen = hits.groupBy("class", "subclass").agg(F.count("*").alias("candidates"), F.count_distinct("seq_id").alias("sequences"))
     kept = remove_overlaps(hits).groupBy("class", "subclass").agg(F.count("*").alias("reported"))
     return seen.join(kept, ["class", "subclass"], "left").select("class", "subclass", "candidates", F.coalesce("reported", F.lit(0)).alias("reported"), (F.col("candidates") - F.coalesce("reported", F.lit(0))).alias("filtered"), "sequences")

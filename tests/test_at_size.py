@@ -240,6 +240,24 @@ def test_quadruplexes_take_one_python_pass(spark):
     assert detectors.quadruplexes(df)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
 
 
+def test_an_audit_runs_the_detectors_once(spark, tmp_path):
+    from helixspark.operators import detector_api
+    from helixspark.plans.scan import detect
+
+    df = spark.createDataFrame([("a", _of_tracts(1, 60) + "CAG" * 9 + "GGGTTAGGGTTAGGGTTAGGG")], "seq_id string, seq string")
+    ran = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            ran.add(batch.num_rows)
+            yield batch
+
+    hits = detect(df)
+    audited = detector_api.audit(hits.mapInArrow(counted, hits.schema))
+    rows = audited.collect()
+    assert ran.value == sum(r.candidates for r in rows) == hits.count() and all(r.reported + r.filtered == r.candidates for r in rows)
+
+
 def test_tiles_choose_what_they_see_the_whole_of():
     """Of tiles with all letters around, islands away from borders are settled in the tile; with what is open chosen over the sequence, the hits are the sequence's."""
     rng = random.Random(35)
