@@ -7,6 +7,7 @@ import re
 import time
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from helixspark.functions import scoring
@@ -279,3 +280,12 @@ def test_tiles_choose_what_they_see_the_whole_of():
             assert sorted(map(str, got)) == sorted(str(r[1:]) for r in whole([(seq, 0, len(seq), True, True)]))
             settled[tile] += len(found) - len(still)
     assert len(settled) == 2 and all(settled.values())
+
+
+def test_digests_of_places_are_made_together():
+    heads = [(b"1:0:s:", 0, 30), (b"1:1:s:", 95, 1200), (b"", 0, 1), (b"x" * 51, 9_990, 20), (b"y" * 70, 0, 12), (b"4:1:a:", 999_990, 40_000), (b"z" * 30, (1 << 32) - 5, 10), ("é:".encode(), 7, 0)]
+    want = b"".join(hashlib.md5(head + b"%d" % i).digest() for head, at, n in heads for i in range(at, at + n))
+    assert statistics._digests(heads).astype(">u8").tobytes() == want
+    assert statistics._digests([]).shape == (0, 2)
+    keys, letters = np.array([[5, 2], [5, 1], [1, 9]], ">u8"), np.array([65, 66, 67], "<u4")
+    assert statistics._in_order(keys, letters) == "CBA"
