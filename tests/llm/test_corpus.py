@@ -1,5 +1,6 @@
 """Licence scans, language model, search, resampling and the pipeline."""
 
+import itertools
 import math
 import random
 import time
@@ -10,6 +11,7 @@ import duckdb
 import numpy as np
 import pytest
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -327,3 +329,21 @@ def test_near_copies_are_found_by_simhash_first(spark, monkeypatch):
     assert {i for i in range(12) if found[100 + i] == i} == close and all(found[i] == i for i in range(12))
     monkeypatch.undo()
     assert all(r.component_id == r.doc_id % 100 for r in near_copies.near_copies(docs(spark, rows)).collect())
+
+
+def test_a_task_of_several_shards_raises_thresholds_itself(spark):
+    """Rows that can't be among the best any more don't leave a task, though its round began with low thresholds."""
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(60)]
+    table = spark.createDataFrame([(k, " ".join(rng.choices(words, k=30))) for k in range(1600)], "id long, text string")
+    asked = table.filter("id % 160 = 0").select(F.col("id").alias("query"), "text")
+    shards, average = 10, 30.0
+    index = search.build_index(table, shards, average, 16)
+    frequencies = table.select(F.explode(F.array_distinct(F.split("text", " "))).alias("word")).groupBy("word").agg(F.count("*").alias("df")).select(F.col("word").cast("binary").alias("word"), "df")
+    part = search._packed(asked, frequencies, shards).toArrow()
+    rows = search._search(index.coalesce(1), part, 1600, shards, average, 10, 16, "bigint")
+    assert part.num_rows == 10 and rows.groupBy("query").count().filter("count >= 10").count() == 10
+    assert rows.count() < 480  # 543 with the thresholds of each round's begin, 414 so
+    best = sorted((r["query"], -r.score, r.doc_id) for r in rows.collect())
+    whole = search._search(search.build_index(table, 1, average, 16), part.set_column(1, "first", pa.array([0] * 10, pa.int32())), 1600, 1, average, 10, 16, "bigint")
+    assert [x for _, g in itertools.groupby(best, lambda r: r[0]) for x in list(g)[:10]] == sorted((r["query"], -r.score, r.doc_id) for r in whole.collect())
